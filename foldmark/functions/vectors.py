@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` computed once; inside a lambda it would run per element."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def rescale(vector: Column, divisor: float) -> Column:
     return F.transform(vector, lambda x: x.cast("double") / F.lit(float(divisor)))
 
@@ -33,22 +38,32 @@ def histogram(vector: Column, low: float, high: float, bins: int) -> Column:
         F.filter(vector, lambda x: (x >= low) & (x < high)),
         lambda x: F.floor((x.cast("double") - F.lit(low)) / F.lit(width)).cast("int"),
     )
-    zero = F.array_repeat(F.lit(0), bins)
-    return F.transform(zero, lambda z, b: F.size(F.filter(cells, lambda c: c == b)))
+    slots = F.sequence(F.lit(0), F.lit(bins - 1))
+    return let(cells, lambda c: F.transform(slots, lambda b: F.size(F.filter(c, lambda x: x == b))))
 
 
 def unit_length(vector: Column) -> Column:
     """Divide by the Euclidean norm; a zero vector stays."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.transform(vector, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
+    squares = F.aggregate(
+        vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"), F.sqrt
+    )
+    return let(
+        squares,
+        lambda norm: F.transform(
+            vector, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0))
+        ),
+    )
 
 
 def array_moments(vector: Column) -> dict[str, Column]:
     """Mean, population standard deviation, minimum and maximum of an array of numbers."""
     n = F.size(vector)
     mean = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double")) / n
-    spread = F.aggregate(
-        vector, F.lit(0.0), lambda a, x: a + F.pow(x.cast("double") - mean, F.lit(2.0))
+    spread = let(
+        mean,
+        lambda m: F.aggregate(
+            vector, F.lit(0.0), lambda a, x: a + (x.cast("double") - m) * (x.cast("double") - m)
+        ),
     )
     return {
         "mean": mean,

@@ -121,10 +121,12 @@ def running(
     position: str | None = None,
     before: bool = False,
     slices: int | None = None,
+    slice_by: Column | None = None,
 ) -> DataFrame:
     """Running sums and the 1-based position per group along ``order``.
 
     ``before=True`` leaves the current row out of the sums. Rows without a group key get nulls.
+    ``slice_by`` is a ready slice number that follows the order, such as the head of a digest.
     """
     keys = as_keys(order)
     by = list(by)
@@ -132,7 +134,10 @@ def running(
     if position:
         measures[position] = F.lit(1).cast("bigint")
     staged = df.withColumns({f"_v{i}": c for i, c in enumerate(measures.values())})
-    sliced = with_slices(staged, keys, slices)
+    if slice_by is None:
+        sliced = with_slices(staged, keys, slices)
+    else:
+        sliced = staged.withColumn(SLICE, slice_by)
 
     totals = sliced.groupBy(*by, SLICE).agg(
         *[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(measures))]
@@ -175,9 +180,10 @@ def positions(
     by: Sequence[str] = (),
     name: str = "position",
     slices: int | None = None,
+    slice_by: Column | None = None,
 ) -> DataFrame:
     """1-based position of every row, per group or over the whole table."""
-    return running(df, order, by, position=name, slices=slices)
+    return running(df, order, by, position=name, slices=slices, slice_by=slice_by)
 
 
 def lagged(
@@ -268,13 +274,13 @@ def keys_at(
 
 
 def not_after(keys: Sequence[str | Key], bound: tuple) -> Column:
-    """Row sorts at or before ``bound`` along ``keys`` (no nulls in the keys)."""
+    """Row sorts at or before ``bound`` along ``keys``; rows without a key value sort after it."""
     result: Column = F.lit(True)
     for key, value in reversed(list(zip(as_keys(keys), bound))):
         col, edge = F.col(key.name), F.lit(value)
         ahead = (col < edge) if key.ascending else (col > edge)
         result = ahead | ((col == edge) & result)
-    return result
+    return F.coalesce(result, F.lit(False))
 
 
 def exact_quantiles(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,5 +46,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     """Import every plan module once."""
+    here = os.path.dirname(__file__)
     for module in _MODULES:
+        if not os.path.exists(os.path.join(here, module + ".py")):
+            continue
         importlib.import_module(f"foldmark.plans.{module}")
