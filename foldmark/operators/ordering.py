@@ -88,15 +88,25 @@ def _cut(df: DataFrame, source: str, target: str, bounds: Sequence[float]) -> Da
     return cutter.transform(df)
 
 
-def with_slices(df: DataFrame, order: Sequence[str | Key], slices: int | None = None) -> DataFrame:
-    """Add ``_slice``: a bigint that never decreases along ``order`` and holds few rows per value."""
+def with_slices(
+    df: DataFrame,
+    order: Sequence[str | Key],
+    slices: int | None = None,
+    bounds_from: DataFrame | None = None,
+) -> DataFrame:
+    """Add ``_slice``: a bigint that never decreases along ``order`` and holds few rows per value.
+
+    ``bounds_from`` is a cheaper table with the same key columns to take the bounds from, such as the
+    rows before an aggregation.
+    """
     keys = as_keys(order)
     numbers = _numbers(df, keys[:2])[:2]
     names = ["_k0", "_k1"][: len(numbers)]
     keyed = df.withColumns(dict(zip(names, numbers)))
     n = slices or default_slices(df)
     probabilities = [i / n for i in range(1, n)]
-    quantiles = keyed.select(names).approxQuantile(names, probabilities, 1 / (4 * n))
+    basis = keyed if bounds_from is None else bounds_from.withColumns(dict(zip(names, numbers)))
+    quantiles = basis.select(names).approxQuantile(names, probabilities, 1 / (4 * n))
     first = [float(q) for q in quantiles[0] or [] if math.isfinite(q)]
     repeats = {v: c for v, c in Counter(first).items() if c > 1}
     out = _cut(keyed, "_k0", "_s0", first)
@@ -122,6 +132,7 @@ def running(
     before: bool = False,
     slices: int | None = None,
     slice_by: Column | None = None,
+    bounds_from: DataFrame | None = None,
 ) -> DataFrame:
     """Running sums and the 1-based position per group along ``order``.
 
@@ -135,7 +146,7 @@ def running(
         measures[position] = F.lit(1).cast("bigint")
     staged = df.withColumns({f"_v{i}": c for i, c in enumerate(measures.values())})
     if slice_by is None:
-        sliced = with_slices(staged, keys, slices)
+        sliced = with_slices(staged, keys, slices, bounds_from)
     else:
         sliced = staged.withColumn(SLICE, slice_by)
 

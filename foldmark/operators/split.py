@@ -271,11 +271,24 @@ def multilabel_holdout(
 
 def overlap(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Keys found in both train and validation of the same fold: empty for a leak-free split."""
+    return _key_sides(df, by).filter("_t AND _v").drop("_t", "_v")
+
+
+def _key_sides(df: DataFrame, by: Sequence[str]) -> DataFrame:
     folds = [c for c in ("fold",) if c in df.columns]
-    sides = df.groupBy(*folds, *by).agg(
+    return df.groupBy(*folds, *by).agg(
         F.bool_or(F.col("role") == TRAIN).alias("_t"), F.bool_or(F.col("role") == VAL).alias("_v")
     )
-    return sides.filter("_t AND _v").drop("_t", "_v")
+
+
+def leak_report(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Per fold: distinct keys on each side and those on both."""
+    folds = [c for c in ("fold",) if c in df.columns]
+    return _key_sides(df, by).groupBy(*folds).agg(
+        F.count_if("_t").alias("train_keys"),
+        F.count_if("_v").alias("val_keys"),
+        F.count_if(F.col("_t") & F.col("_v")).alias("shared_keys"),
+    )
 
 
 def _image_split(df: DataFrame, key, n_splits=1, frac=0.2, seed=42, strata=None, **_) -> DataFrame:

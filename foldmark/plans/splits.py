@@ -232,8 +232,10 @@ def spl_registry(spark, sf):
 
 @query(
     "SPL_leak_check",
-    "SELECT user_id, 0 AS fold FROM events WHERE false",
+    f"""WITH u AS (SELECT DISTINCT user_id, {draw('user_id')} % 5 AS val FROM events), f AS (SELECT unnest(range(5)) AS fold)
+       SELECT fold, count(*) FILTER (WHERE val <> fold) AS train_keys, count(*) FILTER (WHERE val = fold) AS val_keys,
+       0 AS shared_keys FROM u, f GROUP BY fold""",
 )
 def spl_leak_check(spark, sf):
     folds = split.split(events(spark, sf), ["event_id"], "recommendation", n_splits=5, group="user_id")
-    return split.overlap(folds, ["user_id"])
+    return split.leak_report(folds, ["user_id"])
