@@ -156,7 +156,7 @@ def running(
     earlier = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)],
-        F.col(SLICE).alias("_at"),
+        F.col(SLICE).alias("_slice_at"),
         *[
             F.coalesce(F.sum(f"_t{i}").over(earlier), F.lit(0)).alias(f"_o{i}")
             for i in range(len(measures))
@@ -176,7 +176,7 @@ def running(
             for i, name in enumerate(measures)
         }
     )
-    match = [F.col(SLICE) == F.col("_at")]
+    match = [F.col(SLICE) == F.col("_slice_at")]
     match += [F.col(c) == F.col(f"_by{i}") for i, c in enumerate(by)]
     joined = local.join(offsets, match, "left")
     return joined.select(
@@ -229,13 +229,13 @@ def lagged(
     previous = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(-steps, -1)
     carried = tails.select(
         *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)],
-        F.col(SLICE).alias("_at"),
+        F.col(SLICE).alias("_slice_at"),
         F.flatten(F.collect_list("_tail").over(previous)).alias("_carry"),
     )
     local = sliced.withColumn("_row", F.row_number().over(cell)).withColumns(
         {f"_in{k}": F.lag(value, k).over(cell) for k in range(1, steps + 1)}
     )
-    match = [F.col(SLICE) == F.col("_at")]
+    match = [F.col(SLICE) == F.col("_slice_at")]
     match += [F.col(c) == F.col(f"_by{i}") for i, c in enumerate(by)]
     joined = local.join(carried, match, "left")
 

@@ -224,8 +224,8 @@ def met14(spark, sf):
 _INTERACTIONS = """WITH truth AS (SELECT user_id, day(ts) AS item FROM events WHERE value > 150),
   pred AS (SELECT user_id, day(ts) AS item, max(value % 7) AS score FROM events WHERE user_id % 10 <> 0 GROUP BY 1, 2),
   n AS (SELECT user_id, count(*) AS n FROM truth GROUP BY 1),
-  r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item) AS at FROM pred),
-  h AS (SELECT r.*, row_number() OVER (PARTITION BY user_id ORDER BY at) AS nth FROM r WHERE {cut} AND (user_id, item) IN (SELECT (user_id, item) FROM truth)) """
+  r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item) AS place FROM pred),
+  h AS (SELECT r.*, row_number() OVER (PARTITION BY user_id ORDER BY place) AS nth FROM r WHERE {cut} AND (user_id, item) IN (SELECT (user_id, item) FROM truth)) """
 
 
 def interactions(spark, sf):
@@ -244,8 +244,8 @@ ORDER = ["-score", "item"]
 
 @query(
     "MET15_map_at_k",
-    _INTERACTIONS.format(cut="at <= 10")
-    + """SELECT round(avg(coalesce(s, 0) / n), 6) AS score FROM n LEFT JOIN (SELECT user_id, sum(nth / at) AS s FROM h GROUP BY 1) USING (user_id)""",
+    _INTERACTIONS.format(cut="place <= 10")
+    + """SELECT round(avg(coalesce(s, 0) / n), 6) AS score FROM n LEFT JOIN (SELECT user_id, sum(nth / place) AS s FROM h GROUP BY 1) USING (user_id)""",
 )
 def met15(spark, sf):
     truth, pred = interactions(spark, sf)
@@ -256,7 +256,7 @@ def met15(spark, sf):
     "MET16_map_full_list",
     _INTERACTIONS.format(cut="true")
     + """SELECT round(avg(coalesce(s, 0) / n), 6) AS score FROM (SELECT * FROM n WHERE user_id IN (SELECT user_id FROM pred)) n
-       LEFT JOIN (SELECT user_id, sum(nth / at) AS s FROM h JOIN n USING (user_id) WHERE nth <= n GROUP BY 1) USING (user_id)""",
+       LEFT JOIN (SELECT user_id, sum(nth / place) AS s FROM h JOIN n USING (user_id) WHERE nth <= n GROUP BY 1) USING (user_id)""",
 )
 def met16(spark, sf):
     truth, pred = interactions(spark, sf)
@@ -268,10 +268,10 @@ def met16(spark, sf):
     """WITH truth AS (SELECT user_id, day(ts) AS item FROM events WHERE value > 250),
        pred AS (SELECT user_id, day(ts) AS item, event_id, value % 7 AS score FROM events),
        n AS (SELECT user_id, least(count(*), 100) AS n FROM truth GROUP BY 1),
-       r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) AS at FROM pred),
-       f AS (SELECT user_id, item, min(at) AS at FROM r WHERE at <= 100 GROUP BY 1, 2),
-       h AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at) AS nth FROM f WHERE (user_id, item) IN (SELECT (user_id, item) FROM truth)),
-       s AS (SELECT user_id, sum(nth / at) AS s FROM h GROUP BY 1)
+       r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) AS place FROM pred),
+       f AS (SELECT user_id, item, min(place) AS place FROM r WHERE place <= 100 GROUP BY 1, 2),
+       h AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY place) AS nth FROM f WHERE (user_id, item) IN (SELECT (user_id, item) FROM truth)),
+       s AS (SELECT user_id, sum(nth / place) AS s FROM h GROUP BY 1)
        SELECT round(avg(coalesce(s / n, 0)), 6) AS score FROM (SELECT DISTINCT user_id FROM pred) LEFT JOIN n USING (user_id) LEFT JOIN s USING (user_id)""",
 )
 def met17(spark, sf):
@@ -358,14 +358,14 @@ def met21(spark, sf):
     "MET22_rank_format",
     """WITH p AS (SELECT user_id, day(ts) AS item, max(value) - 100 AS third FROM events GROUP BY 1, 2),
        d AS (SELECT min(third) >= 0 AND max(third) <= count(*) AS is_rank FROM p)
-       SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN is_rank THEN third ELSE -third END, item) AS at FROM p, d""",
+       SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN is_rank THEN third ELSE -third END, item) AS place FROM p, d""",
 )
 def met22(spark, sf):
     pred = table(spark, sf, "events").groupBy("user_id", F.dayofmonth("ts").alias("item")).agg(
         (F.max("value") - 100).alias("third")
     )
     order = ranking.rank_order(pred, "user_id", "item", infer=True)
-    return positions(pred, order, ["user_id"], "at").select("user_id", "item", "at")
+    return positions(pred, order, ["user_id"], "place").select("user_id", "item", "place")
 
 
 @query(
