@@ -73,16 +73,18 @@ def leakage_counts(html: Column) -> dict[str, Column]:
             F.regexp_extract_all(r, F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1)), lambda c: F.trim(_inner_text(c))
         ),
     )
-    out = {}
-    for name, label in COUNTERS.items():
+
+    def counter(label: str) -> Column:
         hits = F.filter(
             cells,
-            lambda c, label=label: (F.size(c) >= 2)
+            lambda c: (F.size(c) >= 2)
             & F.contains(F.get(c, F.lit(0)), F.lit(label))
             & F.get(c, F.lit(1)).rlike(r"^[+-]?\d+$"),
         )
-        out[name] = F.coalesce(F.try_element_at(F.transform(hits, lambda c: F.get(c, F.lit(1)).cast("int")), F.lit(-1)), F.lit(0))
-    return out
+        last = F.try_element_at(F.transform(hits, lambda c: F.get(c, F.lit(1)).cast("int")), F.lit(-1))
+        return F.coalesce(last, F.lit(0))
+
+    return {name: counter(label) for name, label in COUNTERS.items()}
 
 
 def red_buttons(html: Column) -> Column:
@@ -126,8 +128,8 @@ def enclosing_functions(lines: DataFrame, functions: DataFrame, block: int = BLO
     """Functions of ``functions(file, name, args, start_line, end_line)`` that contain a line of ``lines(file, line)``.
 
     Both sides meet per file and block of lines, so a file with very many lines spreads over its blocks;
-    lines are distinct before the join. One row per file and start line, the last function winning,
-    with the number, first and last of its lines.
+    lines are distinct before the join. One row per file and start line, the last function winning, with
+    its lines in order: never more than the function is long.
     """
     marks = lines.select("file", F.col("line").cast("bigint").alias("line")).distinct()
     marks = marks.withColumn("_block", F.floor(F.col("line") / block))
@@ -142,7 +144,7 @@ def enclosing_functions(lines: DataFrame, functions: DataFrame, block: int = BLO
     inside = F.col("line").between(F.col("start_line"), F.col("end_line"))
     found = marks.join(spans, ["file", "_block"]).filter(inside)
     return found.groupBy("file", "start_line", *rest).agg(
-        F.count(F.lit(1)).alias("n_lines"), F.min("line").alias("first_line"), F.max("line").alias("last_line")
+        F.sort_array(F.collect_list("line")).alias("contains_lines")
     )
 
 
