@@ -200,9 +200,11 @@ def src11(spark, sf):
         "value",
     )
     wide = keyed.groupBy("comp").pivot("cell_key", ["click_0", "click_1", "view_0", "view_1"]).agg(
-        F.format_string("%.2f", F.max("value"))
+        F.max("value")
+    )
+    filled = wide.select(
+        "comp", *[F.when(F.col(c).isNotNull(), F.format_string("%.2f", c)).alias(c) for c in wide.columns if c != "comp"]
     )
-    filled = wide.select("comp", *[F.nullif(c, F.lit("null")).alias(c) for c in wide.columns if c != "comp"])
     return results.unpivot_sheet(filled, results.fill_right(["click", None, "view", ""]), ["EN", "FR", "EN", "FR"], ["comp"])
 
 

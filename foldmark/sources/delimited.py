@@ -13,6 +13,34 @@ from foldmark.functions.values import as_number, nan_to_null
 # fixed values: separators in the order they are tried
 SEPARATORS = (",", ";", "\t", "|", ":", " ")
 
+# fixed values: encodings that the CSV reader and writer take themselves
+NATIVE = {"utf8", "utf16", "utf16be", "utf16le", "utf32", "iso88591", "latin1", "usascii", "ascii"}
+
+
+def _native(encoding: str) -> bool:
+    return encoding.lower().replace("-", "").replace("_", "") in NATIVE
+
+
+def _code_page(encoding: str) -> tuple[str, str]:
+    """Upper halves of ISO-8859-1 and of another single-byte code page, character by character."""
+    latin, other = [], []
+    for byte in range(128, 256):
+        try:
+            char = bytes([byte]).decode(encoding)
+        except UnicodeDecodeError:
+            continue
+        if len(char) != 1:
+            raise ValueError(f"not a single-byte encoding: {encoding}")
+        latin.append(chr(byte))
+        other.append(char)
+    return "".join(latin), "".join(other)
+
+
+def _recode(df: DataFrame, source: str, target: str) -> DataFrame:
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    out = df.withColumns({c: F.translate(c, source, target) for c in texts})
+    return out.toDF(*[c.translate(str.maketrans(source, target)) for c in out.columns])
+
 
 def _marks(line: Column, sep: str) -> Column:
     """Separators in a line, not counting those inside quotes."""
@@ -26,11 +54,9 @@ def choose_separator(spark: SparkSession, path: str, encoding: str | None = None
     A separator the header does not hold reads the file as one column, and still wins if no line has
     one, as a plain reader would take it. One pass over the lines counts all separators.
     """
-    if encoding is None or encoding.lower().replace("-", "") == "utf8":
-        lines = spark.read.text(path).select(F.col("value").alias("line"))
-    else:
-        schema = T.StructType([T.StructField("line", T.StringType())])
-        lines = spark.read.csv(path, schema=schema, sep="\u0001", quote="", encoding=encoding)
+    schema = T.StructType([T.StructField("line", T.StringType())])
+    charset = encoding if encoding and _native(encoding) else "iso-8859-1" if encoding else "utf-8"
+    lines = spark.read.csv(path, schema=schema, sep="\u0001", quote="", encoding=charset)
     header = lines.limit(1).first()
     if header is None:
         return SEPARATORS[0]
@@ -64,9 +90,14 @@ def read_csv_smart(
 ) -> DataFrame:
     """Read a headed CSV; without ``sep`` it is chosen, without ``schema`` it is inferred.
 
+    A single-byte code page is read as ISO-8859-1 and translated.
     With a decimal mark other than '.', numeric columns of the schema are read as text and converted;
     what is no number becomes NULL. NaN becomes NULL.
     """
+    if not _native(encoding):
+        page = _code_page(encoding)
+        given = {"schema": schema, "sep": sep, "decimal": decimal}
+        return _recode(read_csv_smart(spark, path, encoding="iso-8859-1", **given, **options), *page)
     sep = sep or choose_separator(spark, path, encoding)
     reader = spark.read.options(header=True, sep=sep, encoding=encoding, escape='"', **options)
     if schema is None:
@@ -84,7 +115,10 @@ def read_csv_smart(
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", encoding: str = "utf-8") -> None:
-    """CSV folder with a header per part."""
+    """CSV folder with a header per part, in any encoding the reader takes."""
+    if not _native(encoding):
+        latin, other = _code_page(encoding)
+        df, encoding = _recode(df, other, latin), "iso-8859-1"
     df.write.options(header=True, sep=sep, encoding=encoding, escape='"').csv(path)
 
 
