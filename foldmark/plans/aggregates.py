@@ -122,14 +122,14 @@ def agg8(spark, sf):
     "AGG9_fold_mean",
     """WITH s AS (SELECT event_type, user_id % 5 AS fold, CASE WHEN event_type = 'error' OR user_id % 5 = 3 THEN NULL ELSE avg(value) END AS score
        FROM events GROUP BY 1, 2)
-       SELECT event_type, round(avg(score), 6) AS score, count(*) AS folds, count(score) AS valid_folds, count(score) > 0 AS success FROM s GROUP BY 1""",
+       SELECT event_type, round(avg(score), 9) AS score, count(*) AS folds, count(score) AS valid_folds, count(score) > 0 AS success FROM s GROUP BY 1""",
 )
 def agg9(spark, sf):
     fold = F.col("user_id") % 5
     failed = (F.col("event_type") == "error") | (F.col("fold") == 3)
     scores = table(spark, sf, "events").groupBy("event_type", fold.alias("fold")).agg(F.avg("value").alias("score"))
     scores = scores.withColumn("score", F.when(failed, F.lit(float("nan"))).otherwise(F.col("score")))
-    return agg.fold_mean(scores, ["event_type"]).withColumn("score", F.round("score", 6))
+    return agg.fold_mean(scores, ["event_type"]).withColumn("score", F.round("score", 9))
 
 
 @query(
@@ -144,12 +144,12 @@ def agg10(spark, sf):
 
 @query(
     "AGG11_mean_std",
-    """SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std_pop, round(stddev_samp(value), 6) AS std_samp
+    """SELECT event_type, round(avg(value), 9) AS mean, round(stddev_pop(value), 9) AS std_pop, round(stddev_samp(value), 9) AS std_samp
        FROM events GROUP BY 1""",
 )
 def agg11(spark, sf):
     out = agg.mean_std(table(spark, sf, "events"), ["event_type"], "value")
-    return out.withColumns({c: F.round(c, 6) for c in ("mean", "std_pop", "std_samp")})
+    return out.withColumns({c: F.round(c, 9) for c in ("mean", "std_pop", "std_samp")})
 
 
 @query(

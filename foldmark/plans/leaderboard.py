@@ -111,10 +111,10 @@ def lb4(spark, sf):
     return parsed_cells(spark, sf).select("event_id", lb.pass_fraction(F.col("ok"), F.col("total")).alias("fraction"))
 
 
-@query("LB5_relative_performance", RUNS + " SELECT comp, model, lang, runs, round(rp, 6) AS rp, round(rp_std, 5) AS rp_std FROM cells")
+@query("LB5_relative_performance", RUNS + " SELECT comp, model, lang, runs, round(rp, 9) AS rp, round(rp_std, 5) AS rp_std FROM cells")
 def lb5(spark, sf):
     out = lb.relative_performance(scored(spark, sf), CELL)
-    return out.withColumns({"rp": F.round("rp", 6), "rp_std": F.round("rp_std", 5)})
+    return out.withColumns({"rp": F.round("rp", 9), "rp_std": F.round("rp_std", 5)})
 
 
 @query(

@@ -396,7 +396,7 @@ def met24(spark, sf):
 @query(
     "MET25_direction",
     """WITH s AS (SELECT event_type, user_id % 4 AS model, avg(value) AS score FROM events GROUP BY 1, 2), b AS (SELECT event_type, avg(value) AS baseline FROM events GROUP BY 1)
-       SELECT event_type, model, round((score - baseline) * CASE WHEN event_type IN ('error', 'view') THEN -1 ELSE 1 END, 6) + 0.0 AS gain FROM s JOIN b USING (event_type)""",
+       SELECT event_type, model, round((score - baseline) * CASE WHEN event_type IN ('error', 'view') THEN -1 ELSE 1 END, 9) + 0.0 AS gain FROM s JOIN b USING (event_type)""",
 )
 def met25(spark, sf):
     df = table(spark, sf, "events")
@@ -404,4 +404,4 @@ def met25(spark, sf):
     base = df.groupBy("event_type").agg(F.avg("value").alias("baseline"))
     direction = F.when(F.col("event_type").isin("error", "view"), "minimize").otherwise("maximize")
     gain = registry.improvement(F.col("score"), F.col("baseline"), direction)
-    return scores.join(base, "event_type").select("event_type", "model", (F.round(gain, 6) + 0.0).alias("gain"))
+    return scores.join(base, "event_type").select("event_type", "model", (F.round(gain, 9) + 0.0).alias("gain"))

@@ -135,12 +135,12 @@ def mdl6(spark, sf):
     f"""WITH t AS (SELECT o_orderkey, o_custkey, o_totalprice, {draw('o_orderkey')} % 5 AS fold FROM orders),
        m AS (SELECT a.o_custkey, a.fold, avg(b.o_totalprice) AS m FROM (SELECT DISTINCT o_custkey, fold FROM t) a JOIN t b ON a.o_custkey = b.o_custkey AND a.fold <> b.fold GROUP BY 1, 2),
        g AS (SELECT a.fold, avg(b.o_totalprice) AS g FROM (SELECT DISTINCT fold FROM t) a JOIN t b ON a.fold <> b.fold GROUP BY 1)
-       SELECT o_orderkey, round(coalesce(m, g), 3) AS cust_mean FROM t LEFT JOIN m ON t.o_custkey = m.o_custkey AND t.fold = m.fold JOIN g ON t.fold = g.fold""",
+       SELECT o_orderkey, round(coalesce(m, g), 6) AS cust_mean FROM t LEFT JOIN m ON t.o_custkey = m.o_custkey AND t.fold = m.fold JOIN g ON t.fold = g.fold""",
 )
 def mdl6_mean(spark, sf):
     df = split.kfold(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), ["o_orderkey"], 5)
     out = models.oof_target_mean(df, "o_custkey", "o_totalprice", "fold", "cust_mean")
-    return out.select("o_orderkey", F.round("cust_mean", 3).alias("cust_mean"))
+    return out.select("o_orderkey", F.round("cust_mean", 6).alias("cust_mean"))
 
 
 def votes(spark, sf):
@@ -149,8 +149,8 @@ def votes(spark, sf):
     k = F.col("event_id")
     guesses = F.array(
         F.struct(F.lit("a").alias("model"), F.col("event_type").alias("prediction")),
-        F.struct(F.lit("b"), F.get(types, (k % 5).cast("int"))),
-        F.struct(F.lit("c"), F.get(types, (F.floor(k / 5) % 5).cast("int"))),
+        F.struct(F.lit("b").alias("model"), F.get(types, (k % 5).cast("int")).alias("prediction")),
+        F.struct(F.lit("c").alias("model"), F.get(types, (F.floor(k / 5) % 5).cast("int")).alias("prediction")),
     )
     return table(spark, sf, "events").select("event_id", F.explode(guesses).alias("g")).select("event_id", "g.*")
 
@@ -174,9 +174,9 @@ def mdl7_mean(spark, sf):
     v, k = F.col("value"), F.col("event_id")
     guesses = F.array(
         F.struct(F.lit("a").alias("model"), (v + 1).alias("prediction")),
-        F.struct(F.lit("b"), v + k % 7),
-        F.struct(F.lit("c"), v * 2),
-        F.struct(F.lit("d"), F.lit(50.0)),
+        F.struct(F.lit("b").alias("model"), (v + k % 7).alias("prediction")),
+        F.struct(F.lit("c").alias("model"), (v * 2).alias("prediction")),
+        F.struct(F.lit("d").alias("model"), F.lit(50.0).alias("prediction")),
     )
     long = table(spark, sf, "events").select("event_id", "value", F.explode(guesses).alias("g")).select("event_id", "value", "g.*")
     scores = registry.metric_named("root_mean_squared_error")(long, "value", "prediction", ["model"])
