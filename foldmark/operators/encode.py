@@ -25,7 +25,7 @@ def encode(df: DataFrame, dictionary: DataFrame, col: str, out: str, unknown: st
     joined = df.join(codes, F.col(col).cast("string") == F.col("_value"), "left")
     if unknown == "null":
         return joined.withColumn(out, F.col("_code")).drop("_value", "_code")
-    spare = dictionary.agg(F.coalesce(F.max("code") + 1, F.lit(0).cast("bigint")).alias("_spare"))
+    spare = codes.agg(F.coalesce(F.max("_code") + 1, F.lit(0).cast("bigint")).alias("_spare"))
     joined = joined.crossJoin(F.broadcast(spare))
     return joined.withColumn(out, F.coalesce("_code", "_spare")).drop("_value", "_code", "_spare")
 

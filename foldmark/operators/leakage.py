@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldmark.functions.text import base_name, first_part
+from foldmark.functions.vectors import let
 
 # fixed values: report markers
 DOCSTRING_END = '"""'
@@ -64,8 +65,8 @@ def _inner_text(html: Column) -> Column:
     return plain
 
 
-def leakage_counts(html: Column) -> dict[str, Column]:
-    """Counters of the summary table; 0 if a row is missing or holds no integer; the last row wins."""
+def leakage_counts(html: Column) -> Column:
+    """Struct of the summary table's counters; 0 if a row is missing or holds no integer, the last row wins."""
     rows = F.regexp_extract_all(F.regexp_extract(html, SUMMARY_TABLE, 1), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
     cells = F.transform(
         F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))),
@@ -74,9 +75,9 @@ def leakage_counts(html: Column) -> dict[str, Column]:
         ),
     )
 
-    def counter(label: str) -> Column:
+    def counter(table: Column, label: str) -> Column:
         hits = F.filter(
-            cells,
+            table,
             lambda c: (F.size(c) >= 2)
             & F.contains(F.get(c, F.lit(0)), F.lit(label))
             & F.get(c, F.lit(1)).rlike(r"^[+-]?\d+$"),
@@ -84,7 +85,7 @@ def leakage_counts(html: Column) -> dict[str, Column]:
         last = F.try_element_at(F.transform(hits, lambda c: F.get(c, F.lit(1)).cast("int")), F.lit(-1))
         return F.coalesce(last, F.lit(0))
 
-    return {name: counter(label) for name, label in COUNTERS.items()}
+    return let(cells, lambda t: F.struct(*[counter(t, label).alias(name) for name, label in COUNTERS.items()]))
 
 
 def red_buttons(html: Column) -> Column:
@@ -105,13 +106,14 @@ def button_lines(html: Column, call: str) -> Column:
 def parse_reports(reports: DataFrame, html: str = "html") -> DataFrame:
     """All HTML fields; they stay NULL for a report without a page."""
     page = F.col(html)
+    counted = reports.withColumn("_counts", F.when(page.isNotNull(), leakage_counts(page)))
     fields = {
-        **leakage_counts(page),
+        **{name: F.col(f"_counts.{name}") for name in COUNTERS},
         "highlight_lines": button_lines(page, "highlight_lines"),
         "mark_leak_lines": button_lines(page, "mark_leak_lines"),
         "warnings": red_buttons(page),
     }
-    return reports.withColumns({n: F.when(page.isNotNull(), c) for n, c in fields.items()})
+    return counted.withColumns({n: F.when(page.isNotNull(), c) for n, c in fields.items()}).drop("_counts")
 
 
 def pair_reports(py: DataFrame, html: DataFrame, path: str = "path") -> DataFrame:

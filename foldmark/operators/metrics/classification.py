@@ -150,7 +150,10 @@ def best_f1_threshold(df: DataFrame, truth: str, prob: str, by: Sequence[str] =
         .groupBy(*by, cell.alias("_cell"))
         .agg(F.sum(F.col(truth).cast("bigint")).alias("_p"), F.count(F.lit(1)).alias("_n"))
     )
-    empty = F.array(*[F.struct(F.lit(i).alias("c"), F.lit(0).cast("bigint").alias("p"), F.lit(0).cast("bigint").alias("n")) for i in range(GRID_SIZE)])
+    zero = F.lit(0).cast("bigint")
+    empty = F.transform(
+        F.sequence(F.lit(0), F.lit(GRID_SIZE - 1)), lambda i: F.struct(i.alias("c"), zero.alias("p"), zero.alias("n"))
+    )
     filled = counts.groupBy(*by).agg(
         F.collect_list(F.struct(F.col("_cell").alias("c"), F.col("_p").alias("p"), F.col("_n").alias("n"))).alias("_have")
     )  # at most 81 entries

@@ -12,6 +12,8 @@ from foldmark.operators.metrics.classification import accuracy, f1_binary, roc_a
 from foldmark.operators.ordering import Key, positions
 from foldmark.operators.windows import top_k
 
+BLOCK = 1_000_000  # positions of one user ranked in one piece
+
 
 def reciprocal_rank(ranked: Column, truth: Column, k: int | None = None) -> Column:
     """1 / position of the truth in the array, 0 if it is not there; ``k`` cuts the array first."""
@@ -76,7 +78,8 @@ def map_full_list(
     hits = placed.select(*keys, item, "_at").join(
         truth.select(*keys, item).distinct(), [*keys, item], "left_semi"
     )
-    numbered = positions(hits.select(*keys, "_at"), ["_at"], keys, "_nth").join(users, keys)
+    block = F.floor((F.col("_at") - 1) / BLOCK)  # positions are dense, so they slice themselves
+    numbered = positions(hits.select(*keys, "_at"), ["_at"], keys, "_nth", slice_by=block).join(users, keys)
     sums = numbered.filter(F.col("_nth") <= F.col("_n")).groupBy(*keys).agg(
         F.sum(F.col("_nth") / F.col("_at")).alias("_sum")
     )

@@ -88,6 +88,11 @@ def _cut(df: DataFrame, source: str, target: str, bounds: Sequence[float]) -> Da
     return cutter.transform(df)
 
 
+def _quantiles(df: DataFrame, name: str, probabilities: Sequence[float]) -> list[float]:
+    found = df.approxQuantile(name, list(probabilities), 1 / (4 * (len(probabilities) + 1)))
+    return [float(q) for q in found or [] if math.isfinite(q)]
+
+
 def with_slices(
     df: DataFrame,
     order: Sequence[str | Key],
@@ -106,16 +111,17 @@ def with_slices(
     n = slices or default_slices(df)
     probabilities = [i / n for i in range(1, n)]
     basis = keyed if bounds_from is None else bounds_from.withColumns(dict(zip(names, numbers)))
-    quantiles = basis.select(names).approxQuantile(names, probabilities, 1 / (4 * n))
-    first = [float(q) for q in quantiles[0] or [] if math.isfinite(q)]
+    basis = basis.select(names)
+    first = _quantiles(basis, "_k0", probabilities)
     repeats = {v: c for v, c in Counter(first).items() if c > 1}
     out = _cut(keyed, "_k0", "_s0", first)
     hot = F.col("_k0").isin(list(repeats)) if repeats else F.lit(False)
     hot = F.coalesce(hot, F.lit(False))
     main = F.col("_s0").cast("bigint") * 2 + F.when(hot, 0).otherwise(1)
     if repeats and len(names) > 1:
-        step = max(1, n // max(repeats.values()))
-        second = [float(q) for q in (quantiles[1] or [])[::step] if math.isfinite(q)]
+        pieces = max(repeats.values()) + 1
+        frequent = basis.filter(F.col("_k0").isin(list(repeats)))
+        second = _quantiles(frequent, "_k1", [i / pieces for i in range(1, pieces)])
         out = _cut(out, "_k1", "_s1", second)
         inner = F.when(hot, F.col("_s1").cast("bigint")).otherwise(F.lit(0).cast("bigint"))
         main = main * (len(set(second)) + 3) + inner

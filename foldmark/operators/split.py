@@ -61,10 +61,12 @@ def stratified_holdout(
     )
     same = [F.col(s) == F.col(f"_s{i}") for i, s in enumerate(strata)]
     at_cut = lean.join(small_side(cut_heads), same + [F.col("_head") == F.col("_cut_head")])
-    rank = Window.partitionBy(*strata).orderBy("_digest")
+    rank = stratum.orderBy("_digest").rowsBetween(Window.unboundedPreceding, 0)
     cuts = (
-        at_cut.withColumn("_row", F.row_number().over(rank))
-        .filter(F.col("_row") == F.col("_rest"))
+        at_cut.groupBy(*strata, "_digest", "_rest")  # copies of a key count as one entry
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_row", F.sum("_n").over(rank))
+        .filter((F.col("_row") >= F.col("_rest")) & (F.col("_row") - F.col("_n") < F.col("_rest")))
         .select(*[F.col(s).alias(f"_s{i}") for i, s in enumerate(strata)], F.col("_digest").alias("_cut"))
     )
     joined = drawn.join(small_side(cuts), same, "left")
@@ -90,12 +92,16 @@ def kfold(df: DataFrame, key: Sequence[str], k: int, seed: int = 42) -> DataFram
 def stratified_kfold(
     df: DataFrame, key: Sequence[str], strata: Sequence[str], k: int, seed: int = 42
 ) -> DataFrame:
-    """``kfold`` with the rows of each stratum dealt out in digest order."""
+    """``kfold`` with the keys of each stratum dealt out in digest order; copies of a key stay together."""
+    strata = list(strata)
     drawn = df.withColumn("_digest", row_digest(list(key), seed))
-    placed = positions(
-        drawn, ["_digest", *key], strata, "_p", slice_by=digest_head(F.col("_digest"), 3)
-    )
-    return placed.withColumn("fold", ((F.col("_p") - 1) % k).cast("int")).drop("_p", "_digest")
+    distinct = drawn.select(*[F.col(s).alias(f"_s{i}") for i, s in enumerate(strata)], F.col("_digest").alias("_d")).distinct()
+    by = [f"_s{i}" for i in range(len(strata))]
+    placed = positions(distinct, ["_d"], by, "_p", slice_by=digest_head(F.col("_d"), 3))
+    dealt = placed.withColumn("fold", ((F.col("_p") - 1) % k).cast("int"))
+    same = [F.col(s) == F.col(f"_s{i}") for i, s in enumerate(strata)]
+    joined = drawn.join(dealt, [*same, F.col("_digest") == F.col("_d")], "left")
+    return joined.select(*df.columns, "fold")
 
 
 def group_kfold(df: DataFrame, group: str, k: int, seed: int = 42, balanced: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldmark.functions.vectors import let
 from foldmark.operators.ordering import positions
 from foldmark.session import small_side
 
@@ -31,12 +32,15 @@ def tokens(col: Column, stop_words: Sequence[str] = ()) -> Column:
 
 def with_bigrams(words: Column) -> Column:
     """The words followed by all pairs of neighbours."""
-    pairs = F.zip_with(
-        F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))),
-        F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda a, b: F.concat(a, F.lit(" "), b),
-    )
-    return F.concat(words, pairs)
+
+    def extend(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        pairs = F.zip_with(
+            F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b)
+        )
+        return F.concat(w, pairs)
+
+    return let(words, extend)
 
 
 def char_ngrams(col: Column, low: int, high: int) -> Column:
@@ -53,8 +57,8 @@ def comma_tokens(col: Column) -> Column:
 
 
 def term_counts(df: DataFrame, doc: str, terms: Column) -> DataFrame:
-    """``doc``, ``term``, ``tf``. The text moves once, by document; counting then needs no shuffle."""
-    exploded = df.select(doc, terms.alias("_terms")).repartition(doc).select(doc, F.explode("_terms").alias("term"))
+    """``doc``, ``term``, ``tf``. The text moves once, by document; tokens are made and counted after it."""
+    exploded = df.repartition(doc).select(doc, F.explode(terms).alias("term"))
     return exploded.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

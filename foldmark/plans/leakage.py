@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from foldmark.operators import leakage as lk
 from foldmark.plans import query
+from foldmark.session import spread
 from foldmark.tables import table
 
 
@@ -64,9 +65,8 @@ def pages(spark, sf):
         ).otherwise(""),
         F.lit("</body></html>"),
     )
-    return table(spark, sf, "events").select(
-        "event_id", F.when(k % 11 != 0, html).alias("html")
-    )
+    events = spread(table(spark, sf, "events").select("event_id", "user_id", "event_type"), "event_id")
+    return events.select("event_id", F.when(k % 11 != 0, html).alias("html"))
 
 
 @query(
