@@ -39,10 +39,10 @@ def agg1(spark, sf):
 
 @query(
     "AGG2_frequency_table",
-    "SELECT event_type, count(*) AS n, round(count(*) / (SELECT count(*) FROM events), 6) AS share FROM events GROUP BY 1",
+    "SELECT event_type, count(*) AS n, round(count(*) / (SELECT count(*) FROM events), 9) AS share FROM events GROUP BY 1",
 )
 def agg2(spark, sf):
-    return agg.frequency_table(table(spark, sf, "events"), "event_type").withColumn("share", F.round("share", 6))
+    return agg.frequency_table(table(spark, sf, "events"), "event_type").withColumn("share", F.round("share", 9))
 
 
 @query(
@@ -78,7 +78,7 @@ def agg5(spark, sf):
 @query(
     "AGG6_correlations",
     " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, round(corr({c}, l_extendedprice), 6) AS correlation FROM lineitem"
+        f"SELECT '{c}' AS feature, round(corr({c}, l_extendedprice), 9) AS correlation FROM lineitem"
         for c in ("l_quantity", "l_discount", "l_tax", "l_linenumber")
     ),
 )
@@ -86,7 +86,7 @@ def agg6(spark, sf):
     out = agg.correlations(
         table(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
     )
-    return out.withColumn("correlation", F.round("correlation", 6))
+    return out.withColumn("correlation", F.round("correlation", 9))
 
 
 def scored_docs(spark, sf):
@@ -110,12 +110,12 @@ def agg7(spark, sf):
     RELABELLED
     + """, t AS (SELECT truth AS class, count(*) AS support FROM e GROUP BY 1), p AS (SELECT pred AS class, count(*) AS predicted FROM e GROUP BY 1),
        h AS (SELECT truth AS class, count(*) AS hits FROM e WHERE truth = pred GROUP BY 1)
-       SELECT class, round(hits / predicted, 6) AS precision, round(hits / support, 6) AS recall, round(2 * hits / (support + predicted), 6) AS f1,
-       support, round(hits / support, 6) AS accuracy FROM t JOIN p USING (class) JOIN h USING (class)""",
+       SELECT class, round(hits / predicted, 9) AS precision, round(hits / support, 9) AS recall, round(2 * hits / (support + predicted), 9) AS f1,
+       support, round(hits / support, 9) AS accuracy FROM t JOIN p USING (class) JOIN h USING (class)""",
 )
 def agg8(spark, sf):
     out = agg.class_report(relabelled(spark, sf), "truth", "pred")
-    return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1", "accuracy")})
+    return out.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1", "accuracy")})
 
 
 @query(

@@ -78,7 +78,7 @@ def parsed_cells(spark, sf):
 PARSED = """WITH p AS (SELECT event_id, [0, 0, 1, 2, 1, 3][event_id % 6 + 1] AS ok, [0, 1, 1, 3, 2, 4][event_id % 6 + 1] AS total FROM events)"""
 
 
-def rounded(df, digits=6, *cols):
+def rounded(df, digits=9, *cols):
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
 
@@ -95,15 +95,15 @@ def lb1(spark, sf):
 
 @query(
     "LB2_valid_run_rate",
-    RUNS + " SELECT comp, model, lang, count(score) AS valid_runs, round(count(score) / 3 * 100, 6) AS pass_rate FROM s GROUP BY 1, 2, 3",
+    RUNS + " SELECT comp, model, lang, count(score) AS valid_runs, round(count(score) / 3 * 100, 9) AS pass_rate FROM s GROUP BY 1, 2, 3",
 )
 def lb2(spark, sf):
-    return rounded(lb.valid_run_rate(runs(spark, sf), CELL), 6, "pass_rate")
+    return rounded(lb.valid_run_rate(runs(spark, sf), CELL), 9, "pass_rate")
 
 
-@query("LB3_pass_rate", PARSED + " SELECT event_id, ok, total, round(ok / greatest(3, total), 6) AS rate FROM p")
+@query("LB3_pass_rate", PARSED + " SELECT event_id, ok, total, round(ok / greatest(3, total), 9) AS rate FROM p")
 def lb3(spark, sf):
-    return parsed_cells(spark, sf).withColumn("rate", F.round(lb.pass_rate(F.col("ok"), F.col("total")), 6))
+    return parsed_cells(spark, sf).withColumn("rate", F.round(lb.pass_rate(F.col("ok"), F.col("total")), 9))
 
 
 @query("LB4_pass_fraction", PARSED + " SELECT event_id, ok || '/' || greatest(3, total) AS fraction FROM p")
@@ -120,12 +120,12 @@ def lb5(spark, sf):
 @query(
     "LB6_profile",
     RUNS
-    + """, g AS (SELECT unnest(range(101)) * 0.01::DOUBLE AS tau) SELECT model, round(tau, 2) AS tau, round(avg(CAST(rp <= tau AS INT)), 6) AS rho
+    + """, g AS (SELECT unnest(range(101)) * 0.01::DOUBLE AS tau) SELECT model, round(tau, 2) AS tau, round(avg(CAST(rp <= tau AS INT)), 9) AS rho
        FROM cells, g GROUP BY 1, 2""",
 )
 def lb6(spark, sf):
     out = lb.profile(cells(spark, sf), ["model"], points=101)
-    return out.withColumns({"tau": F.round("tau", 2), "rho": F.round("rho", 6)})
+    return out.withColumns({"tau": F.round("tau", 2), "rho": F.round("rho", 9)})
 
 
 @query(
@@ -135,22 +135,22 @@ def lb6(spark, sf):
        q AS (SELECT model, lang, tau, w, avg(CAST(rp <= tau AS INT)) AS rho FROM cells, w GROUP BY 1, 2, 3, 4),
        a AS (SELECT model, lang, sum(w * rho) AS grid FROM q GROUP BY 1, 2),
        e AS (SELECT model, lang, avg(greatest(0, 1 - greatest(rp, 0))) AS exact FROM cells GROUP BY 1, 2)
-       SELECT a.model, a.lang, round(grid, 6) AS grid, round(exact, 6) AS exact FROM a JOIN e ON a.model = e.model AND a.lang = e.lang""",
+       SELECT a.model, a.lang, round(grid, 9) AS grid, round(exact, 9) AS exact FROM a JOIN e ON a.model = e.model AND a.lang = e.lang""",
 )
 def lb7(spark, sf):
     terms = lb.area_terms(F.col("rp"))
     return cells(spark, sf).groupBy("model", "lang").agg(
-        F.round(F.avg(terms["AUP_std_grid"]), 6).alias("grid"), F.round(F.avg(terms["AUP_std"]), 6).alias("exact")
+        F.round(F.avg(terms["AUP_std_grid"]), 9).alias("grid"), F.round(F.avg(terms["AUP_std"]), 9).alias("exact")
     )
 
 
 @query(
     "LB8_aup_ln",
     RUNS
-    + """ SELECT model, lang, round(avg(CASE WHEN rp <= 0 THEN 1 WHEN rp < 1 THEN 1 - rp + rp * ln(rp) ELSE 0 END), 6) AS "AUP_ln" FROM cells GROUP BY 1, 2""",
+    + """ SELECT model, lang, round(avg(CASE WHEN rp <= 0 THEN 1 WHEN rp < 1 THEN 1 - rp + rp * ln(rp) ELSE 0 END), 9) AS "AUP_ln" FROM cells GROUP BY 1, 2""",
 )
 def lb8(spark, sf):
-    return rounded(lb.profile_area(cells(spark, sf), ["model", "lang"], "AUP_ln"), 6, "AUP_ln")
+    return rounded(lb.profile_area(cells(spark, sf), ["model", "lang"], "AUP_ln"), 9, "AUP_ln")
 
 
 @query(
@@ -159,19 +159,19 @@ def lb8(spark, sf):
     + """, g AS (SELECT unnest(range(1000)) AS i), t AS (SELECT i, CASE WHEN i = 999 THEN 1 - 1e-8::DOUBLE ELSE 1e-8::DOUBLE + i * ((1 - 2 * 1e-8::DOUBLE) / 999) END AS tau FROM g),
        w AS (SELECT tau, -1 / ln(tau) * CASE WHEN i IN (0, 999) THEN 0.5 ELSE 1 END AS w FROM t),
        q AS (SELECT model, tau, w, avg(CAST(rp <= tau AS INT)) AS rho FROM cells, w GROUP BY 1, 2, 3)
-       SELECT model, round(sum(w * rho) / sum(w), 6) AS "AUP_invln" FROM q GROUP BY 1""",
+       SELECT model, round(sum(w * rho) / sum(w), 9) AS "AUP_invln" FROM q GROUP BY 1""",
 )
 def lb9(spark, sf):
-    return rounded(lb.profile_area(cells(spark, sf), ["model"], "AUP_invln"), 6, "AUP_invln")
+    return rounded(lb.profile_area(cells(spark, sf), ["model"], "AUP_invln"), 9, "AUP_invln")
 
 
-_RATES = "round(avg(CAST(rp <= 1 AS INT)) * 100, 6) AS win_rate, round(avg(CAST(rp > 1 AS INT)) * 100, 6) AS beats_baseline_rate"
+_RATES = "round(avg(CAST(rp <= 1 AS INT)) * 100, 9) AS win_rate, round(avg(CAST(rp > 1 AS INT)) * 100, 9) AS beats_baseline_rate"
 
 
 @query("LB10_win_rate", RUNS + f" SELECT model, lang, {_RATES} FROM cells GROUP BY 1, 2")
 def lb10(spark, sf):
     out = lb.summary(cells(spark, sf), ["model", "lang"])
-    return rounded(out, 6, "win_rate", "beats_baseline_rate").select("model", "lang", "win_rate", "beats_baseline_rate")
+    return rounded(out, 9, "win_rate", "beats_baseline_rate").select("model", "lang", "win_rate", "beats_baseline_rate")
 
 
 _PER_LANG = """, l AS (SELECT model, lang, avg(greatest(0, 1 - greatest(rp, 0))) AS aup, avg(rate) AS pass_rate FROM cells GROUP BY 1, 2),
@@ -183,10 +183,10 @@ def averaged(spark, sf):
     return lb.with_average_row(per_lang, ["model"])
 
 
-@query("LB11_average_row", RUNS + _PER_LANG + " SELECT model, lang, round(aup, 6) AS aup, round(pass_rate, 6) AS pass_rate FROM a")
+@query("LB11_average_row", RUNS + _PER_LANG + " SELECT model, lang, round(aup, 9) AS aup, round(pass_rate, 9) AS pass_rate FROM a")
 def lb11(spark, sf):
     return averaged(spark, sf).select(
-        "model", "lang", F.round("AUP_std", 6).alias("aup"), F.round("pass_rate", 6).alias("pass_rate")
+        "model", "lang", F.round("AUP_std", 9).alias("aup"), F.round("pass_rate", 9).alias("pass_rate")
     )
 
 
@@ -198,17 +198,17 @@ def lb12(spark, sf):
 @query(
     "LB13_gap_vs_english",
     RUNS
-    + """ SELECT c.comp, c.model, c.lang, round(c.rate - e.rate, 6) + 0.0 AS gap FROM cells c
+    + """ SELECT c.comp, c.model, c.lang, round(c.rate - e.rate, 9) + 0.0 AS gap FROM cells c
        LEFT JOIN (SELECT * FROM cells WHERE lang = 'EN') e ON c.comp = e.comp AND c.model = e.model WHERE c.lang <> 'EN'""",
 )
 def lb13(spark, sf):
     out = lb.gap_to(cells(spark, sf).select(*CELL, "rate"), ["comp", "model"], "lang", "rate")
-    return out.withColumn("gap", F.round("gap", 6) + 0.0)
+    return out.withColumn("gap", F.round("gap", 9) + 0.0)
 
 
-@query("LB14_language_stats", RUNS + " SELECT model, lang, round(avg(rate), 6) AS mean, round(stddev_samp(rate), 6) AS std FROM cells GROUP BY 1, 2")
+@query("LB14_language_stats", RUNS + " SELECT model, lang, round(avg(rate), 9) AS mean, round(stddev_samp(rate), 9) AS std FROM cells GROUP BY 1, 2")
 def lb14(spark, sf):
-    return rounded(lb.language_stats(cells(spark, sf), ["model"], "lang", "rate"), 6, "mean", "std")
+    return rounded(lb.language_stats(cells(spark, sf), ["model"], "lang", "rate"), 9, "mean", "std")
 
 
 @query(
@@ -216,10 +216,10 @@ def lb14(spark, sf):
     RUNS
     + """, l AS (SELECT model, lang, avg(rate) AS m FROM cells GROUP BY 1, 2),
        t AS (SELECT model, m, CASE WHEN lang IN ('EN','FR','ES','IT','ZH') THEN 'high' WHEN lang IN ('RO','KK','BE') THEN 'low' ELSE 'medium' END AS resource_group FROM l
-             UNION ALL SELECT model, m, 'all' FROM l) SELECT model, resource_group, round(avg(m), 6) AS mean_rate FROM t GROUP BY 1, 2""",
+             UNION ALL SELECT model, m, 'all' FROM l) SELECT model, resource_group, round(avg(m), 9) AS mean_rate FROM t GROUP BY 1, 2""",
 )
 def lb15(spark, sf):
-    return rounded(lb.group_means(cells(spark, sf), ["model"], "lang", "rate"), 6, "mean_rate")
+    return rounded(lb.group_means(cells(spark, sf), ["model"], "lang", "rate"), 9, "mean_rate")
 
 
 @query(

@@ -145,9 +145,9 @@ REPORTS = """WITH r AS (SELECT o_orderkey, 'm' || (o_custkey % 4) AS model, o_or
   FROM orders WHERE o_orderkey % 10 <> 0), f AS (SELECT *, n_funcs = 1 AND (n_args = 1 OR name = 'train') AS fp FROM r) """
 
 
-@query("LK6_leakage_rate", REPORTS + "SELECT model, count(*) AS files, count(*) FILTER (leak <> 0) AS leaking, round(count(*) FILTER (leak <> 0) / count(*), 6) AS rate FROM r GROUP BY 1")
+@query("LK6_leakage_rate", REPORTS + "SELECT model, count(*) AS files, count(*) FILTER (leak <> 0) AS leaking, round(count(*) FILTER (leak <> 0) / count(*), 9) AS rate FROM r GROUP BY 1")
 def lk6(spark, sf):
-    return lk.leakage_rate(lk.with_model(reports(spark, sf)), ["model"]).withColumn("rate", F.round("rate", 6))
+    return lk.leakage_rate(lk.with_model(reports(spark, sf)), ["model"]).withColumn("rate", F.round("rate", 9))
 
 
 @query(
@@ -174,12 +174,12 @@ def lk8(spark, sf):
     "LK9_corrected_rate",
     REPORTS
     + """SELECT model, count(*) AS files, count(*) FILTER (leak <> 0) AS leaking, count(*) FILTER (fp) AS false_positives,
-       count(*) FILTER (leak <> 0) - count(*) FILTER (fp) AS remaining, round((count(*) FILTER (leak <> 0) - count(*) FILTER (fp)) / count(*), 6) AS rate,
-       round(count(*) FILTER (fp) / count(*) FILTER (leak <> 0), 6) AS false_positive_rate FROM f GROUP BY 1""",
+       count(*) FILTER (leak <> 0) - count(*) FILTER (fp) AS remaining, round((count(*) FILTER (leak <> 0) - count(*) FILTER (fp)) / count(*), 9) AS rate,
+       round(count(*) FILTER (fp) / count(*) FILTER (leak <> 0), 9) AS false_positive_rate FROM f GROUP BY 1""",
 )
 def lk9(spark, sf):
     out = lk.corrected_rate(lk.function_signatures(lk.with_model(reports(spark, sf))), ["model"])
-    return out.withColumns({c: F.round(c, 6) for c in ("rate", "false_positive_rate")})
+    return out.withColumns({c: F.round(c, 9) for c in ("rate", "false_positive_rate")})
 
 
 @query("LK9_remaining_rows", REPORTS + "SELECT model, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM f WHERE leak <> 0 AND NOT fp GROUP BY 1")

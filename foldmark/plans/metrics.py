@@ -15,8 +15,8 @@ from foldmark.plans.splits import LIMIT, draw
 from foldmark.tables import table
 
 
-def six(df, *cols):
-    return df.withColumns({x: F.round(x, 6) for x in cols or ("score",)})
+def nine(df, *cols):
+    return df.withColumns({x: F.round(x, 9) for x in cols or ("score",)})
 
 
 AUC = """CASE WHEN count(*) FILTER ({y} = 1) > 0 AND count(*) FILTER ({y} = 0) > 0 THEN
@@ -27,7 +27,7 @@ _ENTRY = f"""WITH t AS (SELECT d.doc_id, lang, n_chars, quality FROM documents d
   x AS (SELECT lang, n_chars, quality FROM t UNION ALL SELECT 'all', n_chars, quality FROM t),
   k AS (SELECT lang, quality, rank() OVER w + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0 AS avg_rank FROM x
         WINDOW w AS (PARTITION BY lang ORDER BY n_chars))
-  SELECT lang, round({AUC.format(y='quality')}, 6) AS score, count(*) AS n FROM k GROUP BY 1"""
+  SELECT lang, round({AUC.format(y='quality')}, 9) AS score, count(*) AS n FROM k GROUP BY 1"""
 
 
 @query("ENTRY_holdout_auc_report", _ENTRY)
@@ -39,41 +39,41 @@ def entry_report(spark, sf):
     both = held.withColumn("lang", F.explode(F.array("lang", F.lit("all"))))
     scores = c.roc_auc(both, "quality", "n_chars", ["lang"])
     sizes = both.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    return six(scores.join(sizes, "lang").select("lang", "score", "n"))
+    return nine(scores.join(sizes, "lang").select("lang", "score", "n"))
 
 
-@query("MET1_accuracy", RELABELLED + " SELECT user_id, round(avg(CAST(truth = pred AS INT)), 6) AS score FROM e GROUP BY 1")
+@query("MET1_accuracy", RELABELLED + " SELECT user_id, round(avg(CAST(truth = pred AS INT)), 9) AS score FROM e GROUP BY 1")
 def met1(spark, sf):
-    return six(c.accuracy(relabelled(spark, sf), "truth", "pred", ["user_id"]))
+    return nine(c.accuracy(relabelled(spark, sf), "truth", "pred", ["user_id"]))
 
 
 @query(
     "MET2_roc_auc",
     f"""WITH k AS (SELECT lang, quality, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0 AS avg_rank
-       FROM documents JOIN labels USING (doc_id)) SELECT lang, round({AUC.format(y='quality')}, 6) AS score FROM k GROUP BY 1""",
+       FROM documents JOIN labels USING (doc_id)) SELECT lang, round({AUC.format(y='quality')}, 9) AS score FROM k GROUP BY 1""",
 )
 def met2(spark, sf):
-    return six(c.roc_auc(scored_docs(spark, sf), "quality", "n_chars", ["lang"]))
+    return nine(c.roc_auc(scored_docs(spark, sf), "quality", "n_chars", ["lang"]))
 
 
 @query(
     "MET2_roc_auc_pooled",
     f"""WITH t AS (SELECT l_quantity AS s, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y FROM lineitem),
        k AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS avg_rank FROM t)
-       SELECT round({AUC.format(y='y')}, 6) AS score FROM k""",
+       SELECT round({AUC.format(y='y')}, 9) AS score FROM k""",
 )
 def met2_pooled(spark, sf):
     df = table(spark, sf, "lineitem").select("l_quantity", (F.col("l_returnflag") == "R").cast("int").alias("y"))
-    return six(c.roc_auc(df, "y", "l_quantity"))
+    return nine(c.roc_auc(df, "y", "l_quantity"))
 
 
 @query(
     "MET3_f1_binary",
-    """SELECT lang, round(2.0 * count(*) FILTER (n_chars > 1500 AND quality = 1) / (count(*) FILTER (n_chars > 1500) + count(*) FILTER (quality = 1)), 6) AS score
+    """SELECT lang, round(2.0 * count(*) FILTER (n_chars > 1500 AND quality = 1) / (count(*) FILTER (n_chars > 1500) + count(*) FILTER (quality = 1)), 9) AS score
        FROM documents JOIN labels USING (doc_id) GROUP BY 1""",
 )
 def met3(spark, sf):
-    return six(c.f1_binary(scored_docs(spark, sf), "quality", "guess", ["lang"]))
+    return nine(c.f1_binary(scored_docs(spark, sf), "quality", "guess", ["lang"]))
 
 
 _CLASSES = (
@@ -88,56 +88,56 @@ def folded(spark, sf):
     return relabelled(spark, sf).withColumn("fold", F.col("event_id") % 4)
 
 
-@query("MET4_f1_macro", _CLASSES + "SELECT fold, round(avg(2.0 * h / (t + p)), 6) AS score FROM k GROUP BY 1")
+@query("MET4_f1_macro", _CLASSES + "SELECT fold, round(avg(2.0 * h / (t + p)), 9) AS score FROM k GROUP BY 1")
 def met4(spark, sf):
-    return six(c.f1_macro(folded(spark, sf), "truth", "pred", ["fold"]))
+    return nine(c.f1_macro(folded(spark, sf), "truth", "pred", ["fold"]))
 
 
-@query("MET4_f1_weighted", _CLASSES + "SELECT fold, round(sum(2.0 * h / (t + p) * t) / sum(t), 6) AS score FROM k GROUP BY 1")
+@query("MET4_f1_weighted", _CLASSES + "SELECT fold, round(sum(2.0 * h / (t + p) * t) / sum(t), 9) AS score FROM k GROUP BY 1")
 def met4_weighted(spark, sf):
-    return six(c.f1_weighted(folded(spark, sf), "truth", "pred", ["fold"]))
+    return nine(c.f1_weighted(folded(spark, sf), "truth", "pred", ["fold"]))
 
 
-@query("MET5_precision_macro", _CLASSES + "SELECT fold, round(avg(CASE WHEN p > 0 THEN h / p ELSE 0 END), 6) AS score FROM k GROUP BY 1")
+@query("MET5_precision_macro", _CLASSES + "SELECT fold, round(avg(CASE WHEN p > 0 THEN h / p ELSE 0 END), 9) AS score FROM k GROUP BY 1")
 def met5_precision(spark, sf):
-    return six(c.precision_macro(folded(spark, sf), "truth", "pred", ["fold"]))
+    return nine(c.precision_macro(folded(spark, sf), "truth", "pred", ["fold"]))
 
 
-@query("MET5_recall_macro", _CLASSES + "SELECT fold, round(avg(CASE WHEN t > 0 THEN h / t ELSE 0 END), 6) AS score FROM k GROUP BY 1")
+@query("MET5_recall_macro", _CLASSES + "SELECT fold, round(avg(CASE WHEN t > 0 THEN h / t ELSE 0 END), 9) AS score FROM k GROUP BY 1")
 def met5_recall(spark, sf):
-    return six(c.recall_macro(folded(spark, sf), "truth", "pred", ["fold"]))
+    return nine(c.recall_macro(folded(spark, sf), "truth", "pred", ["fold"]))
 
 
-@query("MET6_balanced_accuracy", _CLASSES + "SELECT fold, round(avg(h / t) FILTER (t > 0), 6) AS score FROM k GROUP BY 1")
+@query("MET6_balanced_accuracy", _CLASSES + "SELECT fold, round(avg(h / t) FILTER (t > 0), 9) AS score FROM k GROUP BY 1")
 def met6(spark, sf):
-    return six(c.balanced_accuracy(folded(spark, sf), "truth", "pred", ["fold"]))
+    return nine(c.balanced_accuracy(folded(spark, sf), "truth", "pred", ["fold"]))
 
 
 @query(
     "MET7_matthews",
     _CLASSES
-    + """SELECT fold, round((sum(h) * sum(t) - sum(p * t)) / sqrt((CAST(sum(t) AS DOUBLE) ** 2 - sum(p * p)) * (CAST(sum(t) AS DOUBLE) ** 2 - sum(t * t))), 6) AS score
+    + """SELECT fold, round((sum(h) * sum(t) - sum(p * t)) / sqrt((CAST(sum(t) AS DOUBLE) ** 2 - sum(p * p)) * (CAST(sum(t) AS DOUBLE) ** 2 - sum(t * t))), 9) AS score
        FROM k GROUP BY 1""",
 )
 def met7(spark, sf):
-    return six(c.matthews(folded(spark, sf), "truth", "pred", ["fold"]))
+    return nine(c.matthews(folded(spark, sf), "truth", "pred", ["fold"]))
 
 
 @query(
     "MET8_log_loss",
     """WITH t AS (SELECT lang, quality, n_chars / (n_chars + 800.0) AS p FROM documents JOIN labels USING (doc_id))
-       SELECT lang, round(avg(-ln(CASE WHEN quality = 1 THEN p ELSE 1 - p END)), 6) AS score, 0 AS bad_rows FROM t GROUP BY 1""",
+       SELECT lang, round(avg(-ln(CASE WHEN quality = 1 THEN p ELSE 1 - p END)), 9) AS score, 0 AS bad_rows FROM t GROUP BY 1""",
 )
 def met8(spark, sf):
     df = scored_docs(spark, sf).withColumn("p", F.col("n_chars") / (F.col("n_chars") + 800.0))
-    return six(c.log_loss(df, "quality", "p", ["lang"]))
+    return nine(c.log_loss(df, "quality", "p", ["lang"]))
 
 
 @query(
     "MET8_log_loss_multiclass",
     """WITH t AS (SELECT event_type AS y, CASE event_id % 3 WHEN 0 THEN [0.5, 0.2, 0.1, 0.1, 0.1] WHEN 1 THEN [0.1, 0.3, 0.2, 0.2, 0.2] ELSE [0.0, 0.25, 0.25, 0.25, 0.25] END AS p FROM events),
        q AS (SELECT p[list_position(['click','error','purchase','signup','view'], y)] AS x FROM t)
-       SELECT round(avg(-ln(least(greatest(x, 2.220446049250313e-16), 1 - 2.220446049250313e-16))), 6) AS score, 0 AS bad_rows FROM q""",
+       SELECT round(avg(-ln(least(greatest(x, 2.220446049250313e-16), 1 - 2.220446049250313e-16))), 9) AS score, 0 AS bad_rows FROM q""",
 )
 def met8_multiclass(spark, sf):
     def vector(*xs):
@@ -150,7 +150,7 @@ def met8_multiclass(spark, sf):
         .otherwise(vector(0.0, 0.25, 0.25, 0.25, 0.25))
     )
     df = table(spark, sf, "events").select("event_type", prob.alias("p"))
-    return six(c.log_loss(df, "event_type", "p", classes=["click", "error", "purchase", "signup", "view"]))
+    return nine(c.log_loss(df, "event_type", "p", classes=["click", "error", "purchase", "signup", "view"]))
 
 
 def priced(spark, sf):
@@ -182,27 +182,27 @@ def met9_mae(spark, sf):
     return reg.mae(priced(spark, sf), "y", "p", ["l_returnflag"]).withColumn("score", F.round("score", 4))
 
 
-@query("MET10_r2", PRICED + "SELECT l_returnflag, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS score FROM t GROUP BY 1")
+@query("MET10_r2", PRICED + "SELECT l_returnflag, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 9) AS score FROM t GROUP BY 1")
 def met10(spark, sf):
-    return six(reg.r2(priced(spark, sf), "y", "p", ["l_returnflag"]))
+    return nine(reg.r2(priced(spark, sf), "y", "p", ["l_returnflag"]))
 
 
 @query(
     "MET11_rmsle_multitarget",
     PRICED
-    + """SELECT l_returnflag, round((sqrt(avg((ln(1 + y) - ln(1 + p)) ** 2)) + sqrt(avg((ln(1 + y2) - ln(1 + p2)) ** 2)) + sqrt(avg((ln(1 + y3) - ln(1 + p3)) ** 2))) / 3, 6) AS score
+    + """SELECT l_returnflag, round((sqrt(avg((ln(1 + y) - ln(1 + p)) ** 2)) + sqrt(avg((ln(1 + y2) - ln(1 + p2)) ** 2)) + sqrt(avg((ln(1 + y3) - ln(1 + p3)) ** 2))) / 3, 9) AS score
        FROM t GROUP BY 1""",
 )
 def met11(spark, sf):
-    return six(reg.rmsle_multitarget(priced(spark, sf), ["y", "y2", "y3"], ["p", "p2", "p3"], ["l_returnflag"]))
+    return nine(reg.rmsle_multitarget(priced(spark, sf), ["y", "y2", "y3"], ["p", "p2", "p3"], ["l_returnflag"]))
 
 
 @query(
     "MET12_rmse_multitarget",
-    PRICED + "SELECT l_returnflag, round((sqrt(avg((y2 - p2) ** 2)) + sqrt(avg((y3 - p3) ** 2))) / 2, 6) AS score FROM t GROUP BY 1",
+    PRICED + "SELECT l_returnflag, round((sqrt(avg((y2 - p2) ** 2)) + sqrt(avg((y3 - p3) ** 2))) / 2, 9) AS score FROM t GROUP BY 1",
 )
 def met12(spark, sf):
-    return six(reg.rmse_multitarget(priced(spark, sf), ["y2", "y3"], ["p2", "p3"], ["l_returnflag"]))
+    return nine(reg.rmse_multitarget(priced(spark, sf), ["y2", "y3"], ["p2", "p3"], ["l_returnflag"]))
 
 
 @query("MET13_wmae", PRICED + "SELECT l_returnflag, round(avg(w * abs(y - p)), 2) AS score FROM t GROUP BY 1")
@@ -213,12 +213,12 @@ def met13(spark, sf):
 @query(
     "MET14_reciprocal_rank",
     """WITH t AS (SELECT user_id, CASE event_type WHEN 'view' THEN 1.0 WHEN 'click' THEN 0.5 WHEN 'purchase' THEN 1 / 3.0 ELSE 0 END AS r FROM events)
-       SELECT user_id, round(avg(r), 6) AS score FROM t GROUP BY 1""",
+       SELECT user_id, round(avg(r), 9) AS score FROM t GROUP BY 1""",
 )
 def met14(spark, sf):
     ranked = F.array(F.lit("view"), F.lit("click"), F.lit("purchase"))
     df = table(spark, sf, "events").select("user_id", "event_type", ranked.alias("ranked"))
-    return six(ranking.mean_reciprocal_rank(df, "event_type", "ranked", ["user_id"], k=2))
+    return nine(ranking.mean_reciprocal_rank(df, "event_type", "ranked", ["user_id"], k=2))
 
 
 _INTERACTIONS = """WITH truth AS (SELECT user_id, day(ts) AS item FROM events WHERE value > 150),
@@ -245,22 +245,22 @@ ORDER = ["-score", "item"]
 @query(
     "MET15_map_at_k",
     _INTERACTIONS.format(cut="place <= 10")
-    + """SELECT round(avg(coalesce(s, 0) / n), 6) AS score FROM n LEFT JOIN (SELECT user_id, sum(nth / place) AS s FROM h GROUP BY 1) USING (user_id)""",
+    + """SELECT round(avg(coalesce(s, 0) / n), 9) AS score FROM n LEFT JOIN (SELECT user_id, sum(nth / place) AS s FROM h GROUP BY 1) USING (user_id)""",
 )
 def met15(spark, sf):
     truth, pred = interactions(spark, sf)
-    return six(ranking.map_at_k(truth, pred, "user_id", "item", ORDER, k=10))
+    return nine(ranking.map_at_k(truth, pred, "user_id", "item", ORDER, k=10))
 
 
 @query(
     "MET16_map_full_list",
     _INTERACTIONS.format(cut="true")
-    + """SELECT round(avg(coalesce(s, 0) / n), 6) AS score FROM (SELECT * FROM n WHERE user_id IN (SELECT user_id FROM pred)) n
+    + """SELECT round(avg(coalesce(s, 0) / n), 9) AS score FROM (SELECT * FROM n WHERE user_id IN (SELECT user_id FROM pred)) n
        LEFT JOIN (SELECT user_id, sum(nth / place) AS s FROM h JOIN n USING (user_id) WHERE nth <= n GROUP BY 1) USING (user_id)""",
 )
 def met16(spark, sf):
     truth, pred = interactions(spark, sf)
-    return six(ranking.map_full_list(truth, pred, "user_id", "item", ORDER))
+    return nine(ranking.map_full_list(truth, pred, "user_id", "item", ORDER))
 
 
 @query(
@@ -272,24 +272,24 @@ def met16(spark, sf):
        f AS (SELECT user_id, item, min(place) AS place FROM r WHERE place <= 100 GROUP BY 1, 2),
        h AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY place) AS nth FROM f WHERE (user_id, item) IN (SELECT (user_id, item) FROM truth)),
        s AS (SELECT user_id, sum(nth / place) AS s FROM h GROUP BY 1)
-       SELECT round(avg(coalesce(s / n, 0)), 6) AS score FROM (SELECT DISTINCT user_id FROM pred) LEFT JOIN n USING (user_id) LEFT JOIN s USING (user_id)""",
+       SELECT round(avg(coalesce(s / n, 0)), 9) AS score FROM (SELECT DISTINCT user_id FROM pred) LEFT JOIN n USING (user_id) LEFT JOIN s USING (user_id)""",
 )
 def met17(spark, sf):
     df = table(spark, sf, "events").withColumn("item", F.dayofmonth("ts"))
     truth = df.filter("value > 250").select("user_id", "item")
     pred = df.select("user_id", "item", "event_id", (F.col("value") % 7).alias("score"))
-    return six(ranking.map_distinct(truth, pred, "user_id", "item", ["-score", "event_id"]))
+    return nine(ranking.map_distinct(truth, pred, "user_id", "item", ["-score", "event_id"]))
 
 
 @query(
     "MET18_map3_probabilities",
     """WITH e AS (SELECT vec_id, label, unnest(embedding[1:10]) AS x, generate_subscripts(embedding[1:10], 1) - 1 AS i FROM embeddings),
        r AS (SELECT vec_id, label, i, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS rn FROM e)
-       SELECT round(sum(CASE WHEN i = label AND rn <= 3 THEN 1.0 / rn ELSE 0 END) / count(DISTINCT vec_id), 6) AS score FROM r""",
+       SELECT round(sum(CASE WHEN i = label AND rn <= 3 THEN 1.0 / rn ELSE 0 END) / count(DISTINCT vec_id), 9) AS score FROM r""",
 )
 def met18(spark, sf):
     df = table(spark, sf, "embeddings").select("label", F.slice("embedding", 1, 10).alias("p"))
-    return six(ranking.map3_from_probabilities(df, "label", "p"))
+    return nine(ranking.map3_from_probabilities(df, "label", "p"))
 
 
 _BINARY = """WITH truth AS (SELECT user_id, day(ts) AS item, CAST(max(value) > 100 AS INT) AS liked FROM events GROUP BY 1, 2),
@@ -307,22 +307,22 @@ def binary_frames(spark, sf):
 
 @query(
     "MET19_ranking_as_binary",
-    _BINARY + "SELECT round(avg(CAST(liked = call AS INT)), 6) AS score FROM m",
+    _BINARY + "SELECT round(avg(CAST(liked = call AS INT)), 9) AS score FROM m",
 )
 def met19(spark, sf):
     truth, pred = binary_frames(spark, sf)
-    return six(ranking.ranking_as_binary(truth, pred, "user_id", "item", "liked", score="score"))
+    return nine(ranking.ranking_as_binary(truth, pred, "user_id", "item", "liked", score="score"))
 
 
 @query(
     "MET19_ranking_as_binary_auc",
     _BINARY
     + f""", k AS (SELECT liked, rank() OVER (ORDER BY call) + (count(*) OVER (PARTITION BY call) - 1) / 2.0 AS avg_rank FROM m)
-       SELECT round({AUC.format(y='liked')}, 6) AS score FROM k""",
+       SELECT round({AUC.format(y='liked')}, 9) AS score FROM k""",
 )
 def met19_auc(spark, sf):
     truth, pred = binary_frames(spark, sf)
-    return six(ranking.ranking_as_binary(truth, pred, "user_id", "item", "liked", "roc_auc_score", score="score"))
+    return nine(ranking.ranking_as_binary(truth, pred, "user_id", "item", "liked", "roc_auc_score", score="score"))
 
 
 def labelled_orders(spark, sf):
@@ -344,14 +344,14 @@ _LABELLED = """WITH t AS (SELECT o_orderkey, [o_orderstatus, o_orderpriority] AS
   s AS (SELECT len(a) AS na, len(b) AS nb, len(list_intersect(a, b)) AS h FROM t) """
 
 
-@query("MET20_f1_samples", _LABELLED + "SELECT round(avg(2.0 * h / (na + nb)), 6) AS score FROM s")
+@query("MET20_f1_samples", _LABELLED + "SELECT round(avg(2.0 * h / (na + nb)), 9) AS score FROM s")
 def met20(spark, sf):
-    return six(multilabel.f1_samples(labelled_orders(spark, sf), ["o_orderkey"], "truth", "pred"))
+    return nine(multilabel.f1_samples(labelled_orders(spark, sf), ["o_orderkey"], "truth", "pred"))
 
 
-@query("MET21_fbeta_micro", _LABELLED + "SELECT round(5.0 * sum(h) / (4 * sum(na) + sum(nb)), 6) AS score FROM s")
+@query("MET21_fbeta_micro", _LABELLED + "SELECT round(5.0 * sum(h) / (4 * sum(na) + sum(nb)), 9) AS score FROM s")
 def met21(spark, sf):
-    return six(multilabel.fbeta_micro(labelled_orders(spark, sf), "truth", "pred", beta=2.0))
+    return nine(multilabel.fbeta_micro(labelled_orders(spark, sf), "truth", "pred", beta=2.0))
 
 
 @query(
@@ -374,23 +374,23 @@ def met22(spark, sf):
        g AS (SELECT i, 0.1::DOUBLE + i * 0.01::DOUBLE AS th FROM (SELECT unnest(range(80)) AS i)),
        f AS (SELECT lang, i, th, 2.0 * count(*) FILTER (p >= th AND y = 1) / (count(*) FILTER (p >= th) + count(*) FILTER (y = 1)) AS f1 FROM t, g GROUP BY 1, 2, 3),
        b AS (SELECT lang, max(f1) AS best FROM f GROUP BY 1)
-       SELECT f.lang, round(min(th), 2) AS threshold, round(best, 6) AS score FROM f JOIN b ON f.lang = b.lang AND f1 = best GROUP BY f.lang, best""",
+       SELECT f.lang, round(min(th), 2) AS threshold, round(best, 9) AS score FROM f JOIN b ON f.lang = b.lang AND f1 = best GROUP BY f.lang, best""",
 )
 def met23(spark, sf):
     df = scored_docs(spark, sf).withColumn("p", F.col("n_chars") / (F.col("n_chars") + 2000.0))
-    return six(c.best_f1_threshold(df, "quality", "p", ["lang"]))
+    return nine(c.best_f1_threshold(df, "quality", "p", ["lang"]))
 
 
 @query(
     "MET24_dispatch",
     RELABELLED
     + """, x AS (SELECT truth, CASE WHEN event_id % 11 = 0 THEN NULL ELSE pred END AS pred, user_id % 3 AS model FROM e)
-       SELECT model, round(avg(CAST(truth = pred AS INT)) FILTER (pred IS NOT NULL), 6) AS score, count(*) FILTER (pred IS NULL) AS bad_rows FROM x GROUP BY 1""",
+       SELECT model, round(avg(CAST(truth = pred AS INT)) FILTER (pred IS NOT NULL), 9) AS score, count(*) FILTER (pred IS NULL) AS bad_rows FROM x GROUP BY 1""",
 )
 def met24(spark, sf):
     df = relabelled(spark, sf).withColumn("model", F.col("user_id") % 3)
     df = df.withColumn("pred", F.when(F.col("event_id") % 11 != 0, F.col("pred")))
-    return six(registry.score(df, "accuracy_score", "truth", "pred", ["model"]))
+    return nine(registry.score(df, "accuracy_score", "truth", "pred", ["model"]))
 
 
 @query(

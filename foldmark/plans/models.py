@@ -50,11 +50,11 @@ def mdl1_penalised(spark, sf):
 
 @query(
     "MDL2_class_weights",
-    "SELECT doc_id, quality, round((SELECT count(*) FROM labels) / (2.0 * count(*) OVER (PARTITION BY quality)), 6) AS weight FROM labels",
+    "SELECT doc_id, quality, round((SELECT count(*) FROM labels) / (2.0 * count(*) OVER (PARTITION BY quality)), 9) AS weight FROM labels",
 )
 def mdl2_weights(spark, sf):
     out = models.balanced(table(spark, sf, "labels").select("doc_id", "quality"), "quality")
-    return out.select("doc_id", "quality", F.round("weight", 6).alias("weight"))
+    return out.select("doc_id", "quality", F.round("weight", 9).alias("weight"))
 
 
 @query("MDL2_logistic_balanced")
@@ -207,20 +207,20 @@ _COMPARED = (
 @query(
     "MDL9_model_comparison",
     _COMPARED
-    + """SELECT model, round(accuracy_score, 6) AS accuracy_score, round(f1_score_avg_macro, 6) AS f1_score_avg_macro, round(precision_score_macro, 6) AS precision_score_macro FROM m""",
+    + """SELECT model, round(accuracy_score, 9) AS accuracy_score, round(f1_score_avg_macro, 9) AS f1_score_avg_macro, round(precision_score_macro, 9) AS precision_score_macro FROM m""",
 )
 def mdl9(spark, sf):
     df = relabelled(spark, sf).withColumn("model", F.col("user_id") % 4)
     names = ["accuracy_score", "f1_score_avg_macro", "precision_score_macro"]
     out = models.compare_models(df, "truth", "pred", names)
-    return out.withColumns({n: F.round(n, 6) for n in names})
+    return out.withColumns({n: F.round(n, 9) for n in names})
 
 
-@query("MDL9_best_model", _COMPARED + "SELECT model, round(accuracy_score, 6) AS accuracy_score FROM m ORDER BY m.accuracy_score DESC, model LIMIT 1")
+@query("MDL9_best_model", _COMPARED + "SELECT model, round(accuracy_score, 9) AS accuracy_score FROM m ORDER BY m.accuracy_score DESC, model LIMIT 1")
 def mdl9_best(spark, sf):
     df = relabelled(spark, sf).withColumn("model", F.col("user_id") % 4)
     out = best_row(models.compare_models(df, "truth", "pred", ["accuracy_score"]), [], "accuracy_score", ["model"])
-    return out.withColumn("accuracy_score", F.round("accuracy_score", 6))
+    return out.withColumn("accuracy_score", F.round("accuracy_score", 9))
 
 
 @query("MDL10_feature_importance")
