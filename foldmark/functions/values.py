@@ -52,7 +52,8 @@ def as_number(col: Column, decimal: str = ".") -> Column:
     if decimal != ".":
         text = F.replace(text, F.lit(decimal), F.lit("."))
     number = text.try_cast("double")
-    return F.when(~F.isnan(number), number)
+    typed = text.rlike(r"[0-9.][dDfF]$")  # "1d" is a number to a cast, not in data
+    return F.when(~F.isnan(number) & ~typed, number)
 
 
 def as_timestamp(col: Column, pattern: str | None = None) -> Column:
