@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foldmark.operators.aggregate import class_counts, share
 from foldmark.operators.ordering import running
+from foldmark.session import materialize
 
 # fixed values: threshold grid 0.10, 0.11 .. 0.89 and the answer if no threshold scores
 GRID_START, GRID_STEP, GRID_SIZE, NO_THRESHOLD = 0.1, 0.01, 80, 0.5
@@ -35,7 +36,8 @@ def roc_auc(df: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> Da
         F.count_if(F.col("_y") == 0).alias("_neg"),
         F.count_if((~F.col("_y").isin(0.0, 1.0)) | F.col("_s").isNull()).alias("_odd"),
     )
-    below = running(counts, ["_s"], by, {"_below": F.col("_neg")}, before=True, bounds_from=rows)
+    counts = materialize(counts, "score-counts")  # the scan below reads it more than once
+    below = running(counts, ["_s"], by, {"_below": F.col("_neg")}, before=True)
     wins = F.col("_pos").cast("double") * (F.col("_below") + F.col("_neg") / 2)
     totals = below.groupBy(*by).agg(
         F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"), F.sum("_odd").alias("_o"), F.sum(wins).alias("_w")

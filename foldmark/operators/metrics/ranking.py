@@ -11,8 +11,7 @@ from foldmark.functions.vectors import top_indices
 from foldmark.operators.metrics.classification import accuracy, f1_binary, roc_auc
 from foldmark.operators.ordering import Key, positions
 from foldmark.operators.windows import top_k
-
-BLOCK = 1_000_000  # positions of one user ranked in one piece
+from foldmark.session import materialize
 
 
 def reciprocal_rank(ranked: Column, truth: Column, k: int | None = None) -> Column:
@@ -78,8 +77,8 @@ def map_full_list(
     hits = placed.select(*keys, item, "_at").join(
         truth.select(*keys, item).distinct(), [*keys, item], "left_semi"
     )
-    block = F.floor((F.col("_at") - 1) / BLOCK)  # positions are dense, so they slice themselves
-    numbered = positions(hits.select(*keys, "_at"), ["_at"], keys, "_nth", slice_by=block).join(users, keys)
+    hits = materialize(hits.select(*keys, "_at"), "hits")  # read twice below, and small beside the lists
+    numbered = positions(hits, ["_at"], keys, "_nth").join(users, keys)
     sums = numbered.filter(F.col("_nth") <= F.col("_n")).groupBy(*keys).agg(
         F.sum(F.col("_nth") / F.col("_at")).alias("_sum")
     )

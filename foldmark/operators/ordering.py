@@ -1,9 +1,10 @@
 """Ordered computation over groups of any size.
 
 A window over ``partitionBy(group)`` sorts a whole group in one task, and a group may be a third of
-the table. Here the order is first cut into slices of near-equal row count: the bounds come from an
-approximate quantile pass, and they only steer balance, never the result. Each (group, slice) is then
-windowed on its own, and a per-slice aggregate, small by construction, carries totals forward.
+the table. Groups are therefore counted first. Ordinary ones are windowed as they are; hot ones, and
+the table as a whole where there is no group, are cut along the order into slices of near-equal row
+count. Each (group, slice) is windowed on its own, and a per-slice aggregate carries totals forward.
+The bounds of the slices come from an approximate quantile pass; they steer balance, never the result.
 A value so frequent that it fills slices by itself gets its own slice, cut again by the tie key.
 """
 
@@ -19,10 +20,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldmark.session import shuffle_partitions
+from foldmark.session import shuffle_partitions, small_side
 
 SLICE = "_slice"
 MAX_SLICES = 4096
+HOT_ROWS = 1_000_000  # rows of one group that a single task still sorts with ease
+ORDINARY = -1  # slice number of all rows of an ordinary group
 
 
 @dataclass(frozen=True)
@@ -117,18 +120,57 @@ def with_slices(
     out = _cut(keyed, "_k0", "_s0", first)
     hot = F.col("_k0").isin(list(repeats)) if repeats else F.lit(False)
     hot = F.coalesce(hot, F.lit(False))
-    main = F.col("_s0").cast("bigint") * 2 + F.when(hot, 0).otherwise(1)
+    place = F.coalesce(F.col("_s0"), F.lit(float(len(first) + 2)))  # rows without a key come last
+    main = place.cast("bigint") * 2 + F.when(hot, 0).otherwise(1)
     if repeats and len(names) > 1:
         pieces = max(repeats.values()) + 1
         frequent = basis.filter(F.col("_k0").isin(list(repeats)))
         second = _quantiles(frequent, "_k1", [i / pieces for i in range(1, pieces)])
         out = _cut(out, "_k1", "_s1", second)
-        inner = F.when(hot, F.col("_s1").cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-        main = main * (len(set(second)) + 3) + inner
+        within = F.coalesce(F.col("_s1"), F.lit(float(len(second) + 2))).cast("bigint")
+        main = main * (len(second) + 4) + F.when(hot, within).otherwise(F.lit(0).cast("bigint"))
         names.append("_s1")
     return out.withColumn(SLICE, main).drop(*names, "_s0")
 
 
+def _grouped_slices(
+    df: DataFrame,
+    keys: Sequence[Key],
+    by: Sequence[str],
+    slices: int | None,
+    bounds_from: DataFrame | None,
+    hot_rows: int,
+) -> tuple[DataFrame, bool]:
+    """Add ``_slice`` and tell whether any group was cut.
+
+    Ordinary groups are one slice. Rows without a group key form no group; they are only spread out.
+    """
+    if not by:
+        return with_slices(df, keys, slices, bounds_from), True
+    present = F.lit(True)
+    for c in by:
+        present = present & F.col(c).isNotNull()
+    loose = -2 - F.pmod(F.xxhash64(*[k.name for k in keys]), F.lit(MAX_SLICES))
+    sizes = df.filter(present).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    hot = sizes.filter(F.col("_n") > hot_rows).select(*by).persist()
+    if hot.limit(1).count() == 0:
+        return df.withColumn(SLICE, F.when(present, F.lit(ORDINARY).cast("bigint")).otherwise(loose)), False
+    basis = (df if bounds_from is None else bounds_from).join(small_side(hot), list(by), "left_semi")
+    cut = with_slices(df, keys, slices, basis)
+    marks = small_side(hot.select(*[F.col(c).alias(f"_h{i}") for i, c in enumerate(by)], F.lit(True).alias("_hot")))
+    same = [F.col(c) == F.col(f"_h{i}") for i, c in enumerate(by)]
+    number = F.when(F.col("_hot"), F.col(SLICE)).when(present, F.lit(ORDINARY).cast("bigint")).otherwise(loose)
+    marked = cut.join(marks, same, "left").withColumn(SLICE, number)
+    return marked.drop("_hot", *[f"_h{i}" for i in range(len(by))]), True
+
+
+def _with_offsets(local: DataFrame, offsets: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Join the per-slice table; without groups it has one row per slice, else its size is measured."""
+    match = [F.col(SLICE) == F.col("_slice_at")]
+    match += [F.col(c) == F.col(f"_by{i}") for i, c in enumerate(by)]
+    return local.join(small_side(offsets) if by else F.broadcast(offsets), match, "left")
+
+
 def running(
     df: DataFrame,
     order: Sequence[str | Key],
@@ -139,11 +181,13 @@ def running(
     slices: int | None = None,
     slice_by: Column | None = None,
     bounds_from: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Running sums and the 1-based position per group along ``order``.
 
     ``before=True`` leaves the current row out of the sums. Rows without a group key get nulls.
-    ``slice_by`` is a ready slice number that follows the order, such as the head of a digest.
+    ``slice_by`` is a ready slice number that follows the order, such as the head of a digest;
+    ``bounds_from`` a cheaper table with the same key columns to take the bounds from.
     """
     keys = as_keys(order)
     by = list(by)
@@ -152,42 +196,41 @@ def running(
         measures[position] = F.lit(1).cast("bigint")
     staged = df.withColumns({f"_v{i}": c for i, c in enumerate(measures.values())})
     if slice_by is None:
-        sliced = with_slices(staged, keys, slices, bounds_from)
+        sliced, cut = _grouped_slices(staged, keys, by, slices, bounds_from, hot_rows)
     else:
-        sliced = staged.withColumn(SLICE, slice_by)
-
-    totals = sliced.groupBy(*by, SLICE).agg(
-        *[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(measures))]
-    )
-    earlier = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)],
-        F.col(SLICE).alias("_slice_at"),
-        *[
-            F.coalesce(F.sum(f"_t{i}").over(earlier), F.lit(0)).alias(f"_o{i}")
-            for i in range(len(measures))
-        ],
-    )
-    if not by:
-        offsets = F.broadcast(offsets)  # one row per slice
+        sliced, cut = staged.withColumn(SLICE, slice_by), True
 
     cell = Window.partitionBy(*by, SLICE).orderBy(*[k.column() for k in keys])
     upto = cell.rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     whole = cell.rowsBetween(Window.unboundedPreceding, 0)
     local = sliced.withColumns(
         {
-            f"_l{i}": F.coalesce(
-                F.sum(f"_v{i}").over(whole if name == position else upto), F.lit(0)
-            )
+            f"_l{i}": F.coalesce(F.sum(f"_v{i}").over(whole if name == position else upto), F.lit(0))
             for i, name in enumerate(measures)
         }
     )
-    match = [F.col(SLICE) == F.col("_slice_at")]
-    match += [F.col(c) == F.col(f"_by{i}") for i, c in enumerate(by)]
-    joined = local.join(offsets, match, "left")
-    return joined.select(
+    earlier_sums = [F.lit(0)] * len(measures)
+    if cut:
+        totals = sliced.filter(F.col(SLICE) >= 0).groupBy(*by, SLICE).agg(
+            *[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(measures))]
+        )
+        earlier = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select(
+            *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)],
+            F.col(SLICE).alias("_slice_at"),
+            *[F.sum(f"_t{i}").over(earlier).alias(f"_o{i}") for i in range(len(measures))],
+        )
+        local = _with_offsets(local, offsets, by)
+        earlier_sums = [F.coalesce(F.col(f"_o{i}"), F.lit(0)) for i in range(len(measures))]
+    grouped = F.lit(True)
+    for c in by:
+        grouped = grouped & F.col(c).isNotNull()
+    return local.select(
         *[c for c in df.columns if c not in measures],
-        *[(F.col(f"_l{i}") + F.col(f"_o{i}")).alias(n) for i, n in enumerate(measures)],
+        *[
+            F.when(grouped, F.col(f"_l{i}") + earlier_sums[i]).alias(name)
+            for i, name in enumerate(measures)
+        ],
     )
 
 
@@ -198,9 +241,10 @@ def positions(
     name: str = "position",
     slices: int | None = None,
     slice_by: Column | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """1-based position of every row, per group or over the whole table."""
-    return running(df, order, by, position=name, slices=slices, slice_by=slice_by)
+    return running(df, order, by, position=name, slices=slices, slice_by=slice_by, hot_rows=hot_rows)
 
 
 def lagged(
@@ -211,6 +255,7 @@ def lagged(
     steps: int,
     prefix: str,
     slices: int | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Columns ``prefix1..prefixN`` with the values 1..N rows earlier in the group.
 
@@ -219,14 +264,24 @@ def lagged(
     """
     keys = as_keys(order)
     by = list(by)
-    sliced = with_slices(df, keys, slices)
+    names = [f"{prefix}{k}" for k in range(1, steps + 1)]
+    sliced, cut = _grouped_slices(df, keys, by, slices, None, hot_rows)
     cell = Window.partitionBy(*by, SLICE).orderBy(*[k.column() for k in keys])
-    back = Window.partitionBy(*by, SLICE).orderBy(
-        *[F.col(k.name).desc_nulls_first() if k.ascending else F.col(k.name).asc_nulls_first() for k in keys]
-    )
+    local = sliced.withColumns({f"_in{k}": F.lag(value, k).over(cell) for k in range(1, steps + 1)})
+    grouped = F.lit(True)
+    for c in by:
+        grouped = grouped & F.col(c).isNotNull()
+    if not cut:
+        return local.select(*df.columns, *[F.when(grouped, F.col(f"_in{k}")).alias(n) for k, n in enumerate(names, 1)])
+
+    backwards = [
+        F.col(k.name).desc_nulls_first() if k.ascending else F.col(k.name).asc_nulls_first() for k in keys
+    ]
+    back = Window.partitionBy(*by, SLICE).orderBy(*backwards)
     boxed = F.struct(F.col(value).alias("v"))
     tails = (
-        sliced.withColumn("_from_end", F.row_number().over(back))
+        sliced.filter(F.col(SLICE) >= 0)
+        .withColumn("_from_end", F.row_number().over(back))
         .filter(F.col("_from_end") <= steps)
         .groupBy(*by, SLICE)
         .agg(F.sort_array(F.collect_list(F.struct((-F.col("_from_end")).alias("o"), boxed.alias("b")))).alias("_tail"))
@@ -238,19 +293,15 @@ def lagged(
         F.col(SLICE).alias("_slice_at"),
         F.flatten(F.collect_list("_tail").over(previous)).alias("_carry"),
     )
-    local = sliced.withColumn("_row", F.row_number().over(cell)).withColumns(
-        {f"_in{k}": F.lag(value, k).over(cell) for k in range(1, steps + 1)}
-    )
-    match = [F.col(SLICE) == F.col("_slice_at")]
-    match += [F.col(c) == F.col(f"_by{i}") for i, c in enumerate(by)]
-    joined = local.join(carried, match, "left")
+    joined = _with_offsets(local.withColumn("_row", F.row_number().over(cell)), carried, by)
 
     def pick(k: int) -> Column:
         need = F.lit(k) - F.col("_row") + 1
         carry = F.when(F.size("_carry") >= need, F.element_at("_carry", -need)["v"])
-        return F.when(F.col("_row") > k, F.col(f"_in{k}")).otherwise(carry)
+        inside = F.col(f"_in{k}")
+        return F.when(grouped, F.when((F.col("_row") > k) | F.col("_carry").isNull(), inside).otherwise(carry))
 
-    return joined.select(*df.columns, *[pick(k).alias(f"{prefix}{k}") for k in range(1, steps + 1)])
+    return joined.select(*df.columns, *[pick(k).alias(n) for k, n in enumerate(names, 1)])
 
 
 def keys_at(

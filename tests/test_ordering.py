@@ -32,11 +32,29 @@ def rows():
     )
 
 
-def test_positions_per_group_and_global(spark, rows):
+@pytest.mark.parametrize("hot_rows", [40, 10**9])
+def test_positions_per_group(spark, rows, hot_rows):
     df = spark.createDataFrame(rows)
-    got = positions(df, ["ts", "id"], ["user"]).toPandas().set_index("id")["position"]
+    got = positions(df, ["ts", "id"], ["user"], hot_rows=hot_rows).toPandas().set_index("id")["position"]
     want = rows.sort_values(["ts", "id"]).assign(p=lambda d: d.groupby("user").cumcount() + 1)
     assert (got.sort_index() == want.set_index("id")["p"].sort_index()).all()
+
+
+def test_missing_keys(spark):
+    rows = [(1, "a", 5), (2, "a", None), (3, None, 1), (4, "a", 2), (5, None, None), (6, "b", None)]
+    df = spark.createDataFrame(rows, "id int, g string, t int")
+    for hot in (0, 100):
+        got = {r["id"]: r["position"] for r in positions(df, ["t", "id"], ["g"], hot_rows=hot).collect()}
+        assert got == {1: 2, 2: 3, 3: None, 4: 1, 5: None, 6: 1}
+        lag = {r["id"]: r["x1"] for r in lagged(df, ["t", "id"], ["g"], "id", 1, "x", hot_rows=hot).collect()}
+        assert lag == {1: 4, 2: 1, 3: None, 4: None, 5: None, 6: None}
+    whole = {r["id"]: r["position"] for r in positions(df, ["t", "id"]).collect()}
+    assert whole == {3: 1, 4: 2, 1: 3, 2: 4, 5: 5, 6: 6}
+    assert keys_at(df, ["t", "id"], [3, 4, 6])[1] == {3: (5, 1), 4: (None, 2), 6: (None, 6)}
+
+
+def test_positions_of_the_whole_table(spark, rows):
+    df = spark.createDataFrame(rows)
     got = positions(df, [Key("ts", False), Key("id")]).toPandas().set_index("id")["position"]
     want = rows.sort_values(["ts", "id"], ascending=[False, True]).reset_index(drop=True)
     assert (got.sort_index() == pd.Series(range(1, len(want) + 1), want["id"]).sort_index()).all()
@@ -53,15 +71,16 @@ def test_running_sum_inclusive_and_before(spark, rows):
     df = spark.createDataFrame(rows)
     ordered = rows.sort_values(["ts", "id"])
     want = ordered.assign(s=ordered.groupby("user")["x"].cumsum()).set_index("id")["s"].sort_index()
-    got = running(df, ["ts", "id"], ["user"], sums={"s": df["x"]}).toPandas()
+    got = running(df, ["ts", "id"], ["user"], sums={"s": df["x"]}, hot_rows=40).toPandas()
     assert np.allclose(got.set_index("id")["s"].sort_index(), want)
-    got = running(df, ["ts", "id"], ["user"], sums={"s": df["x"]}, before=True).toPandas().set_index("id")
+    got = running(df, ["ts", "id"], ["user"], sums={"s": df["x"]}, before=True, hot_rows=40).toPandas().set_index("id")
     assert np.allclose((got["s"] + got["x"]).sort_index(), want)
 
 
-def test_lagged_across_slices(spark, rows):
+@pytest.mark.parametrize("hot_rows", [40, 10**9])
+def test_lagged_across_slices(spark, rows, hot_rows):
     df = spark.createDataFrame(rows)
-    got = lagged(df, ["ts", "id"], ["user"], "x", 3, "lag").toPandas().set_index("id").sort_index()
+    got = lagged(df, ["ts", "id"], ["user"], "x", 3, "lag", hot_rows=hot_rows).toPandas().set_index("id").sort_index()
     ordered = rows.sort_values(["ts", "id"])
     for k in (1, 2, 3):
         want = ordered.assign(w=ordered.groupby("user")["x"].shift(k)).set_index("id")["w"].sort_index()

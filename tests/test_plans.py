@@ -45,12 +45,13 @@ def test_group_limit_before_the_shuffle(static, tiny):
     assert tree.count("WindowGroupLimit") == 2 and tree.rindex("WindowGroupLimit") > tree.index("Exchange")
 
 
-def test_positions_window_is_cut_in_slices(static, tiny):
+def test_hot_groups_are_windowed_in_slices(static, tiny):
     events = table(static, tiny, "events").select("event_id", "user_id", "ts")
-    text = plan(positions(events, ["ts", "event_id"], ["user_id"]))
-    assert "hashpartitioning(user_id" in text and "_slice" in text
-    rows_exchange = [l for l in text.splitlines() if "Arguments: hashpartitioning" in l]
-    assert any("_slice" in l for l in rows_exchange)
+    hot = plan(positions(events, ["ts", "event_id"], ["user_id"], hot_rows=1))
+    assert "bucketizer" in hot and "hashpartitioning(user_id" in hot
+    assert all("_slice" in l for l in hot.splitlines() if "windowspecdefinition(user_id" in l and "ts#" in l)
+    plain = plan(positions(events, ["ts", "event_id"], ["user_id"]))
+    assert "Join" not in plain and plain.split("\n\n\n")[0].count("Exchange") == 1
 
 
 def test_filters_reach_the_scan(static, tiny):
