@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldmark.operators.ordering import positions
-from foldmark.session import small_side
+from foldmark.session import materialize, small_side
 
 MAX_LABELS = 10_000
 
@@ -16,6 +16,7 @@ MAX_LABELS = 10_000
 def fit_dictionary(df: DataFrame, col: str) -> DataFrame:
     """``value``, ``code``: the distinct values as text, in byte order, numbered from 0."""
     values = df.select(F.col(col).cast("string").alias("value")).filter(F.col("value").isNotNull()).distinct()
+    values = materialize(values, "dictionary-values")
     return positions(values, ["value"], name="_p").select("value", (F.col("_p") - 1).alias("code"))
 
 

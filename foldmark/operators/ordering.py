@@ -1,9 +1,8 @@
 """Ordered computation over groups of any size.
 
 A window over ``partitionBy(group)`` sorts a whole group in one task, and a group may be a third of
-the table. Groups are therefore counted first. Ordinary ones are windowed as they are; hot ones, and
-the table as a whole where there is no group, are cut along the order into slices of near-equal row
-count. Each (group, slice) is windowed on its own, and a per-slice aggregate carries totals forward.
+the table. Groups, or the table as a whole where there are none, are therefore counted first. Ordinary
+ones are windowed as they are; hot ones are cut along the order into slices of near-equal row count. Each (group, slice) is windowed on its own, and a per-slice aggregate carries totals forward.
 The bounds of the slices come from an approximate quantile pass; they steer balance, never the result.
 A value so frequent that it fills slices by itself gets its own slice, cut again by the tie key.
 """
@@ -146,7 +145,9 @@ def _grouped_slices(
     Ordinary groups are one slice. Rows without a group key form no group; they are only spread out.
     """
     if not by:
-        return with_slices(df, keys, slices, bounds_from), True
+        if df.count() > hot_rows:
+            return with_slices(df, keys, slices, bounds_from), True
+        return df.withColumn(SLICE, F.lit(ORDINARY).cast("bigint")), False
     present = F.lit(True)
     for c in by:
         present = present & F.col(c).isNotNull()

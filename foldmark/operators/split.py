@@ -17,7 +17,7 @@ from foldmark.functions.keys import HASH_SPACE, digest_head, row_digest, row_has
 from foldmark.functions.text import parse_list_literal
 from foldmark.operators.clean import keep_valid_ids
 from foldmark.operators.ordering import exact_quantiles, keys_at, not_after, positions
-from foldmark.session import small_side
+from foldmark.session import materialize, small_side
 
 TRAIN, VAL = "train", "val"
 
@@ -253,17 +253,22 @@ def multi_table_split(
     ``dimensions`` maps a name to (table, its key, the facts column). ``lists`` maps a name to
     (array column, facts column) pairs whose ids are cut down to those seen on the side.
     """
+    lists = lists or {}
     drawn = holdout(facts, key, frac, seed)
+    columns = {fact_key for _, _, fact_key in dimensions.values()}
+    columns |= {list_key for pairs in lists.values() for _, list_key in pairs}
+    seen = {c: materialize(_key_sides(drawn, [c]), "seen-keys") for c in sorted(columns)}  # one pass each
+
+    def ids(column: str, side: str, name: str) -> DataFrame:
+        return seen[column].filter("_t" if side == TRAIN else "_v").select(F.col(column).alias(name))
+
     out: dict[str, DataFrame] = {}
     for side in (TRAIN, VAL):
-        part = drawn.filter(F.col("role") == side).drop("role")
-        out[f"facts_{side}"] = part
+        out[f"facts_{side}"] = drawn.filter(F.col("role") == side).drop("role")
         for name, (dim, dim_key, fact_key) in dimensions.items():
-            seen = part.select(F.col(fact_key).alias(dim_key)).distinct()
-            kept = dim.join(seen, dim_key, "left_semi")
-            for array, list_key in (lists or {}).get(name, ()):
-                known = part.select(F.col(list_key).alias("_known")).distinct()
-                kept = keep_valid_ids(kept, dim_key, array, known)
+            kept = dim.join(ids(fact_key, side, dim_key), dim_key, "left_semi")
+            for array, list_key in lists.get(name, ()):
+                kept = keep_valid_ids(kept, dim_key, array, ids(list_key, side, "_known"))
             out[f"{name}_{side}"] = kept
     return out
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foldmark.functions.vectors import let
 from foldmark.operators.ordering import positions
-from foldmark.session import small_side
+from foldmark.session import materialize, small_side
 
 # fixed values: token patterns
 WORD = r"([\p{L}\p{N}_]{2,})"
@@ -65,9 +65,9 @@ def term_counts(df: DataFrame, doc: str, terms: Column) -> DataFrame:
 def fit_vocabulary(
     counts: DataFrame, n_docs: int, min_df: int = 1, max_df: float = 1.0, max_features: int | None = None
 ) -> DataFrame:
-    """``term``, ``df``, ``idf``, ``code``: terms within the document-frequency limits.
+    """``term``, ``df``, ``idf``: terms within the document-frequency limits.
 
-    ``max_features`` keeps the terms most frequent in the corpus, ties by term; codes follow term order.
+    ``max_features`` keeps the terms most frequent in the corpus, ties by term.
     """
     stats = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     kept = stats.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
@@ -77,11 +77,10 @@ def fit_vocabulary(
     return kept.select("term", "df", idf.alias("idf"))
 
 
-def weigh(counts: DataFrame, vocabulary: DataFrame, doc: str, sublinear: bool = False, norm: bool = True) -> DataFrame:
-    """``doc``, ``term``, ``weight`` for terms of the vocabulary, scaled to unit length per document."""
-    joined = counts.join(small_side(vocabulary.select("term", "idf")), "term")
+def weigh(counts: DataFrame, doc: str, sublinear: bool = False, norm: bool = True) -> DataFrame:
+    """``doc``, ``term``, ``weight`` from counts with their ``idf``, scaled to unit length per document."""
     tf = 1 + F.ln(F.col("tf")) if sublinear else F.col("tf").cast("double")
-    weighted = joined.select(doc, "term", (tf * F.col("idf")).alias("weight"))
+    weighted = counts.select(doc, "term", (tf * F.col("idf")).alias("weight"))
     if not norm:
         return weighted
     length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(doc)))
@@ -96,12 +95,21 @@ def tfidf(
     max_df: float = 1.0,
     max_features: int | None = None,
     sublinear: bool = False,
+    norm: bool = True,
     fit_on: DataFrame | None = None,
 ) -> DataFrame:
-    """TF-IDF weights of ``df``; the vocabulary comes from ``fit_on`` (the training rows) if given."""
+    """TF-IDF weights of ``df``; the vocabulary comes from ``fit_on`` (the training rows) if given.
+
+    A limited vocabulary meets the terms before they are counted, an open one the counts.
+    """
     basis = df if fit_on is None else fit_on
     vocabulary = fit_vocabulary(term_counts(basis, doc, terms), basis.count(), min_df, max_df, max_features)
-    return weigh(term_counts(df, doc, terms), vocabulary, doc, sublinear)
+    known = small_side(vocabulary.select("term", "idf"))
+    if max_features is None:
+        return weigh(term_counts(df, doc, terms).join(known, "term"), doc, sublinear, norm)
+    found = df.repartition(doc).select(doc, F.explode(terms).alias("term")).join(known, "term")
+    counts = found.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
+    return weigh(counts, doc, sublinear, norm)
 
 
 def feature_union(doc: str, blocks: dict[str, DataFrame]) -> DataFrame:
@@ -131,5 +139,5 @@ def to_sparse(long: DataFrame, doc: str, names: DataFrame) -> DataFrame:
 
 def feature_codes(long: DataFrame) -> DataFrame:
     """``feature``, ``code``: the feature names in byte order, numbered from 0."""
-    names = long.select("feature").distinct()
+    names = materialize(long.select("feature").distinct(), "feature-names")
     return positions(names, ["feature"], name="_p").select("feature", (F.col("_p") - 1).alias("code"))

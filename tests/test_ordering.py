@@ -48,21 +48,22 @@ def test_missing_keys(spark):
         assert got == {1: 2, 2: 3, 3: None, 4: 1, 5: None, 6: 1}
         lag = {r["id"]: r["x1"] for r in lagged(df, ["t", "id"], ["g"], "id", 1, "x", hot_rows=hot).collect()}
         assert lag == {1: 4, 2: 1, 3: None, 4: None, 5: None, 6: None}
-    whole = {r["id"]: r["position"] for r in positions(df, ["t", "id"]).collect()}
-    assert whole == {3: 1, 4: 2, 1: 3, 2: 4, 5: 5, 6: 6}
+    for hot in (0, 100):
+        whole = {r["id"]: r["position"] for r in positions(df, ["t", "id"], hot_rows=hot).collect()}
+        assert whole == {3: 1, 4: 2, 1: 3, 2: 4, 5: 5, 6: 6}
     assert keys_at(df, ["t", "id"], [3, 4, 6])[1] == {3: (5, 1), 4: (None, 2), 6: (None, 6)}
 
 
 def test_positions_of_the_whole_table(spark, rows):
     df = spark.createDataFrame(rows)
-    got = positions(df, [Key("ts", False), Key("id")]).toPandas().set_index("id")["position"]
+    got = positions(df, [Key("ts", False), Key("id")], hot_rows=40).toPandas().set_index("id")["position"]
     want = rows.sort_values(["ts", "id"], ascending=[False, True]).reset_index(drop=True)
     assert (got.sort_index() == pd.Series(range(1, len(want) + 1), want["id"]).sort_index()).all()
 
 
 def test_positions_by_text(spark, rows):
     df = spark.createDataFrame(rows)
-    got = positions(df, ["name", "id"]).toPandas().set_index("id")["position"]
+    got = positions(df, ["name", "id"], hot_rows=40).toPandas().set_index("id")["position"]
     want = rows.sort_values(["name", "id"]).reset_index(drop=True)
     assert (got.sort_index() == pd.Series(range(1, len(want) + 1), want["id"]).sort_index()).all()
 
