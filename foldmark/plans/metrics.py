@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foldmark.operators import split
 from foldmark.operators.metrics import classification as c
-from foldmark.operators.metrics import multilabel, ranking, registry
+from foldmark.operators.metrics import graders, multilabel, ranking, registry
 from foldmark.operators.metrics import regression as reg
 from foldmark.operators.ordering import positions
 from foldmark.plans import query
@@ -405,3 +405,62 @@ def met25(spark, sf):
     direction = F.when(F.col("event_type").isin("error", "view"), "minimize").otherwise("maximize")
     gain = registry.improvement(F.col("score"), F.col("baseline"), direction)
     return scores.join(base, "event_type").select("event_type", "model", (F.round(gain, 9) + 0.0).alias("gain"))
+
+
+@query(
+    "MET24_grader_multitarget",
+    """SELECT user_id % 4 AS model, round((sqrt(avg((value - event_id % 90) ** 2)) + sqrt(avg((user_id - event_id % 140) ** 2))) / 2, 9) AS score,
+       CAST(NULL AS VARCHAR) AS error FROM events GROUP BY 1""",
+)
+def met24_multitarget(spark, sf):
+    df = table(spark, sf, "events")
+    truth = df.select("event_id", F.col("value").alias("a"), F.col("user_id").alias("b"))
+    pred = df.select(
+        "event_id", (F.col("user_id") % 4).alias("model"), (F.col("event_id") % 90).alias("a"), (F.col("event_id") % 140).alias("b")
+    )
+    entry = {"grader": "multitarget", "metric": "root_mean_squared_error_multitarget", "target_col": ["a", "b"]}
+    return nine(graders.grade(truth, pred, entry, ["event_id"], ["model"]))
+
+
+@query(
+    "MET24_grader_ranking",
+    _INTERACTIONS.format(cut="place <= 7")
+    + """SELECT round(avg(coalesce(s, 0) / n), 9) AS score, CAST(NULL AS VARCHAR) AS error FROM n LEFT JOIN (SELECT user_id, sum(nth / place) AS s FROM h GROUP BY 1) USING (user_id)""",
+)
+def met24_ranking(spark, sf):
+    truth, pred = interactions(spark, sf)
+    liked = truth.withColumn("like", F.lit(1))
+    return nine(graders.grade(liked, pred, {"grader": "map_at_k", "map_k": 7}, user="user_id", item="item"))
+
+
+@query(
+    "MET24_grader_multilabel",
+    _LABELLED + "SELECT round(avg(2.0 * h / (na + nb)), 9) AS score, CAST(NULL AS VARCHAR) AS error FROM s",
+)
+def met24_multilabel(spark, sf):
+    df = labelled_orders(spark, sf)
+
+    def literal(col):
+        quoted = F.transform(col, lambda x: F.concat(F.lit("u'"), x, F.lit("'")))
+        return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
+
+    truth = df.select("o_orderkey", literal("truth").alias("labels"))
+    pred = df.select("o_orderkey", literal("pred").alias("prediction"))
+    entry = {"grader": "multilabel", "metric": "f1_score_multilabel", "target_col": "labels"}
+    return nine(graders.grade(truth, pred, entry, ["o_orderkey"]))
+
+
+@query(
+    "MET24_grader_photo_labels",
+    """WITH t AS (SELECT list_distinct([l_linenumber, l_suppkey % 5]) AS a, list_distinct([l_linenumber, l_partkey % 9]) AS b FROM
+         (SELECT o_orderkey % 7 AS l_linenumber, o_custkey AS l_suppkey, o_orderkey AS l_partkey FROM orders)),
+       s AS (SELECT sum(len(a)) AS na, sum(len(list_filter(b, lambda x: x <= 6))) AS nb, sum(len(list_intersect(a, b))) AS h FROM t)
+       SELECT round(2.0 * h / (na + nb), 9) AS score, CAST(NULL AS VARCHAR) AS error FROM s""",
+)
+def met24_photo(spark, sf):
+    df = table(spark, sf, "orders")
+    first = (F.col("o_orderkey") % 7).cast("string")
+    truth = df.select("o_orderkey", F.concat_ws(" ", first, (F.col("o_custkey") % 5).cast("string")).alias("Labels"))
+    pred = df.select("o_orderkey", F.concat_ws("  ", first, (F.col("o_orderkey") % 9).cast("string")).alias("prediction"))
+    entry = {"grader": "photo_classification", "target_col": "Labels", "beta": 1.0}
+    return nine(graders.grade(truth, pred, entry, ["o_orderkey"]))

@@ -10,7 +10,7 @@ from foldmark.operators.leakage import pair_reports
 from foldmark.plans import query
 from foldmark.plans.splits import LIMIT, draw
 from foldmark.session import shared_dir
-from foldmark.sources import catalog, delimited, folds, manifest, results
+from foldmark.sources import catalog, delimited, folds, loaders, manifest, results
 from foldmark.tables import table
 
 
@@ -235,3 +235,31 @@ def src14(spark, sf):
     df = table(spark, sf, "documents").select("doc_id", "lang", F.array("source").alias("tags"))
     delimited.write_analysis(df, path, "csv")
     return delimited.read_csv_smart(spark, path, "doc_id BIGINT, lang STRING, tags STRING", sep=",")
+
+
+@query(
+    "SRC7_load_by_strategy",
+    f"""WITH t AS (SELECT o_orderkey, {draw('o_orderkey')} < {LIMIT} AS v FROM orders)
+       SELECT o_orderkey, 'x_val' AS part, '/data/' || o_orderkey || '.jpg' AS content FROM t WHERE v UNION ALL
+       SELECT o_orderkey, 'y_val', (o_orderkey % 19) || '|7' FROM t WHERE v UNION ALL
+       SELECT o_orderkey, 'train', '/data/' || o_orderkey || '.jpg ' || (o_orderkey % 19) || '|7' FROM t WHERE NOT v""",
+)
+def src7_strategy(spark, sf):
+    root = shared_dir(spark, "folds")
+    key = F.col("o_orderkey").cast("string")
+    photos = table(spark, sf, "orders").select(
+        "o_orderkey",
+        F.concat(key, F.lit(".jpg")).alias("ImageID"),
+        F.concat((F.col("o_orderkey") % 19).cast("string"), F.lit("  7")).alias("Labels"),
+    )
+    entry = {"target_col": "Labels", "image_col": "ImageID", "split_strategy": "photo_classification", "load_strategy": "photo_classification"}
+    loaders.prepare_folds(photos, entry, root, "photos", ["o_orderkey"])
+    parts = loaders.load_fold(spark, entry, root, "photos", 0, ids=["o_orderkey"])
+    image = F.replace("ImageID", F.lit(root), F.lit(""))
+    labels = F.array_join(F.transform("Labels", lambda x: x.cast("string")), "|")
+    contents = {"x_val": image, "y_val": labels, "train": F.concat_ws(" ", image, labels)}
+    out = None
+    for name, content in contents.items():
+        line = parts[name].select("o_orderkey", F.lit(name).alias("part"), content.alias("content"))
+        out = line if out is None else out.unionByName(line)
+    return out

@@ -50,3 +50,40 @@ def test_stream_equals_batch_with_replays(spark, tiny, tmp_path):
         for r in lines:
             w = want[tuple(r[:3])]
             assert (r["runs"], r["passed"]) == (w["runs"], w["passed"]) and abs(r["rp"] - w["rp"]) < 1e-9
+
+
+def test_graders(spark):
+    from foldmark.operators.metrics.graders import grade
+
+    truth = spark.createDataFrame([(1, "a", 2.0), (2, "b", 1.0), (3, "b", 5.0)], "id int, y string, w double")
+    pred = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id int, prediction string")
+    row = grade(truth, pred, {"metric": "accuracy_score", "target_col": "y"}, ["id"]).first()
+    assert abs(row["score"] - 2 / 3) < 1e-12 and row["error"] is None
+    row = grade(truth, pred, {"grader": "sheep_classification", "metric": "f1_score", "target_col": "y"}, ["id"]).first()
+    assert abs(row["score"] - 2 / 3) < 1e-12
+    numbers = pred.withColumn("prediction", F.lit(3.0))
+    weighted = {"metric": "wmae", "target_col": "w", "weight_col": "w"}
+    assert abs(grade(truth, numbers, weighted, ["id"]).first()["score"] - (2 + 2 + 10) / 3) < 1e-12
+    broken = grade(truth, pred.drop("prediction"), {"metric": "accuracy_score", "target_col": "y"}, ["id"]).first()
+    assert broken["score"] is None and broken["error"]
+    for entry in ({"grader": "nobody"}, {"metric": "nothing"}):
+        with pytest.raises(ValueError):
+            grade(truth, pred, entry, ["id"])
+
+
+def test_every_load_strategy_gives_the_parts(spark, tmp_path):
+    from foldmark.sources import loaders
+
+    df = spark.range(30).select(
+        "id", F.concat(F.lit("p"), F.col("id").cast("string")).alias("image"), F.lit("['a', 'b']").alias("target"),
+        F.array(F.array(F.array(F.lit(1.0)))).alias("pixels"),
+    )
+    for name in loaders.LOADERS:
+        column = "pixels" if name == "emnist" else "image"
+        entry = {"target_col": "target", "image_col": column, "load_strategy": name, "split_strategy": "csv"}
+        root = str(tmp_path / name)
+        loaders.prepare_folds(df, entry, root, "c", ["id"])
+        parts = loaders.load_fold(spark, entry, root, "c", 0)
+        assert parts["train"].count() + parts["x_val"].count() == 30 and parts["y_val"].columns == ["target"]
+    with pytest.raises(ValueError):
+        loaders.load_fold(spark, {"load_strategy": "none"}, root, "c", 0)
