@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -129,7 +127,3 @@ def word_total(col: Column) -> Column:
 def loose_json(col: Column, schema: str) -> Column:
     """JSON written with single quotes."""
     return F.from_json(F.replace(col, F.lit("'"), F.lit('"')), schema)
-
-
-def any_of(cols: Sequence[Column]) -> Column:
-    return F.coalesce(*cols)

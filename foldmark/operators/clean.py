@@ -27,12 +27,19 @@ def fit_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
 
 
 def fit_modes(df: DataFrame, cols: Sequence[str]) -> dict[str, object]:
-    """Most frequent value per column, the smallest on ties; counted before it is compared."""
-    out: dict[str, object] = {}
+    """Most frequent value per column, the smallest on ties.
+
+    Values are counted before they are compared; columns of one type share a pass.
+    """
+    alike: dict[str, list[str]] = {}
     for c in cols:
-        counts = df.filter(F.col(c).isNotNull()).groupBy(c).count()
-        top = counts.agg(F.min_by(c, F.struct(-F.col("count"), F.col(c))).alias("mode")).first()
-        out[c] = top["mode"]
+        alike.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    out: dict[str, object] = dict.fromkeys(cols)
+    for names in alike.values():
+        entries = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in names])
+        counts = df.select(F.explode(entries).alias("e")).filter("e.v IS NOT NULL").groupBy("e").count()
+        best = F.min_by("e.v", F.struct(-F.col("count"), F.col("e.v"))).alias("mode")
+        out.update({r["c"]: r["mode"] for r in counts.groupBy(F.col("e.c").alias("c")).agg(best).collect()})
     return out
 
 
@@ -49,7 +56,7 @@ def missing_counts(df: DataFrame) -> DataFrame:
 
 def map_with_fallback(df: DataFrame, col: str, mapping: DataFrame) -> DataFrame:
     """Replace ``col`` by ``mapping.target`` where ``mapping.source`` matches, else keep it."""
-    pairs = small_side(mapping.select(F.col("source").alias("_source"), F.col("target").alias("_target")))
+    pairs = mapping.select(F.col("source").alias("_source"), F.col("target").alias("_target"))
     joined = df.join(pairs, F.col(col) == F.col("_source"), "left")
     return joined.withColumn(col, F.coalesce("_target", col)).drop("_source", "_target")
 

@@ -1,4 +1,4 @@
-"""Joins of the scoring and feature jobs. A side is broadcast only after its size is measured."""
+"""Joins of the scoring and feature jobs. Catalyst broadcasts a side by its size on file or, with AQE, at run time."""
 
 from __future__ import annotations
 
@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldmark.operators.ordering import positions
-from foldmark.session import small_side
 
 
 def enrich(df: DataFrame, dimension: DataFrame, on: Sequence[str]) -> DataFrame:
     """Left join of a dimension."""
-    return df.join(small_side(dimension), list(on), "left")
+    return df.join(dimension, list(on), "left")
 
 
 def match(pred: DataFrame, truth: DataFrame, on: Sequence[str]) -> DataFrame:

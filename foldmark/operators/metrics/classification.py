@@ -60,48 +60,76 @@ def f1_binary(df: DataFrame, truth: str, pred: str, by: Sequence[str] = (), posi
     return totals.select(*by, F.when(usable, share(2 * F.col("_h"), F.col("_tp"))).alias("score"))
 
 
-def _over_classes(df: DataFrame, truth: str, pred: str, by: Sequence[str], score: Column) -> DataFrame:
-    return class_counts(df, truth, pred, by).groupBy(*by).agg(score.alias("score"))
-
-
 def _f1() -> Column:
     return share(2 * F.col("hits"), F.col("support") + F.col("predicted"))
 
 
+def _matthews() -> Column:
+    t, p, h = (F.col(c).cast("double") for c in ("support", "predicted", "hits"))
+    s2 = F.sum(t) * F.sum(t)
+    low = F.sqrt((s2 - F.sum(p * p)) * (s2 - F.sum(t * t)))
+    return share(F.sum(h) * F.sum(t) - F.sum(p * t), low)
+
+
+def _class_scores() -> dict[str, Column]:
+    """Scores that follow from the class counts alone, as aggregates over the classes."""
+    hits, support, predicted = F.col("hits"), F.col("support"), F.col("predicted")
+    # fixed values: metric names of dataset catalogs
+    return {
+        "accuracy_score": share(F.sum(hits), F.sum(support)),
+        "f1_score_avg_macro": F.avg(_f1()),
+        "f1_score_avg_weighted": share(F.sum(_f1() * support), F.sum(support)),
+        "precision_score_macro": F.avg(share(hits, predicted)),
+        "recall_score_macro": F.avg(share(hits, support)),
+        "balanced_accuracy": F.avg(F.when(support > 0, hits / support)),
+        "matthews_corrcoef": _matthews(),
+    }
+
+
+CLASS_SCORES = (
+    "accuracy_score", "f1_score_avg_macro", "f1_score_avg_weighted", "precision_score_macro",
+    "recall_score_macro", "balanced_accuracy", "matthews_corrcoef",
+)
+
+
+def class_scores(
+    df: DataFrame, truth: str, pred: str, by: Sequence[str] = (), names: Sequence[str] = CLASS_SCORES
+) -> DataFrame:
+    """Any of the class-count scores, one column each, from one pass over the rows."""
+    scores = _class_scores()
+    return class_counts(df, truth, pred, by).groupBy(*by).agg(*[scores[n].alias(n) for n in names])
+
+
+def _score(df: DataFrame, truth: str, pred: str, by: Sequence[str], name: str) -> DataFrame:
+    return class_scores(df, truth, pred, by, [name]).withColumnRenamed(name, "score")
+
+
 def f1_macro(df: DataFrame, truth: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
     """Mean F1 over the classes of truth or prediction."""
-    return _over_classes(df, truth, pred, by, F.avg(_f1()))
+    return _score(df, truth, pred, by, "f1_score_avg_macro")
 
 
 def f1_weighted(df: DataFrame, truth: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
     """F1 weighted by the number of true rows per class."""
-    return _over_classes(df, truth, pred, by, share(F.sum(_f1() * F.col("support")), F.sum("support")))
+    return _score(df, truth, pred, by, "f1_score_avg_weighted")
 
 
 def precision_macro(df: DataFrame, truth: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
-    return _over_classes(df, truth, pred, by, F.avg(share(F.col("hits"), F.col("predicted"))))
+    return _score(df, truth, pred, by, "precision_score_macro")
 
 
 def recall_macro(df: DataFrame, truth: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
-    return _over_classes(df, truth, pred, by, F.avg(share(F.col("hits"), F.col("support"))))
+    return _score(df, truth, pred, by, "recall_score_macro")
 
 
 def balanced_accuracy(df: DataFrame, truth: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
     """Mean recall over the classes present in the truth."""
-    present = F.when(F.col("support") > 0, F.col("hits") / F.col("support"))
-    return _over_classes(df, truth, pred, by, F.avg(present))
+    return _score(df, truth, pred, by, "balanced_accuracy")
 
 
 def matthews(df: DataFrame, truth: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
     """Multiclass Matthews correlation; 0 where its denominator is 0."""
-    t, p, h = (F.col(c).cast("double") for c in ("support", "predicted", "hits"))
-    totals = class_counts(df, truth, pred, by).groupBy(*by).agg(
-        F.sum(t).alias("_s"), F.sum(h).alias("_c"), F.sum(p * t).alias("_pt"),
-        F.sum(p * p).alias("_pp"), F.sum(t * t).alias("_tt"),
-    )
-    s2 = F.col("_s") * F.col("_s")
-    low = F.sqrt((s2 - F.col("_pp")) * (s2 - F.col("_tt")))
-    return totals.select(*by, share(F.col("_c") * F.col("_s") - F.col("_pt"), low).alias("score"))
+    return _score(df, truth, pred, by, "matthews_corrcoef")
 
 
 def log_loss(

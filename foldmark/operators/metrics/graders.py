@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldmark.functions.text import parse_ints, parse_list_literal
-from foldmark.operators.metrics import classification, multilabel, ranking, regression
+from foldmark.operators.metrics import multilabel, ranking, regression
 from foldmark.operators.metrics.registry import metric_named
 
 log = logging.getLogger(__name__)

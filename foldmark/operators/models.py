@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldmark.operators.encode import class_weights
+from foldmark.operators.metrics.classification import CLASS_SCORES, class_scores
 from foldmark.operators.metrics.registry import metric_named
 from foldmark.session import small_side
 
@@ -166,12 +167,14 @@ def decide(probability: Column, threshold: float = 0.5, inclusive: bool = True)
 def compare_models(
     predictions: DataFrame, truth: str, pred: str, metrics: Sequence[str], by: str = "model"
 ) -> DataFrame:
-    """One row per model, one column per metric."""
-    out = None
+    """One row per model, one column per metric; metrics from class counts share one pass."""
+    shared = [m for m in metrics if m in CLASS_SCORES]
+    out = class_scores(predictions, truth, pred, [by], shared) if shared else None
     for name in metrics:
-        part = metric_named(name)(predictions, truth, pred, [by]).select(by, F.col("score").alias(name))
-        out = part if out is None else out.join(F.broadcast(part), by)
-    return out
+        if name not in shared:
+            part = metric_named(name)(predictions, truth, pred, [by]).select(by, F.col("score").alias(name))
+            out = part if out is None else out.join(part, by)
+    return out.select(by, *metrics)
 
 
 def importances(model: PipelineModel, features: Sequence[str]) -> DataFrame:
