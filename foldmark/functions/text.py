@@ -16,6 +16,11 @@ GEARS = r"(\d+)-Speed"
 V_ENGINES = {"V6": 6, "V8": 8, "V10": 10, "V12": 12}
 
 
+def strip(col: Column) -> Column:
+    """Without leading and trailing white space of any kind."""
+    return F.regexp_replace(col, r"^\s+|\s+$", "")
+
+
 def extract_number(col: Column, pattern: str) -> Column:
     """First group of the first match as a number; NULL without a match."""
     return F.nullif(F.regexp_extract(col, pattern, 1), F.lit("")).try_cast("double")
@@ -34,7 +39,7 @@ def strip_tags(col: Column) -> Column:
 
 
 def without_parentheses(col: Column) -> Column:
-    return F.trim(F.regexp_replace(col, PARENTHESES, ""))
+    return strip(F.regexp_replace(col, PARENTHESES, ""))
 
 
 def joined(separator: str, *cols: Column, null_if_missing: bool = False) -> Column:
@@ -94,19 +99,19 @@ def parse_list_literal(col: Column) -> Column:
     Quoted items keep the commas inside them. A list without quotes is split at commas, and an
     unreadable one with nothing in it is kept whole as a single label.
     """
-    text = F.trim(col)
+    text = strip(col)
     is_list = col.startswith("[") & col.endswith("]")
     body = F.substr(col, F.lit(2), F.greatest(F.length(col) - 2, F.lit(0)))
     quoted = r"""^\s*(?:u?'[^']*'|u?"[^"]*")(?:\s*,\s*(?:u?'[^']*'|u?"[^"]*"))*\s*,?\s*$"""
     tokens = F.regexp_extract_all(body, F.lit(r"""('[^']*'|"[^"]*")"""), F.lit(1))
     unquoted = F.transform(tokens, lambda t: F.substr(t, F.lit(2), F.length(t) - 2))
     bare = F.replace(F.replace(F.replace(body, F.lit("u'"), F.lit("")), F.lit("'"), F.lit("")), F.lit('"'), F.lit(""))
-    loose = F.filter(F.transform(F.split(bare, ","), lambda t: F.trim(t)), lambda t: t != "")
+    loose = F.filter(F.transform(F.split(bare, ","), strip), lambda t: t != "")
     loose = F.when(F.size(loose) > 0, loose).otherwise(F.array(text))
     empty = F.array().cast("array<string>")
     return (
         F.when(col.isNull(), F.array(F.lit("nan")))
-        .when(is_list & (F.trim(body) == ""), empty)
+        .when(is_list & (strip(body) == ""), empty)
         .when(is_list & body.rlike(quoted), unquoted)
         .when(is_list, loose)
         .otherwise(F.array(text))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldmark.functions.text import without_parentheses
+from foldmark.functions.text import strip, without_parentheses
 from foldmark.functions.values import as_number
 
 RUNS_PER_CELL = 3
@@ -70,7 +70,7 @@ def explode_runs(cells: DataFrame, cell: str = "cell") -> DataFrame:
     parts = F.split(F.col(cell), ",")
     alone = F.size(parts) == 1
     usable = F.filter(
-        F.transform(parts, lambda p, i: F.struct(F.trim(p).alias("raw"))),
+        F.transform(parts, lambda p: F.struct(strip(p).alias("raw"))),
         lambda s: ~s["raw"].isin(NO_RUN) & (~alone | as_number(s["raw"]).isNotNull()),
     )
     rest = [c for c in cells.columns if c != cell]
@@ -91,7 +91,7 @@ def valid_run_rate(runs: DataFrame, by: Sequence[str], raw: str = "raw") -> Data
 
 def parse_cell(cell: Column) -> dict[str, Column]:
     """``ok`` and ``total`` runs of a cell by the display rule."""
-    parts = F.transform(F.split(F.trim(cell), ","), lambda p: F.trim(p))
+    parts = F.transform(F.split(strip(cell), ","), strip)
     blank = cell.isNull() | (cell == "")
 
     def passes(p: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldmark.functions.text import base_name, first_part
+from foldmark.functions.text import base_name, first_part, strip
 from foldmark.functions.vectors import let
 
 # fixed values: report markers
@@ -30,7 +30,7 @@ BLOCK = 64  # lines per block of the containment join
 
 def _comment(line: Column) -> Column:
     """Text of a '# ...' line."""
-    return F.trim(F.regexp_replace(F.trim(line), "^#+", ""))
+    return strip(F.regexp_replace(strip(line), "^#+", ""))
 
 
 def parse_headers(reports: DataFrame, text: str = "text") -> DataFrame:
@@ -71,7 +71,7 @@ def leakage_counts(html: Column) -> Column:
     cells = F.transform(
         F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))),
         lambda r: F.transform(
-            F.regexp_extract_all(r, F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1)), lambda c: F.trim(_inner_text(c))
+            F.regexp_extract_all(r, F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1)), lambda c: strip(_inner_text(c))
         ),
     )
 

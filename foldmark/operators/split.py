@@ -96,6 +96,7 @@ def stratified_kfold(
     strata = list(strata)
     drawn = df.withColumn("_digest", row_digest(list(key), seed))
     distinct = drawn.select(*[F.col(s).alias(f"_s{i}") for i, s in enumerate(strata)], F.col("_digest").alias("_d")).distinct()
+    distinct = materialize(distinct, "stratum-keys")  # read twice below
     by = [f"_s{i}" for i in range(len(strata))]
     placed = positions(distinct, ["_d"], by, "_p", slice_by=digest_head(F.col("_d"), 3))
     dealt = placed.withColumn("fold", ((F.col("_p") - 1) % k).cast("int"))

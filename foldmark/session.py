@@ -33,8 +33,12 @@ def get_spark(cpus: int | str = "*", app: str = "foldmark", **conf: str) -> Spar
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Runtime settings the jobs rely on: UTC timestamps and AQE with skew splitting."""
+    """Runtime settings the jobs rely on: UTC timestamps and AQE with skew splitting.
+
+    Zone-less parquet timestamps are read as UTC instants, so that filters on them reach the scan.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     return spark

@@ -3,14 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from foldmark.session import configure
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table, with zone-less timestamps read as UTC instants."""
-    df = configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-    zoneless = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
-    return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
+    """One table of the folder."""
+    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")

@@ -9,7 +9,7 @@ TINY = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = get_spark(os.environ.get("TEST_CPUS", "4"), "foldmark-tests")
+    session = get_spark(os.environ.get("TEST_CPUS", "8"), "foldmark-tests")
     yield session
     session.stop()
 

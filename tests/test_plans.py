@@ -55,6 +55,8 @@ def test_hot_groups_are_windowed_in_slices(static, tiny):
 
 
 def test_filters_reach_the_scan(static, tiny):
+    late = table(static, tiny, "events").filter(F.col("ts") >= "2024-01-20").select("event_id")
+    assert "GreaterThanOrEqual(ts,2024-01-20" in plan(late)
     df = table(static, tiny, "events").filter((F.col("value") > 60) & (F.col("value") < 200)).select("event_id")
     text = plan(df)
     assert "PushedFilters: [IsNotNull(value), GreaterThan(value,60.0), LessThan(value,200.0)]" in text
