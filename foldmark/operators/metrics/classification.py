@@ -26,7 +26,8 @@ def roc_auc(df: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> Da
     """Exact area under the ROC curve with average ranks for ties.
 
     Rows are counted per distinct score; the running number of negatives is a sliced scan, so one
-    group with most of the rows is no special case. One class only, or a truth besides 0 and 1: NULL.
+    group with most of the rows is no special case. One class only, a truth besides 0 and 1, or a missing
+    score: NULL.
     """
     by = list(by)
     value = F.col(score).cast("double").alias("_s")
@@ -34,7 +35,7 @@ def roc_auc(df: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> Da
     counts = rows.groupBy(*by, "_s").agg(
         F.count_if(F.col("_y") == 1).alias("_pos"),
         F.count_if(F.col("_y") == 0).alias("_neg"),
-        F.count_if((~F.col("_y").isin(0.0, 1.0)) | F.col("_s").isNull()).alias("_odd"),
+        F.count_if((~F.col("_y").isin(0.0, 1.0)) | F.col("_s").isNull() | F.isnan("_s")).alias("_odd"),
     )
     counts = materialize(counts, "score-counts")  # the scan below reads it more than once
     below = running(counts, ["_s"], by, {"_below": F.col("_neg")}, before=True)
