@@ -40,12 +40,13 @@ def stratified_holdout(
 ) -> DataFrame:
     """``holdout`` of ceil(frac * n) rows within each stratum.
 
-    Counts per digest head locate the cut of every stratum; only the rows of that one head, about one
-    in 65,536, are ranked.
+    Counts per digest head locate the cut of every stratum; only the keys of that one head, some ten
+    thousand up to a million heads, are ranked.
     """
     strata = list(strata)
+    digits = min(5, max(1, math.ceil(math.log(max(df.count(), 1) / 10_000 + 1, 16))))
     drawn = df.withColumn("_digest", row_digest(list(key), seed))
-    lean = drawn.select(*strata, "_digest", digest_head(F.col("_digest"), 4).alias("_head"))
+    lean = drawn.select(*strata, "_digest", digest_head(F.col("_digest"), digits).alias("_head"))
     heads = lean.groupBy(*strata, "_head").agg(F.count(F.lit(1)).alias("_n"))
     stratum = Window.partitionBy(*strata)
     upto = stratum.orderBy("_head").rowsBetween(Window.unboundedPreceding, 0)
