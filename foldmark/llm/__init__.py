@@ -1 +1,10 @@
-"""Operators of a training-data pipeline. Nothing outside this package imports it."""
+"""Operators of a training-data pipeline. Nothing outside this package imports it.
+
+Functions that run in tasks travel with the job, so that executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

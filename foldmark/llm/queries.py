@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foldmark.llm import mixing, preference, simhash, urls
+from foldmark.llm import decontaminate, llr, mixing, preference, secret_scan, simhash, urls
 from foldmark.llm.common import table
 from foldmark.llm.registry import ORACLES, QUERIES, query
 
@@ -29,3 +29,18 @@ def op5(spark, sf):
 def op7(spark, sf):
     turns = table(spark, sf, "conversations")
     return preference.formatted(turns, preference.neighbour_pairs(turns))
+
+
+@query("op8_llr_rules")
+def op8(spark, sf):
+    return llr.judged(table(spark, sf, "documents"), llr.trusted_sample(table(spark, sf, "labels")))
+
+
+@query("op9_qgram_decontamination")
+def op9(spark, sf):
+    return decontaminate.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op10_secret_scan")
+def op10(spark, sf):
+    return secret_scan.report(table(spark, sf, "documents"))
