@@ -28,6 +28,7 @@ WEIGHTS = (1.0, 2.0, 3.0)  # of the sources by code point, repeating
 LIMIT = 3
 SEED = 7
 SLICE_ROWS = 2_000  # rows of the whole table per slice of keys
+OUTPUT = ("size", "source_size", "target", "taken")
 MARKS = "#*$%&|<>!~^={}[]"
 
 
@@ -88,10 +89,12 @@ def _edges(rows: DataFrame, goals: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, limit: int = LIMIT, seed: int = SEED, carry: Sequence[str] = ()) -> DataFrame:
-    """doc_id, size, source_size, target and taken per row, and the columns of ``carry``."""
+    """doc_id, size, source_size, target and taken per row, and the columns of ``carry``; columns named like a result give way."""
     text, size = F.col("text"), F.col("size")
-    rows = docs.select(*dict.fromkeys(["doc_id", "source", *carry]), n_words(text).alias("size"), "text")
-    rows = rows.withColumn("key", -F.log(draw(F.col("doc_id"), text, seed)) / quality_weight(text, size)).drop("text")
+    others = [c for c in dict.fromkeys(carry) if c not in ("doc_id", "source") and c not in OUTPUT]
+    rows = docs.select("doc_id", "source", *[F.col(c).alias(f"_carried_{c}") for c in others], n_words(text).alias("size"), F.col("text").alias("_text"))
+    key = -F.log(draw(F.col("doc_id"), F.col("_text"), seed)) / quality_weight(F.col("_text"), size)
+    rows = rows.withColumn("key", key).drop("_text")
     rows = materialize(rows, "mixing")
     goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -107,7 +110,8 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, limit: int = LIMI
     )
     out = rows.join(small_side(marks), F.col("source").eqNullSafe(F.col("_source")))
     taken = (F.col("epochs") * size + part).cast("long").alias("taken")
-    return out.select("doc_id", *[c for c in carry if c != "doc_id"], "size", "source_size", "target", taken)
+    brought = ["source"] * ("source" in carry) + [F.col(f"_carried_{c}").alias(c) for c in others]
+    return out.select("doc_id", *brought, "size", "source_size", "target", taken)
 
 
 ORACLE = """

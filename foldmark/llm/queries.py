@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foldmark.llm import decontaminate, llr, mixing, preference, secret_scan, simhash, urls
+from foldmark.llm import decontaminate, extract, llr, mixing, preference, quality, secret_scan, simhash, suffix_tree, urls
 from foldmark.llm.common import table
 from foldmark.llm.registry import ORACLES, QUERIES, query
 
@@ -44,3 +44,18 @@ def op9(spark, sf):
 @query("op10_secret_scan")
 def op10(spark, sf):
     return secret_scan.report(table(spark, sf, "documents"))
+
+
+@query("op2_quality_fm")
+def op2(spark, sf):
+    return quality.scored(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op4_suffix_tree_lm")
+def op4(spark, sf):
+    return suffix_tree.scored(table(spark, sf, "documents"))
+
+
+@query("op6_dom_extraction")
+def op6(spark, sf):
+    return extract.extracted(table(spark, sf, "pages"))
