@@ -224,7 +224,7 @@ def variant(paragraphs: list[str], others: list[str], draw: random.Random) -> tu
         ))()
 
     def talk() -> str:
-        each = "".join(block(draw.choice(("div", "li", "article")) if False else draw.choice(("div", "li")), "talk", f"<b>{say(1)[:14]}</b><p>{say(4)}</p>") for _ in range(draw.randint(1, 5)))
+        each = "".join(block(draw.choice(("div", "li")), "talk", f"<b>{say(1)[:14]}</b><p>{say(4)}</p>") for _ in range(draw.randint(1, 5)))
         return f'<{(t := draw.choice(("section", "div")))} {draw.choice(("class", "id"))}="{draw.choice(("comments", "comment-list", "discussion", "replies"))}"><h3>{say(1)[:20]}</h3>{each}</{t}>'
 
     body = []
@@ -315,7 +315,10 @@ def sample_of(pages: DataFrame, most: int = SAMPLE) -> list[tuple[str, str]]:
     """At most ``most`` pages for the fit, by digest of their address."""
     usable = pages.filter(F.length("html").between(1, SAMPLE_CHARS) & F.lower("html").rlike("<(article|main)[ >]"))
     name = F.md5(F.concat_ws("|", F.col("url"), F.col("page_id").cast("string")))
-    rows = usable.select(name.alias("name"), "html").orderBy("name", "html").limit(most).collect()
+    rows = usable.select(name.alias("name"), "html")
+    chosen = F.broadcast(rows.select("name").distinct().orderBy("name").limit(most))  # names only, pages stay where they are
+    rows = rows.join(chosen, "name", "left_semi").groupBy("name").agg(F.min("html").alias("html")).collect()
+    rows.sort(key=lambda r: r["name"])
     return [(r["name"], r["html"]) for r in rows]
 
 
