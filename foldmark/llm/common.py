@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from foldmark.tables import table as read_table
 
 WORD = r"[^\x20\x09-\x0D]+"
-BATCH_BYTES = 32 * 1024 * 1024  # of an Arrow batch; long texts come in smaller batches
+BATCH_BYTES = 16 * 1024 * 1024  # of an Arrow batch; long texts come in smaller batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -30,8 +30,8 @@ Q = 10
 RATE = 0.08
 LEAST = 24
 BLOCK_BYTES = 4 * 1024 * 1024
-STRETCH = 1 << 21  # bytes of documents whose q-grams are looked up at a time
-EXPANDED = 1 << 21  # hits that are expanded to (text, diagonal) at a time
+STRETCH = 1 << 20  # bytes of documents whose q-grams are looked up at a time
+EXPANDED = 1 << 20  # hits that are expanded to (text, diagonal) at a time
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[ord("A") : ord("Z") + 1] += 32
