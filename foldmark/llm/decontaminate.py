@@ -184,7 +184,8 @@ def matches(texts: Iterable[str | None], p: Patterns) -> list[dict[int, int]]:
         region = parts[d][start : max(0, low + 4 * k + 3 + len(p.texts[w]) + k)]
         if region.tobytes().find(p.texts[w]) >= 0:
             found = 0
-        else:
+        else:  # places before the document match nothing
+            region = np.concatenate((np.full(start - low, -1, np.int16), region.astype(np.int16)))
             found = distance(p.codes[w], region, k, 4 * k + 3)
         if found <= k:
             out[d][item] = min(found, out[d].get(item, found))

@@ -154,13 +154,13 @@ class Tree:
 
     def first(self, before: np.ndarray, pair: np.ndarray, base: np.ndarray) -> np.ndarray:
         """log10 probability from contexts of at most one symbol, given the root's."""
-        left = np.where(before >= 0, self.one_left[before], np.nan)
+        left = np.where(before >= 0, self.one_left[np.maximum(before, 0)], np.nan)
         explicit = self.pair_log[pair] if len(self.pairs) else base
         return np.where(np.isnan(left), base, np.where(pair >= 0, explicit, left + base))
 
     def scores(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per place of a stream, without what the root says of symbols without a number: log10 at the root, in the tree."""
-        base = np.where(stream >= 0, self.root[stream], 0.0)
+        base = np.where(stream >= 0, self.root[np.maximum(stream, 0)], 0.0)
         keys = _pair_keys(stream, self.size)
         pair = find(self.pairs, keys)
         before = np.append(-1, stream[:-1])

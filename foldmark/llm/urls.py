@@ -31,6 +31,7 @@ RULES = (
 )
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "com.br", "co.jp", "co.in", "co.nz", "com.cn", "com.mx")
 LIMIT = 0.5  # a host is blocked if its bad rate is above this
+WEAK = 2.0  # observations that a prior counts for where its strength cannot be told
 Z = 1.645  # with this many posterior standard deviations
 
 
@@ -72,7 +73,7 @@ def _strength(units: DataFrame, mean: str) -> float:
     ).first()
     total, squares, scatter, chance, spread = (x or 0.0 for x in seen)
     if total <= 0 or spread <= 0 or total * total <= squares:
-        return 100.0
+        return WEAK
     excess = (scatter - chance) / (spread / total * (total - squares / total))
     share = min(max(excess, 0.001), 0.5)
     return (1 - share) / share
@@ -85,18 +86,19 @@ def reputation(hosts: DataFrame, z: float = Z) -> DataFrame:
     total, bad = hosts.agg(F.sum("n"), F.sum("k")).first()
     overall = ((bad or 0) + 0.5) / ((total or 0) + 1.0)
     sums = [F.sum("n").alias("n"), F.sum("k").alias("k")]
-    parent = hosts.groupBy("suffix").agg(*sums).withColumn("prior", F.lit(overall))
+    parent = hosts.groupBy("suffix").agg(*sums).withColumns({"prior": F.lit(overall), "known": F.lit((total or 0) + 1.0)})
     tables = []
     for level in ("suffix", "domain", "host"):
         if level != "suffix":
             own = hosts.groupBy("suffix", "domain").agg(*sums) if level == "domain" else hosts
             key = "suffix" if level == "domain" else "domain"
-            above = tables[-1].select(F.col(key), F.col("rate").alias("prior"))
+            above = tables[-1].select(F.col(key), F.col("rate").alias("prior"), F.col("total").alias("known"))
             parent = own.join(small_side(above), key)
         parent = materialize(parent, "urls")
         m = _strength(parent, "prior")
-        good, total = m * F.col("prior") + F.col("k"), F.lit(m) + F.col("n")
-        tables.append(parent.withColumn("rate", good / total).withColumn("total", total))
+        weight = m * F.col("known") / (m + F.col("known"))  # a prior weighs no more than what is known of the parent
+        total = weight + F.col("n")
+        tables.append(parent.withColumn("rate", (weight * F.col("prior") + F.col("k")) / total).withColumn("total", total).drop("prior", "known"))
     rate = F.col("rate")
     return tables[-1].select("host", (rate - z * F.sqrt(rate * (1 - rate) / (F.col("total") + 1))).alias("bound"))
 
@@ -129,11 +131,12 @@ def outcomes_of(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _level(name: str, of: str, above: str, key: str) -> str:
     return f"""
-{name}_p AS (SELECT c.*, a.rate AS prior FROM {of} c JOIN {above} a USING ({key})),
+{name}_p AS (SELECT c.*, a.rate AS prior, a.total AS known FROM {of} c JOIN {above} a USING ({key})),
 {name}_x AS (SELECT sum(n)::DOUBLE AS t, sum(n * n)::DOUBLE AS s2, sum((k - n * prior) * (k - n * prior) / n) AS sc, sum(prior * (1 - prior)) AS ch, sum(n * prior * (1 - prior)) AS sp FROM {name}_p WHERE n > 0),
 {name}_y AS (SELECT CASE WHEN coalesce(t, 0) <= 0 OR sp <= 0 OR t * t <= s2 THEN NULL ELSE least(greatest((sc - ch) / (sp / t * (t - s2 / t)), 0.001), 0.5) END AS share FROM {name}_x),
-{name}_m AS (SELECT CASE WHEN share IS NULL THEN 100.0 ELSE (1 - share) / share END::DOUBLE AS m FROM {name}_y),
-{name} AS (SELECT p.*, (m * prior + k) / (m + n) AS rate, m + n AS total FROM {name}_p p, {name}_m)"""
+{name}_m AS (SELECT CASE WHEN share IS NULL THEN {WEAK} ELSE (1 - share) / share END::DOUBLE AS m FROM {name}_y),
+{name}_w AS (SELECT p.*, m * known / (m + known) AS weight FROM {name}_p p, {name}_m),
+{name} AS (SELECT * EXCLUDE (prior, known, weight), (weight * prior + k) / (weight + n) AS rate, weight + n AS total FROM {name}_w)"""
 
 
 _TWO = "('" + "','".join(TWO_LABEL_SUFFIXES) + "')"
@@ -147,7 +150,8 @@ h0 AS (SELECT host, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM (SELECT host,
 h1 AS (SELECT *, regexp_extract(host, '([^.]+\\.[^.]+)$', 1) IN {_TWO} AS two FROM h0),
 h2 AS (SELECT host, n, k, CASE WHEN two THEN regexp_extract(host, '((?:[^.]+\\.)?[^.]+\\.[^.]+)$', 1) ELSE regexp_extract(host, '((?:[^.]+\\.)?[^.]+)$', 1) END AS domain,
     CASE WHEN two THEN regexp_extract(host, '([^.]+\\.[^.]+)$', 1) ELSE regexp_extract(host, '([^.]+)$', 1) END AS suffix FROM h1),
-world AS (SELECT DISTINCT suffix, (SELECT (coalesce(sum(k), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1.0::DOUBLE) FROM h2) AS rate FROM h2),
+world AS (SELECT DISTINCT suffix, (SELECT (coalesce(sum(k), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1.0::DOUBLE) FROM h2) AS rate,
+    (SELECT coalesce(sum(n), 0) + 1.0::DOUBLE FROM h2) AS total FROM h2),
 s0 AS (SELECT suffix, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM h2 GROUP BY suffix),
 d0 AS (SELECT suffix, domain, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM h2 GROUP BY suffix, domain),
 {_level('s', 's0', 'world', 'suffix')},{_level('dm', 'd0', 's', 'suffix')},{_level('hm', 'h2', 'dm', 'domain')},
