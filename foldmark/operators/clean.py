@@ -44,8 +44,15 @@ def fit_modes(df: DataFrame, cols: Sequence[str]) -> dict[str, object]:
 
 
 def fill(df: DataFrame, fitted: Mapping[str, object]) -> DataFrame:
-    """Replace nulls by fitted values, which may come from another table than ``df``."""
-    return df.fillna({c: v for c, v in fitted.items() if v is not None})
+    """Replace nulls by fitted values, which may come from another table than ``df``.
+
+    An integer column that is filled with a fraction becomes double.
+    """
+    known = {c: v for c, v in fitted.items() if v is not None}
+    fractions = [c for c, v in known.items() if isinstance(v, float) and not v.is_integer()]
+    whole = ("tinyint", "smallint", "int", "bigint")
+    widened = {c: F.col(c).cast("double") for c in fractions if df.schema[c].dataType.simpleString() in whole}
+    return df.withColumns(widened).fillna(known)
 
 
 def missing_counts(df: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 """Ordered computation over groups of any size.
 
-A window over ``partitionBy(group)`` sorts a whole group in one task, and a group may be a third of
-the table. Groups, or the table as a whole where there are none, are therefore counted first. Ordinary
-ones are windowed as they are; hot ones are cut along the order into slices of near-equal row count. Each (group, slice) is windowed on its own, and a per-slice aggregate carries totals forward.
-The bounds of the slices come from an approximate quantile pass; they steer balance, never the result.
-A value so frequent that it fills slices by itself gets its own slice, cut again by the tie key.
+A window over ``partitionBy(group)`` sorts a whole group in one task, and a group may be a third of the table. Rows are
+therefore dealt out by ranges of (group, sort keys) into slices of near-equal row count, whatever the size of the table
+or of a group; all sort keys count, in Spark's own order of nulls and NaN. The slices are kept as a table, so that every
+later step sees the same ones. Each (group, slice) is windowed on its own, and an aggregate per slice carries totals
+forward for the few groups that span slices: at most two per slice, hence a broadcast of bounded size.
+
+The last sort key should be unique; rows that are equal in all keys stay in one slice.
 """
 
 from __future__ import annotations
@@ -17,14 +19,10 @@ from dataclasses import dataclass
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from foldmark.session import shuffle_partitions, small_side
+from foldmark.session import materialize, shuffle_partitions
 
 SLICE = "_slice"
-MAX_SLICES = 4096
-HOT_ROWS = 1_000_000  # rows of one group that a single task still sorts with ease
-ORDINARY = -1  # slice number of all rows of an ordinary group
 
 
 @dataclass(frozen=True)
@@ -46,42 +44,17 @@ def as_keys(order: Sequence[str | Key]) -> list[Key]:
 
 
 def default_slices(df: DataFrame) -> int:
-    return min(MAX_SLICES, 4 * shuffle_partitions(df.sparkSession))
-
-
-def _text_numbers(df: DataFrame, name: str) -> list[Column]:
-    """Two numbers that follow the byte order of a text column, from the bytes after its common prefix."""
-    low, high = df.agg(F.min(name), F.max(name)).first()
-    shared = 0
-    if low is not None:
-        a, b = low.encode(), high.encode()
-        while shared < min(len(a), len(b)) and a[shared] == b[shared]:
-            shared += 1
-    raw = F.hex(F.col(name).cast("binary"))
-
-    def chunk(start: int) -> Column:
-        digits = F.rpad(F.substring(raw, 2 * start + 1, 12), 12, "0")
-        return F.conv(digits, 16, 10).cast("double")
-
-    present = F.col(name).isNotNull()
-    return [F.when(present, chunk(shared)), F.when(present, chunk(shared + 6))]
-
-
-def _numbers(df: DataFrame, keys: Sequence[Key]) -> list[Column]:
-    """Numeric stand-ins for the sort keys, none decreasing where the key does not."""
-    out: list[Column] = []
-    for key in keys:
-        dtype = df.schema[key.name].dataType
-        if isinstance(dtype, T.StringType):
-            cols = _text_numbers(df, key.name)
-        elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            cols = [F.col(key.name).cast("timestamp").cast("double")]
-        elif isinstance(dtype, T.BooleanType):
-            cols = [F.col(key.name).cast("int").cast("double")]
-        else:
-            cols = [F.col(key.name).cast("double")]
-        out += cols if key.ascending else [-c for c in cols]
-    return out
+    return shuffle_partitions(df.sparkSession)
+
+
+def with_slices(
+    df: DataFrame, order: Sequence[str | Key], slices: int | None = None, by: Sequence[str] = ()
+) -> DataFrame:
+    """A kept copy of ``df`` with ``_slice``, which never decreases along ``by`` and ``order``."""
+    ranged = df.repartitionByRange(
+        slices or default_slices(df), *[F.col(c) for c in by], *[k.column() for k in as_keys(order)]
+    )
+    return materialize(ranged.withColumn(SLICE, F.spark_partition_id().cast("bigint")), "slices")
 
 
 def _cut(df: DataFrame, source: str, target: str, bounds: Sequence[float]) -> DataFrame:
@@ -90,86 +63,32 @@ def _cut(df: DataFrame, source: str, target: str, bounds: Sequence[float]) -> Da
     return cutter.transform(df)
 
 
-def _quantiles(df: DataFrame, name: str, probabilities: Sequence[float]) -> list[float]:
-    found = df.approxQuantile(name, list(probabilities), 1 / (4 * (len(probabilities) + 1)))
-    return [float(q) for q in found or [] if math.isfinite(q)]
-
-
-def with_slices(
-    df: DataFrame,
-    order: Sequence[str | Key],
-    slices: int | None = None,
-    bounds_from: DataFrame | None = None,
-) -> DataFrame:
-    """Add ``_slice``: a bigint that never decreases along ``order`` and holds few rows per value.
+def _grouped(by: Sequence[str]) -> Column:
+    """Whether a row has all keys of its group."""
+    whole = F.lit(True)
+    for c in by:
+        whole = whole & F.col(c).isNotNull()
+    return whole
 
-    ``bounds_from`` is a cheaper table with the same key columns to take the bounds from, such as the
-    rows before an aggregation.
-    """
-    keys = as_keys(order)
-    numbers = _numbers(df, keys[:2])[:2]
-    names = ["_k0", "_k1"][: len(numbers)]
-    keyed = df.withColumns(dict(zip(names, numbers)))
-    n = slices or default_slices(df)
-    probabilities = [i / n for i in range(1, n)]
-    basis = keyed if bounds_from is None else bounds_from.withColumns(dict(zip(names, numbers)))
-    basis = basis.select(names)
-    first = _quantiles(basis, "_k0", probabilities)
-    repeats = {v: c for v, c in Counter(first).items() if c > 1}
-    out = _cut(keyed, "_k0", "_s0", first)
-    hot = F.col("_k0").isin(list(repeats)) if repeats else F.lit(False)
-    hot = F.coalesce(hot, F.lit(False))
-    place = F.coalesce(F.col("_s0"), F.lit(float(len(first) + 2)))  # rows without a key come last
-    main = place.cast("bigint") * 2 + F.when(hot, 0).otherwise(1)
-    if repeats and len(names) > 1:
-        pieces = max(repeats.values()) + 1
-        frequent = basis.filter(F.col("_k0").isin(list(repeats)))
-        second = _quantiles(frequent, "_k1", [i / pieces for i in range(1, pieces)])
-        out = _cut(out, "_k1", "_s1", second)
-        within = F.coalesce(F.col("_s1"), F.lit(float(len(second) + 2))).cast("bigint")
-        main = main * (len(second) + 4) + F.when(hot, within).otherwise(F.lit(0).cast("bigint"))
-        names.append("_s1")
-    return out.withColumn(SLICE, main).drop(*names, "_s0")
-
-
-def _grouped_slices(
-    df: DataFrame,
-    keys: Sequence[Key],
-    by: Sequence[str],
-    slices: int | None,
-    bounds_from: DataFrame | None,
-    hot_rows: int,
-) -> tuple[DataFrame, bool]:
-    """Add ``_slice`` and tell whether any group was cut.
 
-    Ordinary groups are one slice. Rows without a group key form no group; they are only spread out.
-    """
+def _spanning(sliced: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The rows of groups that lie in several slices; only the first and last group of a slice can."""
     if not by:
-        if df.count() > hot_rows:
-            return with_slices(df, keys, slices, bounds_from), True
-        return df.withColumn(SLICE, F.lit(ORDINARY).cast("bigint")), False
-    present = F.lit(True)
-    for c in by:
-        present = present & F.col(c).isNotNull()
-    loose = -2 - F.pmod(F.xxhash64(*[k.name for k in keys]), F.lit(MAX_SLICES))
-    sizes = df.filter(present).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.filter(F.col("_n") > hot_rows).select(*by).persist()
-    if hot.limit(1).count() == 0:
-        return df.withColumn(SLICE, F.when(present, F.lit(ORDINARY).cast("bigint")).otherwise(loose)), False
-    basis = (df if bounds_from is None else bounds_from).join(small_side(hot), list(by), "left_semi")
-    cut = with_slices(df, keys, slices, basis)
-    marks = small_side(hot.select(*[F.col(c).alias(f"_h{i}") for i, c in enumerate(by)], F.lit(True).alias("_hot")))
-    same = [F.col(c) == F.col(f"_h{i}") for i, c in enumerate(by)]
-    number = F.when(F.col("_hot"), F.col(SLICE)).when(present, F.lit(ORDINARY).cast("bigint")).otherwise(loose)
-    marked = cut.join(marks, same, "left").withColumn(SLICE, number)
-    return marked.drop("_hot", *[f"_h{i}" for i in range(len(by))]), True
+        return sliced
+    group = F.struct(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)])
+    ends = sliced.filter(_grouped(by)).groupBy(SLICE).agg(F.min(group).alias("lo"), F.max(group).alias("hi"))
+    several = (
+        ends.select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias("g"))
+        .groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g.*")
+    )
+    return sliced.join(F.broadcast(several), [F.col(c) == F.col(f"_g{i}") for i, c in enumerate(by)], "left_semi")
 
 
 def _with_offsets(local: DataFrame, offsets: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Join the per-slice table; without groups it has one row per slice, else its size is measured."""
+    """Join the per-slice table: one row per slice, or per slice and spanning group."""
     match = [F.col(SLICE) == F.col("_slice_at")]
     match += [F.col(c) == F.col(f"_by{i}") for i, c in enumerate(by)]
-    return local.join(small_side(offsets) if by else F.broadcast(offsets), match, "left")
+    return local.join(F.broadcast(offsets), match, "left")
 
 
 def running(
@@ -180,15 +99,10 @@ def running(
     position: str | None = None,
     before: bool = False,
     slices: int | None = None,
-    slice_by: Column | None = None,
-    bounds_from: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Running sums and the 1-based position per group along ``order``.
 
     ``before=True`` leaves the current row out of the sums. Rows without a group key get nulls.
-    ``slice_by`` is a ready slice number that follows the order, such as the head of a digest;
-    ``bounds_from`` a cheaper table with the same key columns to take the bounds from.
     """
     keys = as_keys(order)
     by = list(by)
@@ -196,10 +110,7 @@ def running(
     if position:
         measures[position] = F.lit(1).cast("bigint")
     staged = df.withColumns({f"_v{i}": c for i, c in enumerate(measures.values())})
-    if slice_by is None:
-        sliced, cut = _grouped_slices(staged, keys, by, slices, bounds_from, hot_rows)
-    else:
-        sliced, cut = staged.withColumn(SLICE, slice_by), True
+    sliced = with_slices(staged, keys, slices, by)
 
     cell = Window.partitionBy(*by, SLICE).orderBy(*[k.column() for k in keys])
     upto = cell.rowsBetween(Window.unboundedPreceding, -1 if before else 0)
@@ -210,26 +121,21 @@ def running(
             for i, name in enumerate(measures)
         }
     )
-    earlier_sums = [F.lit(0)] * len(measures)
-    if cut:
-        totals = sliced.filter(F.col(SLICE) >= 0).groupBy(*by, SLICE).agg(
-            *[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(measures))]
-        )
-        earlier = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-        offsets = totals.select(
-            *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)],
-            F.col(SLICE).alias("_slice_at"),
-            *[F.sum(f"_t{i}").over(earlier).alias(f"_o{i}") for i in range(len(measures))],
-        )
-        local = _with_offsets(local, offsets, by)
-        earlier_sums = [F.coalesce(F.col(f"_o{i}"), F.lit(0)) for i in range(len(measures))]
-    grouped = F.lit(True)
-    for c in by:
-        grouped = grouped & F.col(c).isNotNull()
+    totals = _spanning(sliced, by).groupBy(*by, SLICE).agg(
+        *[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(measures))]
+    )
+    earlier = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)],
+        F.col(SLICE).alias("_slice_at"),
+        *[F.sum(f"_t{i}").over(earlier).alias(f"_o{i}") for i in range(len(measures))],
+    )
+    local = _with_offsets(local, offsets, by)
+    earlier_sums = [F.coalesce(F.col(f"_o{i}"), F.lit(0)) for i in range(len(measures))]
     return local.select(
         *[c for c in df.columns if c not in measures],
         *[
-            F.when(grouped, F.col(f"_l{i}") + earlier_sums[i]).alias(name)
+            F.when(_grouped(by), F.col(f"_l{i}") + earlier_sums[i]).alias(name)
             for i, name in enumerate(measures)
         ],
     )
@@ -241,11 +147,9 @@ def positions(
     by: Sequence[str] = (),
     name: str = "position",
     slices: int | None = None,
-    slice_by: Column | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """1-based position of every row, per group or over the whole table."""
-    return running(df, order, by, position=name, slices=slices, slice_by=slice_by, hot_rows=hot_rows)
+    return running(df, order, by, position=name, slices=slices)
 
 
 def lagged(
@@ -256,7 +160,6 @@ def lagged(
     steps: int,
     prefix: str,
     slices: int | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Columns ``prefix1..prefixN`` with the values 1..N rows earlier in the group.
 
@@ -266,22 +169,16 @@ def lagged(
     keys = as_keys(order)
     by = list(by)
     names = [f"{prefix}{k}" for k in range(1, steps + 1)]
-    sliced, cut = _grouped_slices(df, keys, by, slices, None, hot_rows)
+    sliced = with_slices(df, keys, slices, by)
     cell = Window.partitionBy(*by, SLICE).orderBy(*[k.column() for k in keys])
     local = sliced.withColumns({f"_in{k}": F.lag(value, k).over(cell) for k in range(1, steps + 1)})
-    grouped = F.lit(True)
-    for c in by:
-        grouped = grouped & F.col(c).isNotNull()
-    if not cut:
-        return local.select(*df.columns, *[F.when(grouped, F.col(f"_in{k}")).alias(n) for k, n in enumerate(names, 1)])
-
     backwards = [
         F.col(k.name).desc_nulls_first() if k.ascending else F.col(k.name).asc_nulls_first() for k in keys
     ]
     back = Window.partitionBy(*by, SLICE).orderBy(*backwards)
     boxed = F.struct(F.col(value).alias("v"))
     tails = (
-        sliced.filter(F.col(SLICE) >= 0)
+        _spanning(sliced, by)
         .withColumn("_from_end", F.row_number().over(back))
         .filter(F.col("_from_end") <= steps)
         .groupBy(*by, SLICE)
@@ -300,7 +197,7 @@ def lagged(
         need = F.lit(k) - F.col("_row") + 1
         carry = F.when(F.size("_carry") >= need, F.element_at("_carry", -need)["v"])
         inside = F.col(f"_in{k}")
-        return F.when(grouped, F.when((F.col("_row") > k) | F.col("_carry").isNull(), inside).otherwise(carry))
+        return F.when(_grouped(by), F.when((F.col("_row") > k) | F.col("_carry").isNull(), inside).otherwise(carry))
 
     return joined.select(*df.columns, *[pick(k).alias(n) for k, n in enumerate(names, 1)])
 
@@ -343,13 +240,17 @@ def keys_at(
 
 
 def not_after(keys: Sequence[str | Key], bound: tuple) -> Column:
-    """Row sorts at or before ``bound`` along ``keys``; rows without a key value sort after it."""
+    """Row sorts at or before ``bound`` along ``keys``, nulls last in both directions, NaN above all numbers."""
     result: Column = F.lit(True)
     for key, value in reversed(list(zip(as_keys(keys), bound))):
-        col, edge = F.col(key.name), F.lit(value)
+        col = F.col(key.name)
+        if value is None:
+            result = col.isNotNull() | result
+            continue
+        edge = F.lit(value)
         ahead = (col < edge) if key.ascending else (col > edge)
-        result = ahead | ((col == edge) & result)
-    return F.coalesce(result, F.lit(False))
+        result = F.coalesce(ahead, F.lit(False)) | (col.eqNullSafe(edge) & result)
+    return result
 
 
 def exact_quantiles(

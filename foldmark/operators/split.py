@@ -44,7 +44,7 @@ def stratified_holdout(
     thousand up to a million heads, are ranked.
     """
     strata = list(strata)
-    digits = min(5, max(1, math.ceil(math.log(max(df.count(), 1) / 10_000 + 1, 16))))
+    digits = min(8, max(1, math.ceil(math.log(max(df.count(), 1) / 10_000 + 1, 16))))
     drawn = df.withColumn("_digest", row_digest(list(key), seed))
     lean = drawn.select(*strata, "_digest", digest_head(F.col("_digest"), digits).alias("_head"))
     heads = lean.groupBy(*strata, "_head").agg(F.count(F.lit(1)).alias("_n"))
@@ -60,7 +60,7 @@ def stratified_holdout(
             (F.col("_want") - F.col("_upto") + F.col("_n")).alias("_rest"),
         )
     )
-    same = [F.col(s) == F.col(f"_s{i}") for i, s in enumerate(strata)]
+    same = [F.col(s).eqNullSafe(F.col(f"_s{i}")) for i, s in enumerate(strata)]
     at_cut = lean.join(small_side(cut_heads), same + [F.col("_head") == F.col("_cut_head")])
     rank = stratum.orderBy("_digest").rowsBetween(Window.unboundedPreceding, 0)
     cuts = (
@@ -76,13 +76,13 @@ def stratified_holdout(
 
 
 def quantile_bins(df: DataFrame, col: str, q: int = 10, out: str = "bin") -> DataFrame:
-    """Bin number by exact quantiles, right-closed; equal bounds merge."""
+    """Bin number by exact quantiles, right-closed; equal bounds merge; rows without a value share the bin -1."""
     inner = exact_quantiles(df, [col], [i / q for i in range(q + 1)])[col]
     bounds = sorted({b for b in inner if b is not None})[1:-1]
     number = F.lit(0)
     for b in bounds:
         number = number + (F.col(col) > b).cast("int")
-    return df.withColumn(out, number)
+    return df.withColumn(out, F.coalesce(number, F.lit(-1)))
 
 
 def kfold(df: DataFrame, key: Sequence[str], k: int, seed: int = 42) -> DataFrame:
@@ -99,9 +99,10 @@ def stratified_kfold(
     distinct = drawn.select(*[F.col(s).alias(f"_s{i}") for i, s in enumerate(strata)], F.col("_digest").alias("_d")).distinct()
     distinct = materialize(distinct, "stratum-keys")  # read twice below
     by = [f"_s{i}" for i in range(len(strata))]
-    placed = positions(distinct, ["_d"], by, "_p", slice_by=digest_head(F.col("_d"), 3))
+    boxed = [f"_b{i}" for i in range(len(strata))]  # a null in a struct is a group like any other
+    placed = positions(distinct.withColumns(dict(zip(boxed, [F.struct(c) for c in by]))), ["_d"], boxed, "_p")
     dealt = placed.withColumn("fold", ((F.col("_p") - 1) % k).cast("int"))
-    same = [F.col(s) == F.col(f"_s{i}") for i, s in enumerate(strata)]
+    same = [F.col(s).eqNullSafe(F.col(f"_s{i}")) for i, s in enumerate(strata)]
     joined = drawn.join(dealt, [*same, F.col("_digest") == F.col("_d")], "left")
     return joined.select(*df.columns, "fold")
 

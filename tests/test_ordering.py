@@ -4,7 +4,11 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from foldmark.operators.ordering import (
+    SLICE,
     Key,
     exact_quantiles,
     keys_at,
@@ -12,6 +16,7 @@ from foldmark.operators.ordering import (
     not_after,
     positions,
     running,
+    with_slices,
 )
 
 
@@ -32,10 +37,10 @@ def rows():
     )
 
 
-@pytest.mark.parametrize("hot_rows", [40, 10**9])
-def test_positions_per_group(spark, rows, hot_rows):
+@pytest.mark.parametrize("slices", [1, 8, 40])
+def test_positions_per_group(spark, rows, slices):
     df = spark.createDataFrame(rows)
-    got = positions(df, ["ts", "id"], ["user"], hot_rows=hot_rows).toPandas().set_index("id")["position"]
+    got = positions(df, ["ts", "id"], ["user"], slices=slices).toPandas().set_index("id")["position"]
     want = rows.sort_values(["ts", "id"]).assign(p=lambda d: d.groupby("user").cumcount() + 1)
     assert (got.sort_index() == want.set_index("id")["p"].sort_index()).all()
 
@@ -43,27 +48,27 @@ def test_positions_per_group(spark, rows, hot_rows):
 def test_missing_keys(spark):
     rows = [(1, "a", 5), (2, "a", None), (3, None, 1), (4, "a", 2), (5, None, None), (6, "b", None)]
     df = spark.createDataFrame(rows, "id int, g string, t int")
-    for hot in (0, 100):
-        got = {r["id"]: r["position"] for r in positions(df, ["t", "id"], ["g"], hot_rows=hot).collect()}
+    for hot in (1, 5):
+        got = {r["id"]: r["position"] for r in positions(df, ["t", "id"], ["g"], slices=hot).collect()}
         assert got == {1: 2, 2: 3, 3: None, 4: 1, 5: None, 6: 1}
-        lag = {r["id"]: r["x1"] for r in lagged(df, ["t", "id"], ["g"], "id", 1, "x", hot_rows=hot).collect()}
+        lag = {r["id"]: r["x1"] for r in lagged(df, ["t", "id"], ["g"], "id", 1, "x", slices=hot).collect()}
         assert lag == {1: 4, 2: 1, 3: None, 4: None, 5: None, 6: None}
-    for hot in (0, 100):
-        whole = {r["id"]: r["position"] for r in positions(df, ["t", "id"], hot_rows=hot).collect()}
+    for hot in (1, 5):
+        whole = {r["id"]: r["position"] for r in positions(df, ["t", "id"], slices=hot).collect()}
         assert whole == {3: 1, 4: 2, 1: 3, 2: 4, 5: 5, 6: 6}
     assert keys_at(df, ["t", "id"], [3, 4, 6])[1] == {3: (5, 1), 4: (None, 2), 6: (None, 6)}
 
 
 def test_positions_of_the_whole_table(spark, rows):
     df = spark.createDataFrame(rows)
-    got = positions(df, [Key("ts", False), Key("id")], hot_rows=40).toPandas().set_index("id")["position"]
+    got = positions(df, [Key("ts", False), Key("id")], slices=16).toPandas().set_index("id")["position"]
     want = rows.sort_values(["ts", "id"], ascending=[False, True]).reset_index(drop=True)
     assert (got.sort_index() == pd.Series(range(1, len(want) + 1), want["id"]).sort_index()).all()
 
 
 def test_positions_by_text(spark, rows):
     df = spark.createDataFrame(rows)
-    got = positions(df, ["name", "id"], hot_rows=40).toPandas().set_index("id")["position"]
+    got = positions(df, ["name", "id"], slices=16).toPandas().set_index("id")["position"]
     want = rows.sort_values(["name", "id"]).reset_index(drop=True)
     assert (got.sort_index() == pd.Series(range(1, len(want) + 1), want["id"]).sort_index()).all()
 
@@ -72,16 +77,16 @@ def test_running_sum_inclusive_and_before(spark, rows):
     df = spark.createDataFrame(rows)
     ordered = rows.sort_values(["ts", "id"])
     want = ordered.assign(s=ordered.groupby("user")["x"].cumsum()).set_index("id")["s"].sort_index()
-    got = running(df, ["ts", "id"], ["user"], sums={"s": df["x"]}, hot_rows=40).toPandas()
+    got = running(df, ["ts", "id"], ["user"], sums={"s": df["x"]}, slices=16).toPandas()
     assert np.allclose(got.set_index("id")["s"].sort_index(), want)
-    got = running(df, ["ts", "id"], ["user"], sums={"s": df["x"]}, before=True, hot_rows=40).toPandas().set_index("id")
+    got = running(df, ["ts", "id"], ["user"], sums={"s": df["x"]}, before=True, slices=16).toPandas().set_index("id")
     assert np.allclose((got["s"] + got["x"]).sort_index(), want)
 
 
-@pytest.mark.parametrize("hot_rows", [40, 10**9])
-def test_lagged_across_slices(spark, rows, hot_rows):
+@pytest.mark.parametrize("slices", [1, 8, 40])
+def test_lagged_across_slices(spark, rows, slices):
     df = spark.createDataFrame(rows)
-    got = lagged(df, ["ts", "id"], ["user"], "x", 3, "lag", hot_rows=hot_rows).toPandas().set_index("id").sort_index()
+    got = lagged(df, ["ts", "id"], ["user"], "x", 3, "lag", slices=slices).toPandas().set_index("id").sort_index()
     ordered = rows.sort_values(["ts", "id"])
     for k in (1, 2, 3):
         want = ordered.assign(w=ordered.groupby("user")["x"].shift(k)).set_index("id")["w"].sort_index()
@@ -107,8 +112,30 @@ def test_exact_quantiles(spark, rows):
 
 
 def test_slices_stay_small_under_skew(spark, rows):
-    from foldmark.operators.ordering import SLICE, with_slices
-
     df = spark.createDataFrame(rows)
     biggest = with_slices(df, ["ts", "id"], 32).groupBy(SLICE).count().agg({"count": "max"}).first()[0]
     assert biggest <= 3 * len(rows) / 32
+
+
+@pytest.mark.parametrize("down", [False, True])
+def test_nan_and_null_keys(spark, down):
+    """Slices follow the window's own order of NaN and NULL, in both directions."""
+    rng = np.random.default_rng(3)
+    rows = [(i, None if i % 11 == 0 else float("nan") if i % 7 == 0 else float(rng.integers(0, 90))) for i in range(1200)]
+    df = spark.createDataFrame(rows, "id int, v double")
+    key = Key("v", not down)
+    got = {r["id"]: r["position"] for r in positions(df, [key, "id"], slices=8).collect()}
+    plain = df.withColumn("p", F.row_number().over(Window.orderBy(key.column(), "id"))).collect()
+    assert got == {r["id"]: r["p"] for r in plain}
+    total, found = keys_at(df, [key, "id"], [300, 1150], 8)
+    for p, bound in found.items():
+        assert df.filter(not_after([key, "id"], bound)).count() == p
+
+
+def test_long_shared_prefixes_are_cut(spark):
+    rows = [(i, f"https://www.example.com/a/long/way/{i:06d}" if i else "ftp://x") for i in range(4000)]
+    df = spark.createDataFrame(rows, "id int, url string")
+    sizes = with_slices(df, ["url", "id"], 16).groupBy(SLICE).count()
+    assert sizes.agg({"count": "max"}).first()[0] <= 3 * 4000 / 16
+    got = {r["id"]: r["position"] for r in positions(df, ["url", "id"], slices=16).collect()}
+    assert got == {i: i + 1 for i in range(4000)}
