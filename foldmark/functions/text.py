@@ -119,9 +119,9 @@ def parse_list_literal(col: Column) -> Column:
 
 
 def parse_ints(col: Column) -> Column:
-    """White-space separated integers to an array; other tokens are dropped; NULL gives []."""
+    """White-space separated integers to an array; other tokens and too large ones are dropped; NULL gives []."""
     digits = F.filter(F.split(F.coalesce(col, F.lit("")), r"\s+"), lambda w: w.rlike("^[0-9]+$"))
-    return F.transform(digits, lambda w: w.cast("bigint"))
+    return F.filter(F.transform(digits, lambda w: w.try_cast("bigint")), lambda n: n.isNotNull())
 
 
 def word_total(col: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from foldmark.operators import split
 from foldmark.operators.metrics.registry import metric_named
+from foldmark.session import materialize
 
 # fixed values: names of the user functions
 STAGED = ("train", "prepare_val", "predict")
@@ -48,18 +49,24 @@ def evaluate_submission(
     out = None
     for i in range(n_folds):
         parts = split.project_role(folds.filter(F.col("fold") == i).drop("fold"), target, ids=key)
+        lost = None
         try:
             pred = run_submission(code, parts["train"], parts["x_val"]).select(*key, "prediction")
+            pred = materialize(pred, "predictions")  # user code that fails in a task fails here
             paired = parts["y_val"].join(pred, key, "left")
-            scored = metric_named(metric)(paired.filter("prediction IS NOT NULL"), target, "prediction")
-            lost = paired.agg(F.count_if(F.col("prediction").isNull()).alias("unmatched"))
-            line = lost.crossJoin(F.broadcast(scored)).select(
+            lost = paired.agg(F.count_if(F.col("prediction").isNull())).first()[0]
+            twice = pred.groupBy(*key).count().filter("count > 1").count()
+            if lost or twice:
+                raise ValueError(f"{lost} rows without a prediction, {twice} keys with several")
+            scored = metric_named(metric)(paired, target, "prediction")
+            line = scored.select(
                 F.lit(i).alias("fold"), F.col("score").cast("double").alias("score"),
-                F.col("score").isNotNull().alias("success"), F.lit(None).cast("string").alias("error"), "unmatched",
+                F.col("score").isNotNull().alias("success"), F.lit(None).cast("string").alias("error"),
+                F.lit(0).cast("bigint").alias("unmatched"),
             )
         except Exception as e:  # noqa: BLE001 - user code may raise anything
             line = spark.createDataFrame(
-                [(i, None, False, f"{type(e).__name__}: {e}", None)],
+                [(i, None, False, f"{type(e).__name__}: {e}".split("\n")[0], lost)],
                 "fold INT, score DOUBLE, success BOOLEAN, error STRING, unmatched BIGINT",
             )
         out = line if out is None else out.unionByName(line)

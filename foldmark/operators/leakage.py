@@ -100,7 +100,7 @@ def button_lines(html: Column, call: str) -> Column:
     wanted = F.filter(buttons, lambda b: F.contains(b, F.lit(label)))
     lists = F.transform(wanted, lambda b: F.regexp_extract(b, rf"{call}\(\[(.+?)\]\)", 1))
     numbers = F.transform(lists, lambda s: F.regexp_extract_all(s, F.lit(r"(\d+)"), F.lit(1)))
-    return F.transform(F.flatten(numbers), lambda d: d.cast("int"))
+    return F.filter(F.transform(F.flatten(numbers), lambda d: d.try_cast("int")), lambda n: n.isNotNull())
 
 
 def parse_reports(reports: DataFrame, html: str = "html") -> DataFrame:

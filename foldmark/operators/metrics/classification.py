@@ -30,8 +30,8 @@ def roc_auc(df: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> Da
     score: NULL.
     """
     by = list(by)
-    value = F.col(score).cast("double").alias("_s")
-    rows = df.filter(F.col(truth).isNotNull()).select(*by, F.col(truth).cast("double").alias("_y"), value)
+    value = F.col(score).try_cast("double").alias("_s")
+    rows = df.filter(F.col(truth).isNotNull()).select(*by, F.col(truth).try_cast("double").alias("_y"), value)
     counts = rows.groupBy(*by, "_s").agg(
         F.count_if(F.col("_y") == 1).alias("_pos"),
         F.count_if(F.col("_y") == 0).alias("_neg"),
@@ -152,7 +152,7 @@ def log_loss(
         total = F.aggregate(prob, F.lit(0.0), lambda a, x: a + x.cast("double"))
         bad = chance.isNull() | (F.abs(total - 1) > 1e-6)
     else:
-        p = F.col(prob).cast("double")
+        p = F.col(prob).try_cast("double")
         chance = F.when(F.col(truth) == 1, p).when(F.col(truth) == 0, 1 - p)
         bad = chance.isNull() | (p < 0) | (p > 1)
     clipped = F.least(F.greatest(chance, F.lit(eps)), F.lit(1 - eps))

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from foldmark.functions.text import parse_ints, parse_list_literal
 from foldmark.operators.metrics import multilabel, ranking, regression
 from foldmark.operators.metrics.registry import metric_named
+from foldmark.session import small_side
 
 log = logging.getLogger(__name__)
 
@@ -40,6 +41,31 @@ def _paired(truth: DataFrame, pred: DataFrame, key: Sequence[str], keep: Sequenc
     return pred.join(right, list(key), "inner")
 
 
+NUMBERS = ("squared", "absolute", "wmae", "r2", "roc_auc", "log_loss")  # parts of the names of metrics of numbers
+
+
+def _faults(truth: DataFrame, pred: DataFrame, entry: Mapping, key: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """``by`` + ``fault``: what keeps a submission from being complete, NULL if nothing does.
+
+    Missing, doubled and extra keys, and texts where the metric needs numbers.
+    """
+    expected = truth.select(*key).distinct().withColumn("_known", F.lit(True))
+    total = expected.count()
+    metric = entry.get("metric", "accuracy_score")
+    text = "prediction" in pred.columns and isinstance(pred.schema["prediction"].dataType, T.StringType)
+    odd = F.lit(False)
+    if text and any(part in metric for part in NUMBERS):
+        odd = F.col("prediction").isNotNull() & F.col("prediction").try_cast("double").isNull()
+    keys = pred.groupBy(*by, *key).agg(F.count(F.lit(1)).alias("_n"), F.count_if(odd).alias("_odd"))
+    counts = keys.join(expected, list(key), "left").groupBy(*by).agg(
+        (F.lit(total) - F.count("_known")).alias("missing"), F.count_if(F.col("_n") > 1).alias("doubled"),
+        F.count_if(F.col("_known").isNull()).alias("extra"), F.sum("_odd").alias("not_numeric"),
+    )
+    parts = [F.when(F.col(c) > 0, F.concat(F.col(c), F.lit(f" {c}"))) for c in ("missing", "doubled", "extra", "not_numeric")]
+    said = F.concat_ws(", ", *parts)
+    return counts.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], F.when(said != "", said).alias("fault"))
+
+
 def grade_default(truth, pred, entry, key, by, **_) -> DataFrame:
     """The catalog's metric on ``prediction``, or on one prediction column per target."""
     metric, targets = entry.get("metric", "accuracy_score"), _targets(entry)
@@ -157,7 +183,8 @@ def grade(
     """``by`` + ``score`` + ``error`` by the entry's grader and metric.
 
     Ranking graders need the ``by`` columns in the truth as well, so that users a submission left out are seen.
-    An unknown grader or metric is an error; input it cannot work on gives a NULL score.
+    An unknown grader or metric is an error; input it cannot work on gives a NULL score, and so does an incomplete
+    submission under the default grader, with the counts of what is missing, doubled, extra or no number as its error.
     """
     name = entry.get("grader") or "default"
     if name not in GRADERS:
@@ -167,6 +194,13 @@ def grade(
     by = list(by)
     try:
         scored = GRADERS[name](truth, pred, entry, list(key), by, user=user, item=item)
+        if name == "default":
+            faults = small_side(_faults(truth, pred, entry, list(key), by))
+            same = [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(by)]
+            both = faults.join(scored, same, "left") if by else faults.crossJoin(scored)
+            given = [F.col(f"_b{i}").alias(c) for i, c in enumerate(by)]
+            score = F.when(F.col("fault").isNull(), F.col("score").cast("double"))
+            return both.select(*given, score.alias("score"), F.col("fault").alias("error"))
         return scored.select(*by, F.col("score").cast("double").alias("score"), F.lit(None).cast("string").alias("error"))
     except (AnalysisException, ValueError) as e:
         log.error("grading failed: %s", e)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 
 def _pairs(df: DataFrame, truth: str, pred: str) -> tuple[Column, Column]:
-    return F.col(truth).cast("double"), F.col(pred).cast("double")
+    """Both as numbers; a text that is no number is null, which ``grade`` counts."""
+    return F.col(truth).try_cast("double"), F.col(pred).try_cast("double")
 
 
 def mse(df: DataFrame, truth: str, pred: str, by: Sequence[str] = ()) -> DataFrame:

@@ -99,7 +99,7 @@ def out_of_fold(
     """``key`` + ``fold`` + ``prediction`` of the model that did not see the row."""
     out = None
     for i in range(k):
-        model = estimator.fit(df.filter(F.col(fold) != i))
+        model = estimator.fit(df.filter(~F.col(fold).eqNullSafe(i)))
         part = predict(model, df.filter(F.col(fold) == i), [*key, fold])
         out = part if out is None else out.unionByName(part)
     return out
@@ -133,11 +133,13 @@ def oof_target_mean(df: DataFrame, group: str, target: str, fold: str, out: str)
     rest = per_fold.crossJoin(F.broadcast(whole)).select(
         fold, F.try_divide(F.col("_as") - F.col("_fs"), F.col("_an") - F.col("_fn")).alias("_prior")
     )
-    means = cells.join(groups, group).join(F.broadcast(rest), fold).select(
-        group, fold,
+    groups = groups.withColumnRenamed(group, "_g")
+    means = cells.join(groups, F.col(group).eqNullSafe(F.col("_g"))).join(F.broadcast(rest), fold).select(
+        F.col(group).alias("_g"), F.col(fold).alias("_f"),
         F.coalesce(F.try_divide(F.col("_gs") - F.col("_s"), F.col("_gn") - F.col("_n")), "_prior").alias(out),
     )
-    return df.join(small_side(means), [group, fold], "left")
+    same = F.col(group).eqNullSafe(F.col("_g")) & (F.col(fold) == F.col("_f"))
+    return df.join(small_side(means), same, "left").drop("_g", "_f")
 
 
 def mean_ensemble(predictions: DataFrame, key: Sequence[str], models: Sequence | None = None) -> DataFrame:
@@ -167,8 +169,11 @@ def decide(probability: Column, threshold: float = 0.5, inclusive: bool = True)
 def compare_models(
     predictions: DataFrame, truth: str, pred: str, metrics: Sequence[str], by: str = "model"
 ) -> DataFrame:
-    """One row per model, one column per metric; metrics from class counts share one pass."""
-    shared = [m for m in metrics if m in CLASS_SCORES]
+    """One row per model, one column per metric; metrics from class counts share one pass.
+
+    Accuracy is the registry's, which counts a missing prediction as wrong.
+    """
+    shared = [m for m in metrics if m in CLASS_SCORES and not m.startswith("accuracy")]
     out = class_scores(predictions, truth, pred, [by], shared) if shared else None
     for name in metrics:
         if name not in shared:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from foldmark.functions import dates, text, values, vectors
 from foldmark.operators import clean
 from foldmark.plans import query
-from foldmark.session import spread
 from foldmark.tables import table
 
 
@@ -407,7 +406,7 @@ def str2(spark, sf):
 
 @query("STR3_strip_tags", "SELECT page_id, lower(regexp_replace(html, '<[^>]+>', '', 'g')) AS plain FROM pages")
 def str3(spark, sf):
-    pages = spread(table(spark, sf, "pages").select("page_id", "html"), "page_id")
+    pages = table(spark, sf, "pages").select("page_id", "html")
     return pages.select("page_id", text.strip_tags(F.col("html")).alias("plain"))
 
 
@@ -427,7 +426,7 @@ def str4(spark, sf):
     stats["mean_word_length"] = r(stats["mean_word_length"])
     stats["capital_ratio"] = r(stats["capital_ratio"])
     stats["tag_count"] = text.comma_count(text.joined(",", F.col("lang"), F.col("source")))
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
     return docs.select("doc_id", *[c.alias(n) for n, c in stats.items()])
 
 

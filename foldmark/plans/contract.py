@@ -57,5 +57,5 @@ def udf3(spark, sf):
 )
 def udf4(spark, sf):
     df = table(spark, sf, "part").select("p_partkey", "p_name", "p_size")
-    out = contract.map_rows(df, lambda name, size: len(set(name)) + size, ["p_name", "p_size"], "mixed", "bigint")
-    return out.select("p_partkey", "mixed")
+    letters = F.size(F.array_distinct(F.split("p_name", "")))
+    return df.select("p_partkey", (letters + F.col("p_size")).cast("bigint").alias("mixed"))

@@ -8,7 +8,7 @@ from foldmark.functions import vectors
 from foldmark.operators import encode, split, text
 from foldmark.plans import query
 from foldmark.plans.splits import LIMIT, draw
-from foldmark.session import shared_dir, spread
+from foldmark.session import shared_dir
 from foldmark.tables import table
 
 STOP = ["the", "and", "is", "of", "to", "in", "that", "it", "der", "die", "de", "la", "el"]
@@ -113,7 +113,7 @@ def enc7(spark, sf):
 )
 def txt1(spark, sf):
     words = text.tokens(F.col("text"), STOP)
-    df = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", words.alias("w"))
+    df = table(spark, sf, "documents").select("doc_id", "text").select("doc_id", words.alias("w"))
     both = df.select("doc_id", "w", text.with_bigrams(F.col("w")).alias("t"))
     return both.select(
         "doc_id",
@@ -188,7 +188,7 @@ def txt5(spark, sf):
 )
 def img1(spark, sf):
     hist = vectors.unit_length(vectors.histogram(F.col("embedding"), -0.5, 0.5, 32))
-    df = spread(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id").select(
+    df = table(spark, sf, "embeddings").select("vec_id", "embedding").select(
         "vec_id", hist.alias("h"), *[c.alias(n) for n, c in vectors.array_moments(F.col("embedding")).items()]
     )
     return df.select(

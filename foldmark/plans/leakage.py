@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from foldmark.operators import leakage as lk
 from foldmark.plans import query
-from foldmark.session import spread
 from foldmark.tables import table
 
 
@@ -65,7 +64,7 @@ def pages(spark, sf):
         ).otherwise(""),
         F.lit("</body></html>"),
     )
-    events = spread(table(spark, sf, "events").select("event_id", "user_id", "event_type"), "event_id")
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type")
     return events.select("event_id", F.when(k % 11 != 0, html).alias("html"))
 
 

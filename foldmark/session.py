@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +59,7 @@ def shared_root(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         root = tempfile.mkdtemp(prefix="foldmark-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(root)
     return root
 
@@ -76,12 +79,13 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan with fewer splits than cores, as of one small file, for costly work per row."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
+def _width(field: T.StructField) -> Column:
+    """Bytes that a value takes, about."""
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.octet_length(field.name)
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return 2 * F.octet_length(F.to_json(F.struct(F.col(f"`{field.name}`"))))
+    return F.lit(16)
 
 
 def small_side(
@@ -92,10 +96,7 @@ def small_side(
     ``df`` is an aggregate or a dimension, kept so that the check and the join compute it once.
     """
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    wide = [
-        F.octet_length(f.name) if isinstance(f.dataType, T.StringType) else F.lit(16)
-        for f in df.schema.fields
-    ]
+    wide = [_width(f) for f in df.schema.fields]
     width = sum((F.coalesce(w, F.lit(0)) for w in wide[1:]), F.coalesce(wide[0], F.lit(0)))
     rows, size = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     if rows <= max_rows and size <= max_bytes:

@@ -9,17 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 
+def _replaced(df: DataFrame, parts: tuple[str, ...], path: str) -> None:
+    """Overwrite the partitions that ``df`` has rows for; a repeated write leaves one copy."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+
+
 def write_folds(parts: Mapping[str, DataFrame], root: str, comp_id: str, fold: int = 0) -> None:
-    """Append the named tables of one fold (train, x_val, y_val, excluded_*) to the store."""
+    """Put the named tables of one fold (train, x_val, y_val, excluded_*) into the store, in place of an earlier write."""
     for part, df in parts.items():
         keyed = df.withColumns({"comp_id": F.lit(comp_id), "fold": F.lit(fold)})
-        keyed.write.mode("append").partitionBy("comp_id", "fold").parquet(f"{root}/{part}")
+        _replaced(keyed, ("comp_id", "fold"), f"{root}/{part}")
 
 
 def write_split(df: DataFrame, root: str, comp_id: str) -> None:
     """Store a table with ``fold`` and ``role`` columns, all folds in one job."""
     keyed = df.withColumn("comp_id", F.lit(comp_id))
-    keyed.write.mode("append").partitionBy("comp_id", "fold", "role").parquet(f"{root}/split")
+    _replaced(keyed, ("comp_id", "fold", "role"), f"{root}/split")
 
 
 def export_csv(parts: Mapping[str, DataFrame], root: str, fold: int = 0) -> None:

@@ -18,9 +18,19 @@ RESULT = (
 FIRST_CELL, NAME_COLUMN, BASELINE_COLUMN, METRIC_COLUMN = 5, 1, 2, 4
 
 
-def read_results(spark: SparkSession, path: str, schema: str = RESULT) -> DataFrame:
-    """Result files with the path each row came from."""
-    df = spark.read.schema(schema).option("recursiveFileLookup", True).json(path)
+def read_results(
+    spark: SparkSession, path: str, schema: str = RESULT, indented: bool = False, corrupt: str | None = None
+) -> DataFrame:
+    """Result files with the path each row came from.
+
+    ``indented`` reads one value, or one array of them, per file; else one per line. ``corrupt`` names a column that
+    takes the text of what could not be read.
+    """
+    reader = spark.read.option("recursiveFileLookup", True).option("multiLine", indented)
+    if corrupt:
+        reader = reader.option("columnNameOfCorruptRecord", corrupt)
+        schema = f"{schema}, `{corrupt}` STRING"
+    df = reader.schema(schema).json(path)
     return df.withColumn("file_path", F.col("_metadata.file_path"))
 
 
