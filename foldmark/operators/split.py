@@ -97,7 +97,6 @@ def stratified_kfold(
     strata = list(strata)
     drawn = df.withColumn("_digest", row_digest(list(key), seed))
     distinct = drawn.select(*[F.col(s).alias(f"_s{i}") for i, s in enumerate(strata)], F.col("_digest").alias("_d")).distinct()
-    distinct = materialize(distinct, "stratum-keys")  # read twice below
     by = [f"_s{i}" for i in range(len(strata))]
     boxed = [f"_b{i}" for i in range(len(strata))]  # a null in a struct is a group like any other
     placed = positions(distinct.withColumns(dict(zip(boxed, [F.struct(c) for c in by]))), ["_d"], boxed, "_p")
