@@ -6,7 +6,7 @@ document minus position in the text) that lie within k of each other. Shared q-g
 and band of 2(k + 1) diagonals; bands overlap by half, so that some band holds any k + 1 neighbouring diagonals. Bands
 that reach the bound are verified by a banded alignment, the others cannot match.
 
-Texts are compared as UTF-8 bytes with A-Z in lower case and white space bytes as spaces. The benchmark is the query
+Texts are compared as UTF-8 bytes of their lower case, of any script, and white space bytes as spaces. The benchmark is the query
 set: it is cut into blocks of at most ``BLOCK_BYTES``, one broadcast and one pass over the documents per block, so
 documents never move and no group forms, however often a passage occurs.
 
@@ -34,12 +34,11 @@ STRETCH = 1 << 20  # bytes of documents whose q-grams are looked up at a time
 EXPANDED = 1 << 20  # hits that are expanded to (text, diagonal) at a time
 
 FOLD = np.arange(256, dtype=np.uint8)
-FOLD[ord("A") : ord("Z") + 1] += 32
 FOLD[9:14] = ord(" ")
 
 
 def folded(text: str | None) -> np.ndarray:
-    return FOLD[np.frombuffer((text or "").encode(), np.uint8)]
+    return FOLD[np.frombuffer((text or "").lower().encode(), np.uint8)]
 
 
 def grams(codes: np.ndarray) -> np.ndarray:
