@@ -7,8 +7,8 @@ and has the key u ** (1 / w). Documents enter by falling key while the running s
 document at the edge gives the words that are still missing. Keys are handled as -ln(u) / w, which falls where
 the key rises.
 
-The edge is found without sorting a source: words are summed per slice of keys, then only the slice with the
-edge is sorted. Taking is a comparison of each row with its source's edge.
+The edge is found without sorting a source: words are summed per slice of keys and per block of slices, then only the
+block, the slice and the keys around the edge are sorted. Taking is a comparison of each row with its source's edge.
 
 Edge cases: null text is 0 words and is taken as 0; a null source is a source, the last one; rows that repeat draw
 the same key and share what is missing at the edge evenly; no rows give no rows; other columns are ignored.
@@ -16,6 +16,7 @@ the same key and share what is missing at the edge evenly; no rows give no rows;
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -67,25 +68,37 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, limit: float =
     return ranked.select("source", "source_size", target.alias("target"))
 
 
+def _first_to_reach(parts: DataFrame, by: str) -> DataFrame:
+    """Of each source the first ``by`` at which the running sum of n reaches rest, with its n and what is missing before it as rest."""
+    upto = F.sum("n").over(Window.partitionBy("source").orderBy(by))
+    met = parts.withColumn("upto", upto).filter("upto >= rest").withColumn("rest", F.col("rest") - F.col("upto") + F.col("n"))
+    return met.groupBy("source").agg(F.min(F.struct(by, "n", "rest")).alias("m")).select("source", "m.*")
+
+
+def _within(rows: DataFrame, marks: DataFrame, by: str | None = None) -> DataFrame:
+    """The rows of the marked sources, or of the marked ``by`` of each source, with the mark's rest."""
+    own = marks.select(F.col("source").alias("_s"), *([F.col(by).alias("_at")] if by else []), "rest")
+    same = F.col("source").eqNullSafe(F.col("_s"))
+    return rows.join(small_side(own), same & (F.col(by) == F.col("_at")) if by else same).drop("_s", "_at")
+
+
 def _edges(rows: DataFrame, goals: DataFrame) -> DataFrame:
-    """The key at which the fractional part of each source ends, the words missing there and the words that tie."""
-    n = rows.count()
-    slices = max(64, -(-n // SLICE_ROWS))
-    number = F.least(F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * slices), F.lit(slices - 1)).cast("long")
+    """The key at which the fractional part of each source ends, the words missing there and the words that tie.
+
+    Found in three steps, blocks of slices, slices, keys; each window holds about the square root of the slices or one slice.
+    """
+    slices = max(64, -(-rows.count() // SLICE_ROWS))
+    place = 1.0 - (F.exp(-F.col("key")) + F.exp(-F.col("key") * 10.0)) / 2.0  # near even for weights from 1 to 10
+    number = F.least(F.floor(place * slices), F.lit(slices - 1)).cast("long")
     sliced = rows.filter("size > 0").withColumn("slice", number)
-    sums = sliced.groupBy("source", "slice").agg(F.sum("size").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("source").orderBy("slice"))
-    sums = sums.withColumn("upto", upto)
-    wanted = goals.filter("rest > 0").select(F.col("source").alias("_s"), F.col("rest").alias("_rest"))
-    met = sums.join(small_side(wanted), F.col("source").eqNullSafe(F.col("_s"))).filter("upto >= _rest")
-    first = met.groupBy("source").agg(F.min(F.struct("slice", "upto", "n", "_rest")).alias("m")).select(
-        F.col("source").alias("_s"), F.col("m.slice").alias("_slice"), (F.col("m._rest") - F.col("m.upto") + F.col("m.n")).alias("_rest")
-    )
-    inside = sliced.join(small_side(first), F.col("source").eqNullSafe(F.col("_s")) & (F.col("slice") == F.col("_slice")))
-    tied = inside.groupBy("source", "key", "_rest").agg(F.sum("size").alias("tie"))
-    tied = tied.withColumn("upto", F.sum("tie").over(Window.partitionBy("source").orderBy("key"))).filter("upto >= _rest")
-    edge = tied.groupBy("source").agg(F.min(F.struct("key", "tie", (F.col("_rest") - F.col("upto") + F.col("tie")).alias("missing"))).alias("m"))
-    return edge.select(F.col("source").alias("_s"), F.col("m.key").alias("_key"), F.col("m.tie").alias("_tie"), F.col("m.missing").alias("_missing"))
+    sums = materialize(sliced.groupBy("source", "slice").agg(F.sum("size").alias("n")), "mixing")
+    sums = sums.withColumn("block", F.floor(F.col("slice") / math.isqrt(slices)))
+    blocks = sums.groupBy("source", "block").agg(F.sum("n").alias("n"))
+    block = _first_to_reach(_within(blocks, goals.filter("rest > 0")), "block")
+    piece = _first_to_reach(_within(sums, block, "block"), "slice")
+    tied = _within(sliced, piece, "slice").groupBy("source", "key", "rest").agg(F.sum("size").alias("n"))
+    edge = _first_to_reach(tied, "key")
+    return edge.select(F.col("source").alias("_s"), F.col("key").alias("_key"), F.col("n").alias("_tie"), F.col("rest").alias("_missing"))
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, limit: int = LIMIT, seed: int = SEED, carry: Sequence[str] = ()) -> DataFrame:

@@ -270,6 +270,24 @@ def test_targets_are_filled(spark):
     assert len(rows) == 5 and all(abs(r["target"] - r["sum(taken)"]) <= 1 for r in rows)
 
 
+def test_edges_against_a_running_sum(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 3)
+    draw = random.Random(4)
+    rows = [(i % 3 and f"s{i % 3}", round(draw.expovariate(1), 2), draw.randint(0, 9)) for i in range(900)]
+    wants = {0: 400, "s1": 1, "s2": 1300}
+    table = spark.createDataFrame([(s or None, k, n) for s, k, n in rows], "source string, key double, size long")
+    goals = spark.createDataFrame([(s or None, r) for s, r in wants.items()], "source string, rest long")
+    got = {r["_s"] or 0: (r["_key"], r["_tie"], r["_missing"]) for r in mixing._edges(table, goals).collect()}
+    for source, rest in wants.items():
+        before = 0
+        for key in sorted({k for s, k, n in rows if s == source}):
+            tie = sum(n for s, k, n in rows if s == source and k == key)
+            if before + tie >= rest:
+                break
+            before += tie
+        assert got[source] == (key, tie, rest - before)
+
+
 # extraction
 
 
@@ -416,6 +434,13 @@ def test_planted_passages(spark, messy, none):
     assert decontaminate.clean(messy, benchmark).count() == 11
 
 
+def test_passages_in_capitals_of_any_script(spark):
+    item = "Là éonqueê aivi éenaitreoiaux, éoiré anvitre èenreré pour ñandú größer."
+    docs = spark.createDataFrame([(1, "x " * 40 + item.upper().replace("SS", "ß") + " y" * 40), (2, "x " * 90)], "doc_id long, text string")
+    rows = decontaminate.report(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert {r["doc_id"]: (r["item_ids"], r["edits"]) for r in rows} == {1: ("7", 0), 2: ("", None)}
+
+
 def test_banded_distance_against_full_table():
     draw = random.Random(2)
     for _ in range(200):
