@@ -62,10 +62,11 @@ def resource_group(code: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), code)
 
 
-def explode_runs(cells: DataFrame, cell: str = "cell") -> DataFrame:
+def explode_runs(cells: DataFrame, cell: str = "cell", keep_empty: bool = False) -> DataFrame:
     """One row per run of a comma-separated cell: ``run`` from 0 and the ``raw`` text.
 
-    Blank parts and parts that say none are dropped; a single text that is no number is no run.
+    Blank parts and parts that say none are dropped; a single text that is no number is no run. ``keep_empty`` leaves
+    one row with NULLs for a cell without a run, so that it counts as 0 in what is summed up per cell.
     """
     parts = F.split(F.col(cell), ",")
     alone = F.size(parts) == 1
@@ -74,7 +75,8 @@ def explode_runs(cells: DataFrame, cell: str = "cell") -> DataFrame:
         lambda s: ~s["raw"].isin(NO_RUN) & (~alone | as_number(s["raw"]).isNotNull()),
     )
     rest = [c for c in cells.columns if c != cell]
-    return cells.select(*rest, F.posexplode(usable).alias("run", "_s")).select(*rest, "run", "_s.raw")
+    each = F.posexplode_outer if keep_empty else F.posexplode
+    return cells.select(*rest, each(usable).alias("run", "_s")).select(*rest, "run", "_s.raw")
 
 
 def run_score(raw: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from foldmark.operators import leaderboard as lb
 from foldmark.plans import query
+from foldmark.sources.results import unpivot_sheet
 from foldmark.tables import table
 
 CELL = ["comp", "model", "lang"]
@@ -25,6 +26,7 @@ def runs(spark, sf):
     codes = F.array(*[F.lit(c) for _, c, _ in lb.LANGUAGES])
     return table(spark, sf, "events").select(
         "event_id",
+        "user_id",
         F.concat("event_type", F.lit("-"), F.dayofmonth("ts").cast("string")).alias("comp"),
         F.concat(F.lit("m"), (F.col("user_id") % 4).cast("string")).alias("model"),
         F.get(codes, (key % 14).cast("int")).alias("lang"),
@@ -117,6 +119,30 @@ def lb5(spark, sf):
     return out.withColumns({"rp": F.round("rp", 9), "rp_std": F.round("rp_std", 5)})
 
 
+def sheet_runs(spark, sf):
+    """Runs read back from a sheet: a row per user and kind of event, a column per model and language, most cells empty."""
+    cell = F.concat_ws(", ", F.sort_array(F.collect_list("raw")))
+    entries = [(f"m{m}", c) for m in range(4) for _, c, _ in lb.LANGUAGES]
+    said = runs(spark, sf).withColumn("entry", F.concat_ws("-", "model", "lang")).withColumn("comp", F.concat_ws("-", "user_id", "metric"))
+    wide = said.groupBy("comp", "baseline", "metric").pivot("entry", [f"{m}-{c}" for m, c in entries]).agg(cell)
+    cells = unpivot_sheet(wide, [m for m, _ in entries], [c for _, c in entries], ["comp", "baseline", "metric"])
+    return lb.explode_runs(cells, keep_empty=True).withColumn("score", lb.run_score(F.col("raw")))
+
+
+@query(
+    "LB5_sheet_with_empty_cells",
+    RUNS.replace("event_type || '-' || day(ts) AS comp", "user_id || '-' || CASE WHEN event_type IN ('error', 'view') THEN 'rmse' ELSE 'accuracy' END AS comp")
+    + f""", every AS (SELECT comp, 'm' || m AS model, lang FROM (SELECT DISTINCT comp FROM runs), (SELECT unnest(range(4)) AS m), (SELECT unnest({CODES_SQL}) AS lang))
+       SELECT comp, model, lang, coalesce(runs, 0) AS runs, round(coalesce(rp, 0), 9) AS rp, round(coalesce(rate, 0), 9) AS pass_rate
+       FROM every LEFT JOIN cells USING (comp, model, lang)""",
+)
+def lb5_sheet(spark, sf):
+    said = sheet_runs(spark, sf)
+    perf = lb.relative_performance(said, CELL).drop("rp_std")
+    rates = lb.valid_run_rate(said, CELL).select(*CELL, "pass_rate")
+    return rounded(perf.join(rates, CELL), 9, "rp", "pass_rate")
+
+
 @query(
     "LB6_profile",
     RUNS

@@ -283,12 +283,12 @@ def met17(spark, sf):
 
 @query(
     "MET18_map3_probabilities",
-    """WITH e AS (SELECT vec_id, label, unnest(embedding[1:10]) AS x, generate_subscripts(embedding[1:10], 1) - 1 AS i FROM embeddings),
+    """WITH e AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
        r AS (SELECT vec_id, label, i, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS rn FROM e)
        SELECT round(sum(CASE WHEN i = label AND rn <= 3 THEN 1.0 / rn ELSE 0 END) / count(DISTINCT vec_id), 9) AS score FROM r""",
 )
 def met18(spark, sf):
-    df = table(spark, sf, "embeddings").select("label", F.slice("embedding", 1, 10).alias("p"))
+    df = table(spark, sf, "embeddings").select("label", F.col("embedding").alias("p"))
     return nine(ranking.map3_from_probabilities(df, "label", "p"))
 
 

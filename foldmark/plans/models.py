@@ -12,6 +12,7 @@ from foldmark.plans.aggregates import RELABELLED, TYPES, relabelled
 from foldmark.plans.splits import draw
 from foldmark.tables import table
 
+DIMENSIONS = 64  # of the embeddings
 LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
@@ -67,9 +68,9 @@ def mdl2(spark, sf):
 @query("MDL2_one_vs_rest")
 def mdl2_ovr(spark, sf):
     df = table(spark, sf, "embeddings").select(
-        "vec_id", F.col("label").cast("double").alias("y"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(8)]
+        "vec_id", F.col("label").cast("double").alias("y"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(DIMENSIONS)]
     )
-    model = models.one_vs_rest([f"e{i}" for i in range(8)], "y").fit(df)
+    model = models.one_vs_rest([f"e{i}" for i in range(DIMENSIONS)], "y").fit(df)
     return model.transform(df).select("vec_id", "prediction")
 
 
