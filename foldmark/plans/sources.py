@@ -24,6 +24,21 @@ def src1(spark, sf):
     )
 
 
+@query(
+    "SRC1_quoted_newlines",
+    """SELECT CASE WHEN event_id % 11 <> 0 THEN event_id END AS event_id, value, event_type || chr(10) || '"a";b' AS note,
+       event_id % 11 = 0 AS bad FROM events""",
+)
+def src1_lines(spark, sf):
+    """Line breaks, separators and quotes inside a cell, and keys that are no numbers."""
+    path = shared_dir(spark, "csv")
+    key = F.when(F.col("event_id") % 11 == 0, F.concat(F.lit("x"), F.col("event_id"))).otherwise(F.col("event_id").cast("string"))
+    note = F.concat("event_type", F.lit('\n"a";b'))
+    delimited.write_csv(table(spark, sf, "events").select(key.alias("event_id"), "value", note.alias("note")), path, sep=";")
+    out = delimited.read_csv_smart(spark, path, "event_id BIGINT, value DOUBLE, note STRING", sep=";", corrupt="_bad", multiLine=True)
+    return out.withColumn("bad", F.col("_bad").isNotNull()).drop("_bad")
+
+
 @query("SRC2_localized_csv", "SELECT c_custkey, 'Клиент ' || c_custkey AS name, c_acctbal FROM customer")
 def src2(spark, sf):
     path = shared_dir(spark, "csv")

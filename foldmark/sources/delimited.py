@@ -86,23 +86,34 @@ def read_csv_smart(
     sep: str | None = None,
     encoding: str = "utf-8",
     decimal: str = ".",
+    corrupt: str | None = None,
     **options,
 ) -> DataFrame:
     """Read a headed CSV; without ``sep`` it is chosen, without ``schema`` it is inferred.
 
+    ``multiLine=True`` keeps line breaks inside quotes; it needs ``sep``, since lines are then no records.
+    ``corrupt`` names a column that takes the text of records that do not fit the schema; their other cells stay.
+
     A single-byte code page is read as ISO-8859-1 and translated.
     With a decimal mark other than '.', numeric columns of the schema are read as text and converted;
     what is no number becomes NULL. NaN becomes NULL.
     """
     if not _native(encoding):
         page = _code_page(encoding)
-        given = {"schema": schema, "sep": sep, "decimal": decimal}
+        given = {"schema": schema, "sep": sep, "decimal": decimal, "corrupt": corrupt}
         return _recode(read_csv_smart(spark, path, encoding="iso-8859-1", **given, **options), *page)
+    if options.get("multiLine") and not sep:
+        raise ValueError("records of several lines need a separator")
+    if corrupt and schema is None:
+        raise ValueError("records can only fail a given schema")
     sep = sep or choose_separator(spark, path, encoding)
     reader = spark.read.options(header=True, sep=sep, encoding=encoding, escape='"', **options)
     if schema is None:
         return nan_to_null(reader.option("inferSchema", True).csv(path))
     wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if corrupt:
+        wanted = T.StructType([*wanted.fields, T.StructField(corrupt, T.StringType())])
+        reader = reader.option("columnNameOfCorruptRecord", corrupt)
     if decimal == ".":
         return nan_to_null(reader.schema(wanted).csv(path))
     loose = [f for f in wanted.fields if isinstance(f.dataType, (T.FractionalType, T.DecimalType))]
