@@ -35,8 +35,12 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 
 GITHUB = re.compile(rb"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 NPM = re.compile(rb"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
-JWT = re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----[A-Za-z0-9+/=\s:,-]*?-----END \1-----")
+# Each run of token characters and each key block is tried from its beginning only, so that a scan stays linear in the text.
+JWT = re.compile(rb"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]++)\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++")
+PEM = re.compile(
+    rb"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----"
+    rb"[A-Za-z0-9+/=\s:,]*+(?:-(?!----(?:BEGIN|END) )[A-Za-z0-9+/=\s:,]*+)*+-----END \1-----"
+)
 BASE62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "pem")

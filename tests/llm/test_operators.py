@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -480,3 +481,15 @@ def test_secrets(spark, messy, none):
     assert secret_scan.report(messy).count() == 11 and secret_scan.report(none).count() == 0
     clear = {r["doc_id"]: r["text"] for r in secret_scan.redacted(docs).collect()}
     assert clear[4] == "[SECRET]" and clear[7] is None and "AKIAABC" not in clear[1]
+
+
+def test_secret_patterns_stay_linear():
+    keywords = secret_scan.automaton()
+    body = "MIIB" * 20
+    block = f"-----BEGIN RSA PRIVATE KEY-----\n{body}-\n------END RSA PRIVATE KEY-----"
+    head = "-----BEGIN RSA PRIVATE KEY-----\n"
+    assert [s for s in secret_scan.scan(head + block, keywords) if s[2] == 6] == [(len(head), len(head + block), 6)]
+    started = time.monotonic()
+    for text in ("eyJ" * 200_000, "eyJ-" * 100_000 + ".x", head * 20_000, "-" * 500_000 + head, "token " * 100_000):
+        assert secret_scan.scan(text, keywords) == []
+    assert time.monotonic() - started < 20
