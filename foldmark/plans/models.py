@@ -1,4 +1,8 @@
-"""Model queries. Linear fits have a closed form, which is the oracle; trees are checked by row count."""
+"""Model queries.
+
+Linear and ridge fits have a closed form, which is the oracle. Other fits are checked by what holds for any good one:
+their optimality conditions, or rows, errors and importances beside facts that SQL finds in the data.
+"""
 
 from __future__ import annotations
 
@@ -49,6 +53,33 @@ def mdl1_penalised(spark, sf):
     return spark.createDataFrame(rows, "model STRING, feature STRING, coefficient DOUBLE")
 
 
+def _determinant(columns) -> str:
+    (a, b, c), (d, e, f), (g, h, i) = columns
+    return f"({a} * ({e} * {i} - {f} * {h}) - {d} * ({b} * {i} - {c} * {h}) + {g} * ({b} * {f} - {c} * {e}))"
+
+
+def _ridge_sql(strength: float) -> str:
+    """Normal equations over three centred features; the penalty counts in standard deviations of features and target."""
+    features, y = ("l_quantity", "l_discount", "l_tax"), "CAST(l_extendedprice AS DOUBLE)"
+    sums = [f"covar_pop({a}, {b}) AS c{i}{j}" for i, a in enumerate(features) for j, b in enumerate(features)]
+    sums += [f"covar_pop({a}, {y}) AS y{i}" for i, a in enumerate(features)]
+    whole = [[f"c{i}{j} * (1 + w)" if i == j else f"c{i}{j}" for i in range(3)] for j in range(3)]
+    right = [f"y{i}" for i in range(3)]
+    rows = []
+    for j, feature in enumerate(features):
+        solved = [right if k == j else whole[k] for k in range(3)]
+        rows.append(f"SELECT '{feature}' AS feature, round({_determinant(solved)} / {_determinant(whole)}, 2) AS coefficient FROM m")
+    return f"WITH m AS (SELECT {strength} / stddev_pop({y}) AS w, {', '.join(sums)} FROM lineitem) " + " UNION ALL ".join(rows)
+
+
+@query("MDL1_ridge", _ridge_sql(10.0))
+def mdl1_ridge(spark, sf):
+    features = ["l_quantity", "l_discount", "l_tax"]
+    fitted = models.linear(features, "l_extendedprice", 10.0).fit(lines(spark, sf)).stages[-1]
+    rows = [(f, round(float(c), 2)) for f, c in zip(features, fitted.coefficients)]
+    return spark.createDataFrame(rows, "feature STRING, coefficient DOUBLE")
+
+
 @query(
     "MDL2_class_weights",
     "SELECT doc_id, quality, round((SELECT count(*) FROM labels) / (2.0 * count(*) OVER (PARTITION BY quality)), 9) AS weight FROM labels",
@@ -65,6 +96,20 @@ def mdl2(spark, sf):
     return models.predict(model, df, ["doc_id"])
 
 
+@query(
+    "MDL2_logistic_optimum",
+    """WITH d AS (SELECT quality AS y, (SELECT count(*) FROM documents JOIN labels USING (doc_id)) / (2.0 * count(*) OVER (PARTITION BY quality)) AS w
+         FROM documents JOIN labels USING (doc_id))
+       SELECT count(*) AS n, round(sum(w * y) / sum(w), 3) AS mean_label FROM d""",
+)
+def mdl2_optimum(spark, sf):
+    """At the optimum the free intercept makes the weighted mean probability that of the labels."""
+    df = models.balanced(labelled_docs(spark, sf), "y", "w")
+    out = models.predict(models.logistic(["size", "digits"], "y", "w").fit(df), df, ["doc_id", "w"])
+    mean = F.sum(F.col("w") * F.col("probability")) / F.sum("w")
+    return out.agg(F.count(F.lit(1)).alias("n"), F.round(mean, 3).alias("mean_label"))
+
+
 @query("MDL2_one_vs_rest")
 def mdl2_ovr(spark, sf):
     df = table(spark, sf, "embeddings").select(
@@ -74,6 +119,25 @@ def mdl2_ovr(spark, sf):
     return model.transform(df).select("vec_id", "prediction")
 
 
+@query(
+    "MDL2_one_vs_rest_facts",
+    "SELECT count(*) AS n, count(DISTINCT label) AS classes, true AS known, true AS beats_majority FROM embeddings",
+)
+def mdl2_ovr_facts(spark, sf):
+    """Predictions are classes of the data, and more of them are right than those of the largest class alone."""
+    labels = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("double").alias("y"))
+    scored = labels.join(mdl2_ovr(spark, sf), "vec_id")
+    sizes = labels.groupBy("y").agg(F.count(F.lit(1)).alias("rows"))
+    right = scored.groupBy("prediction").agg(F.count(F.lit(1)).alias("given"), F.count_if(F.col("y") == F.col("prediction")).alias("hits"))
+    both = sizes.join(right, F.col("y") == F.col("prediction"), "full")
+    return both.agg(
+        F.sum("rows").alias("n"),
+        F.count("y").alias("classes"),
+        (F.count_if(F.col("y").isNull()) == 0).alias("known"),
+        (F.sum("hits") > F.max("rows")).alias("beats_majority"),
+    )
+
+
 @query("MDL2_per_label_fits")
 def mdl2_labels(spark, sf):
     flags = F.array_compact(F.array(F.when(F.col("quality") == 1, "good"), F.when(F.col("toxic") == 1, "toxic")))
@@ -86,7 +150,7 @@ def mdl2_labels(spark, sf):
 @query("MDL3_random_forest")
 def mdl3(spark, sf):
     df = split.kfold(lines(spark, sf), LINE, 5)
-    model = models.forest(["l_quantity", "l_discount", "l_tax"], "l_extendedprice", trees=10, depth=5).fit(df.filter("fold <> 0"))
+    model = models.forest(["l_quantity", "l_discount", "l_tax"], "l_extendedprice").fit(df.filter("fold <> 0"))
     scored = models.predict(model, df.filter("fold = 0"), [*LINE, "l_extendedprice"])
     return registry.score(scored, "root_mean_squared_error", "l_extendedprice", "prediction")
 
@@ -95,11 +159,29 @@ def mdl3(spark, sf):
 def mdl4(spark, sf):
     df = split.kfold(lines(spark, sf), LINE, 5).withColumn("held", F.col("fold") == 1)
     train = df.filter("fold <> 0")
-    model = models.boosted(["l_quantity", "l_discount"], "l_extendedprice", rounds=10, depth=3, validation="held").fit(train)
+    model = models.boosted(["l_quantity", "l_discount"], "l_extendedprice", validation="held").fit(train)
     scored = models.predict(model, df.filter("fold = 0"), [*LINE, "l_extendedprice"])
     return registry.score(scored, "root_mean_squared_error", "l_extendedprice", "prediction")
 
 
+NET = ["l_extendedprice", "l_discount", "l_tax"]  # features of the net price, a target that depends on them
+_HELD = draw("concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)")
+
+
+def net_prices(spark, sf):
+    return lines(spark, sf).withColumn("net", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+
+
+@query("MDL3_random_forest_facts", f"SELECT count(*) AS n, true AS close FROM lineitem WHERE {_HELD} % 5 = 0")
+def mdl3_facts(spark, sf):
+    """Every held-out row has a prediction, and their errors are less than half of those of the held-out mean."""
+    df = split.kfold(net_prices(spark, sf), LINE, 5)
+    model = models.forest(NET, "net").fit(df.filter("fold <> 0"))
+    scored = models.predict(model, df.filter("fold = 0"), ["net"])
+    error = F.sqrt(F.avg(F.pow(F.col("net") - F.col("prediction"), 2)))
+    return scored.agg(F.count("prediction").alias("n"), (error < F.stddev_pop("net") / 2).alias("close"))
+
+
 _FITS = f"""WITH t AS (SELECT o_orderkey, o_totalprice AS y, CAST(o_custkey AS DOUBLE) AS x, {draw('o_orderkey')} % 3 AS fold FROM orders),
   f AS (SELECT i AS fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM t, (SELECT unnest(range(3)) AS i) WHERE fold <> i GROUP BY i),
   p AS (SELECT t.*, a + b * x AS prediction FROM t JOIN f ON t.fold = f.fold) """
@@ -227,5 +309,21 @@ def mdl9_best(spark, sf):
 @query("MDL10_feature_importance")
 def mdl10(spark, sf):
     features = ["l_quantity", "l_discount", "l_tax"]
-    model = models.forest(features, "l_extendedprice", trees=5, depth=4).fit(lines(spark, sf))
+    model = models.forest(features, "l_extendedprice").fit(lines(spark, sf))
     return models.importances(model, features)
+
+
+@query(
+    "MDL10_importance_facts",
+    """WITH n AS (SELECT *, l_extendedprice * (1 - l_discount) AS net FROM lineitem),
+       c AS (SELECT unnest(['l_extendedprice', 'l_discount', 'l_tax']) AS feature, unnest([e, d, t]) AS r
+             FROM (SELECT abs(corr(l_extendedprice, net)) AS e, abs(corr(l_discount, net)) AS d, abs(corr(l_tax, net)) AS t FROM n))
+       SELECT true AS whole, feature, r = max(r) OVER () AS leads FROM c""",
+)
+def mdl10_facts(spark, sf):
+    """Importances are no less than 0 and sum to 1, and the feature that correlates best with the target leads."""
+    found = models.importances(models.forest(NET, "net").fit(net_prices(spark, sf)), NET).collect()  # one row per feature
+    values = [r["importance"] for r in found]
+    whole = abs(sum(values) - 1) < 1e-9 and min(values) >= 0
+    rows = [(whole, r["feature"], r["importance"] == max(values)) for r in found]
+    return spark.createDataFrame(rows, "whole BOOLEAN, feature STRING, leads BOOLEAN")
