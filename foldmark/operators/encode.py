@@ -43,10 +43,27 @@ def fit_vocabulary(df: DataFrame, labels: str, max_labels: int = MAX_LABELS) ->
     """Sorted distinct labels of an array column. More than ``max_labels`` is an error, not a cut."""
     found = df.select(F.explode(labels).alias("l")).distinct().limit(max_labels + 1).collect()
     if len(found) > max_labels:
-        raise ValueError(f"more than {max_labels} labels; use the long form instead of indicator arrays")
+        raise ValueError(f"more than {max_labels} labels; use binarise_long instead of indicator arrays")
     return sorted(r["l"] for r in found)
 
 
+def label_dictionary(df: DataFrame, labels: str) -> DataFrame:
+    """``value``, ``code`` of the distinct labels of an array column, as a table of any length."""
+    return fit_dictionary(df.select(F.explode(labels).alias("value")), "value")
+
+
+def binarise_long(df: DataFrame, key: Sequence[str], labels: str, dictionary: DataFrame | None = None) -> DataFrame:
+    """``key`` + ``code`` of every label that a row has: the ones of the indicator matrix, for any number of labels.
+
+    Null and repeated labels of a row do not count; labels that the dictionary does not have are left out, rows without
+    labels have no result.
+    """
+    codes = label_dictionary(df, labels) if dictionary is None else dictionary
+    each = df.select(*key, F.explode(F.array_distinct(labels)).alias("_label"))
+    found = small_side(codes.select(F.col("value").alias("_value"), "code"))
+    return each.join(found, F.col("_label").cast("string") == F.col("_value")).select(*key, "code")
+
+
 def binarise(labels: Column, vocabulary: Sequence) -> Column:
     """0/1 array with one entry per vocabulary label."""
     return F.transform(F.array(*[F.lit(v) for v in vocabulary]), lambda v: F.array_contains(labels, v).cast("int"))

@@ -11,8 +11,8 @@ from foldmark.plans.splits import LIMIT, draw
 from foldmark.session import shared_dir
 from foldmark.tables import table
 
-STOP = ["the", "and", "is", "of", "to", "in", "that", "it", "der", "die", "de", "la", "el"]
-STOP_SQL = ", ".join(f"'{w}'" for w in STOP)
+STOP = text.default_stop_words()
+STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP)
 WORDS_SQL = rf"list_filter(regexp_extract_all(lower(text), '([\p{{L}}\p{{N}}_]{{2,}})', 1), lambda w: w NOT IN ({STOP_SQL}))"
 
 
@@ -73,6 +73,17 @@ def enc4(spark, sf):
     )
 
 
+@query(
+    "ENC4_long_form",
+    """WITH l AS (SELECT o_orderkey, unnest([o_orderstatus, o_orderpriority]) AS v FROM orders),
+       d AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT v FROM l WHERE v IS NOT NULL))
+       SELECT DISTINCT o_orderkey, code FROM l JOIN d USING (v)""",
+)
+def enc4_long(spark, sf):
+    df = table(spark, sf, "orders").select("o_orderkey", F.array("o_orderstatus", "o_orderpriority").alias("labels"))
+    return encode.binarise_long(df, ["o_orderkey"], "labels")
+
+
 @query(
     "ENC5_one_hot",
     "SELECT vec_id, array_to_string(list_transform(range(10), lambda i: CAST(i = label AS INT)), '') AS bits FROM embeddings",

@@ -113,6 +113,14 @@ def test_label_limit_is_an_error(spark):
         encode.fit_vocabulary(df, "l", max_labels=1)
 
 
+def test_long_form_of_labels(spark):
+    df = spark.createDataFrame([(1, ["b", "a", "b", None]), (2, []), (3, None), (4, ["c"])], "k int, l array<string>")
+    rows = sorted((r["k"], r["code"]) for r in encode.binarise_long(df, ["k"], "l").collect())
+    assert rows == [(1, 0), (1, 1), (4, 2)]
+    seen = encode.label_dictionary(df.filter("k = 4"), "l")
+    assert [tuple(r) for r in encode.binarise_long(df, ["k"], "l", seen).collect()] == [(4, 0)]
+
+
 def test_tokens_and_ngrams(spark):
     got = one(
         spark, [("The Cat, sat a\t mat",)], "s string",
