@@ -1,15 +1,18 @@
 """Language-model scoring with a probabilistic suffix tree.
 
 Symbols are words and one end per text; the start of a text is seen as an end. The root of the tree is the smoothed
-unigram distribution over all training words. Contexts of one and two symbols become states if a likelihood-ratio
-test says that what follows them diverges from what follows their parent, the longest shorter state. The next-symbol
-distribution of a state discounts the counts of the symbols seen often after it and gives the mass that is left to the
-others in proportion to the parent's distribution. A text is scored symbol by symbol from the longest suffix that is a
-state.
-
-As in the definition of such trees, contexts and their explicit next symbols must make up at least ``P_MIN`` of all
-training symbols, so there are at most 1 / P_MIN of each and they can be broadcast at any corpus size. The counts
-themselves cover all training texts. Words rarer than that meet their counts, all of them, in a join.
+unigram distribution over all training words. The tree grows level by level: the contexts of L symbols whose suffix of
+L - 1 symbols is a state become states if a likelihood-ratio test says that what follows them diverges from what follows
+that suffix, until no context of a length passes. The next-symbol distribution of a state discounts the counts of the
+symbols seen ``LEAST`` times or more after it and gives the mass that is left to the others in proportion to the parent's
+distribution. A text is scored symbol by symbol from the longest suffix that is a state.
+
+Contexts, and next symbols of a context, count from ``LEAST`` occurrences at any corpus size, so the tree grows with the
+corpus. It is a table in the shared folder of keys (64-bit digests of words, contexts and contexts with a next symbol) and of
+what each adds to the score of a symbol: the log of the root for a word, the log of the left factor for a state, and for an
+explicit next symbol what it has more than that and its probability in the parent. So the score of a text is a sum over its
+keys. The ``HEAD`` most frequent keys are broadcast; texts meet the others in a join. Bitmaps of bounded size spare keys that
+cannot be in the tables; they have no false negatives, and what they let through wrongly finds no partner.
 
 Edge cases: a null or empty text is one end symbol; without training texts N is 0 and every symbol has the probability
 of the unknown; words beyond ``LONG`` bytes are represented by a digest; repeated rows each count and are each
@@ -19,6 +22,7 @@ scored; a null doc_id has the part of the empty text, 0; other columns are ignor
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -34,13 +38,17 @@ from foldmark.llm.common import crc_part
 from foldmark.session import materialize
 
 HELD_OUT_PARTS = 10
-P_MIN = 1e-6
+LEAST = 2  # occurrences from which a context, or a symbol after it, counts
 ADD = 0.1
 DISCOUNT = 0.5
 STRICT = 4.0  # standard deviations by which the ratio statistic must exceed its mean under equality
 LONG = 40
 FLUSH = 1 << 18  # distinct words a task holds before it passes their counts on
 STRETCH = 1 << 20  # symbols that are counted or scored at a time
+HEAD = 1 << 21  # keys of the tree that are broadcast, the most frequent
+MARK_BITS = 27  # a bitmap has at most 2 to this bits
+ROOT = np.uint64(0x9E3779B97F4A7C15)  # the empty context
+END = xxhash.xxh64_intdigest(b" ", 42)  # no word has a space
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -71,21 +79,60 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _symbols(texts: list[str | None], place: dict[bytes, int], end: int) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """The symbol stream of the texts, each as end, words, end; its text starts; and the words per text.
+class _Hashes(dict):
+    """Digests of words, as Spark's xxhash64 has them; a bounded number is remembered."""
 
-    A word without a number is -1, and -2 stands between texts.
-    """
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > FLUSH:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word, 42)
+        return found
+
+
+def _symbols(texts: list[str | None], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbol stream of the texts, each as end, words, end; where each text starts; and per place the symbols before it."""
     every = [words_of(t) for t in texts]
-    stream = np.full(sum(map(len, every)) + 3 * len(every), -2, np.int64)
-    starts, at = np.zeros(len(every), np.int64), 0
-    for i, tokens in enumerate(every):
-        n = len(tokens)
-        starts[i] = at
-        stream[at] = stream[at + n + 1] = end
-        stream[at + 1 : at + n + 1] = np.fromiter((place.get(t, -1) for t in tokens), np.int64, n)
-        at += n + 3
-    return stream, starts, every
+    sizes = np.array([len(tokens) + 2 for tokens in every], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    stream = np.full(int(sizes.sum()), END, np.uint64)
+    for at, tokens in zip(starts.tolist(), every):
+        stream[at + 1 : at + 1 + len(tokens)] = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))
+    return stream, starts, np.arange(len(stream)) - np.repeat(starts, sizes)
+
+
+def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Digest of two digests in their order."""
+    x = a * np.uint64(0xC2B2AE3D27D4EB4F) + b * np.uint64(0x9FB21C651E98DF25) + np.uint64(0x165667B19E3779F9)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ x >> np.uint64(32)
+
+
+def entry(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Key of a symbol after a context."""
+    return mix(~context, symbol)
+
+
+@dataclass
+class Marks:
+    """Bitmap over the top bits of keys: false for keys that are surely not in it."""
+
+    bits: int
+    words: np.ndarray
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        slot = keys >> np.uint64(64 - self.bits)
+        return (self.words[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _marks(df: DataFrame, key: str, rows: int) -> Marks:
+    bits = min(MARK_BITS, max(10, (16 * rows).bit_length()))
+    slot = F.shiftrightunsigned(key, 64 - bits)
+    found = df.select(slot.alias("s")).select(F.shiftright("s", 6).alias("w"), F.expr("shiftleft(1L, cast(s & 63 as int))").alias("b"))
+    rows = found.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    words[rows.column("w").to_numpy()] = rows.column("b").to_numpy().view(np.uint64)
+    return Marks(bits, words)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,28 +163,49 @@ def _pair_keys(stream: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _count_keys(words: list[bytes], pairs: np.ndarray | None):
-    """Counts of pairs, or of triples that begin with one of the given pairs."""
-    place = {w: i for i, w in enumerate(words)}
-    size = len(words) + 1
+def _count_level(level: int, shared):
+    """Counts of contexts of ``level`` symbols below states (entry and up 0), of the symbols after them, and of all stretches of
+    two symbols more (entry 0, up 1), whose marks say at later levels what occurs only once.
+
+    ``shared`` has the marks of the states of one symbol less, and of stretches of ``level`` and ``level`` + 1 symbols that
+    occur often enough. ``up`` is the key of the same symbol after the parent.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states, shorter, stretches = shared.value
+        hashes = _Hashes()
         for batch in _groups(batches):
-            stream, _, _ = _symbols(batch.column("text").to_pylist(), place, size - 1)
-            keys = _pair_keys(stream, size)
-            if pairs is not None:
-                head = find(pairs, keys)
-                whole = (head[:-1] >= 0) & (stream[1:] >= 0)
-                keys = head[:-1][whole] * size + stream[1:][whole]
-            key, n = np.unique(keys[keys >= 0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["key", "n"])
+            stream, _, inside = _symbols(batch.column("text").to_pylist(), hashes)
+            contexts = [np.full(len(stream), ROOT)]
+            for k in range(1, level + 2):
+                contexts = [*contexts[-2:], mix(contexts[-1], np.roll(stream, k))]
+            parent, context, longer = contexts[-3:]
+            up = entry(parent, stream) if level > 1 else stream
+            one = entry(context, stream)
+            live = often = inside >= level
+            if level > 1:
+                often = live & stretches.has(one)
+                live = live & states.has(parent) & np.roll(shorter.has(up), 1)
+            key, n = np.unique(context[live], return_counts=True)
+            on = np.nonzero(live & often)[0]
+            one, first, times = np.unique(one[on], return_index=True, return_counts=True)
+            on = on[first]
+            more, again = np.unique(entry(longer, stream)[often & np.roll(often, 1) & (inside > level)], return_counts=True)
+            none, mark = np.zeros(len(key), np.uint64), np.zeros(len(more), np.uint64)
+            columns = [np.concatenate(x) for x in ((key, context[on], more), (none, one, mark), (none, up[on], mark + np.uint64(1)))]
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c.view(np.int64)) for c in columns), pa.array(np.concatenate((n, times, again)).astype(np.int64))], ["context", "entry", "up", "n"]
+            )
 
     return run
 
 
 @dataclass
 class Tree:
-    """Root and states. ``size`` symbols have numbers; the last is the end."""
+    """A tree of two levels in memory, by the same formulas as the tables: their reference for hand-made counts.
+
+    Root and states. ``size`` symbols have numbers; the last is the end.
+    """
 
     words: list[bytes]
     root: np.ndarray  # log10 of the root's probability per symbol
@@ -211,78 +279,180 @@ def grown(words: list[bytes], counts: np.ndarray, total: int, kinds: int, pairs,
     return tree
 
 
-def _collected(counted: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys with at least ``least`` occurrences: at most 1 / P_MIN rows."""
-    rows = counted.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas().sort_values("key")
-    return rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.float64)
-
+def _tested(level: DataFrame, above: DataFrame) -> DataFrame:
+    """The entries of the contexts that the test retains: context, entry, n, total, log, and left of the context, and log in the parent.
 
-def learned(train: DataFrame, p_min: float = P_MIN) -> tuple[Tree, DataFrame, int, int]:
-    """The tree, the table (h, n) of rarer words, N and V."""
+    ``above`` has (h, log) of the entries of the parents, all of them states.
+    """
+    totals = level.filter("entry = 0 and up = 0").select(F.col("context").alias("_c"), F.col("n").alias("total"))
+    met = level.filter("entry <> 0").join(totals, F.col("context") == F.col("_c")).drop("_c")
+    met = met.join(above.select(F.col("h").alias("_h"), F.col("log").alias("upper")), F.col("up") == F.col("_h")).drop("_h", "up")
+    met = materialize(met, "suffix")
+    share, parent = F.col("n") / F.col("total"), F.pow(F.lit(10.0), F.col("upper"))
+    sums = met.groupBy(F.col("context").alias("_c")).agg(
+        F.first("total").alias("t"), F.sum(share).alias("own"), F.least(F.sum(parent), F.lit(1 - 1e-9)).alias("above"),
+        F.sum(F.col("n") * F.log(share / parent)).alias("gain"), F.count(F.lit(1)).alias("k"),
+        F.greatest(1 - F.sum((F.col("n") - DISCOUNT) / F.col("total")), F.lit(1e-12)).alias("rest"),
+    )
+    unseen = 1 - F.col("own")
+    other = F.when(unseen > 0, F.col("t") * unseen * F.log(unseen / (1 - F.col("above")))).otherwise(0.0)
+    kept = sums.filter(2 * (F.col("gain") + other) > F.col("k") + STRICT * F.sqrt(2 * F.col("k")))
+    kept = kept.select("_c", F.log10(F.col("rest") / (1 - F.col("above"))).alias("left"))
+    log = F.log10((F.col("n") - DISCOUNT) / F.col("total"))
+    return materialize(met.join(kept, F.col("context") == F.col("_c")).select("context", "entry", "n", "total", "upper", "left", log.alias("log")), "suffix")
+
+
+def learned(train: DataFrame, p_min: float = 0.0) -> tuple[DataFrame, int, int, int]:
+    """The tree as a table (h, n, root, more), N, V and the longest context.
+
+    ``root`` is what a word has more than the unknown at the root; ``more`` what a key adds to the score below it. With
+    ``p_min``, counts must also reach that share of N.
+    """
     counts = train.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = materialize(counts.select("word", "n", F.xxhash64("word").alias("h")), "suffix")
+    counts = materialize(counts.select("n", F.xxhash64("word").alias("h")), "suffix")
     texts = train.count()
     total, kinds = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     total, kinds = (total or 0) + texts, kinds + (texts > 0)
-    least = max(2, math.ceil(p_min * total))
-    often = counts.filter(F.col("n") >= least).select("word", "n").toPandas().sort_values(["n", "word"], ascending=[False, True])
-    words = [bytes(w) for w in often["word"]]
-    numbers = np.append(often["n"].to_numpy(np.float64), float(texts))
-    pairs = _collected(train.mapInArrow(_count_keys(words, None), "key long, n long"), least)
-    triples = _collected(train.mapInArrow(_count_keys(words, pairs[0]), "key long, n long"), least)
-    return grown(words, numbers, total, kinds, pairs, triples), counts.filter(F.col("n") < least).select("h", "n"), total, kinds
-
-
-LOCAL = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, log double, h array<long>, times array<int>"
-
-
-def _score(tree: Tree):
+    end = train.sparkSession.range(1 if texts else 0).select(F.lit(texts).cast("long").alias("n"), F.lit(END - (END >> 63 << 64)).cast("long").alias("h"))
+    symbols = counts.unionByName(end)
+    out = symbols.select("h", "n", F.log10((F.col("n") + ADD) / ADD).alias("root"), F.lit(0.0).alias("more"))
+    least = max(LEAST, math.ceil(p_min * total))
+    above = symbols.filter(F.col("n") >= least).select("h", F.log10((F.col("n") + ADD) / (total + ADD * (kinds + 1))).alias("log"))
+    states = shorter = stretches = None
+    context = train.sparkSession.sparkContext
+    for length in itertools.count(1):
+        shared = context.broadcast((states, shorter, stretches))
+        found = train.mapInArrow(_count_level(length, shared), "context long, entry long, up long, n long")
+        level = materialize(found.groupBy("context", "entry", "up").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "suffix")
+        kept = _tested(level, above)
+        of = materialize(kept.groupBy("context").agg(F.first("total").alias("n"), F.first("left").alias("left")), "suffix")
+        n = of.count()
+        if not n:
+            return out, total, kinds, length - 1
+        more = F.col("log") - F.col("upper") - F.col("left")
+        out = out.unionByName(of.select(F.col("context").alias("h"), "n", F.lit(0.0).alias("root"), F.col("left").alias("more")))
+        out = out.unionByName(kept.select(F.col("entry").alias("h"), "n", F.lit(0.0).alias("root"), more.alias("more")))
+        above = kept.select(F.col("entry").alias("h"), "log")
+        states = _marks(of, "context", n)
+        pairs = level.filter("entry <> 0").select(F.col("entry").alias("context"))
+        shorter = _marks(pairs, "context", pairs.count()) if length == 1 else stretches
+        twice = level.filter("entry = 0 and up = 1")
+        stretches = _marks(twice, "context", twice.count())
+
+
+class Head:
+    """The broadcast keys, sorted, found by their top bits."""
+
+    def __init__(self, keys: np.ndarray, root: np.ndarray, more: np.ndarray) -> None:
+        self.keys, self.root, self.more = keys, root, more
+        self.shift = np.uint64(64 - max(1, len(keys).bit_length()))
+        slots = np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64)
+        self.first = np.searchsorted(keys >> self.shift, slots)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Place of each wanted key, -1 where it is missing."""
+        out = np.full(len(wanted), -1)
+        slot = wanted >> self.shift
+        at, stop = self.first[slot], self.first[slot + np.uint64(1)]
+        open_ = np.nonzero(at < stop)[0]
+        at, stop, wanted = at[open_], stop[open_], wanted[open_]
+        while len(open_):
+            here = self.keys[at] == wanted
+            out[open_[here]] = at[here]
+            on = ~here & (at + 1 < stop)
+            open_, at, stop, wanted = open_[on], at[on] + 1, stop[on], wanted[on]
+        return out
+
+
+def _head(tree: DataFrame, most: int = HEAD) -> tuple[Head, DataFrame, Marks]:
+    """The most frequent keys, the others, and the marks of these."""
+    step = F.floor(8 * F.log2("n"))
+    size, floor = 0, 1 << 20
+    rows = sorted(tree.groupBy(step.alias("s")).count().collect(), reverse=True)
+    for s, n in rows:
+        if size + n > most:
+            break
+        size, floor = size + n, s
+    top = tree.filter(step >= floor).select("h", "root", "more").toArrow()
+    keys = top.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    rest = tree.filter(step < floor).select("h", "root", "more")
+    head = Head(keys[order], top.column("root").to_numpy()[order], top.column("more").to_numpy()[order])
+    return head, rest, _marks(rest, "h", sum(n for _, n in rows) - size)
+
+
+LOCAL = "row long, doc_id long, held_out boolean, n_tokens long, known long, root double, more double, h array<long>, times array<int>"
+
+
+def _score(shared, levels: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {w: i for i, w in enumerate(tree.words)}
+        head, rest = shared.value
+        hashes = _Hashes()
         for batch in _groups(batches):
-            stream, starts, every = _symbols(batch.column("text").to_pylist(), place, tree.size - 1)
-            base, log = tree.scores(stream)
-            base[starts] = log[starts] = 0.0  # the start is a context, not a symbol of the text
-            gaps = stream == -2
-            base[gaps] = log[gaps] = 0.0
-            known = (stream >= 0).astype(np.int64)
-            known[starts] = 0
-            hashes, times, ends = [], [], [0]
-            for i, tokens in enumerate(every):
-                at = starts[i] + 1
-                rare = Counter(tokens[j] for j in np.nonzero(stream[at : at + len(tokens)] < 0)[0].tolist())
-                hashes += [xxhash.xxh64_intdigest(w, 42) for w in rare]
-                times += rare.values()
-                ends.append(len(hashes))
-            offsets = pa.array(ends, pa.int32())
+            stream, starts, inside = _symbols(batch.column("text").to_pylist(), hashes)
+            known, root, more = np.zeros(len(stream), np.int64), np.zeros(len(stream)), np.zeros(len(stream))
+            asked: list[tuple[np.ndarray, np.ndarray]] = []  # places and their keys that may be in the rest
+
+            def look(at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                """Place in the head, and whether the key may be in the tree at all."""
+                found = head.find(keys)
+                other = (found < 0) & rest.has(keys)
+                asked.append((at[other], keys[other]))
+                return found, other | (found >= 0)
+
+            at = np.nonzero(inside >= 1)[0]  # the start is a context, not a symbol of the text
+            found, _ = look(at, stream[at])
+            here = found >= 0
+            known[at[here]], root[at[here]] = 1, head.root[found[here]]
+            context = np.full(len(at), ROOT)
+            for k in range(1, levels + 1):
+                far = inside[at] >= k
+                at = at[far]
+                context = mix(context[far], stream[at - k])
+                found, live = look(at, context)
+                here = found >= 0
+                more[at[here]] += head.more[found[here]]
+                at, context = at[live], context[live]
+                found, _ = look(at, entry(context, stream[at]))
+                here = found >= 0
+                more[at[here]] += head.more[found[here]]
+            place, key = (np.concatenate(x) for x in zip(*asked))
+            text = np.searchsorted(starts, place, side="right") - 1
+            order = np.lexsort((key, text))
+            text, key = text[order], key[order]
+            new = np.append(True, (text[1:] != text[:-1]) | (key[1:] != key[:-1]))[: len(key)]
+            first = np.nonzero(new)[0]
+            offsets = np.searchsorted(text[first], np.arange(len(starts) + 1))
             columns = [
                 batch.column("row"), batch.column("doc_id"), batch.column("held_out"),
-                pa.array([len(t) + 1 for t in every], pa.int64()),
-                pa.array(np.add.reduceat(known, starts)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(log, starts)),
-                pa.ListArray.from_arrays(offsets, pa.array(np.array(hashes, np.uint64).view(np.int64))),
-                pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32())),
+                pa.array(np.diff(np.append(starts, len(stream))) - 1),
+                pa.array(np.add.reduceat(known, starts)), pa.array(np.add.reduceat(root, starts)), pa.array(np.add.reduceat(more, starts)),
+                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(key[first].view(np.int64))),
+                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.diff(np.append(first, len(key))), pa.int32())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "n_tokens", "known", "base", "log", "h", "times"])
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "n_tokens", "known", "root", "more", "h", "times"])
 
     return run
 
 
-def scored(docs: DataFrame, parts: int = HELD_OUT_PARTS, p_min: float = P_MIN) -> DataFrame:
+def scored(docs: DataFrame, parts: int = HELD_OUT_PARTS, p_min: float = 0.0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score per row of ``docs``."""
     part = crc_part(F.col("doc_id"), parts)
     text = F.coalesce("text", F.lit("")).alias("text")
-    tree, rare, total, kinds = learned(docs.filter(part != 0).select(text), p_min)
+    tree, total, kinds, levels = learned(docs.filter(part != 0).select(text), p_min)
+    head, rest, marks = _head(tree)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), (part == 0).alias("held_out"), text)
-    local = materialize(rows.mapInArrow(_score(tree), LOCAL), "suffix")
-    asked = local.select("row", F.inline(F.arrays_zip("h", "times")))
-    met = asked.join(rare.withColumnRenamed("h", "_h"), F.col("h") == F.col("_h"), "left")
-    seen = F.coalesce(F.col("n"), F.lit(0))
-    log = F.col("times") * F.log10((seen + ADD) / (total + ADD * (kinds + 1)))
-    sums = met.groupBy(F.col("row").alias("_row")).agg(F.sum(log).alias("_log"), F.sum(F.when(seen > 0, F.col("times"))).alias("_seen"))
+    shared = docs.sparkSession.sparkContext.broadcast((head, marks))
+    local = materialize(rows.mapInArrow(_score(shared, levels), LOCAL), "suffix")
+    asked = local.select(F.col("row").alias("_row"), F.inline(F.arrays_zip("h", "times")))
+    met = asked.join(rest.withColumnRenamed("h", "_h"), F.col("h") == F.col("_h"))
+    sums = met.groupBy("_row").agg(
+        F.sum(F.col("times") * F.col("root")).alias("_root"), F.sum(F.col("times") * F.col("more")).alias("_more"), F.sum(F.when(F.col("root") > 0, F.col("times"))).alias("_known")
+    )
     out = local.drop("h", "times").join(sums, F.col("row") == F.col("_row"), "left")
-    more, found = F.coalesce("_log", F.lit(0.0)), F.coalesce("_seen", F.lit(0))
-    unseen_end = F.lit(int(total == 0))  # the end is known unless there was no training text
+    unknown = math.log10(ADD / (total + ADD * (kinds + 1)))
+    base = F.col("n_tokens") * unknown + F.col("root") + F.coalesce("_root", F.lit(0.0))
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + found - unseen_end).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("log") + more).alias("score"),
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("_known", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        base.alias("base_score"), (base + F.col("more") + F.coalesce("_more", F.lit(0.0))).alias("score"),
     )

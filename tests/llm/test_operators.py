@@ -245,6 +245,73 @@ def test_suffix_tree_beats_the_base(spark, tiny):
     assert found["sum(score)"] > found["sum(base_score)"]
 
 
+def brute_tree_scores(texts, held):
+    """Scores of ``held`` by a tree of any depth, grown level by level in dictionaries."""
+    streams = [[None, *words(t.lower()), None] for t in texts]
+    n, v = sum(len(s) - 1 for s in streams), len({w for s in streams for w in s})
+    uni = collections.Counter(w for s in streams for w in s[1:])
+    states, level = {}, 0
+
+    def prob(context, w):
+        if not context:
+            return (uni[w] + 0.1) / (n + 0.1 * (v + 1))
+        given, left = states[context]
+        return given[w] if w in given else left * prob(context[1:], w)
+
+    while True:
+        level += 1
+        follow = collections.defaultdict(collections.Counter)
+        for s in streams:
+            for i in range(level, len(s)):
+                context = tuple(s[i - level : i])
+                if level == 1 or context[1:] in states:
+                    follow[context][s[i]] += 1
+        new = {}
+        for context, c in follow.items():
+            total, often = sum(c.values()), {w: k for w, k in c.items() if k >= 2}
+            if not often:
+                continue
+            up = {w: prob(context[1:], w) for w in often}
+            above, rest = min(sum(up.values()), 1 - 1e-9), 1 - sum(often.values()) / total
+            gain = sum(k * math.log(k / total / up[w]) for w, k in often.items()) + (total * rest * math.log(rest / (1 - above)) if rest > 1e-12 else 0)
+            if 2 * gain > len(often) + suffix_tree.STRICT * math.sqrt(2 * len(often)):
+                given = {w: (k - suffix_tree.DISCOUNT) / total for w, k in often.items()}
+                new[context] = given, max(1 - sum(given.values()), 1e-12) / (1 - above)
+        if not new:
+            break
+        states.update(new)
+    out = []
+    for t in held:
+        s, log = [None, *words(t.lower()), None], 0
+        for i in range(1, len(s)):
+            k = 0
+            while k < i and tuple(s[i - k - 1 : i]) in states:
+                k += 1
+            log += math.log10(prob(tuple(s[i - k : i]), s[i]))
+        out.append(log)
+    return out, level - 1
+
+
+@pytest.mark.parametrize("head", [suffix_tree.HEAD, 10])
+def test_suffix_tree_of_any_depth(spark, monkeypatch, head):
+    """What follows hangs on four words before it; words and contexts met twice count in any corpus."""
+    monkeypatch.setattr(suffix_tree._head, "__defaults__", (head,))
+    draw = random.Random(6)
+    texts = []
+    for _ in range(300):
+        bits = [0, 1, 0, 1]
+        for _ in range(60):
+            bits.append(int(draw.random() < 0.05 + 0.9 * sum(bits[-4:]) / 4))
+        texts.append(" ".join("v%d" % draw.expovariate(0.05) if draw.random() < 0.02 else "no yes".split()[b] for b in bits))
+    texts += ["seldom met words Come together"] * 2 + [None, ""]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    train = [t or "" for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    want, depth = brute_tree_scores(train, [t or "" for t in texts])
+    assert depth >= 4
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, abs=1e-6)
+
+
 # mixing
 
 
