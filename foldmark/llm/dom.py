@@ -14,14 +14,21 @@ WORDS = re.compile(r"[a-z]+")
 
 #: Fixed values of HTML: elements without content, with raw content, and those that begin a block of their own.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select option".split())
+#: Only these hide what looks like markup up to their end tag; without one, scripts and styles go on to the end of the page.
+RAW = frozenset("script style textarea title".split())
+ENDLESS = frozenset("script style".split())
+#: Their content is no text of the page; without an end tag only the start tag goes.
+SKIPPED = frozenset("template iframe svg".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong "
-    "sub sup time tt u var".split()
+    "sub sup time tt u var "
+    "math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mstyle mover munder munderover mfenced semantics annotation".split()
 )
+WITHIN = frozenset("noscript object select option optgroup datalist".split())  # blocks that may stand inside a paragraph
 CLOSED_BY_BLOCK = "p"
-LIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
-SCOPE = frozenset("ul ol dl table article section div main aside nav header footer form body html button".split())
+ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW | SKIPPED}
+LIKE = {"option": ("option",), "optgroup": ("option", "optgroup"), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
+SCOPE = frozenset("ul ol dl table article section div main aside nav header footer form body html button select datalist object noscript".split())
 CONTROLS = frozenset("input button select textarea".split())
 
 
@@ -86,7 +93,8 @@ class _Builder:
             if tag in ("br", "hr", "img", "wbr"):
                 self.add(" " if tag != "wbr" else "")
             return
-        self.close((CLOSED_BY_BLOCK,))
+        if tag not in WITHIN:
+            self.close((CLOSED_BY_BLOCK,))
         self.close(LIKE.get(tag, ()))
         if tag in ("html", "body"):
             if tag == "body":
@@ -126,9 +134,10 @@ class _Builder:
 
 
 def parse(page: str | None) -> Node:
-    """The blocks of a page; scripts, styles, titles, comments and markup leave no text."""
+    """The blocks of a page; scripts, styles, titles, text areas, frames, drawings, templates, comments and markup leave no text."""
     page = page or ""
     build, at = _Builder(), 0
+    missing: set[str] = set()  # elements without an end tag from here on
     while True:
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
@@ -146,9 +155,16 @@ def parse(page: str | None) -> Node:
             continue
         if m[1] or m[4]:
             build.end(tag)
-        elif tag in RAW and not (m[3] or m[6] or "").endswith("/"):
+        elif tag in RAW or tag in SKIPPED:
+            if (m[3] or m[6] or "").endswith("/"):
+                continue
             build.open[-1][1].controls += tag in CONTROLS
-            stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = stop.end() if stop else len(page)
+            stop = None if tag in missing else ENDS[tag].search(page, at)
+            if stop:
+                at = stop.end()
+            elif tag in ENDLESS:
+                at = len(page)
+            else:
+                missing.add(tag)
         else:
             build.start(tag, m[3] or m[6] or "")

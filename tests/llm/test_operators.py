@@ -375,6 +375,21 @@ def test_extraction(spark, none):
     assert extract.extracted(more.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tag", ["template", "textarea", "title", "iframe", "svg", "noscript", "math", "object", "select", "option"])
+def test_left_out_end_tags_lose_no_text(tag):
+    nodes = extract.blocks(dom.parse(f"<form><{tag}></form><article><p>all of it</p></article>"))
+    assert "all of it" in [n.text for n in nodes]
+
+
+def test_content_of_ordinary_elements_is_text():
+    page = (
+        "<datalist><option value=a>one<option value=b>two</datalist><p>x <math><mi>y</mi></math></p><noscript><p>z</p></noscript><object>o</object>"
+        "<script>no</script><style>no</style><svg><text>no</text></svg><template>no</template><p>last</p><script>no <p>no</p>"
+    )
+    text = [n.text for n in extract.blocks(dom.parse(page))]
+    assert [t for t in text if t] == ["one", "two", "x y", "z", "o", "last"]
+
+
 def test_decoding_never_contradicts():
     page = "<div><nav><p>a</p></nav><div><p>b</p><p>c</p></div></div>"
     nodes = extract.blocks(dom.parse(page))
