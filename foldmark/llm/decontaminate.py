@@ -11,7 +11,8 @@ set: it is cut into blocks of at most ``BLOCK_BYTES``, one broadcast and one pas
 documents never move and no group forms, however often a passage occurs.
 
 Edge cases: null or empty texts contain nothing and are clean; benchmark texts shorter than ``LEAST`` bytes after
-trimming are not looked for, since ordinary prose contains them; rows that repeat an item_id are all looked for; repeated
+trimming are not looked for, since ordinary prose contains them; rows that repeat an item_id are all looked for, as are those
+without one, which are reported as null; repeated
 documents are each judged; an empty benchmark finds nothing; other columns are ignored.
 """
 
@@ -56,7 +57,7 @@ def grams(codes: np.ndarray) -> np.ndarray:
 class Patterns:
     """A block of benchmark texts with the postings of their q-grams."""
 
-    ids: list[int]
+    ids: list[int | None]
     texts: list[bytes]
 
     @cached_property
@@ -165,11 +166,11 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return key, np.bincount(back, np.concatenate(counts)).astype(np.int64)
 
 
-def matches(texts: Iterable[str | None], p: Patterns) -> list[dict[int, int]]:
+def matches(texts: Iterable[str | None], p: Patterns) -> list[dict[int | None, int]]:
     """For each text, the item ids found in it with the fewest edits found."""
     parts = [folded(t) for t in texts]
     ends = np.cumsum([len(x) for x in parts]) if parts else np.zeros(0, np.int64)
-    out: list[dict[int, int]] = [{} for _ in parts]
+    out: list[dict[int | None, int]] = [{} for _ in parts]
     if not p.texts or not len(ends) or not ends[-1]:
         return out
     docs, which, band = _bands(np.concatenate(parts), ends, p)
@@ -196,7 +197,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[Patterns]:
     ids, texts, size = [], [], 0
     for row in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         text = folded(row["text"]).tobytes().strip()
-        if row["item_id"] is None or len(text) < LEAST:
+        if len(text) < LEAST:
             continue
         ids.append(row["item_id"])
         texts.append(text)
@@ -217,7 +218,7 @@ def _search(docs: DataFrame, p: Patterns, name: str) -> DataFrame:
         if not loaded:
             loaded.append(Patterns(*shared.value))
         found = matches(texts, loaded[0])
-        return pd.Series([[{"item_id": i, "edits": e} for i, e in sorted(f.items())] for f in found], dtype=object)
+        return pd.Series([[{"item_id": i, "edits": e} for i, e in sorted(f.items(), key=lambda x: (x[0] is not None, x[0] or 0))] for f in found], dtype=object)
 
     return docs.withColumn(name, find("text"))
 
@@ -241,7 +242,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id",
         (F.size("found") > 0).alias("contaminated"),
-        F.array_join(ids.cast("array<string>"), ",").alias("item_ids"),
+        F.array_join(ids.cast("array<string>"), ",", "null").alias("item_ids"),
         F.array_min(F.transform("found", lambda x: x["edits"])).alias("edits"),
     )
 

@@ -517,6 +517,15 @@ def test_planted_passages(spark, messy, none):
     assert decontaminate.clean(messy, benchmark).count() == 11
 
 
+def test_passages_without_an_id_are_found(spark):
+    items = [(None, "a passage that stands under no id of its own at all"), (4, "and another passage, which has been given the id of four")]
+    docs = spark.createDataFrame([(1, f"x {items[0][1]} y"), (2, f"{items[1][1]} {items[0][1]}"), (3, "x y")], "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = decontaminate.report(docs, benchmark).collect()
+    assert {r["doc_id"]: (r["contaminated"], r["item_ids"]) for r in rows} == {1: (True, "null"), 2: (True, "null,4"), 3: (False, "")}
+    assert [r["doc_id"] for r in decontaminate.clean(docs, benchmark).collect()] == [3]
+
+
 def test_passages_in_capitals_of_any_script(spark):
     item = "Là éonqueê aivi éenaitreoiaux, éoiré anvitre èenreré pour ñandú größer."
     docs = spark.createDataFrame([(1, "x " * 40 + item.upper().replace("SS", "ß") + " y" * 40), (2, "x " * 90)], "doc_id long, text string")
