@@ -1,7 +1,7 @@
 """Quality rules with a hashed n-gram log-likelihood ratio.
 
-Words and word pairs of every text fall into hash buckets. Bucket counts of a trusted target (a bounded sample of the
-labelled good documents) and of the whole raw corpus give two multinomials, both smoothed by ``ALPHA`` per bucket at the
+Words and word pairs of every text fall into hash buckets. Bucket counts of a trusted target (all labelled good
+documents) and of the whole raw corpus give two multinomials, both smoothed by ``ALPHA`` per bucket at the
 size of the target. The score of a document is the mean log ratio over its n-grams; a document below the threshold is
 rejected, as is one that fails the base rules. All of it is built-in expressions: n-grams are exploded, meet the
 bucket table, whose size is fixed, in a broadcast join, and are summed per document before anything is shuffled.
@@ -17,11 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldmark.llm.common import words
-from foldmark.session import materialize
+from foldmark.session import materialize, small_side
 
 BUCKETS = 1 << 16
 ALPHA = 5.0
-TRUSTED = 20_000  # at most so many labelled good documents make the target, by digest of their id
 THRESHOLD = -0.25  # mean log ratio below which a document is rejected
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
@@ -44,9 +43,9 @@ def _grams(df: DataFrame) -> DataFrame:
 
 
 def bucket_ratios(docs: DataFrame, trusted: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """(slot, ratio) for the buckets that occur; ``trusted`` has at most ``TRUSTED`` ids in doc_id."""
+    """(slot, ratio) for the buckets that occur; ``trusted`` has the ids of the target in doc_id, as many as there are."""
     marks = trusted.select(F.col("doc_id").alias("_id")).distinct()
-    marked = docs.select("doc_id", "text").join(F.broadcast(marks), F.col("doc_id") == F.col("_id"), "left")
+    marked = docs.select("doc_id", "text").join(small_side(marks), F.col("doc_id") == F.col("_id"), "left")
     grams = _grams(marked.select(F.col("_id").isNotNull().cast("long").alias("_good"), words(F.col("text")).alias("_words")))
     slots = grams.select("_good", F.explode(F.array("_one", "_two")).alias("slot")).filter("slot is not null")
     counts = materialize(slots.groupBy("slot").agg(F.count(F.lit(1)).alias("raw"), F.sum("_good").alias("good")), "llr")
@@ -108,7 +107,6 @@ def judged(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     return summed.select(*keys[1:], failed.alias("base_failed"), (~failed & (F.col("ratio") >= threshold)).alias("kept"), "ratio")
 
 
-def trusted_sample(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    """At most ``most`` ids of documents labelled good and not toxic, by digest of the id."""
-    good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def trusted_sample(labels: DataFrame) -> DataFrame:
+    """The ids of all documents labelled good and not toxic."""
+    return labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()

@@ -458,6 +458,11 @@ def test_rules_base(spark, messy, none, labels):
     assert {r["ratio"] for r in llr.judged(messy, llr.trusted_sample(labels.limit(0))).collect()} == {0.0}
 
 
+def test_target_has_all_good_documents(spark):
+    labels = spark.range(30_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    assert llr.trusted_sample(labels.union(labels)).count() == 30_000
+
+
 def test_rules_ratio(spark, tiny):
     """Bucket ratios counted again in Python; good documents stay."""
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
