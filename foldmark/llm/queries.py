@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foldmark.llm import decontaminate, extract, llr, mixing, preference, quality, secret_scan, simhash, suffix_tree, urls
+from foldmark.llm import decontaminate, extract, llr, merkle, mixing, preference, quality, secret_scan, simhash, suffix_tree, urls
 from foldmark.llm.common import table
 from foldmark.llm.registry import ORACLES, QUERIES, query
 
@@ -59,3 +59,8 @@ def op4(spark, sf):
 @query("op6_dom_extraction")
 def op6(spark, sf):
     return extract.extracted(table(spark, sf, "pages"))
+
+
+@query("op12_merkle_manifest", merkle.ORACLE)
+def op12(spark, sf):
+    return merkle.part_tampered(table(spark, sf, "documents"))
