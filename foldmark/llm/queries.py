@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foldmark.llm import decontaminate, extract, llr, merkle, mixing, preference, quality, secret_scan, simhash, suffix_tree, urls
+from foldmark.llm import decontaminate, extract, llr, merkle, mixing, preference, quality, secret_scan, simhash, suffix_tree, urls, whitening
 from foldmark.llm.common import table
 from foldmark.llm.registry import ORACLES, QUERIES, query
 
@@ -64,3 +64,8 @@ def op6(spark, sf):
 @query("op12_merkle_manifest", merkle.ORACLE)
 def op12(spark, sf):
     return merkle.part_tampered(table(spark, sf, "documents"))
+
+
+@query("op13_pivoted_whitening")
+def op13(spark, sf):
+    return whitening.whitened(table(spark, sf, "embeddings"))
