@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foldmark.llm import decontaminate, extract, llr, merkle, mixing, preference, quality, secret_scan, simhash, suffix_tree, urls, whitening
+from foldmark.llm import decontaminate, edit_embedding, extract, llr, merkle, mixing, preference, quality, secret_scan, simhash, suffix_tree, urls, whitening
 from foldmark.llm.common import table
 from foldmark.llm.registry import ORACLES, QUERIES, query
 
@@ -69,3 +69,8 @@ def op12(spark, sf):
 @query("op13_pivoted_whitening")
 def op13(spark, sf):
     return whitening.whitened(table(spark, sf, "embeddings"))
+
+
+@query("op11_edit_embedding")
+def op11(spark, sf):
+    return edit_embedding.edited(table(spark, sf, "documents"))
