@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,6 +70,9 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_root(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Cut lineage with a table in the shared folder; it outlives a lost executor."""
     path = shared_dir(df.sparkSession, label)
@@ -76,7 +80,19 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[kept] = path
+    return kept
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned, once nothing reads them any more."""
+    for table in tables:
+        path = _PATHS.pop(table, None)
+        if path:
+            context = table.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _width(field: T.StructField) -> Column:
