@@ -14,6 +14,11 @@ explicit next symbol what it has more than that and its probability in the paren
 keys. The ``HEAD`` most frequent keys are broadcast; texts meet the others in a join. Bitmaps of bounded size spare keys that
 cannot be in the tables; they have no false negatives, and what they let through wrongly finds no partner.
 
+What is counted at a level is what can still occur ``LEAST`` times: pairs of words that do, then stretches of L + 1 symbols whose
+first and last L symbols do, as far as the level before counted them. The key of a symbol after a context is made of the context's key and
+of the key of the same symbol after the parent, so a counted row is those two keys and a number. The tables of a level, and the
+shuffle files behind them, are deleted as soon as the next ones stand.
+
 Edge cases: a null or empty text is one end symbol; without training texts N is 0 and every symbol has the probability
 of the unknown; words beyond ``LONG`` bytes are represented by a digest; repeated rows each count and are each
 scored; a null doc_id has the part of the empty text, 0; other columns are ignored.
@@ -26,7 +31,6 @@ import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldmark.llm.common import crc_part
-from foldmark.session import materialize
+from foldmark.session import forget, materialize
 
 HELD_OUT_PARTS = 10
 LEAST = 2  # occurrences from which a context, or a symbol after it, counts
@@ -108,31 +112,37 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
-def entry(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """Key of a symbol after a context."""
-    return mix(~context, symbol)
-
-
-@dataclass
-class Marks:
-    """Bitmap over the top bits of keys: false for keys that are surely not in it."""
+def entry(context: np.ndarray, up: np.ndarray) -> np.ndarray:
+    """Key of a symbol after a context; ``up`` is that of the symbol after the parent, or at the root the symbol."""
+    return mix(~context, up)
 
-    bits: int
-    words: np.ndarray
 
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        slot = keys >> np.uint64(64 - self.bits)
-        return (self.words[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+def has(marks: tuple[int, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """By a bitmap over the top bits of keys: false for keys that are surely not marked."""
+    bits, words = marks
+    slot = keys >> np.uint64(64 - bits)
+    return (words[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _marks(df: DataFrame, key: str, rows: int) -> Marks:
+def _marks(df: DataFrame, key: str, rows: int) -> tuple[int, np.ndarray]:
     bits = min(MARK_BITS, max(10, (16 * rows).bit_length()))
     slot = F.shiftrightunsigned(key, 64 - bits)
     found = df.select(slot.alias("s")).select(F.shiftright("s", 6).alias("w"), F.expr("shiftleft(1L, cast(s & 63 as int))").alias("b"))
     rows = found.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     words = np.zeros(1 << (bits - 6), np.uint64)
     words[rows.column("w").to_numpy()] = rows.column("b").to_numpy().view(np.uint64)
-    return Marks(bits, words)
+    return bits, words
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """A table in the shared folder; the shuffle files behind it are deleted when it stands."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        return materialize(df, "suffix")
+    finally:
+        conf.set(name, before)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,225 +157,153 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += n
 
 
-def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Place of each wanted key among the sorted keys, -1 where it is missing."""
-    if not len(keys):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
-
-
-def _pair_keys(stream: np.ndarray, size: int) -> np.ndarray:
-    """Key of (symbol before, symbol) per place of the stream, -1 where either has no number."""
-    out = np.full(len(stream), -1, np.int64)
-    whole = (stream[1:] >= 0) & (stream[:-1] >= 0)
-    out[1:][whole] = (stream[:-1] * size + stream[1:])[whole]
-    return out
-
-
 def _count_level(level: int, shared):
-    """Counts of contexts of ``level`` symbols below states (entry and up 0), of the symbols after them, and of all stretches of
-    two symbols more (entry 0, up 1), whose marks say at later levels what occurs only once.
+    """Counts of contexts of ``level`` symbols below states (up 0), and of the symbols after them, by their keys after the parents.
 
-    ``shared`` has the marks of the states of one symbol less, and of stretches of ``level`` and ``level`` + 1 symbols that
-    occur often enough. ``up`` is the key of the same symbol after the parent.
+    ``shared`` has at the first level the marks of the words that occur often enough, and later those of the states of one symbol
+    less, of the stretches of ``level`` symbols that were counted often enough, and of the states of two symbols less: below these, stretches were counted.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        states, shorter, stretches = shared.value
+        states, often, shorter = shared.value
         hashes = _Hashes()
         for batch in _groups(batches):
             stream, _, inside = _symbols(batch.column("text").to_pylist(), hashes)
-            contexts = [np.full(len(stream), ROOT)]
-            for k in range(1, level + 2):
-                contexts = [*contexts[-2:], mix(contexts[-1], np.roll(stream, k))]
-            parent, context, longer = contexts[-3:]
-            up = entry(parent, stream) if level > 1 else stream
-            one = entry(context, stream)
-            live = often = inside >= level
+            context, up = np.full(len(stream), ROOT), stream
+            live = inside >= level
+            if level == 1:
+                again = has(often, stream)
+                live &= np.roll(again, 1)
+            for k in range(1, level):
+                if shorter is not None and k == level - 1:
+                    counted = has(shorter, context)
+                context = mix(context, np.roll(stream, k))
+                up = entry(context, up)
             if level > 1:
-                often = live & stretches.has(one)
-                live = live & states.has(parent) & np.roll(shorter.has(up), 1)
+                again = has(often, up)
+                first = again if shorter is None else again | ~counted
+                live &= has(states, context) & np.roll(first, 1)
+            context = mix(context, np.roll(stream, level))
             key, n = np.unique(context[live], return_counts=True)
-            on = np.nonzero(live & often)[0]
-            one, first, times = np.unique(one[on], return_index=True, return_counts=True)
-            on = on[first]
-            more, again = np.unique(entry(longer, stream)[often & np.roll(often, 1) & (inside > level)], return_counts=True)
-            none, mark = np.zeros(len(key), np.uint64), np.zeros(len(more), np.uint64)
-            columns = [np.concatenate(x) for x in ((key, context[on], more), (none, one, mark), (none, up[on], mark + np.uint64(1)))]
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c.view(np.int64)) for c in columns), pa.array(np.concatenate((n, times, again)).astype(np.int64))], ["context", "entry", "up", "n"]
-            )
+            on = np.nonzero(live & again)[0]
+            _, at, times = np.unique(entry(context[on], up[on]), return_index=True, return_counts=True)
+            on = on[at]
+            if level == 1:  # the numbers of the words are known
+                key, n = key[:0], n[:0]
+            columns = np.concatenate((key, context[on])).view(np.int64), np.concatenate((np.zeros(len(key), np.uint64), up[on])).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(np.concatenate((n, times)).astype(np.int64))], ["context", "up", "n"])
 
     return run
 
 
-@dataclass
-class Tree:
-    """A tree of two levels in memory, by the same formulas as the tables: their reference for hand-made counts.
+def _unsigned(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).view(np.uint64)
 
-    Root and states. ``size`` symbols have numbers; the last is the end.
-    """
 
-    words: list[bytes]
-    root: np.ndarray  # log10 of the root's probability per symbol
-    pairs: np.ndarray  # sorted keys of the explicit pairs
-    pair_log: np.ndarray
-    one_left: np.ndarray  # per symbol: log10 of the factor on the parent's probability, nan if it is no state
-    triples: np.ndarray
-    triple_log: np.ndarray
-    two_left: np.ndarray  # the same per pair
-
-    @property
-    def size(self) -> int:
-        return len(self.words) + 1
-
-    def first(self, before: np.ndarray, pair: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """log10 probability from contexts of at most one symbol, given the root's."""
-        left = np.where(before >= 0, self.one_left[np.maximum(before, 0)], np.nan)
-        explicit = self.pair_log[pair] if len(self.pairs) else base
-        return np.where(np.isnan(left), base, np.where(pair >= 0, explicit, left + base))
-
-    def scores(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per place of a stream, without what the root says of symbols without a number: log10 at the root, in the tree."""
-        base = np.where(stream >= 0, self.root[np.maximum(stream, 0)], 0.0)
-        keys = _pair_keys(stream, self.size)
-        pair = find(self.pairs, keys)
-        before = np.append(-1, stream[:-1])
-        log = self.first(before, pair, base)
-        if len(self.pairs):
-            context = np.append(-1, pair[:-1])
-            left = np.where(context >= 0, self.two_left[context], np.nan)
-            triple = find(self.triples, np.where((context >= 0) & (stream >= 0), context * self.size + stream, -1))
-            explicit = self.triple_log[triple] if len(self.triples) else log
-            log = np.where(np.isnan(left), log, np.where(triple >= 0, explicit, left + log))
-        return base, log
-
-
-def _states(context: np.ndarray, counts: np.ndarray, totals: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of the explicit probabilities, and per context the left factor, nan if the test does not retain it.
-
-    ``parent`` has the parent's probability of each explicit symbol; ``totals`` how often each context was followed.
-    """
-    n = len(totals)
-    share = counts / totals[context]
-    own = np.bincount(context, share, n)
-    above = np.minimum(np.bincount(context, parent, n), 1 - 1e-9)
-    rest = np.maximum(1 - own, 0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        other = np.where(rest > 0, totals * rest * np.log(rest / (1 - above)), 0.0)
-        statistic = 2 * (np.bincount(context, counts * np.log(share / parent), n) + other)
-    explicit = np.bincount(context, minlength=n)
-    kept = (explicit > 0) & (statistic > explicit + STRICT * np.sqrt(2 * explicit))
-    given = (counts - DISCOUNT) / totals[context]
-    left = np.maximum(1 - np.bincount(context, given, n), 1e-12) / (1 - above)
-    return np.log10(given), np.where(kept, np.log10(left), np.nan)
-
-
-def grown(words: list[bytes], counts: np.ndarray, total: int, kinds: int, pairs, triples) -> Tree:
-    """The tree from the counts of the symbols (the end last) and of explicit pairs and triples."""
-    size = len(words) + 1
-    root = np.log10((counts + ADD) / (total + ADD * (kinds + 1)))
-    pair_key, pair_n = pairs
-    tree = Tree(words, root, pair_key, np.zeros(len(pair_key)), np.full(size, np.nan), np.zeros(0, np.int64), np.zeros(0), np.full(len(pair_key), np.nan))
-    before, symbol = pair_key // size, pair_key % size
-    tree.pair_log, tree.one_left = _states(before, pair_n, np.maximum(counts, 1), 10 ** root[symbol])
-    triple_key, triple_n = triples
-    context, symbol = triple_key // size, triple_key % size
-    middle = pair_key[context] % size if len(triple_key) else context
-    upper = tree.first(middle, find(pair_key, middle * size + symbol), root[symbol])
-    tree.triples = triple_key
-    tree.triple_log, tree.two_left = _states(context, triple_n, np.maximum(pair_n, 1), 10**upper)
-    return tree
-
-
-def _tested(level: DataFrame, above: DataFrame) -> DataFrame:
-    """The entries of the contexts that the test retains: context, entry, n, total, log, and left of the context, and log in the parent.
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts of one symbol with their totals."""
+    for batch in batches:
+        h = _unsigned(batch.column("h"))
+        context = mix(np.full(len(h), ROOT), h).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(context), pa.array(np.zeros(len(h), np.int64)), batch.column("n")], ["context", "up", "n"])
+
+
+def _with_entry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        key = entry(_unsigned(batch.column("context")), _unsigned(batch.column("up"))).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("context"), batch.column("up"), pa.array(key), batch.column("n")], ["context", "up", "entry", "n"])
+
+
+def _tested(level: DataFrame, above: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The contexts that the test retains (context, n, left), and their entries (entry, n, log, more).
 
     ``above`` has (h, log) of the entries of the parents, all of them states.
     """
-    totals = level.filter("entry = 0 and up = 0").select(F.col("context").alias("_c"), F.col("n").alias("total"))
-    met = level.filter("entry <> 0").join(totals, F.col("context") == F.col("_c")).drop("_c")
-    met = met.join(above.select(F.col("h").alias("_h"), F.col("log").alias("upper")), F.col("up") == F.col("_h")).drop("_h", "up")
-    met = materialize(met, "suffix")
-    share, parent = F.col("n") / F.col("total"), F.pow(F.lit(10.0), F.col("upper"))
+    entries = level.filter("up <> 0").join(above.select(F.col("h").alias("_h"), F.col("log").alias("upper")), F.col("up") == F.col("_h"))
+    met = _kept(entries.select("context", "entry", "n", "upper"))
+    n, upper = F.col("n"), F.col("upper")
     sums = met.groupBy(F.col("context").alias("_c")).agg(
-        F.first("total").alias("t"), F.sum(share).alias("own"), F.least(F.sum(parent), F.lit(1 - 1e-9)).alias("above"),
-        F.sum(F.col("n") * F.log(share / parent)).alias("gain"), F.count(F.lit(1)).alias("k"),
-        F.greatest(1 - F.sum((F.col("n") - DISCOUNT) / F.col("total")), F.lit(1e-12)).alias("rest"),
+        F.sum(n).alias("own"), F.least(F.sum(F.pow(F.lit(10.0), upper)), F.lit(1 - 1e-9)).alias("above"),
+        F.sum(n * (F.log(n) - upper * math.log(10.0))).alias("gain"), F.count(F.lit(1)).alias("k"),
     )
-    unseen = 1 - F.col("own")
-    other = F.when(unseen > 0, F.col("t") * unseen * F.log(unseen / (1 - F.col("above")))).otherwise(0.0)
-    kept = sums.filter(2 * (F.col("gain") + other) > F.col("k") + STRICT * F.sqrt(2 * F.col("k")))
-    kept = kept.select("_c", F.log10(F.col("rest") / (1 - F.col("above"))).alias("left"))
-    log = F.log10((F.col("n") - DISCOUNT) / F.col("total"))
-    return materialize(met.join(kept, F.col("context") == F.col("_c")).select("context", "entry", "n", "total", "upper", "left", log.alias("log")), "suffix")
-
-
-def learned(train: DataFrame, p_min: float = 0.0) -> tuple[DataFrame, int, int, int]:
+    sums = level.filter("up = 0").select("context", F.col("n").alias("total")).join(sums, F.col("context") == F.col("_c"))
+    total, own, k = F.col("total"), F.col("own"), F.col("k")
+    unseen = (total - own) / total
+    other = F.when(unseen > 0, total * unseen * F.log(unseen / (1 - F.col("above")))).otherwise(0.0)
+    kept = sums.filter(2 * (F.col("gain") - own * F.log(total) + other) > k + STRICT * F.sqrt(2 * k))
+    rest = F.greatest(1 - (own - k * DISCOUNT) / total, F.lit(1e-12))
+    of = _kept(kept.select("context", total.alias("n"), F.log10(rest / (1 - F.col("above"))).alias("left")))
+    back = of.select(F.col("context").alias("_c"), F.col("n").alias("total"), "left")
+    log = F.log10((n - DISCOUNT) / total)
+    entries = met.join(back, F.col("context") == F.col("_c")).select("entry", "n", log.alias("log"), (log - upper - F.col("left")).alias("more"))
+    entries = _kept(entries)
+    forget(met)
+    return of, entries
+
+
+def learned(train: DataFrame) -> tuple[DataFrame, int, int, int]:
     """The tree as a table (h, n, root, more), N, V and the longest context.
 
-    ``root`` is what a word has more than the unknown at the root; ``more`` what a key adds to the score below it. With
-    ``p_min``, counts must also reach that share of N.
+    ``root`` is what a word has more than the unknown at the root; ``more`` what a key adds to the score below it.
     """
     counts = train.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = materialize(counts.select("n", F.xxhash64("word").alias("h")), "suffix")
+    counts = _kept(counts.select("n", F.xxhash64("word").alias("h")))
     texts = train.count()
-    total, kinds = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
+    total, kinds, again = counts.agg(F.sum("n"), F.count(F.lit(1)), F.count_if(F.col("n") >= LEAST)).first()
     total, kinds = (total or 0) + texts, kinds + (texts > 0)
     end = train.sparkSession.range(1 if texts else 0).select(F.lit(texts).cast("long").alias("n"), F.lit(END - (END >> 63 << 64)).cast("long").alias("h"))
     symbols = counts.unionByName(end)
-    out = symbols.select("h", "n", F.log10((F.col("n") + ADD) / ADD).alias("root"), F.lit(0.0).alias("more"))
-    least = max(LEAST, math.ceil(p_min * total))
-    above = symbols.filter(F.col("n") >= least).select("h", F.log10((F.col("n") + ADD) / (total + ADD * (kinds + 1))).alias("log"))
-    states = shorter = stretches = None
-    context = train.sparkSession.sparkContext
+    zero = F.lit(0.0)
+    out = symbols.select("h", "n", F.log10((F.col("n") + ADD) / ADD).alias("root"), zero.alias("more"))
+    often = symbols.filter(F.col("n") >= LEAST)
+    above = often.select("h", F.log10((F.col("n") + ADD) / (total + ADD * (kinds + 1))).alias("log"))
+    shape = "context long, up long, n long"
+    marked = (None, _marks(often, "h", again + 1), None)
     for length in itertools.count(1):
-        shared = context.broadcast((states, shorter, stretches))
-        found = train.mapInArrow(_count_level(length, shared), "context long, entry long, up long, n long")
-        level = materialize(found.groupBy("context", "entry", "up").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "suffix")
-        kept = _tested(level, above)
-        of = materialize(kept.groupBy("context").agg(F.first("total").alias("n"), F.first("left").alias("left")), "suffix")
-        n = of.count()
-        if not n:
+        shared = train.sparkSession.sparkContext.broadcast(marked)
+        found = train.mapInArrow(_count_level(length, shared), shape).groupBy("context", "up").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
+        if length == 1:
+            found = found.unionByName(often.mapInArrow(_single, shape))
+        level = _kept(found.mapInArrow(_with_entry, "context long, up long, entry long, n long"))
+        shared.unpersist()
+        of, entries = _tested(level, above)
+        states = of.count()
+        if not states:
+            forget(level, of, entries)
             return out, total, kinds, length - 1
-        more = F.col("log") - F.col("upper") - F.col("left")
-        out = out.unionByName(of.select(F.col("context").alias("h"), "n", F.lit(0.0).alias("root"), F.col("left").alias("more")))
-        out = out.unionByName(kept.select(F.col("entry").alias("h"), "n", F.lit(0.0).alias("root"), more.alias("more")))
-        above = kept.select(F.col("entry").alias("h"), "log")
-        states = _marks(of, "context", n)
-        pairs = level.filter("entry <> 0").select(F.col("entry").alias("context"))
-        shorter = _marks(pairs, "context", pairs.count()) if length == 1 else stretches
-        twice = level.filter("entry = 0 and up = 1")
-        stretches = _marks(twice, "context", twice.count())
-
-
-class Head:
-    """The broadcast keys, sorted, found by their top bits."""
-
-    def __init__(self, keys: np.ndarray, root: np.ndarray, more: np.ndarray) -> None:
-        self.keys, self.root, self.more = keys, root, more
-        self.shift = np.uint64(64 - max(1, len(keys).bit_length()))
-        slots = np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64)
-        self.first = np.searchsorted(keys >> self.shift, slots)
-
-    def find(self, wanted: np.ndarray) -> np.ndarray:
-        """Place of each wanted key, -1 where it is missing."""
-        out = np.full(len(wanted), -1)
-        slot = wanted >> self.shift
-        at, stop = self.first[slot], self.first[slot + np.uint64(1)]
-        open_ = np.nonzero(at < stop)[0]
-        at, stop, wanted = at[open_], stop[open_], wanted[open_]
-        while len(open_):
-            here = self.keys[at] == wanted
-            out[open_[here]] = at[here]
-            on = ~here & (at + 1 < stop)
-            open_, at, stop, wanted = open_[on], at[on] + 1, stop[on], wanted[on]
-        return out
-
-
-def _head(tree: DataFrame, most: int = HEAD) -> tuple[Head, DataFrame, Marks]:
-    """The most frequent keys, the others, and the marks of these."""
+        pairs = level.filter("up <> 0").select("entry")
+        marked = (_marks(of, "context", states), _marks(pairs, "entry", pairs.count()), marked[0])
+        forget(level)
+        out = out.unionByName(of.select(F.col("context").alias("h"), "n", zero.alias("root"), F.col("left").alias("more")))
+        out = out.unionByName(entries.select(F.col("entry").alias("h"), "n", zero.alias("root"), "more"))
+        above = entries.select(F.col("entry").alias("h"), "log")
+
+
+def indexed(keys: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+    """Sorted keys with the place of the first key of each value of their top bits."""
+    shift = 64 - max(1, len(keys).bit_length())
+    slots = np.arange((1 << (64 - shift)) + 1, dtype=np.uint64)
+    return keys, shift, np.searchsorted(keys >> np.uint64(shift), slots)
+
+
+def find(index: tuple[np.ndarray, int, np.ndarray], wanted: np.ndarray) -> np.ndarray:
+    """Place of each wanted key among the indexed, -1 where it is missing."""
+    keys, shift, first = index
+    out = np.full(len(wanted), -1)
+    slot = wanted >> np.uint64(shift)
+    at, stop = first[slot], first[slot + np.uint64(1)]
+    open_ = np.nonzero(at < stop)[0]
+    at, stop, wanted = at[open_], stop[open_], wanted[open_]
+    while len(open_):
+        here = keys[at] == wanted
+        out[open_[here]] = at[here]
+        on = ~here & (at + 1 < stop)
+        open_, at, stop, wanted = open_[on], at[on] + 1, stop[on], wanted[on]
+    return out
+
+
+def _head(tree: DataFrame, most: int = HEAD) -> tuple[tuple, DataFrame, tuple[int, np.ndarray]]:
+    """The most frequent keys, indexed, with root and more, the others, and the marks of these."""
     step = F.floor(8 * F.log2("n"))
     size, floor = 0, 1 << 20
     rows = sorted(tree.groupBy(step.alias("s")).count().collect(), reverse=True)
@@ -377,7 +315,7 @@ def _head(tree: DataFrame, most: int = HEAD) -> tuple[Head, DataFrame, Marks]:
     keys = top.column("h").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     rest = tree.filter(step < floor).select("h", "root", "more")
-    head = Head(keys[order], top.column("root").to_numpy()[order], top.column("more").to_numpy()[order])
+    head = indexed(keys[order]), top.column("root").to_numpy()[order], top.column("more").to_numpy()[order]
     return head, rest, _marks(rest, "h", sum(n for _, n in rows) - size)
 
 
@@ -386,7 +324,7 @@ LOCAL = "row long, doc_id long, held_out boolean, n_tokens long, known long, roo
 
 def _score(shared, levels: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, rest = shared.value
+        (index, of_root, of_more), rest = shared.value
         hashes = _Hashes()
         for batch in _groups(batches):
             stream, starts, inside = _symbols(batch.column("text").to_pylist(), hashes)
@@ -395,27 +333,28 @@ def _score(shared, levels: int):
 
             def look(at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 """Place in the head, and whether the key may be in the tree at all."""
-                found = head.find(keys)
-                other = (found < 0) & rest.has(keys)
+                found = find(index, keys)
+                other = (found < 0) & has(rest, keys)
                 asked.append((at[other], keys[other]))
                 return found, other | (found >= 0)
 
             at = np.nonzero(inside >= 1)[0]  # the start is a context, not a symbol of the text
             found, _ = look(at, stream[at])
             here = found >= 0
-            known[at[here]], root[at[here]] = 1, head.root[found[here]]
-            context = np.full(len(at), ROOT)
+            known[at[here]], root[at[here]] = 1, of_root[found[here]]
+            context, up = np.full(len(at), ROOT), stream.copy()
             for k in range(1, levels + 1):
                 far = inside[at] >= k
                 at = at[far]
                 context = mix(context[far], stream[at - k])
                 found, live = look(at, context)
                 here = found >= 0
-                more[at[here]] += head.more[found[here]]
+                more[at[here]] += of_more[found[here]]
                 at, context = at[live], context[live]
-                found, _ = look(at, entry(context, stream[at]))
+                up[at] = entry(context, up[at])
+                found, _ = look(at, up[at])
                 here = found >= 0
-                more[at[here]] += head.more[found[here]]
+                more[at[here]] += of_more[found[here]]
             place, key = (np.concatenate(x) for x in zip(*asked))
             text = np.searchsorted(starts, place, side="right") - 1
             order = np.lexsort((key, text))
@@ -435,15 +374,15 @@ def _score(shared, levels: int):
     return run
 
 
-def scored(docs: DataFrame, parts: int = HELD_OUT_PARTS, p_min: float = 0.0) -> DataFrame:
+def scored(docs: DataFrame, parts: int = HELD_OUT_PARTS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score per row of ``docs``."""
     part = crc_part(F.col("doc_id"), parts)
     text = F.coalesce("text", F.lit("")).alias("text")
-    tree, total, kinds, levels = learned(docs.filter(part != 0).select(text), p_min)
+    tree, total, kinds, levels = learned(docs.filter(part != 0).select(text))
     head, rest, marks = _head(tree)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), (part == 0).alias("held_out"), text)
     shared = docs.sparkSession.sparkContext.broadcast((head, marks))
-    local = materialize(rows.mapInArrow(_score(shared, levels), LOCAL), "suffix")
+    local = _kept(rows.mapInArrow(_score(shared, levels), LOCAL))
     asked = local.select(F.col("row").alias("_row"), F.inline(F.arrays_zip("h", "times")))
     met = asked.join(rest.withColumnRenamed("h", "_h"), F.col("h") == F.col("_h"))
     sums = met.groupBy("_row").agg(

@@ -196,32 +196,8 @@ def test_near_duplicates(spark, messy, none):
 # suffix tree
 
 
-def test_tree_is_a_distribution():
-    """The probabilities of all symbols after any context and of the unknown sum to one."""
-    draw = np.random.default_rng(4)
-    size = 6
-    stream = [5]
-    for _ in range(4000):
-        stream.append((stream[-1] + 1) % 5 if draw.random() < 0.8 else int(draw.integers(0, 5)))
-    stream = np.array(stream)
-    counts = np.bincount(stream[1:], minlength=size).astype(float)
-    key = stream[:-1] * size + stream[1:]
-    pairs = tuple(a[n >= 20] for n in [np.unique(key, return_counts=True)[1]] for a in np.unique(key, return_counts=True))
-    head = suffix_tree.find(pairs[0], key)
-    triple = (head[:-1] * size + stream[2:])[head[:-1] >= 0]
-    found, n = np.unique(triple, return_counts=True)
-    tree = suffix_tree.grown([b"a", b"b", b"c", b"d", b"e"], counts, 4000, size, (pairs[0], pairs[1].astype(float)), (found[n >= 20], n[n >= 20].astype(float)))
-    assert not np.isnan(tree.one_left).all()
-    unknown = 0.1 / (4000 + 0.1 * (size + 1))
-    for a in range(5):
-        for b in range(5):
-            total = sum(10 ** tree.scores(np.array([5, a, b, c]))[1][3] for c in range(size))
-            total += unknown * 10 ** tree.scores(np.array([5, a, b, -1]))[1][3]
-            assert total == pytest.approx(1, abs=1e-6)
-
-
 def test_suffix_tree_scores(spark, messy, none):
-    rows = suffix_tree.scored(messy, p_min=1e-3).collect()
+    rows = suffix_tree.scored(messy).collect()
     base = [(r["doc_id"], r["text"]) for r in messy.collect()]
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     tokens = {i: [w.translate(lower) for w in words(t)] + [None] for i, t in enumerate(t for _, t in base)}
@@ -277,6 +253,7 @@ def brute_tree_scores(texts, held):
             if 2 * gain > len(often) + suffix_tree.STRICT * math.sqrt(2 * len(often)):
                 given = {w: (k - suffix_tree.DISCOUNT) / total for w, k in often.items()}
                 new[context] = given, max(1 - sum(given.values()), 1e-12) / (1 - above)
+                assert sum(given.values()) + new[context][1] * (1 - above) == pytest.approx(1)  # a distribution
         if not new:
             break
         states.update(new)
