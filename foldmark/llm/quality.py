@@ -171,9 +171,10 @@ def _featured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """The machine from at most ``sample`` labelled documents that are not held out, by digest of their id."""
+    """The machine from at most ``sample`` labelled documents that are not held out, by digest of their id; labels of others are left out first."""
     known = labels.filter("quality is not null and doc_id is not null").filter(~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").alias("_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("_label"))
+    known = known.join(docs.select(F.col("doc_id").alias("_own")), F.col("_id") == F.col("_own"), "left_semi")
     known = F.broadcast(known.orderBy(F.xxhash64("_id"), "_id").limit(sample))
     texts = docs.select(F.col("doc_id").alias("_doc"), "text", _with_n_chars(docs).alias("n_chars"))
     rows = texts.join(known, F.col("_doc") == F.col("_id")).groupBy("_id", "_label").agg(F.min(F.struct("text", "n_chars")).alias("d"))
