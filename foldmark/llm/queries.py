@@ -27,8 +27,7 @@ def op5(spark, sf):
 
 @query("op7_preference_format", preference.ORACLE)
 def op7(spark, sf):
-    turns = table(spark, sf, "conversations")
-    return preference.formatted(turns, preference.neighbour_pairs(turns))
+    return preference.formatted(*preference.swapped_replies(table(spark, sf, "conversations")))
 
 
 @query("op8_llr_rules")
