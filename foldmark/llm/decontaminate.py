@@ -10,8 +10,10 @@ Texts are compared as UTF-8 bytes of their lower case, of any script, and white
 set: it is cut into blocks of at most ``BLOCK_BYTES``, one broadcast and one pass over the documents per block, so
 documents never move and no group forms, however often a passage occurs.
 
-Edge cases: null or empty texts contain nothing and are clean; benchmark texts shorter than ``LEAST`` bytes after
-trimming are not looked for, since ordinary prose contains them; rows that repeat an item_id are all looked for, as are those
+Benchmark texts shorter than ``LEAST`` bytes after trimming are too short for edits and the lemma; they are found as they stand, with no
+letter or digit right before or after them where they begin or end with one themselves (scripts without spaces excepted).
+
+Edge cases: null or empty texts contain nothing and are clean, and empty benchmark texts are not looked for; rows that repeat an item_id are all looked for, as are those
 without one, which are reported as null; repeated
 documents are each judged; an empty benchmark finds nothing; other columns are ignored.
 """
@@ -22,6 +24,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,14 +37,22 @@ BLOCK_BYTES = 4 * 1024 * 1024
 STRETCH = 1 << 20  # bytes of documents whose q-grams are looked up at a time
 EXPANDED = 1 << 20  # hits that are expanded to (text, diagonal) at a time
 
+SPACED = 0x2E80  # from here on, scripts are mostly written without spaces between words
+
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[9:14] = ord(" ")
+SPACES = dict.fromkeys(range(9, 14), " ")
 
 
 def folded(text: str | None) -> np.ndarray:
     return FOLD[np.frombuffer((text or "").lower().encode(), np.uint8)]
 
 
+def _joined(a: str, b: str) -> bool:
+    """Whether two neighbouring characters belong to one word."""
+    return a.isalnum() and b.isalnum() and ord(a) < SPACED and ord(b) < SPACED
+
+
 def grams(codes: np.ndarray) -> np.ndarray:
     """The q-grams of a byte array as 64-bit digests: ten bytes as eight and two."""
     n = len(codes) - Q + 1
@@ -55,10 +66,25 @@ def grams(codes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Patterns:
-    """A block of benchmark texts with the postings of their q-grams."""
+    """A block of benchmark texts with the postings of their q-grams, and the short ones (item, text) beside them."""
 
     ids: list[int | None]
     texts: list[bytes]
+    short: list[tuple[int | None, str]]
+
+    @cached_property
+    def words(self) -> ahocorasick.Automaton | None:
+        """All short texts at once, each with the ids that have it."""
+        if not self.short:
+            return None
+        found: dict[str, set[int | None]] = {}
+        for item, text in self.short:
+            found.setdefault(text, set()).add(item)
+        out = ahocorasick.Automaton()
+        for text, items in found.items():
+            out.add_word(text, (len(text), items))
+        out.make_automaton()
+        return out
 
     @cached_property
     def codes(self) -> list[np.ndarray]:
@@ -166,11 +192,26 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return key, np.bincount(back, np.concatenate(counts)).astype(np.int64)
 
 
+def _short(text: str | None, p: Patterns) -> dict[int | None, int]:
+    """The items of short texts that stand in a text by themselves."""
+    found: dict[int | None, int] = {}
+    if p.words is None or not text:
+        return found
+    line = text.lower().translate(SPACES)
+    for last, (size, items) in p.words.iter(line):
+        first = last + 1 - size
+        if first and _joined(line[first - 1], line[first]) or last + 1 < len(line) and _joined(line[last], line[last + 1]):
+            continue
+        found.update(dict.fromkeys(items, 0))
+    return found
+
+
 def matches(texts: Iterable[str | None], p: Patterns) -> list[dict[int | None, int]]:
     """For each text, the item ids found in it with the fewest edits found."""
+    texts = list(texts)
     parts = [folded(t) for t in texts]
     ends = np.cumsum([len(x) for x in parts]) if parts else np.zeros(0, np.int64)
-    out: list[dict[int | None, int]] = [{} for _ in parts]
+    out: list[dict[int | None, int]] = [_short(t, p) for t in texts]
     if not p.texts or not len(ends) or not ends[-1]:
         return out
     docs, which, band = _bands(np.concatenate(parts), ends, p)
@@ -194,23 +235,26 @@ def matches(texts: Iterable[str | None], p: Patterns) -> list[dict[int | None, i
 
 def _blocks(benchmark: DataFrame) -> Iterator[Patterns]:
     """The query set in blocks of bounded size, one at a time on the driver."""
-    ids, texts, size = [], [], 0
+    ids, texts, short, size = [], [], [], 0
     for row in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         text = folded(row["text"]).tobytes().strip()
-        if len(text) < LEAST:
+        if not text:
             continue
-        ids.append(row["item_id"])
-        texts.append(text)
+        if len(text) < LEAST:
+            short.append((row["item_id"], text.decode()))
+        else:
+            ids.append(row["item_id"])
+            texts.append(text)
         size += len(text)
         if size >= BLOCK_BYTES:
-            yield Patterns(ids, texts)
-            ids, texts, size = [], [], 0
-    if ids:
-        yield Patterns(ids, texts)
+            yield Patterns(ids, texts, short)
+            ids, texts, short, size = [], [], [], 0
+    if size:
+        yield Patterns(ids, texts, short)
 
 
 def _search(docs: DataFrame, p: Patterns, name: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((p.ids, p.texts))
+    shared = docs.sparkSession.sparkContext.broadcast((p.ids, p.texts, p.short))
     loaded: list[Patterns] = []
 
     @F.pandas_udf("array<struct<item_id:long,edits:int>>")
