@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
-TOKEN = re.compile(
-    r"""<!--|<(/?)([a-zA-Z][^\s/><]*+)((?:[^<>"']|"[^"<]*+"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][^\s/><]*+)([^<>]*+)>|<[!?][^<>]*+>"""
-)
+TOKEN = re.compile(r"""<!--|<!\[CDATA\[|<(/?)([a-zA-Z][^\s/><]*+)((?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^<>=]|=)*+)>|<[!?][^<>]*+>""")
+COMMENT_END = re.compile(r"--!?>")
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORDS = re.compile(r"[a-z]+")
 
@@ -26,7 +26,8 @@ INLINE = frozenset(
 )
 WITHIN = frozenset("noscript object select option optgroup datalist".split())  # blocks that may stand inside a paragraph
 CLOSED_BY_BLOCK = "p"
-ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW | SKIPPED}
+ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
+BOTH = {tag: re.compile(rf"<(/?){tag}\b[^>]*?(/?)>", re.I) for tag in SKIPPED}
 LIKE = {"option": ("option",), "optgroup": ("option", "optgroup"), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
 SCOPE = frozenset("ul ol dl table article section div main aside nav header footer form body html button select datalist object noscript".split())
 CONTROLS = frozenset("input button select textarea".split())
@@ -62,16 +63,35 @@ class _Builder:
         self.root = Node("html", frozenset(), None)
         self.open: list[tuple[str, Node]] = [("html", self.root)]
         self.loose: Node | None = None  # the anonymous block that takes text beside blocks
-        self.links = 0
+        self.count: Counter[str] = Counter()  # open elements by tag
+        self.inside: list[Counter[str]] = [Counter()]  # the inline ones of them, per open block
+
+    @property
+    def links(self) -> int:
+        return self.count["a"]
+
+    def push(self, tag: str, node: Node) -> None:
+        self.open.append((tag, node))
+        self.count[tag] += 1
+        if tag in INLINE:
+            self.inside[-1][tag] += 1
+        else:
+            self.inside.append(Counter())
 
     def pop(self, to: int) -> None:
-        for tag, _ in self.open[to:]:
-            self.links -= tag == "a"
+        for tag, _ in reversed(self.open[to:]):
+            self.count[tag] -= 1
+            if tag in INLINE:
+                self.inside[-1][tag] -= 1
+            else:
+                self.inside.pop()
         del self.open[to:]
         self.loose = None
 
     def close(self, tags: tuple[str, ...], scope: frozenset[str] = SCOPE) -> None:
         """End the innermost open element of these tags unless an element of the scope is in between."""
+        if not any(self.count[tag] for tag in tags):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0] in tags:
                 self.pop(i)
@@ -84,8 +104,7 @@ class _Builder:
         if tag in INLINE:
             if tag == "a":
                 self.close(("a",))
-                self.links += 1
-            self.open.append((tag, block))
+            self.push(tag, self.open[-1][1])
             return
         if tag in CONTROLS:
             block.controls += 1
@@ -105,20 +124,22 @@ class _Builder:
         above = self.open[-1][1]
         node = Node(tag, attribute_tokens(attributes), above)
         above.children.append(node)
-        self.open.append((tag, node))
+        self.push(tag, node)
         self.loose = None
 
     def end(self, tag: str) -> None:
+        """End the innermost open element of this tag; inline ones end within their block only."""
+        if not (self.inside[-1] if tag in INLINE else self.count)[tag]:
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0] == tag:
                 if tag in INLINE:
-                    self.links -= tag == "a"
+                    self.count[tag] -= 1
+                    self.inside[-1][tag] -= 1
                     del self.open[i]
                 else:
                     self.pop(i)
                 return
-            if tag in INLINE and self.open[i][0] not in INLINE:
-                return
 
     def add(self, text: str) -> None:
         """Text goes to an anonymous block in page order below the open one."""
@@ -138,6 +159,7 @@ def parse(page: str | None) -> Node:
     page = page or ""
     build, at = _Builder(), 0
     missing: set[str] = set()  # elements without an end tag from here on
+    uneven: set[str] = set()  # elements that did not all end; from then on the first end tag counts
     while True:
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
@@ -147,24 +169,51 @@ def parse(page: str | None) -> Node:
             return build.root
         at = m.end()
         if m[0] == "<!--":
-            stop = page.find("-->", at)
-            at = len(page) if stop < 0 else stop + 3
+            stop = COMMENT_END.search(page, m.start() + 2)
+            at = stop.end() if stop else len(page)
+            continue
+        if m[0] == "<![CDATA[":
+            stop = page.find("]]>", at) if "]]>" not in missing else -1
+            if stop < 0:
+                missing.add("]]>")
+                stop = page.find(">", at)
+                at = len(page) if stop < 0 else stop + 1
+            else:
+                at = stop + 3
             continue
-        tag = (m[2] or m[5] or "").lower()
+        tag = (m[2] or "").lower()
         if not tag:
             continue
-        if m[1] or m[4]:
+        if m[1]:
             build.end(tag)
         elif tag in RAW or tag in SKIPPED:
-            if (m[3] or m[6] or "").endswith("/"):
+            if (m[3] or "").endswith("/"):
                 continue
             build.open[-1][1].controls += tag in CONTROLS
-            stop = None if tag in missing else ENDS[tag].search(page, at)
-            if stop:
-                at = stop.end()
+            stop = -1
+            if tag not in missing:
+                stop = _past(tag, page, at, uneven) if tag in SKIPPED else getattr(ENDS[tag].search(page, at), "end", lambda: -1)()
+            if stop >= 0:
+                at = stop
             elif tag in ENDLESS:
                 at = len(page)
             else:
                 missing.add(tag)
         else:
-            build.start(tag, m[3] or m[6] or "")
+            build.start(tag, m[3] or "")
+
+
+def _past(tag: str, page: str, at: int, uneven: set[str]) -> int:
+    """Where an element ends that may hold others of its kind; -1 without an end tag."""
+    depth, first = 1, -1
+    for m in BOTH[tag].finditer(page, at):
+        if m[1]:
+            depth -= 1
+            first = m.end() if first < 0 else first
+        elif not m[2]:
+            depth += 1
+        if not depth or (first >= 0 and tag in uneven):
+            return m.end() if not depth else first
+    if first >= 0:
+        uneven.add(tag)
+    return first

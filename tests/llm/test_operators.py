@@ -106,6 +106,9 @@ def test_quality_edges(spark, messy, none, labels):
     assert len(rows) == 11 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
     assert {r["doc_id"]: r["held_out"] for r in rows if r["doc_id"]} == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in range(1, 8)}
     assert quality.scored(none, labels).count() == 0
+    foreign = labels.unionByName(spark.range(1_000, 9_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "0 as toxic"))
+    again = sorted((str(r["doc_id"]), r["score"]) for r in quality.scored(messy, foreign, 20).collect())
+    assert again == sorted((str(r["doc_id"]), r["score"]) for r in quality.scored(messy, labels, 20).collect())
     assert {r["score"] for r in quality.scored(messy, labels.limit(0)).collect()} == {0.5}
     assert quality.accepted(messy, labels.limit(0)).columns == messy.columns
 
@@ -367,6 +370,27 @@ def test_content_of_ordinary_elements_is_text():
     assert [t for t in text if t] == ["one", "two", "x y", "z", "o", "last"]
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<p>a <a title="x<y">link</a> b</p>', "a link b"), ("<p>a <a title='1 > 0' href=x\">link</a> b</p>", "a link b"), ("<p>a<!-- c --!>b</p>", "ab"), ("<p>a<!-->b<!--->c</p>", "abc"),
+        ("<p>a<![CDATA[ x > y ]]>b</p>", "ab"), ("<p>a<svg><svg>x</svg><text>y</text></svg>b</p>", "ab"), ("<p>a<template><template>x</template>y</template>b</p>", "ab"),
+        ("<p>a<svg>open<svg>x</svg>b</p>", "ab"), ("<p>1 < 2 and <3</p>", "1 < 2 and <3"), ('<p class="open>a <b>c</b></p>', "a c"), ("<p>a</b></i></ul>b</p>", "ab"),
+        ("<p><b>a<i>c</b>d</i>e</p>", "acde"), ("<svg/><p>a</p>", "a"),
+    ],
+)
+def test_markup_is_no_text(page, want):
+    assert " ".join(t for t in (n.text for n in extract.blocks(dom.parse(page))) if t) == want
+
+
+@pytest.mark.parametrize("piece", ["<ul><li>", "</p>", "<span>", "</b>", "<svg>", "<svg><svg></svg>", "<a title='", '<a title="', "<!--", "<b><div><span></b>", "<![CDATA["])
+def test_broken_pages_take_linear_time(piece):
+    page = "<b><p>" + "<ul><li>" * 8_000 + piece * 8_000 + "</p></b>" * 8_000 + "<span>" * 8_000 + "</b></i></div>" * 8_000
+    started = time.perf_counter()
+    dom.parse(page)
+    assert time.perf_counter() - started < 3
+
+
 def test_decoding_never_contradicts():
     page = "<div><nav><p>a</p></nav><div><p>b</p><p>c</p></div></div>"
     nodes = extract.blocks(dom.parse(page))
@@ -400,6 +424,7 @@ def test_preference_prefix(spark):
         [
             (0, "prompt", 0, "user", line("user", "hi"), False), (0, "prompt", 1, "assistant", line("assistant", "yo"), False), (0, "prompt", 2, "user", line("user", "more"), False),
             (0, "chosen", 3, "assistant", line("assistant", "good"), True), (0, "rejected", 3, "assistant", line("assistant", "bad"), True),
+            (0, "rejected", 3, "assistant", line("assistant", "bad"), True),  # both rows of that turn
             (1, "chosen", 0, "user", line("user", "alone"), False), (2, "prompt", None, None, line("", ""), False), (2, "rejected", 1, "assistant", line("assistant", ""), True),
         ],
         key=str,
@@ -407,6 +432,29 @@ def test_preference_prefix(spark):
     assert preference.formatted(turns.limit(0), preference.neighbour_pairs(turns.limit(0))).count() == 0
 
 
+def test_rows_that_share_a_turn_all_stay(spark):
+    rows = [(0, 0, "user", "b"), (0, 0, "user", "a"), (0, None, None, "x"), (0, None, "user", None), (1, 0, "user", "a"), (1, 0, "user", "c")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted((r["part"], r["turn"], r["rendered"].split("\n")[1][:1]) for r in preference.formatted(turns, preference.neighbour_pairs(turns)).filter("turn is not null").collect())
+    assert got == [("chosen", 0, "a"), ("chosen", 0, "b"), ("rejected", 0, "a"), ("rejected", 0, "c")]  # the null turns differ before
+
+
+def test_swapped_replies_have_prompts(spark, tiny):
+    rows = [
+        (3, 0, "user", "q"), (3, 1, "assistant", "r3"), (3, 2, "user", "bye"), (7, 0, "user", "other"), (7, None, "system", "s"), (7, 1, "assistant", "r7"), (7, 1, "assistant", "r8"),
+        (9, 0, "user", "never answered"), (None, 0, "assistant", "x"), (11, None, "assistant", "no number"), (12, 0, "assistant", None),
+    ]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("place", urls.F.lit(1))
+    got = sorted((r["pair_id"], r["part"], r["rendered"].split("\n", 1)[1].split("<|")[0]) for r in preference.formatted(*preference.swapped_replies(turns)).collect())
+    assert got == [
+        (3, "chosen", "r3"), (3, "prompt", "q"), (3, "rejected", "r7"), (7, "chosen", "r7"), (7, "chosen", "r8"), (7, "prompt", "other"), (7, "prompt", "s"), (7, "rejected", ""),
+        (12, "chosen", ""), (12, "rejected", "r3"),
+    ]
+    assert preference.formatted(*preference.swapped_replies(turns.limit(0))).count() == 0
+    parts = preference.formatted(*preference.swapped_replies(spark.read.parquet(f"{tiny}/conversations.parquet"))).groupBy("part").count().collect()
+    assert {r["part"]: r["count"] > 0 for r in parts} == {"prompt": True, "chosen": True, "rejected": True}
+
+
 # rules
 
 
@@ -515,6 +563,51 @@ def test_passages_in_capitals_of_any_script(spark):
     assert {r["doc_id"]: (r["item_ids"], r["edits"]) for r in rows} == {1: ("7", 0), 2: ("", None)}
 
 
+def test_short_items_stand_as_words(spark):
+    items = [(1, "What is 7 times 8?"), (2, " Über "), (3, "中文题"), (4, ""), (5, "what is 7 times 8?"), (None, "x1"), (6, "!?")]
+    texts = [
+        (1, "so what\nis 7 times 8? he said"), (2, "what is 7 times 8?9"), (3, "somewhat is 7 times 8? no"), (4, "ÜBER"), (5, "Überall und darüber"), (6, "一中文题目"),
+        (7, "ax1 x12 x1"), (8, "ax1 x12"), (9, "huh!?"), (10, None), (11, ""),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.report(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {1: "1,5", 2: "1,5", 3: "", 4: "2", 5: "", 6: "3", 7: "null", 8: "", 9: "6", 10: "", 11: ""}
+
+
+def least_edits(item, text):
+    """Fewest edits that turn the item into any stretch of the text, in bytes, by the full table."""
+    row = np.zeros(len(text) + 1, np.int64)
+    codes = np.frombuffer(text, np.uint8)
+    steps = np.arange(len(text) + 1)
+    for i, x in enumerate(item, 1):
+        best = np.append(i, np.minimum(row[1:] + 1, row[:-1] + (codes != x)))
+        row = np.minimum.accumulate(best - steps) + steps
+    return int(row.min())
+
+
+def test_report_against_all_pairs(spark):
+    """Every document with every item by the full edit table, at all numbers of edits around the budget."""
+    draw = random.Random(21)
+    say = lambda n: " ".join("".join(draw.choice("abcde") for _ in range(draw.randint(1, 6))) for _ in range(n))
+    items = [(k, say(draw.randint(8, 40))) for k in range(8)]
+    docs = []
+    for k, item in items:
+        for edits in range(0, 2 + int(len(item) * 0.1), 2):
+            docs.append((len(docs), f"{say(draw.randint(0, 30))} {edit(item, edits, draw)} {say(draw.randint(0, 30))}"))
+    docs += [(len(docs) + k, say(60)) for k in range(6)]
+    want = {}
+    for doc_id, text in docs:
+        body = decontaminate.folded(text).tobytes()
+        want[doc_id] = []
+        for k, item in items:
+            pattern = decontaminate.folded(item).tobytes().strip()
+            if least_edits(pattern, body) <= min(int(len(pattern) * decontaminate.RATE), (len(pattern) - decontaminate.Q) // decontaminate.Q):
+                want[doc_id].append(str(k))
+    rows = decontaminate.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r["doc_id"]: r["item_ids"] for r in rows} == {d: ",".join(k) for d, k in want.items()}
+    assert 0 < sum(map(bool, want.values())) < len(docs)
+
+
 def test_banded_distance_against_full_table():
     draw = random.Random(2)
     for _ in range(200):
