@@ -25,7 +25,7 @@ LINE_BUTTONS = {
     "mark_leak_lines": "show and go to first leak src",
 }
 
-BLOCK = 64  # lines per block of the containment join
+LEVELS = 61  # blocks of the containment join have up to 2 to this lines
 
 
 def _comment(line: Column) -> Column:
@@ -126,25 +126,38 @@ def pair_reports(py: DataFrame, html: DataFrame, path: str = "path") -> DataFram
     return code.join(pages, "_stem", "left").drop("_stem").withColumnRenamed(path, "python_file_path")
 
 
-def enclosing_functions(lines: DataFrame, functions: DataFrame, block: int = BLOCK) -> DataFrame:
+def dyadic_blocks(start: Column, end: Column, levels: int = LEVELS) -> Column:
+    """The span from start to end, both included, as blocks (level, number) of 2 ** level lines, at most two per level."""
+
+    def at(level: Column) -> Column:
+        low = -F.call_function("shiftright", -start, level)  # rounded up
+        high = F.call_function("shiftright", end + 1, level)
+        odd = [F.when(x.bitwiseAND(F.lit(1)) == 1, y) for x, y in ((low, low), (high, high - 1))]
+        ends = F.filter(F.array(*odd), lambda x: x.isNotNull() & (low < high))
+        return F.transform(ends, lambda x: F.struct(level.alias("_level"), x.alias("_number")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at))
+
+
+def enclosing_functions(lines: DataFrame, functions: DataFrame) -> DataFrame:
     """Functions of ``functions(file, name, args, start_line, end_line)`` that contain a line of ``lines(file, line)``.
 
-    Both sides meet per file and block of lines, so a file with very many lines spreads over its blocks;
-    lines are distinct before the join. One row per file and start line, the last function winning, with
-    its lines in order: never more than the function is long.
+    A span is cut into dyadic blocks, and a line asks for the one block of each level it lies in, so that both sides
+    meet in an equi-join: 2 log n rows per span, however long or broken, log n per line, and a file with very many
+    lines or functions spreads over its blocks. A line lies in exactly one block of a span that holds it. Lines are distinct before the join.
+    One row per file and start line, the last function winning, with its lines in order: never more than the function is long.
     """
     marks = lines.select("file", F.col("line").cast("bigint").alias("line")).distinct()
-    marks = marks.withColumn("_block", F.floor(F.col("line") / block))
     rest = [c for c in functions.columns if c not in ("file", "start_line")]
     unique = functions.groupBy("file", "start_line").agg(
         F.max_by(F.struct(*rest), F.struct("end_line", "name")).alias("_f")
     ).select("file", "start_line", *[F.col(f"_f.{c}") for c in rest])
-    spans = unique.filter(F.col("end_line") >= F.col("start_line")).withColumn(
-        "_block",
-        F.explode(F.sequence(F.floor(F.col("start_line") / block), F.floor(F.col("end_line") / block))),
-    )
-    inside = F.col("line").between(F.col("start_line"), F.col("end_line"))
-    found = marks.join(spans, ["file", "_block"]).filter(inside)
+    start, end = F.col("start_line").cast("bigint"), F.least(F.col("end_line").cast("bigint"), F.lit((1 << LEVELS) - 1))
+    spans = unique.filter(F.col("end_line") >= F.col("start_line")).withColumn("_b", F.explode(dyadic_blocks(start, end)))
+    spans = spans.select(*unique.columns, "_b.*")
+    levels = spans.agg(F.sort_array(F.collect_set("_level"))).first()[0]  # at most LEVELS + 1 numbers
+    asked = F.transform(F.lit(levels).cast("array<int>"), lambda k: F.struct(k.alias("_level"), F.call_function("shiftright", F.col("line"), k).alias("_number")))
+    found = marks.select("*", F.inline(asked)).join(spans, ["file", "_level", "_number"])
     return found.groupBy("file", "start_line", *rest).agg(
         F.sort_array(F.collect_list("line")).alias("contains_lines")
     )

@@ -12,17 +12,17 @@ The last sort key should be unique; rows that are equal in all keys stay in one
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldmark.session import materialize, shuffle_partitions
+from foldmark.session import forget, materialize, shuffle_partitions
 
 SLICE = "_slice"
+SLICE_ROWS = 1_000_000  # of a slice, about, where a table has more than fill the session's partitions
+BRACKET = 1 / 2_000  # share of the rows on either side of a wanted rank that are looked at one by one
 
 
 @dataclass(frozen=True)
@@ -44,7 +44,8 @@ def as_keys(order: Sequence[str | Key]) -> list[Key]:
 
 
 def default_slices(df: DataFrame) -> int:
-    return shuffle_partitions(df.sparkSession)
+    """As many as the session has partitions, more where a slice would get over SLICE_ROWS rows."""
+    return max(shuffle_partitions(df.sparkSession), -(-df.count() // SLICE_ROWS))
 
 
 def with_slices(
@@ -57,12 +58,6 @@ def with_slices(
     return materialize(ranged.withColumn(SLICE, F.spark_partition_id().cast("bigint")), "slices")
 
 
-def _cut(df: DataFrame, source: str, target: str, bounds: Sequence[float]) -> DataFrame:
-    splits = [-math.inf, *sorted(set(bounds)), math.inf]
-    cutter = Bucketizer(splits=splits, inputCol=source, outputCol=target, handleInvalid="keep")
-    return cutter.transform(df)
-
-
 def _grouped(by: Sequence[str]) -> Column:
     """Whether a row has all keys of its group."""
     whole = F.lit(True)
@@ -253,92 +248,83 @@ def not_after(keys: Sequence[str | Key], bound: tuple) -> Column:
     return result
 
 
+def _sketched(values: DataFrame, cols: int, probabilities: Sequence[float], width: float) -> tuple[list[int], dict[tuple[int, float], tuple]]:
+    """Rows with a value per column, and by (column, probability) values below and above the rank, None where the sketch ends.
+
+    One mergeable sketch per column, off by ``width`` / 2 of the rows at most, so that values within ``width`` of a share hold its rank.
+    """
+    at = sorted({min(max(p + d, 0.0), 1.0) for p in probabilities for d in (-width, width)})
+    parts = [F.struct(F.count(f"_q{c}").alias("n"), F.percentile_approx(f"_q{c}", at, math.ceil(2 / width)).alias("b")) for c in range(cols)]
+    found = values.agg(F.array(*parts).alias("f")).first()["f"]
+    out = {}
+    for c, (n, b) in enumerate(found):
+        for p in probabilities if n else ():
+            low = b[at.index(p - width)] if p - width > 0 else None
+            high = b[at.index(p + width)] if p + width < 1 else None
+            out[(c, p)] = (low, high)
+    return [n for n, _ in found], out
+
+
+def _ahead(df: DataFrame, wanted: dict[int, tuple]) -> tuple[DataFrame, Column]:
+    """For each wanted bracket number (column, low, high): flags of rows below it, and the values inside, as one array."""
+    inside = []
+    for i, (c, low, high) in wanted.items():
+        x = F.col(f"_q{c}")
+        within = (x >= F.lit(low) if low is not None else F.lit(True)) & (x <= F.lit(high) if high is not None else F.lit(True))
+        inside.append(F.when(x.isNotNull() & within, F.struct(F.lit(i).alias("i"), x.alias("v"))))
+        df = df.withColumn(f"_below{i}", (F.coalesce(x < F.lit(low), F.lit(False)) if low is not None else F.lit(False)).cast("long"))
+    return df, F.filter(F.array(*inside), lambda s: s.isNotNull())
+
+
 def exact_quantiles(
-    df: DataFrame, cols: Sequence[str], probabilities: Sequence[float], slices: int | None = None
+    df: DataFrame, cols: Sequence[str], probabilities: Sequence[float], width: float = BRACKET
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles of several columns, exact for any number of rows.
+    """Linearly interpolated quantiles of several columns, exact for any number of rows; NaN counts as the largest value.
 
-    Two passes: row counts per value slice for all columns at once, then only the slices that hold a
-    wanted order statistic. Returns len(cols) * len(probabilities) numbers.
+    Two scans: a mergeable sketch per column brackets every wanted rank, then one aggregate counts
+    the rows below each bracket and the values inside. Only the distinct values inside, some ``width`` of all, are ever
+    sorted, those of a bracket by themselves. Returns len(cols) * len(probabilities) numbers.
     """
     cols = list(cols)
-    n = slices or default_slices(df)
     values = df.select(*[F.col(c).cast("double").alias(f"_q{i}") for i, c in enumerate(cols)])
-    names = [f"_q{i}" for i in range(len(cols))]
-    marks = values.approxQuantile(names, [i / n for i in range(1, n)], 1 / (4 * n))
-    cut = values
-    for i, found in enumerate(marks):
-        cut = _cut(cut, names[i], f"_c{i}", [q for q in found or [] if math.isfinite(q)])
-    long = cut.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("c"), F.col(f"_c{i}").cast("int").alias("s"), F.col(names[i]).alias("v")
-                    )
-                    for i in range(len(cols))
-                ]
-            )
-        ).alias("r")
-    ).select("r.c", "r.s", "r.v").filter(F.col("v").isNotNull())
-    cells = (
-        long.groupBy("c", "s")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        .orderBy("c", "s")
-        .collect()  # one row per column and slice
-    )
-    sizes = Counter()
-    for r in cells:
-        sizes[r["c"]] += r["n"]
-    ranks: dict[tuple[int, int], float | None] = {}
-    for i in range(len(cols)):
-        for p in probabilities:
-            if sizes[i]:
-                at = p * (sizes[i] - 1)
-                ranks[(i, math.floor(at))] = None
-                ranks[(i, math.ceil(at))] = None
-    open_cells: dict[tuple[int, int], dict[int, int]] = {}
-    start: Counter = Counter()
-    for r in cells:
-        first = start[r["c"]]
-        for (c, rank) in list(ranks):
-            if c == r["c"] and first <= rank < first + r["n"]:
-                if r["lo"] == r["hi"]:
-                    ranks[(c, rank)] = r["lo"]
-                else:
-                    open_cells.setdefault((c, r["s"]), {})[rank] = rank - first
-        start[r["c"]] += r["n"]
-    if open_cells:
-        inside = F.lit(False)
-        for c, s in open_cells:
-            inside = inside | ((F.col("c") == c) & (F.col("s") == s))
-        upto = Window.partitionBy("c", "s").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        stepped = (
-            long.filter(inside)
-            .groupBy("c", "s", "v")
-            .count()
-            .withColumn("end", F.sum("count").over(upto))
-            .withColumn("begin", F.col("end") - F.col("count"))
+    sizes, edges = _sketched(values, len(cols), probabilities, width)
+    ends = {(i, p): p * (sizes[i] - 1) for i in range(len(cols)) for p in probabilities if sizes[i]}  # between which two ranks
+    found: dict[tuple[int, int], float] = {}
+    todo = list(ends)
+    while todo:
+        wanted = {k: (c, *edges[(c, p)]) for k, (c, p) in enumerate(todo)}
+        flagged, inside = _ahead(values, wanted)
+        below = [f"_below{k}" for k in wanted]
+        each = flagged.select(*below, F.posexplode_outer(inside).alias("at", "s"))
+        first = F.coalesce(F.col("at"), F.lit(0)) == 0  # a row is counted once, however many brackets hold its values
+        counted = materialize(
+            each.groupBy("s.i", "s.v").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.when(first, F.col(b)).otherwise(0)).alias(b) for b in below]), "quantiles"
         )
-        hit = F.lit(False)
-        for (c, s), offsets in open_cells.items():
-            for offset in offsets.values():
-                hit = hit | (
-                    (F.col("c") == c) & (F.col("s") == s) & (F.col("begin") <= offset) & (F.col("end") > offset)
-                )
-        for r in stepped.filter(hit).collect():  # at most one row per wanted rank
-            for rank, offset in open_cells[(r["c"], r["s"])].items():
-                if r["begin"] <= offset < r["end"]:
-                    ranks[(r["c"], rank)] = r["v"]
+        start = counted.agg(*[F.sum(b).alias(b) for b in below]).first()
+        upto = Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        stepped = counted.filter("i is not null").select("i", "v", "n", F.sum("n").over(upto).alias("end"))
+        hit, ranks = F.lit(False), {}
+        for k, (c, p) in enumerate(todo):
+            for rank in {math.floor(ends[(c, p)]), math.ceil(ends[(c, p)])}:
+                ranks[(k, rank)] = rank - start[f"_below{k}"]
+                hit |= (F.col("i") == k) & (F.col("end") > ranks[(k, rank)]) & (F.col("end") - F.col("n") <= ranks[(k, rank)])
+        rows = stepped.filter(hit).collect()  # at most two rows per quantile
+        forget(counted)
+        for (k, rank), offset in ranks.items():
+            for r in rows:
+                if r["i"] == k and r["end"] - r["n"] <= offset < r["end"]:
+                    found[(todo[k][0], rank)] = r["v"]
+        todo = [(c, p) for c, p in todo if not {(c, math.floor(ends[(c, p)])), (c, math.ceil(ends[(c, p)]))} <= found.keys()]
+        edges = dict.fromkeys(todo, (None, None))  # should a sketch ever promise too much, all values are looked at
     out: dict[str, list[float | None]] = {}
     for i, c in enumerate(cols):
         line: list[float | None] = []
         for p in probabilities:
-            if not sizes[i]:
+            at = ends.get((i, p))
+            if at is None:
                 line.append(None)
                 continue
-            at = p * (sizes[i] - 1)
-            lo, hi = ranks[(i, math.floor(at))], ranks[(i, math.ceil(at))]
-            line.append(lo + (hi - lo) * (at - math.floor(at)))
+            lo, hi = found[(i, math.floor(at))], found[(i, math.ceil(at))]
+            line.append(lo if lo == hi else lo + (hi - lo) * (at - math.floor(at)))
         out[c] = line
     return out

@@ -118,6 +118,27 @@ def lk5(spark, sf):
     return out.withColumn("contains_lines", joined_array(F.col("contains_lines")))
 
 
+@query(
+    "LK5_broken_spans",
+    """WITH o AS (SELECT o_custkey % 40 AS file, o_orderkey, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS d FROM orders),
+       l AS (SELECT DISTINCT file, d AS line FROM o),
+       e AS (SELECT file, o_orderkey, d - o_orderkey % 700 AS start_line, CASE o_orderkey % 5 WHEN 0 THEN 1000000000000 WHEN 1 THEN d - 800 WHEN 2 THEN NULL ELSE d + o_orderkey % 9 END AS end_line FROM o),
+       f AS (SELECT file, start_line, arg_max(o_orderkey, (coalesce(end_line, -1000000), 'f' || o_orderkey)) AS k, max(end_line) AS end_line FROM e GROUP BY 1, 2)
+       SELECT f.file, start_line, end_line, 'f' || k AS name, count(*) AS lines, min(line) AS first_line, max(line) AS last_line
+       FROM f JOIN l ON f.file = l.file AND line BETWEEN start_line AND end_line GROUP BY 1, 2, 3, 4""",
+)
+def lk5_broken(spark, sf):
+    """Spans with ends far beyond any file, ends before their starts, and none at all."""
+    day = F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01").cast("date")).cast("bigint")
+    key = F.col("o_orderkey")
+    orders = table(spark, sf, "orders").select((F.col("o_custkey") % 40).alias("file"), "o_orderkey", day.alias("line"))
+    end = F.when(key % 5 == 0, F.lit(10**12)).when(key % 5 == 1, F.col("line") - 800).when(key % 5 > 2, F.col("line") + key % 9)
+    functions = orders.select("file", F.concat(F.lit("f"), key.cast("string")).alias("name"), (F.col("line") - key % 700).alias("start_line"), end.alias("end_line"))
+    out = lk.enclosing_functions(orders.select("file", "line"), functions)
+    lines = F.col("contains_lines")
+    return out.select("file", "start_line", "end_line", "name", F.size(lines).cast("bigint").alias("lines"), F.array_min(lines).alias("first_line"), F.array_max(lines).alias("last_line"))
+
+
 def reports(spark, sf):
     """Report rows: a tenth has no page, a third leaks nothing, one or two functions each."""
     k = F.col("o_orderkey")

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from foldmark.operators import ordering
 from foldmark.operators.ordering import (
+    BRACKET,
     SLICE,
     Key,
     exact_quantiles,
@@ -139,3 +141,31 @@ def test_long_shared_prefixes_are_cut(spark):
     assert sizes.agg({"count": "max"}).first()[0] <= 3 * 4000 / 16
     got = {r["id"]: r["position"] for r in positions(df, ["url", "id"], slices=16).collect()}
     assert got == {i: i + 1 for i in range(4000)}
+
+
+@pytest.mark.parametrize("width", [BRACKET, 0.05, 0.4])
+def test_exact_quantiles_with_ties_nan_and_gaps(spark, width):
+    rng = np.random.default_rng(8)
+    n = 20_000
+    frame = pd.DataFrame(
+        {
+            "ties": rng.integers(0, 4, n).astype(float), "one": np.full(n, 7.0), "wide": rng.normal(size=n) * 10.0 ** rng.integers(-3, 9, n),
+            "few": np.where(rng.random(n) < 0.999, np.nan, rng.random(n)),
+        }
+    )
+    df = spark.createDataFrame(frame).withColumns({"few": F.nullif("few", F.lit(float("nan"))), "none": F.lit(None).cast("double")})
+    probs = [0.0, 0.001, 1 / 3, 0.5, 0.75, 1.0]
+    got = exact_quantiles(df, ["ties", "one", "wide", "few", "none"], probs, width)
+    for c in frame:
+        assert np.allclose(got[c], frame[c].quantile(probs)), c
+    assert got["none"] == [None] * len(probs)
+    odd = df.select(F.when(F.col("one") > 0, F.when(F.rand(1) < 0.5, float("nan")).otherwise(F.col("wide"))).alias("x"))
+    low, high = exact_quantiles(odd, ["x"], [0.25, 0.99], width)["x"]
+    assert np.isfinite(low) and np.isnan(high)
+
+
+def test_quantiles_take_two_scans(spark, rows, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ordering, "materialize", lambda df, label: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or df.cache())
+    exact_quantiles(spark.createDataFrame(rows), ["ts", "x"], [0.25, 0.5, 0.75])
+    assert len(seen) == 1 and seen[0].count("Aggregate [") == 1 and seen[0].count("LogicalRDD") == 1
