@@ -123,6 +123,50 @@ def group_kfold(df: DataFrame, group: str, k: int, seed: int = 42, balanced: boo
     return df.join(small_side(folds), F.col(group) == F.col("_g"), "left").drop("_g")
 
 
+def _dealt(loads: Sequence[int], size: int, many: int) -> list[int]:
+    """How many of ``many`` groups of one size each fold gets when every next group goes to the lightest fold, the first of equals.
+
+    Water filling: fold f would take its j-th group at load loads[f] + j * size, and the ``many`` least of these are taken.
+    """
+
+    def taken(level: int) -> list[int]:
+        return [max(0, (level - load) // size + 1) for load in loads]
+
+    low, high = min(loads) - 1, max(loads) + size * many
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if sum(taken(middle)) >= many else (middle, high)
+    given = taken(low)
+    rest = many - sum(given)
+    for f, load in enumerate(loads):
+        if rest and load <= high and (high - load) % size == 0:
+            given[f] += 1
+            rest -= 1
+    return given
+
+
+def group_kfold_lightest(df: DataFrame, group: str, k: int) -> DataFrame:
+    """``fold`` that keeps every group in one fold, the groups dealt by falling size, each to the fold with the fewest rows.
+
+    Groups of one size are dealt in one step, so the driver handles the distinct sizes, at most the square root of twice the rows, and
+    never the groups; which of them go where follows their order within the size. Rows without a group get no fold.
+    """
+    sizes = materialize(df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col(group).isNotNull()), "groups")
+    loads, parts = [0] * k, []
+    for r in sizes.groupBy("_n").agg(F.count(F.lit(1)).alias("_m")).orderBy(F.col("_n").desc()).collect():
+        at = 0
+        for f, n in enumerate(_dealt(loads, r["_n"], r["_m"])):
+            if n:
+                parts.append((r["_n"], f, at, at + n))
+            at += n
+            loads[f] += n * r["_n"]
+    dealt = df.sparkSession.createDataFrame(parts, "_size LONG, fold INT, _after LONG, _upto LONG")
+    placed = positions(sizes, [group], by=["_n"], name="_p")
+    here = (F.col("_n") == F.col("_size")) & (F.col("_p") > F.col("_after")) & (F.col("_p") <= F.col("_upto"))
+    folds = placed.join(small_side(dealt), here).select(F.col(group).alias("_g"), "fold")
+    return df.join(small_side(folds), F.col(group) == F.col("_g"), "left").drop("_g")
+
+
 def group_holdout(df: DataFrame, group: str, frac: float = 0.2, seed: int = 42) -> DataFrame:
     """``holdout`` of whole groups."""
     return holdout(df, [group], frac, seed)

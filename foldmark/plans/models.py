@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foldmark.operators import encode, models, split
+from foldmark.operators import encode, linear, models, split
 from foldmark.operators.aggregate import best_row
 from foldmark.operators.metrics import registry
 from foldmark.plans import query
@@ -58,18 +58,35 @@ def _determinant(columns) -> str:
     return f"({a} * ({e} * {i} - {f} * {h}) - {d} * ({b} * {i} - {c} * {h}) + {g} * ({b} * {f} - {c} * {e}))"
 
 
-def _ridge_sql(strength: float) -> str:
-    """Normal equations over three centred features; the penalty counts in standard deviations of features and target."""
+def _normal_sql(strength: float) -> tuple[str, list[str]]:
+    """Sums of the normal equations over three centred features, and the coefficients from them.
+
+    The penalty counts in standard deviations of features and target.
+    """
     features, y = ("l_quantity", "l_discount", "l_tax"), "CAST(l_extendedprice AS DOUBLE)"
     sums = [f"covar_pop({a}, {b}) AS c{i}{j}" for i, a in enumerate(features) for j, b in enumerate(features)]
     sums += [f"covar_pop({a}, {y}) AS y{i}" for i, a in enumerate(features)]
     whole = [[f"c{i}{j} * (1 + w)" if i == j else f"c{i}{j}" for i in range(3)] for j in range(3)]
     right = [f"y{i}" for i in range(3)]
-    rows = []
-    for j, feature in enumerate(features):
-        solved = [right if k == j else whole[k] for k in range(3)]
-        rows.append(f"SELECT '{feature}' AS feature, round({_determinant(solved)} / {_determinant(whole)}, 2) AS coefficient FROM m")
-    return f"WITH m AS (SELECT {strength} / stddev_pop({y}) AS w, {', '.join(sums)} FROM lineitem) " + " UNION ALL ".join(rows)
+    solved = [f"{_determinant([right if k == j else whole[k] for k in range(3)])} / {_determinant(whole)}" for j in range(3)]
+    return f"{strength} / stddev_pop({y}) AS w, {', '.join(sums)}", solved
+
+
+def _ridge_sql(strength: float) -> str:
+    sums, solved = _normal_sql(strength)
+    rows = [f"SELECT '{feature}' AS feature, round({c}, 2) AS coefficient FROM m" for feature, c in zip(("l_quantity", "l_discount", "l_tax"), solved)]
+    return f"WITH m AS (SELECT {sums} FROM lineitem) " + " UNION ALL ".join(rows)
+
+
+def _ridge_folds_sql(strength: float) -> str:
+    sums, solved = _normal_sql(strength)
+    means = ", ".join(f"avg({c}) AS a{i}" for i, c in enumerate(("l_quantity", "l_discount", "l_tax", "CAST(l_extendedprice AS DOUBLE)")))
+    lines = ", ".join(f"{c} AS b{i}" for i, c in enumerate(solved))
+    return f"""WITH l AS (SELECT *, {draw('l_orderkey')} % 4 AS fold FROM lineitem), f AS (SELECT unnest(range(4)) AS out_fold),
+       m AS (SELECT out_fold, {means}, {sums} FROM l JOIN f ON l.fold <> f.out_fold GROUP BY 1),
+       b AS (SELECT *, {lines} FROM m)
+       SELECT l_orderkey, l_linenumber, CAST(fold AS INTEGER) AS fold, l_extendedprice, round(a3 + b0 * (l_quantity - a0) + b1 * (l_discount - a1) + b2 * (l_tax - a2), 3) AS prediction
+       FROM l JOIN b ON fold = out_fold"""
 
 
 @query("MDL1_ridge", _ridge_sql(10.0))
@@ -147,6 +164,36 @@ def mdl2_labels(spark, sf):
     return models.predict_labels(fitted, df, ["doc_id"]).withColumn("labels", F.array_join("labels", "|"))
 
 
+def flagged_docs(spark, sf):
+    """Documents with flags: good and toxic by label, one per language, and some by number."""
+    flags = [F.when(F.col("quality") == 1, "good"), F.when(F.col("toxic") == 1, "toxic"), F.concat(F.lit("lang-"), F.col("lang"))]
+    flags += [F.when(F.col("doc_id") % k == 0, f"by-{k}") for k in range(2, 9)]
+    return labelled_docs(spark, sf).withColumn("labels", F.array_compact(F.array(*flags)))
+
+
+@query(
+    "MDL2_labels_at_once",
+    """WITH d AS (SELECT doc_id, lang, quality, toxic FROM documents JOIN labels USING (doc_id)),
+       f AS (SELECT unnest(list_filter([CASE WHEN quality = 1 THEN 'good' END, CASE WHEN toxic = 1 THEN 'toxic' END, 'lang-' || lang]
+         || list_transform(range(2, 9), lambda k: CASE WHEN doc_id % k = 0 THEN 'by-' || k END), lambda x: x IS NOT NULL)) AS label FROM d)
+       SELECT label, count(*) AS n, 0.5::DOUBLE AS mean_probability, 0.0::DOUBLE AS size_slope, 0.0::DOUBLE AS digits_slope FROM f GROUP BY 1""",
+)
+def mdl2_at_once(spark, sf):
+    """What must hold of every label's fit: the weighted mean probability is that of the balanced labels, and no feature pulls any more."""
+    df = flagged_docs(spark, sf)
+    features = ["size", "digits"]
+    fits, _ = linear.fit_labels(df, features, "labels", encode.fit_vocabulary(df, "labels"))
+    rows = linear.label_probabilities(df, fits, features, ["doc_id", "labels", *features]).withColumn("y", F.array_contains("labels", F.col("label")).cast("double"))
+    counts = rows.groupBy("label").agg(F.sum("y").alias("has"), F.count(F.lit(1)).alias("rows"))
+    rows = rows.join(F.broadcast(counts), "label")  # one row per label
+    w = F.when(F.col("y") == 1, F.col("rows") / (2 * F.col("has"))).otherwise(F.col("rows") / (2 * (F.col("rows") - F.col("has"))))
+    line = F.create_map(*[x for label, b in fits.items() for x in (F.lit(label), F.array(*[F.lit(float(v)) for v in b]))])
+    pull = [F.round(F.sum(w * (F.col("probability") - F.col("y")) * F.col(c)) / F.sum(w) + 1e-4 * F.var_pop(c) * F.first(line[F.col("label")][i]), 5) + 0.0 for i, c in enumerate(features, 1)]
+    return rows.groupBy("label").agg(
+        F.sum("y").cast("long").alias("n"), F.round(F.sum(w * F.col("probability")) / F.sum(w), 6).alias("mean_probability"), pull[0].alias("size_slope"), pull[1].alias("digits_slope")
+    )
+
+
 @query("MDL3_random_forest")
 def mdl3(spark, sf):
     df = split.kfold(lines(spark, sf), LINE, 5)
@@ -213,6 +260,15 @@ def mdl6(spark, sf):
     return out.withColumn("prediction", F.round("prediction", 2))
 
 
+@query("MDL6_ridge_out_of_fold", _ridge_folds_sql(10.0))
+def mdl6_ridge(spark, sf):
+    df = split.kfold(lines(spark, sf), ["l_orderkey"], 4)
+    out = linear.ridge_out_of_fold(
+        df, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", ["l_orderkey", "l_linenumber"], "fold", 10.0, keep=["l_extendedprice"]
+    )
+    return out.withColumn("prediction", F.round("prediction", 3))
+
+
 @query(
     "MDL6_oof_target_mean",
     f"""WITH t AS (SELECT o_orderkey, o_custkey, o_totalprice, {draw('o_orderkey')} % 5 AS fold FROM orders),

@@ -92,6 +92,25 @@ def spl6_balanced(spark, sf):
     return split.group_kfold(events(spark, sf), "user_id", 5, balanced=True).select("event_id", "user_id", "fold")
 
 
+@query(
+    "SPL6_group_kfold_lightest",
+    """WITH RECURSIVE c AS (SELECT CASE WHEN user_id % 10 < 3 THEN 0 WHEN user_id % 10 = 3 THEN user_id % 100 ELSE user_id * 20 + event_id % 20 END AS grp, count(*) AS n FROM events GROUP BY 1),
+       g AS (SELECT n, row_number() OVER (ORDER BY n DESC, grp) AS i FROM c),
+       s AS (SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS loads, -1 AS fold, 0::BIGINT AS n
+         UNION ALL
+         SELECT g.i, list_transform([1, 2, 3, 4, 5], lambda f: s.loads[f] + CASE WHEN f = list_position(s.loads, list_min(s.loads)) THEN g.n ELSE 0 END),
+           list_position(s.loads, list_min(s.loads)) - 1, g.n FROM s JOIN g ON g.i = s.i + 1)
+       SELECT fold::INTEGER AS fold, n AS size, count(*) AS groups FROM s WHERE i > 0 GROUP BY 1, 2""",
+)
+def spl6_lightest(spark, sf):
+    """Skewed groups: one with three tenths of the rows, some of middle size, and many small ones; SQL deals them one by one."""
+    user, low = F.col("user_id"), F.col("user_id") % 10
+    grp = F.when(low < 3, 0).when(low == 3, user % 100).otherwise(user * 20 + F.col("event_id") % 20)
+    df = split.group_kfold_lightest(events(spark, sf).withColumn("grp", grp.cast("bigint")), "grp", 5)
+    sizes = df.groupBy("grp", "fold").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.groupBy("fold", "size").agg(F.count(F.lit(1)).alias("groups"))
+
+
 @query(
     "SPL7_group_holdout",
     f"SELECT event_id, user_id, CASE WHEN {draw('user_id')} < {LIMIT} THEN 'val' ELSE 'train' END AS role FROM events",
