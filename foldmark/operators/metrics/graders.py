@@ -44,26 +44,39 @@ def _paired(truth: DataFrame, pred: DataFrame, key: Sequence[str], keep: Sequenc
 NUMBERS = ("squared", "absolute", "wmae", "r2", "roc_auc", "log_loss")  # parts of the names of metrics of numbers
 
 
-def _faults(truth: DataFrame, pred: DataFrame, entry: Mapping, key: Sequence[str], by: Sequence[str]) -> DataFrame:
+def _faults(
+    truth: DataFrame, pred: DataFrame, entry: Mapping, key: Sequence[str], by: Sequence[str], submissions: DataFrame | None = None
+) -> DataFrame:
     """``by`` + ``fault``: what keeps a submission from being complete, NULL if nothing does.
 
-    Missing, doubled and extra keys, and texts where the metric needs numbers.
+    Missing, doubled and extra keys, and texts where the metric needs numbers. ``submissions`` lists those that are expected, so that one without any row is seen.
+    A truth that has the ``by`` columns itself asks each submission for its own keys only.
     """
-    expected = truth.select(*key).distinct().withColumn("_known", F.lit(True))
-    total = expected.count()
+    own = list(by) if by and set(by) <= set(truth.columns) else []
+    expected = truth.select(*own, *key).distinct().withColumn("_known", F.lit(True))
+    total = F.lit(expected.count())
     metric = entry.get("metric", "accuracy_score")
-    text = "prediction" in pred.columns and isinstance(pred.schema["prediction"].dataType, T.StringType)
     odd = F.lit(False)
-    if text and any(part in metric for part in NUMBERS):
-        odd = F.col("prediction").isNotNull() & F.col("prediction").try_cast("double").isNull()
+    for name in ["prediction"] if "prediction" in pred.columns else [t for t in _targets(entry) if t in pred.columns]:
+        if isinstance(pred.schema[name].dataType, T.StringType) and any(part in metric for part in NUMBERS):
+            odd |= F.col(name).isNotNull() & F.col(name).try_cast("double").isNull()
     keys = pred.groupBy(*by, *key).agg(F.count(F.lit(1)).alias("_n"), F.count_if(odd).alias("_odd"))
-    counts = keys.join(expected, list(key), "left").groupBy(*by).agg(
-        (F.lit(total) - F.count("_known")).alias("missing"), F.count_if(F.col("_n") > 1).alias("doubled"),
+    counts = keys.join(expected, [*own, *key], "left").groupBy(*by).agg(
+        F.count("_known").alias("known"), F.count_if(F.col("_n") > 1).alias("doubled"),
         F.count_if(F.col("_known").isNull()).alias("extra"), F.sum("_odd").alias("not_numeric"),
     )
+    counts = counts.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], "known", "doubled", "extra", "not_numeric")
+    if own:
+        submissions = expected.groupBy(*own).agg(F.count(F.lit(1)).alias("_total"))
+        total = F.coalesce("_total", F.lit(0))
+    if by and submissions is not None:
+        wanted = submissions.select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(by)], *(["_total"] if own else [])).distinct()
+        wanted = wanted.join(counts, [F.col(f"_w{i}").eqNullSafe(F.col(f"_b{i}")) for i in range(len(by))], "full")
+        counts = wanted.withColumns({f"_b{i}": F.coalesce(f"_b{i}", f"_w{i}") for i in range(len(by))})
+    counts = counts.withColumn("missing", total - F.coalesce("known", F.lit(0)))
     parts = [F.when(F.col(c) > 0, F.concat(F.col(c), F.lit(f" {c}"))) for c in ("missing", "doubled", "extra", "not_numeric")]
     said = F.concat_ws(", ", *parts)
-    return counts.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], F.when(said != "", said).alias("fault"))
+    return counts.select(*[f"_b{i}" for i in range(len(by))], F.when(said != "", said).alias("fault"))
 
 
 def grade_default(truth, pred, entry, key, by, **_) -> DataFrame:
@@ -145,13 +158,11 @@ def grade_full_ranking(truth, pred, entry, key, by, user, item) -> DataFrame:
 
 def grade_ranking_as_binary(truth, pred, entry, key, by, user, item) -> DataFrame:
     """Top items as positive predictions, scored on the matched pairs."""
-    if by:
-        raise ValueError("grade one submission at a time with binary_from_ranking")
     liked = _liked(truth, entry)
     column = {"rank": "rank"} if "rank" in pred.columns else {"score": "score"}
     return ranking.ranking_as_binary(
         truth, pred, user, item, liked, entry.get("metric", "accuracy_score"),
-        threshold=entry.get("binary_threshold") or 5, **column,
+        threshold=entry.get("binary_threshold") or 5, by=by, **column,
     )
 
 
@@ -171,6 +182,10 @@ GRADERS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
+#: Graders that pair predictions with the truth by key: an incomplete submission has no score there.
+KEYED = ("default", "multitarget", "multilabel", "classify_leaves", "photo_classification", "sheep_classification")
+
+
 def grade(
     truth: DataFrame,
     pred: DataFrame,
@@ -179,12 +194,15 @@ def grade(
     by: Sequence[str] = (),
     user: str = "user_id",
     item: str = "item_id",
+    submissions: DataFrame | None = None,
 ) -> DataFrame:
     """``by`` + ``score`` + ``error`` by the entry's grader and metric.
 
     Ranking graders need the ``by`` columns in the truth as well, so that users a submission left out are seen.
     An unknown grader or metric is an error; input it cannot work on gives a NULL score, and so does an incomplete
-    submission under the default grader, with the counts of what is missing, doubled, extra or no number as its error.
+    submission under any grader that pairs by key, with the counts of what is missing, doubled, extra or no number as its
+    error. ``submissions`` lists the ``by`` columns of all that are expected; one that sent nothing is reported as well. A truth with the
+    ``by`` columns lists them itself, and what each has to send.
     """
     name = entry.get("grader") or "default"
     if name not in GRADERS:
@@ -194,8 +212,8 @@ def grade(
     by = list(by)
     try:
         scored = GRADERS[name](truth, pred, entry, list(key), by, user=user, item=item)
-        if name == "default":
-            faults = small_side(_faults(truth, pred, entry, list(key), by))
+        if name in KEYED:
+            faults = small_side(_faults(truth, pred, entry, list(key), by, submissions))
             same = [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(by)]
             both = faults.join(scored, same, "left") if by else faults.crossJoin(scored)
             given = [F.col(f"_b{i}").alias(c) for i, c in enumerate(by)]

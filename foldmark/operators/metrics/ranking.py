@@ -111,7 +111,7 @@ def map_distinct(
 
 def ranking_as_binary(
     truth: DataFrame, pred: DataFrame, user: str, item: str, liked: str, metric: str = "accuracy_score",
-    rank: str | None = None, score: str | None = None, threshold: int = 5, tie: str | None = None,
+    rank: str | None = None, score: str | None = None, threshold: int = 5, tie: str | None = None, by: Sequence[str] = (),
 ) -> DataFrame:
     """Predict 'liked' for the first ``threshold`` items of each user, then score the matched pairs.
 
@@ -120,14 +120,14 @@ def ranking_as_binary(
     if rank is not None:
         ranked = pred.withColumn("_rank", F.col(rank))
     elif score is not None:
-        ranked = positions(pred, [Key(score, False), Key(tie or item)], [user], "_rank")
+        ranked = positions(pred, [Key(score, False), Key(tie or item)], [*by, user], "_rank")
     else:
         raise ValueError("predictions need a rank or a score column")
-    called = ranked.select(user, item, (F.col("_rank") <= threshold).cast("int").alias("_call"))
+    called = ranked.select(*by, user, item, (F.col("_rank") <= threshold).cast("int").alias("_call"))
     merged = called.join(truth.select(user, item, liked), [user, item], "inner")
     # fixed values: metric names; any other name means accuracy
     scorers = {"roc_auc_score": roc_auc, "f1_score": f1_binary}
-    return scorers.get(metric, accuracy)(merged, liked, "_call")
+    return scorers.get(metric, accuracy)(merged, liked, "_call", list(by))
 
 
 def rank_order(pred: DataFrame, user: str, item: str, infer: bool = False) -> list[Key]:

@@ -414,7 +414,7 @@ def met25(spark, sf):
 )
 def met24_multitarget(spark, sf):
     df = table(spark, sf, "events")
-    truth = df.select("event_id", F.col("value").alias("a"), F.col("user_id").alias("b"))
+    truth = df.select("event_id", (F.col("user_id") % 4).alias("model"), F.col("value").alias("a"), F.col("user_id").alias("b"))
     pred = df.select(
         "event_id", (F.col("user_id") % 4).alias("model"), (F.col("event_id") % 90).alias("a"), (F.col("event_id") % 140).alias("b")
     )
@@ -464,3 +464,50 @@ def met24_photo(spark, sf):
     pred = df.select("o_orderkey", F.concat_ws("  ", first, (F.col("o_orderkey") % 9).cast("string")).alias("prediction"))
     entry = {"grader": "photo_classification", "target_col": "Labels", "beta": 1.0}
     return nine(graders.grade(truth, pred, entry, ["o_orderkey"]))
+
+
+#: Grader and metric, with the score of a submission that is right throughout.
+KEYED = [
+    ("default", "accuracy_score", 1.0), ("default", "root_mean_squared_error", 0.0), ("multitarget", "root_mean_squared_error_multitarget", 0.0),
+    ("multilabel", "f1_score_multilabel", 1.0), ("classify_leaves", "accuracy_score", 1.0), ("photo_classification", "fbeta", 1.0), ("sheep_classification", "f1_score", 1.0),
+]
+
+
+@query(
+    "MET24_incomplete_submissions",
+    f"""WITH g AS (SELECT * FROM (VALUES {', '.join(f"('{g}', '{m}', CAST({s} AS DOUBLE))" for g, m, s in KEYED)}) v(grader, metric, whole)),
+       n AS (SELECT count(*) FILTER (event_id % 7 = 0) AS missing, count(*) FILTER (event_id % 11 = 0) AS doubled, count(*) FILTER (event_id % 13 = 0) AS extra, count(*) AS n FROM events),
+       m AS (SELECT 'm0' AS model, CAST(NULL AS VARCHAR) AS error UNION ALL SELECT 'm1', missing || ' missing' FROM n UNION ALL SELECT 'm2', doubled || ' doubled' FROM n
+         UNION ALL SELECT 'm3', extra || ' extra' FROM n UNION ALL SELECT 'm4', n || ' missing' FROM n
+         UNION ALL SELECT 'm5', missing || ' missing, ' || (SELECT count(*) FROM events WHERE event_id % 11 = 0 AND event_id % 7 <> 0) || ' doubled' FROM n)
+       SELECT grader, metric, model, CASE WHEN error IS NULL THEN whole END AS score, error FROM g, m""",
+)
+def met24_incomplete(spark, sf):
+    """Complete, with missing, doubled and extra keys, empty, and with several faults at once, for each grader that pairs by key."""
+    events = table(spark, sf, "events").select("event_id", "event_type", "value", "user_id")
+    k = F.col("event_id")
+    doubled = F.array_repeat(F.lit(0), F.when(k % 11 == 0, 2).otherwise(1))
+    extra = F.when(k % 13 == 0, F.array(F.lit(0), -k - 1)).otherwise(F.array(F.lit(0)))
+    sent = [
+        events.withColumn("model", F.lit("m0")), events.filter(k % 7 != 0).withColumn("model", F.lit("m1")),
+        events.withColumn("_x", F.explode(doubled)).drop("_x").withColumn("model", F.lit("m2")),
+        events.withColumn("_x", F.explode(extra)).withColumn("event_id", F.when(F.col("_x") < 0, F.col("_x")).otherwise(k)).drop("_x").withColumn("model", F.lit("m3")),
+        events.filter(k % 7 != 0).withColumn("_x", F.explode(doubled)).drop("_x").withColumn("model", F.lit("m5")),
+    ]
+    pred = sent[0]
+    for part in sent[1:]:
+        pred = pred.unionByName(part)
+    models = spark.createDataFrame([(f"m{i}",) for i in range(6)], "model STRING")
+    numbers = F.concat_ws(" ", (F.col("user_id") % 5).cast("string"), (F.col("user_id") % 3 + 5).cast("string"))
+    out = None
+    for grader, metric, _ in KEYED:
+        entry = {"grader": grader, "metric": metric, "target_col": "t"}
+        value = {"multilabel": F.array("event_type"), "photo_classification": numbers, "classify_leaves": F.col("user_id")}.get(grader, F.col("value" if "squared" in metric else "event_type"))
+        truth, guess = events.select("event_id", value.alias("t")), pred.select("event_id", "model", value.alias("prediction"))
+        if grader == "multitarget":
+            entry["target_col"] = ["value", "user_id"]
+            truth, guess = events.select("event_id", "value", "user_id"), pred.select("event_id", "model", "value", "user_id")
+        line = graders.grade(truth, guess, entry, ["event_id"], ["model"], submissions=models)
+        line = line.select(F.lit(grader).alias("grader"), F.lit(metric).alias("metric"), "model", F.round("score", 9).alias("score"), "error")
+        out = line if out is None else out.unionByName(line)
+    return out
