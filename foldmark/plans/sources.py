@@ -120,7 +120,7 @@ _FOLD = f"SELECT o_orderkey, o_custkey, o_totalprice, {draw('o_orderkey')} % 3 A
        FROM ({_FOLD}), (SELECT unnest(range(3)) AS fold) GROUP BY 1, 2""",
 )
 def src6(spark, sf):
-    stored = spark.read.parquet(f"{_stored(spark, sf)}/split")
+    stored = folds.read_split(spark, _stored(spark, sf), "orders-comp")
     return stored.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
@@ -278,3 +278,103 @@ def src7_strategy(spark, sf):
         line = parts[name].select("o_orderkey", F.lit(name).alias("part"), content.alias("content"))
         out = line if out is None else out.unionByName(line)
     return out
+
+
+def _files(spark, df):
+    """A folder with one file per row of (name, text); Spark writes them, and gives each its name when all stand."""
+    root, staged = shared_dir(spark, "files"), shared_dir(spark, "staged")
+    df.select("name", "text").repartition("name").write.partitionBy("name").text(staged)
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext
+    path = jvm.org.apache.hadoop.fs.Path
+    store = path(staged).getFileSystem(context._jsc.hadoopConfiguration())
+    for found in store.globStatus(path(f"{staged}/name=*/part-*")):
+        name = found.getPath().getParent().getName().removeprefix("name=").replace("%2F", "/")
+        target = path(f"{root}/{name}")
+        store.mkdirs(target.getParent())
+        store.rename(found.getPath(), target)
+    return root
+
+
+@query(
+    "SRC5_folder_manifest",
+    """WITH n AS (SELECT n_nationkey AS k, n_name FROM nation),
+       f AS (SELECT k, CASE k % 5 WHEN 0 THEN 'table' || k || '.csv' WHEN 1 THEN 'README' || k || '.md' WHEN 2 THEN 'Sample_Submission' || k || '.csv'
+         WHEN 3 THEN CASE WHEN k % 2 = 0 THEN 'baseline_' ELSE 'images' END || k ELSE 'run' || k || '.sh' END AS item FROM n)
+       SELECT 'train' AS key, 'data' AS file_type, true AS required, NULL AS name, true AS missing
+       UNION ALL SELECT CASE WHEN k % 5 < 3 THEN regexp_replace(item, '\.[a-z]+$', '') ELSE item END, CASE WHEN k % 5 = 1 THEN 'metadata' ELSE 'data' END, false, item, false
+       FROM f WHERE k % 5 IN (0, 1) OR (k % 5 = 3 AND k % 2 = 1)""",
+)
+def src5_folder(spark, sf):
+    """Files and folders of a dataset as they are found: a required file is missing, submissions, scripts and a baseline folder are left out."""
+    k = F.col("n_nationkey")
+    text = k.cast("string")
+    name = (
+        F.when(k % 5 == 0, F.concat(F.lit("table"), text, F.lit(".csv"))).when(k % 5 == 1, F.concat(F.lit("README"), text, F.lit(".md")))
+        .when(k % 5 == 2, F.concat(F.lit("Sample_Submission"), text, F.lit(".csv")))
+        .when(k % 5 == 3, F.concat(F.when(k % 2 == 0, "baseline_").otherwise("images"), text, F.lit("/deep/a.csv"))).otherwise(F.concat(F.lit("run"), text, F.lit(".sh")))
+    )
+    root = _files(spark, table(spark, sf, "nation").select(name.alias("name"), F.col("n_name").alias("text")))
+    files = manifest.list_files(spark, root)
+    built = manifest.build_manifest(files, root=root)
+    missing = manifest.missing_files(built.fillna("none", ["path"]), files).select("key", F.lit(True).alias("missing"))
+    return built.join(missing, "key", "left").select(
+        "key", "file_type", "required", F.substring_index("path", "/", -1).alias("name"), F.coalesce("missing", F.lit(False)).alias("missing")
+    )
+
+
+@query(
+    "SRC9_image_folder",
+    """SELECT s_suppkey || '.' || CASE s_suppkey % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'JPG' ELSE 'jpeg' END AS image, 'nation' || s_nationkey AS label, length(s_name) + 1 AS length
+       FROM supplier WHERE s_suppkey % 4 <> 0""",
+)
+def src9_folder(spark, sf):
+    """Images below class folders, with notes among them."""
+    key = F.col("s_suppkey")
+    end = F.when(key % 4 == 0, ".txt").when(key % 3 == 0, ".png").when(key % 3 == 1, ".JPG").otherwise(".jpeg")
+    name = F.concat(F.lit("nation"), F.col("s_nationkey").cast("string"), F.lit("/"), key.cast("string"), end)
+    root = _files(spark, table(spark, sf, "supplier").select(name.alias("name"), F.col("s_name").alias("text")))
+    sizes = manifest.list_files(spark, root)
+    return manifest.list_images(spark, root).join(sizes, "path").select("image", "label", F.col("length").cast("bigint").alias("length"))
+
+
+@query(
+    "SRC12_report_folder",
+    """SELECT 'm' || (page_id % 3) || '_' || page_id || '.py' AS python_file, CASE WHEN page_id % 2 = 0 THEN 'm' || (page_id % 3) || '_' || page_id || '.html' END AS html_file,
+       length('# ' || coalesce(url, '')) + 1 AS code_chars, CASE WHEN page_id % 2 = 0 THEN length(html) + 1 END AS html_chars FROM pages""",
+)
+def src12_folder(spark, sf):
+    """A folder of programs, their reports as far as there are any, and intermediate files that are not programs."""
+    pages = table(spark, sf, "pages")
+    stem = F.concat(F.lit("m"), (F.col("page_id") % 3).cast("string"), F.lit("_"), F.col("page_id").cast("string"))
+    code = pages.select(F.concat(stem, F.lit(".py")).alias("name"), F.concat(F.lit("# "), F.coalesce("url", F.lit(""))).alias("text"))
+    html = pages.filter("page_id % 2 = 0").select(F.concat(stem, F.lit(".html")).alias("name"), F.col("html").alias("text"))
+    more = pages.filter("page_id % 5 = 0").select(F.concat(stem, F.lit(".ir.py")).alias("name"), F.lit("x").alias("text"))
+    rows = results.read_reports(spark, _files(spark, code.unionByName(html).unionByName(more)))
+    return rows.select(
+        F.substring_index("python_file_path", "/", -1).alias("python_file"), F.substring_index("html_file_path", "/", -1).alias("html_file"),
+        F.length("text").cast("bigint").alias("code_chars"), F.length("html").cast("bigint").alias("html_chars"),
+    )
+
+
+@query(
+    "SRC6_rerun_with_fewer_folds",
+    f"""WITH t AS (SELECT o_orderkey, {draw('o_orderkey')} AS h FROM orders), f AS (SELECT unnest(range(3)) AS fold)
+       SELECT 'split' AS part, CAST(fold AS INTEGER) AS fold, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM t, f GROUP BY fold
+       UNION ALL SELECT 'train', CAST(fold AS INTEGER), count(*), CAST(sum(o_orderkey) AS BIGINT) FROM t, (SELECT unnest(range(2)) AS fold) WHERE h % 2 <> fold GROUP BY fold""",
+)
+def src6_rerun(spark, sf):
+    """Five folds and then three, and single folds written twice: readers find the last version whole, and nothing of the first."""
+    root = shared_dir(spark, "folds")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    for k in (5, 3):
+        folds.write_split(split.expand_folds(split.kfold(orders, ["o_orderkey"], k), k), root, "orders-comp")
+    drawn = split.kfold(orders, ["o_orderkey"], 2)
+    for part in (orders, drawn):
+        folds.write_fold_set({f: {"train": part.filter(F.col("fold") != f) if "fold" in part.columns else part} for f in range(2)}, root, "orders-comp")
+    folds.drop_old_versions(spark, root)
+    out = folds.read_split(spark, root, "orders-comp").withColumn("part", F.lit("split"))
+    out = out.select("part", "fold", "o_orderkey")
+    for f in range(2):
+        one = folds.read_fold(spark, root, "orders-comp", f, "train")
+        out = out.unionByName(one.select(F.lit("train").alias("part"), F.lit(f).alias("fold"), "o_orderkey"))
+    return out.groupBy("part", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))

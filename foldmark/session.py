@@ -90,9 +90,14 @@ def forget(*tables: DataFrame) -> None:
     for table in tables:
         path = _PATHS.pop(table, None)
         if path:
-            context = table.sparkSession.sparkContext
-            where = context._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+            delete_path(table.sparkSession, path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder in whatever store holds it."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _width(field: T.StructField) -> Column:

@@ -50,15 +50,35 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def _below(root: str, path: str = "path") -> Column:
+    """The part of a path below a folder, whatever store and scheme stand before it; NULL outside."""
+    start = root.rstrip("/") + "/"
+    at = F.locate(start, F.col(path))
+    return F.when(at > 0, F.substr(F.col(path), at + len(start)))
+
+
+def folder_entries(files: DataFrame, root: str) -> DataFrame:
+    """``key, path, file_type, required`` of the folders right below ``root``, submission-like names left out."""
+    parts = F.split(_below(root), "/")
+    inside = files.filter(F.size(parts) > 1).select(parts[0].alias("key")).distinct()
+    kept = inside.filter(~F.lower("key").rlike(SUBMISSION_FOLDER))
+    return kept.select("key", F.concat(F.lit(root.rstrip("/") + "/"), "key").alias("path"), F.lit("data").alias("file_type"), F.lit(False).alias("required"))
+
+
 def build_manifest(
-    files: DataFrame, mapping: Mapping[str, Mapping] | None = None, expected: Mapping[str, Mapping] | None = None
+    files: DataFrame, mapping: Mapping[str, Mapping] | None = None, expected: Mapping[str, Mapping] | None = None, root: str | None = None
 ) -> DataFrame:
     """Manifest rows ``key, path, file_type, required`` of one dataset folder.
 
     An explicit mapping names the files; else expected keys are looked up with their endings. Other data
-    and metadata files are added as optional, submission-like names are not.
+    and metadata files are added as optional, submission-like names are not. With ``root``, files count that lie right in
+    that folder, and its sub-folders are entries of their own.
     """
     spark = files.sparkSession
+    folders = None
+    if root is not None:
+        folders = folder_entries(files, root)
+        files = files.filter(F.size(F.split(_below(root), "/")) == 1)
     described = describe_files(files)
     # fixed values: what a dataset expects by default
     expected = expected or {"train": {"type": "data", "required": True, "extensions": [".csv"]}}
@@ -78,7 +98,8 @@ def build_manifest(
     named = best.select("key", "b.path", "b.file_type", "b.required")
     extra = described.filter(~F.col("is_submission") & F.col("file_type").isin("data", "metadata"))
     extra = extra.join(F.broadcast(rules.select("key").distinct()), "key", "left_anti")
-    return named.unionByName(extra.select("key", "path", "file_type", F.lit(False).alias("required")))
+    named = named.unionByName(extra.select("key", "path", "file_type", F.lit(False).alias("required")))
+    return named if folders is None else named.unionByName(folders.join(named.select("key"), "key", "left_anti"))
 
 
 def missing_files(manifest: DataFrame, files: DataFrame) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldmark.operators.leakage import pair_reports
+from foldmark.session import materialize, small_side
 
 # fixed values: fields of a result file
 RESULT = (
@@ -16,6 +17,7 @@ RESULT = (
 )
 # fixed values: layout of a result sheet
 FIRST_CELL, NAME_COLUMN, BASELINE_COLUMN, METRIC_COLUMN = 5, 1, 2, 4
+SHEET_COLUMNS = 256  # a sheet may have at most
 
 
 def read_results(
@@ -56,25 +58,36 @@ def unpivot_sheet(
     return wide.select(*id_columns, F.explode(entries).alias("e")).select(*id_columns, "e.*")
 
 
-def read_sheet(spark: SparkSession, path: str) -> DataFrame:
-    """Result sheet with two header rows, models above languages, in long form.
+def read_sheets(spark: SparkSession, path: str, columns: int = SHEET_COLUMNS) -> DataFrame:
+    """Result sheets with two header rows, models above languages, in long form, any number of files at once.
 
-    Columns: comp, baseline, metric, model, lang, cell. The headers are the file's first two lines.
+    Columns: file, comp, baseline, metric, model, lang, cell. Each sheet has its own headers: they become a table of (file, place,
+    model, language), blanks filled from the left, that the cells of the file meet by place. Records may have several lines, so
+    a file is one task's work, and its rows keep their order in the numbers they get there.
     """
-    raw = spark.read.options(header=False, escape='"', multiLine=True).csv(path)
-    top = raw.limit(2).collect()  # the two header rows
-    models = fill_right(top[0])[FIRST_CELL:]
-    languages = list(top[1])[FIRST_CELL:]
-    name, base, metric = (raw.columns[i] for i in (NAME_COLUMN, BASELINE_COLUMN, METRIC_COLUMN))
-    first = F.concat_ws("\u0001", *[F.coalesce(c, F.lit("")) for c in raw.columns])
-    heads = ["\u0001".join(v or "" for v in row) for row in top]
-    body = raw.filter(~first.isin(heads)).select(
-        F.col(name).alias("comp"),
-        F.trim(F.col(base)).try_cast("double").alias("baseline"),
-        F.col(metric).alias("metric"),
-        *raw.columns[FIRST_CELL:],
-    )
-    return unpivot_sheet(body, models, languages, ["comp", "baseline", "metric"])
+    names = [f"_c{i}" for i in range(columns)]
+    reader = spark.read.schema(", ".join(f"{n} STRING" for n in names)).options(header=False, escape='"', multiLine=True, recursiveFileLookup=True)
+    raw = reader.csv(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"), F.array(*names).alias("cells"))
+    raw = materialize(raw, "sheets")
+    first = raw.groupBy("file").agg(F.min("row").alias("first"))
+    placed = raw.join(small_side(first), "file").withColumn("row", F.col("row") - F.col("first"))
+    heads = placed.filter("row < 2").select("file", "row", F.posexplode("cells").alias("place", "name")).filter(F.col("place") >= FIRST_CELL)
+    filled = F.nullif(F.trim("name"), F.lit(""))
+    heads = heads.groupBy("file", "place").agg(F.max(F.when(F.col("row") == 0, filled)).alias("model"), F.max(F.when(F.col("row") == 1, filled)).alias("lang"))
+    leftwards = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)  # the columns of one sheet
+    heads = heads.withColumn("model", F.last("model", True).over(leftwards)).filter("lang is not null")
+    heads = heads.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("place", "model", "lang"))).alias("heads"))
+    cell = F.transform("heads", lambda h: F.struct(h["model"].alias("model"), h["lang"].alias("lang"), F.get("cells", h["place"]).alias("cell")))
+    body = placed.filter("row >= 2").join(small_side(heads), "file")
+    return body.select(
+        "file", F.get("cells", F.lit(NAME_COLUMN)).alias("comp"), F.trim(F.get("cells", F.lit(BASELINE_COLUMN))).try_cast("double").alias("baseline"),
+        F.get("cells", F.lit(METRIC_COLUMN)).alias("metric"), F.explode(cell).alias("e"),
+    ).select("file", "comp", "baseline", "metric", "e.*")
+
+
+def read_sheet(spark: SparkSession, path: str) -> DataFrame:
+    """One sheet: comp, baseline, metric, model, lang, cell."""
+    return read_sheets(spark, path).drop("file")
 
 
 def read_reports(spark: SparkSession, folder: str) -> DataFrame:

@@ -157,6 +157,44 @@ def test_fold_store(spark, tmp_path):
     assert folds.read_excluded(spark, str(tmp_path / "nothing"), "c", 0) == {}
 
 
+def test_folders_are_entries(spark, tmp_path):
+    for name in ("train.csv", "images/a/b.png", "images/c.png", "Sample_data/x.csv", "train/y.csv", "baselines/z.csv"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    files = manifest.list_files(spark, str(tmp_path))
+    built = {r["key"]: (r["path"].rsplit("/", 1)[1], r["required"]) for r in manifest.build_manifest(files, root=str(tmp_path)).collect()}
+    assert built == {"train": ("train.csv", True), "images": ("images", False)}
+
+
+def test_versions_of_folds(spark, tmp_path):
+    root = str(tmp_path)
+    table = spark.range(60).withColumn("role", F.lit("train"))
+    for k in (5, 3):
+        folds.write_split(table.withColumn("fold", (F.col("id") % k).cast("int")), root, "c")
+        folds.write_fold_set({f: {"train": table, "x_val": table} for f in range(k)}, root, "c")
+    folds.write_split(table.withColumn("fold", F.lit(7)), root, "other")
+    assert sorted(r["fold"] for r in folds.read_split(spark, root, "c").select("fold").distinct().collect()) == [0, 1, 2]
+    folds.write_folds({"train": table.limit(4)}, root, "c", 1)
+    assert len(folds.drop_old_versions(spark, root)) == 1  # single folds of the first run still stand where no later run has them
+    assert [folds.read_fold(spark, root, "c", f, "train").count() for f in range(5)] == [60, 4, 60, 60, 60]
+    assert folds.read_fold(spark, root, "c", 1).count() == 20 and folds.read_fold(spark, root, "other", 7).count() == 60
+    with pytest.raises(FileNotFoundError):
+        folds.read_fold(spark, root, "c", 9, "train")
+
+
+def test_sheets_with_headers_of_their_own(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(',,,,,m1,,m2\n,name,base,,metric,English,French,English\n1,c1,0.5,d,rmse,"0.1,\n0.2",None,\n2,c2,x,d,r2,,,"0.3"\n')
+    (tmp_path / "b.csv").write_text(",,,,,z\n,,,,,Kazakh,,Polish\n1,c9,1,d,r2,1,2,3\n")
+    (tmp_path / "c.csv").write_text(",,,,,z\n,,,,,Kazakh\n")
+    rows = results.read_sheets(spark, str(tmp_path)).collect()
+    got = sorted((r["file"][-5], r["comp"], r["baseline"], r["metric"], r["model"], r["lang"], r["cell"] or "") for r in rows)
+    assert got == [
+        ("a", "c1", 0.5, "rmse", "m1", "English", "0.1,\n0.2"), ("a", "c1", 0.5, "rmse", "m1", "French", "None"), ("a", "c1", 0.5, "rmse", "m2", "English", ""),
+        ("a", "c2", None, "r2", "m1", "English", ""), ("a", "c2", None, "r2", "m1", "French", ""), ("a", "c2", None, "r2", "m2", "English", "0.3"),
+        ("b", "c9", 1.0, "r2", "z", "Kazakh", "1"), ("b", "c9", 1.0, "r2", "z", "Polish", "3"),
+    ]
+
+
 def test_sheet(spark, tmp_path):
     (tmp_path / "sheet.csv").write_text(
         ",,,,,m1,,m2,\nno,comp_name,baseline_score,domain,metric,English,French,English,French\n"
