@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from foldmark.operators import leaderboard as lb
 from foldmark.plans import query
-from foldmark.sources.results import unpivot_sheet
+from foldmark.session import shared_dir
+from foldmark.sources.results import read_sheets, unpivot_sheet
 from foldmark.tables import table
 
 CELL = ["comp", "model", "lang"]
@@ -41,9 +42,9 @@ RUNS = f"""WITH runs AS (SELECT event_id, event_type || '-' || day(ts) AS comp,
   CASE WHEN event_type IN ('error', 'view') THEN 'rmse' ELSE 'accuracy' END AS metric, 60.0 AS baseline FROM events),
   s AS (SELECT *, TRY_CAST(raw AS DOUBLE) AS score FROM runs),
   p AS (SELECT *, CASE WHEN metric = 'accuracy' THEN score / baseline ELSE CASE WHEN score = 0 THEN 0 ELSE baseline / score END END AS r FROM s),
-  c AS (SELECT comp, model, lang, count(r) AS runs, greatest(3, count(r)) AS n, coalesce(sum(r), 0) AS sr, coalesce(sum(r * r), 0) AS sq,
+  c AS (SELECT comp, model, lang, count(r) AS runs, greatest(3, count(r)) AS n, coalesce(sum(r), 0) AS sr, coalesce(avg(r), 0) AS mr, coalesce(var_pop(r), 0) AS vr,
         count(score) / 3 * 100 AS rate FROM p GROUP BY 1, 2, 3),
-  cells AS (SELECT comp, model, lang, runs, sr / n AS rp, sqrt(greatest(sq / n - (sr / n) * (sr / n), 0)) AS rp_std, rate FROM c)"""
+  cells AS (SELECT comp, model, lang, runs, sr / n AS rp, sqrt((vr * runs + mr * mr * runs * (n - runs) / n) / n) AS rp_std, rate FROM c)"""
 
 
 def scored(spark, sf):
@@ -113,10 +114,10 @@ def lb4(spark, sf):
     return parsed_cells(spark, sf).select("event_id", lb.pass_fraction(F.col("ok"), F.col("total")).alias("fraction"))
 
 
-@query("LB5_relative_performance", RUNS + " SELECT comp, model, lang, runs, round(rp, 9) AS rp, round(rp_std, 5) AS rp_std FROM cells")
+@query("LB5_relative_performance", RUNS + " SELECT comp, model, lang, runs, round(rp, 9) AS rp, round(rp_std, 9) AS rp_std FROM cells")
 def lb5(spark, sf):
     out = lb.relative_performance(scored(spark, sf), CELL)
-    return out.withColumns({"rp": F.round("rp", 9), "rp_std": F.round("rp_std", 5)})
+    return out.withColumns({"rp": F.round("rp", 9), "rp_std": F.round("rp_std", 9)})
 
 
 def sheet_runs(spark, sf):
@@ -143,6 +144,48 @@ def lb5_sheet(spark, sf):
     return rounded(perf.join(rates, CELL), 9, "rp", "pass_rate")
 
 
+def sheet_files(spark, sf):
+    """Three sheets as files, users dealt over them: two header rows, a row per user and kind of event; the second has its columns the other way round."""
+    entries = [(f"m{m}", n, c) for m in range(4) for n, c, _ in lb.LANGUAGES]
+    said = runs(spark, sf).withColumns({"entry": F.concat_ws("-", "model", "lang"), "comp": F.concat_ws("-", "user_id", "metric"), "sheet": F.col("user_id") % 3})
+    cell = F.concat_ws(", ", F.sort_array(F.collect_list("raw")))
+    wide = said.groupBy("sheet", "comp", "baseline", "metric").pivot("entry", [f"{m}-{c}" for m, _, c in entries]).agg(cell)
+    quoted = F.array(*[F.concat(F.lit('"'), F.coalesce(F.col(f"`{m}-{c}`"), F.lit("")), F.lit('"')) for m, _, c in entries])
+    turned = F.when(F.col("sheet") == 1, F.reverse(quoted)).otherwise(quoted)
+    line = F.concat_ws(",", F.lit("1"), "comp", F.col("baseline").cast("string"), F.lit("events"), "metric", F.array_join(turned, ","))
+    body = wide.select("sheet", F.lit(2).alias("rank"), line.alias("value"))
+    heads = []
+    for sheet in range(3):
+        order = entries[::-1] if sheet == 1 else entries
+        names = ["" if k and order[k - 1][0] == m else m for k, (m, _, _) in enumerate(order)]
+        heads += [(sheet, 0, ",,,,," + ",".join(names)), (sheet, 1, "no,name,baseline,domain,metric," + ",".join(n for _, n, _ in order))]
+    lines = spark.createDataFrame(heads, "sheet LONG, rank INT, value STRING").unionByName(body)
+    path = shared_dir(spark, "sheets")
+    lines.repartition("sheet").sortWithinPartitions("sheet", "rank", "value").select("sheet", "value").write.partitionBy("sheet").text(path)
+    return path
+
+
+@query(
+    "SRC11_sheets_to_table",
+    RUNS.replace("event_type || '-' || day(ts) AS comp", "user_id || '-' || CASE WHEN event_type IN ('error', 'view') THEN 'rmse' ELSE 'accuracy' END AS comp")
+    + f""", every AS (SELECT comp, 'm' || m AS model, lang FROM (SELECT DISTINCT comp FROM runs), (SELECT unnest(range(4)) AS m), (SELECT unnest({CODES_SQL}) AS lang)),
+       j AS (SELECT comp, model, lang, coalesce(rp, 0) AS rp, coalesce(rate, 0) AS rate FROM every LEFT JOIN cells USING (comp, model, lang)),
+       a AS (SELECT model, lang, avg(greatest(0, 1 - greatest(rp, 0))) AS area, avg(CASE WHEN rp <= 0 THEN 1 WHEN rp < 1 THEN 1 - rp + rp * ln(rp) ELSE 0 END) AS ln_area,
+         avg(CAST(rp <= 1 AS INT)) * 100 AS win_rate, avg(rate) AS pass_rate FROM j GROUP BY 1, 2),
+       b AS (SELECT * FROM a UNION ALL SELECT model, 'Avg.', avg(area), avg(ln_area), avg(win_rate), avg(pass_rate) FROM a GROUP BY 1)
+       SELECT model, lang, round(area, 9) AS AUP_std, round(ln_area, 9) AS AUP_ln, round(win_rate, 9) AS win_rate, round(pass_rate, 9) AS pass_rate FROM b""",
+)
+def src11_table(spark, sf):
+    """From raw sheets to the result table: areas, win and pass rates per model and language with the average row; empty cells are 0."""
+    said = lb.explode_runs(read_sheets(spark, sheet_files(spark, sf)), keep_empty=True).withColumn("score", lb.run_score(F.col("raw")))
+    said = said.withColumn("lang", lb.language_code(F.col("lang")))
+    cell = ["file", "comp", "metric", "model", "lang"]
+    rates = lb.valid_run_rate(said, cell).select(*cell, F.col("pass_rate").alias("rate"))
+    found = lb.relative_performance(said, cell).join(rates, cell)
+    rows = lb.with_average_row(lb.summary(found, ["model", "lang"], rate="rate"), ["model"])
+    return rounded(rows.select("model", "lang", "AUP_std", "AUP_ln", "win_rate", "pass_rate"), 9, "AUP_std", "AUP_ln", "win_rate", "pass_rate")
+
+
 @query(
     "LB6_profile",
     RUNS

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from foldmark.operators.leaderboard import RUNS_PER_CELL, relative_score
 from foldmark.session import shared_dir
@@ -72,3 +77,87 @@ def run_available(
     if "id" not in last:
         return spark.createDataFrame([], board.schema)
     return spark.read.schema(board.schema).parquet(f"{root}/board/batch={last['id']}")
+
+
+#: What a submission adds to the totals of its cell; negative numbers take it out again.
+SHARE = "comp STRING, model STRING, lang STRING, runs LONG, passed LONG, score DOUBLE, ratio DOUBLE, rated LONG"
+KEPT = "received LONG, comp STRING, model STRING, lang STRING, score DOUBLE, ratio DOUBLE"
+
+
+def _number(value) -> float | None:
+    return None if pd.isna(value) else float(value)
+
+
+def _share(kept: tuple, sign: int) -> dict:
+    _, comp, model, lang, score, ratio = kept
+    return {
+        "comp": comp, "model": model, "lang": lang, "runs": sign, "passed": sign * (score is not None), "score": sign * (score or 0.0),
+        "ratio": sign * (ratio or 0.0), "rated": sign * (ratio is not None),
+    }
+
+
+def _latest(late: int | None):
+    """Changes of the totals by one submission: its newest result replaces the one before, wherever that was counted."""
+
+    def change(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()  # older than any correction that may come; its share stays
+            return
+        before = state.get if state.exists else None
+        best = before
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                found = (int(r.at), r.comp, r.model, r.lang, _number(r.score), _number(r.ratio))
+                newer = best is None or (found[0], found[4] is not None, found[4] or 0.0) > (best[0], best[4] is not None, best[4] or 0.0)
+                best = found if newer else best
+        if best is None or best == before:
+            return
+        state.update(best)
+        if late is not None:
+            state.setTimeoutTimestamp(max(best[0] // 1000 + late, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([_share(kept, sign) for kept, sign in ((before, -1), (best, 1)) if kept is not None])
+
+    return change
+
+
+def changes(stream: DataFrame, late: str | None = None) -> DataFrame:
+    """Shares that enter and leave the totals as results and corrections come in, whatever their order.
+
+    The state holds one row per submission; with ``late`` it is let go once the stream is that much further.
+    """
+    if late is not None:
+        stream = stream.withWatermark("received", late)
+    ratio = F.when(F.col("score").isNotNull(), relative_score(F.col("score"), F.col("baseline"), F.col("metric")))
+    rows = stream.filter("submission_id is not null").withColumns({"ratio": ratio, "at": F.coalesce(F.unix_micros("received"), F.lit(0))})
+    timeout = GroupStateTimeout.NoTimeout if late is None else GroupStateTimeout.EventTimeTimeout
+    wait = None if late is None else 0  # the watermark already lags by ``late``
+    return rows.groupBy("submission_id").applyInPandasWithState(_latest(wait), SHARE, KEPT, "update", timeout)
+
+
+def corrected_totals(shares: DataFrame) -> DataFrame:
+    """The leaderboard from all shares so far, in the columns of ``totals``; cells that corrections have emptied are gone."""
+    sums = shares.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in ("runs", "passed", "score", "ratio", "rated")]).filter("runs > 0")
+    return sums.select(
+        *KEYS, "runs", "passed", (F.col("passed") / RUNS_PER_CELL * 100).alias("pass_rate"), F.try_divide("score", "passed").alias("mean_score"),
+        (F.col("ratio") / F.greatest("rated", F.lit(RUNS_PER_CELL))).alias("rp"),
+    )
+
+
+def run_corrected(spark: SparkSession, path: str, files_per_trigger: int | None = None, late: str | None = None) -> DataFrame:
+    """Process all files there are; results of a submission replace each other by the time they were received.
+
+    Every batch adds its shares, summed per cell, in a folder of its own, so a replayed batch writes the same again.
+    """
+    root = shared_dir(spark, "corrected-leaderboard")
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        sums = batch.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in ("runs", "passed", "score", "ratio", "rated")])
+        sums.select(*[f.split()[0] for f in SHARE.split(", ")]).write.mode("overwrite").parquet(f"{root}/shares/batch={batch_id}")
+
+    writer = changes(read_runs(spark, path, files_per_trigger), late).writeStream.outputMode("update").option("checkpointLocation", f"{root}/state")
+    writer.foreachBatch(store).trigger(availableNow=True).start().awaitTermination()
+    try:
+        shares = spark.read.schema(SHARE).parquet(f"{root}/shares")
+    except AnalysisException:  # no batch had any row
+        shares = spark.createDataFrame([], SHARE)
+    return corrected_totals(shares)
