@@ -303,10 +303,17 @@ def multi_table_split(
     drawn = holdout(facts, key, frac, seed)
     columns = {fact_key for _, _, fact_key in dimensions.values()}
     columns |= {list_key for pairs in lists.values() for _, list_key in pairs}
-    seen = {c: materialize(_key_sides(drawn, [c]), "seen-keys") for c in sorted(columns)}  # one pass each
+    kinds: dict[str, list[str]] = {}
+    for c in sorted(columns):
+        kinds.setdefault(facts.schema[c].dataType.simpleString(), []).append(c)
+    seen = {}
+    for alike in kinds.values():  # one pass over the facts for all key columns of a type
+        each = drawn.select("role", F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).alias("_k")) for i, c in enumerate(alike)])).alias("s"))
+        sides = materialize(_key_sides(each.select("role", "s._c", "s._k"), ["_c", "_k"]), "seen-keys", partition_by=("_c",))
+        seen |= {c: sides.filter(F.col("_c") == i) for i, c in enumerate(alike)}
 
     def ids(column: str, side: str, name: str) -> DataFrame:
-        return seen[column].filter("_t" if side == TRAIN else "_v").select(F.col(column).alias(name))
+        return seen[column].filter("_t" if side == TRAIN else "_v").select(F.col("_k").alias(name))
 
     out: dict[str, DataFrame] = {}
     for side in (TRAIN, VAL):

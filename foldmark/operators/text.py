@@ -14,6 +14,7 @@ from foldmark.session import materialize, small_side
 # fixed values: token patterns
 WORD = r"([\p{L}\p{N}_]{2,})"
 COMMA_TOKEN = r"([^,]+)"
+BUCKETS = 1 << 16  # of the sketch that bounds how frequent terms are
 
 
 # fixed values: the English stop words that ship with Spark
@@ -69,10 +70,25 @@ def comma_tokens(col: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(col, F.lit(""))), F.lit(COMMA_TOKEN), F.lit(1))
 
 
+def _each_term(df: DataFrame, doc: str, terms: Column) -> DataFrame:
+    return df.select(doc, F.explode(terms).alias("term"))
+
+
 def term_counts(df: DataFrame, doc: str, terms: Column) -> DataFrame:
-    """``doc``, ``term``, ``tf``. The text moves once, by document; tokens are made and counted after it."""
-    exploded = df.repartition(doc).select(doc, F.explode(terms).alias("term"))
-    return exploded.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """``doc``, ``term``, ``tf``. Terms are counted where the text is read, so counts move and texts do not."""
+    return _each_term(df, doc, terms).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _term_stats(counts: DataFrame, n_docs: int, min_df: int, max_df: float, max_features: int | None) -> DataFrame:
+    """``term``, ``df``, ``cf`` within the limits, the most frequent in the corpus if limited, ties by term."""
+    stats = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    kept = stats.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
+    return kept if max_features is None else kept.orderBy(F.col("cf").desc(), "term").limit(max_features)
+
+
+def _with_idf(stats: DataFrame, n_docs: int) -> DataFrame:
+    idf = F.ln(F.lit(1.0 + n_docs) / (1 + F.col("df"))) + 1
+    return stats.select("term", "df", idf.alias("idf"))
 
 
 def fit_vocabulary(
@@ -82,12 +98,36 @@ def fit_vocabulary(
 
     ``max_features`` keeps the terms most frequent in the corpus, ties by term.
     """
-    stats = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    kept = stats.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
-    if max_features is not None:
-        kept = kept.orderBy(F.col("cf").desc(), "term").limit(max_features)
-    idf = F.ln(F.lit(1.0 + n_docs) / (1 + F.col("df"))) + 1
-    return kept.select("term", "df", idf.alias("idf"))
+    return _with_idf(_term_stats(counts, n_docs, min_df, max_df, max_features), n_docs)
+
+
+def frequent_terms(
+    df: DataFrame, doc: str, terms: Column, max_features: int, min_df: int = 1, max_df: float = 1.0, buckets: int = BUCKETS
+) -> tuple[DataFrame, DataFrame]:
+    """The same vocabulary as ``fit_vocabulary`` with a limit, and counts (doc, term, tf) that hold all its terms; most terms never move.
+
+    A sketch comes first: terms are counted by hash bucket, a table of fixed size that tasks add up before it moves. A bucket's count
+    bounds that of each term in it. Terms of the fullest buckets are then counted exactly; when the last one kept is as
+    frequent as any bucket left out is full, no other term can be among the kept. Else the buckets in between are counted as well.
+    """
+    n_docs = df.count()
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    each = _each_term(df, doc, terms)
+    sums = materialize(each.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_most")), "term-buckets")
+    least = sums.orderBy(F.col("_most").desc()).limit(4 * max_features).agg(F.min("_most").alias("m")).first()["m"] or 1
+    above, counts = None, None
+    while True:
+        full = F.col("_most") >= least if above is None else (F.col("_most") >= least) & (F.col("_most") < above)
+        chosen = F.broadcast(sums.filter(full).select(F.col("_bucket").alias("_b")))  # a number per bucket at most
+        part = each.join(chosen, bucket == F.col("_b"), "left_semi").groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+        part = materialize(part, "term-counts")
+        counts = part if counts is None else counts.unionByName(part)
+        stats = materialize(_term_stats(counts, n_docs, min_df, max_df, max_features), "vocabulary")
+        found = stats.agg(F.count(F.lit(1)).alias("n"), F.min("cf").alias("cf")).first()
+        reach = found["cf"] if found["n"] == max_features else 1
+        if reach >= least:
+            return _with_idf(stats, n_docs), counts
+        above, least = least, reach
 
 
 def weigh(counts: DataFrame, doc: str, sublinear: bool = False, norm: bool = True) -> DataFrame:
@@ -113,14 +153,18 @@ def tfidf(
 ) -> DataFrame:
     """TF-IDF weights of ``df``; the vocabulary comes from ``fit_on`` (the training rows) if given.
 
-    A limited vocabulary meets the terms before they are counted, an open one the counts.
+    Counts of the fit are kept and weighed where they serve both; a limited vocabulary meets other rows' terms before they are counted.
     """
     basis = df if fit_on is None else fit_on
-    vocabulary = fit_vocabulary(term_counts(basis, doc, terms), basis.count(), min_df, max_df, max_features)
-    known = small_side(vocabulary.select("term", "idf"))
     if max_features is None:
-        return weigh(term_counts(df, doc, terms).join(known, "term"), doc, sublinear, norm)
-    found = df.repartition(doc).select(doc, F.explode(terms).alias("term")).join(known, "term")
+        counts = materialize(term_counts(basis, doc, terms), "term-counts")
+        vocabulary = fit_vocabulary(counts, basis.count(), min_df, max_df)
+    else:
+        vocabulary, counts = frequent_terms(basis, doc, terms, max_features, min_df, max_df)
+    known = small_side(vocabulary.select("term", "idf"))
+    if fit_on is None:
+        return weigh(counts.join(known, "term"), doc, sublinear, norm)
+    found = _each_term(df, doc, terms).join(known, "term")
     counts = found.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
     return weigh(counts, doc, sublinear, norm)
 

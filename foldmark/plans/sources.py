@@ -53,6 +53,21 @@ def src2(spark, sf):
     )
 
 
+@query(
+    "SRC2_bad_cells",
+    """SELECT c_custkey, CASE WHEN c_custkey % 10 = 3 THEN NULL ELSE c_acctbal END AS c_acctbal, c_custkey % 10 = 3 AS bad,
+       CASE WHEN c_custkey % 10 = 3 THEN c_custkey || ';12.5.x' END AS record FROM customer""",
+)
+def src2_bad(spark, sf):
+    """Cells under a decimal comma that are no numbers are NULL, and their records are told."""
+    path = shared_dir(spark, "csv")
+    key = F.col("c_custkey")
+    number = F.replace(F.col("c_acctbal").cast("string"), F.lit("."), F.lit(","))
+    delimited.write_csv(table(spark, sf, "customer").select("c_custkey", F.when(key % 10 == 3, "12.5.x").otherwise(number).alias("c_acctbal")), path, sep=";")
+    out = delimited.read_csv_smart(spark, path, "c_custkey BIGINT, c_acctbal DOUBLE", sep=";", decimal=",", corrupt="_bad")
+    return out.select("c_custkey", "c_acctbal", F.col("_bad").isNotNull().alias("bad"), F.col("_bad").alias("record"))
+
+
 @query(
     "SRC3_catalog",
     """SELECT 'comp-' || o_orderkey AS comp_id, CASE o_orderstatus WHEN 'F' THEN 'f1_score' ELSE 'roc_auc_score' END AS metric,

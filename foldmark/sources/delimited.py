@@ -96,7 +96,7 @@ def read_csv_smart(
 
     A single-byte code page is read as ISO-8859-1 and translated.
     With a decimal mark other than '.', numeric columns of the schema are read as text and converted;
-    what is no number becomes NULL. NaN becomes NULL.
+    what is no number becomes NULL, and with ``corrupt`` the record's cells go there as they were read. NaN becomes NULL.
     """
     if not _native(encoding):
         page = _code_page(encoding)
@@ -122,6 +122,13 @@ def read_csv_smart(
         [T.StructField(f.name, T.StringType() if f.name in names else f.dataType) for f in wanted.fields]
     )
     raw = reader.schema(text).csv(path)
+    if corrupt:
+        odd = F.lit(False)
+        for f in loose:
+            said = F.trim(f.name)
+            odd |= said.isNotNull() & ~F.lower(said).isin("", "nan") & as_number(F.col(f.name), decimal).isNull()
+        record = F.concat_ws(sep, *[F.coalesce(F.col(f.name).cast("string"), F.lit("")) for f in text.fields if f.name != corrupt])
+        raw = raw.withColumn(corrupt, F.coalesce(F.col(corrupt), F.when(odd, record)))
     return raw.withColumns({f.name: as_number(F.col(f.name), decimal).cast(f.dataType) for f in loose})
 
 
