@@ -126,7 +126,7 @@ def oof_target_mean(df: DataFrame, group: str, target: str, fold: str, out: str)
 
     Group sums minus the own fold's, so the rows are aggregated once and joined once.
     """
-    cells = df.groupBy(group, fold).agg(F.sum(target).alias("_s"), F.count(target).alias("_n"))
+    cells = df.groupBy(group, fold).agg(F.coalesce(F.sum(target), F.lit(0)).alias("_s"), F.count(target).alias("_n"))
     groups = cells.groupBy(group).agg(F.sum("_s").alias("_gs"), F.sum("_n").alias("_gn"))
     per_fold = cells.groupBy(fold).agg(F.sum("_s").alias("_fs"), F.sum("_n").alias("_fn"))
     whole = per_fold.agg(F.sum("_fs").alias("_as"), F.sum("_fn").alias("_an"))

@@ -282,6 +282,22 @@ def mdl6_mean(spark, sf):
     return out.select("o_orderkey", F.round("cust_mean", 6).alias("cust_mean"))
 
 
+@query(
+    "MDL6_null_groups",
+    f"""WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 0 THEN o_custkey END AS g, CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice END AS y, {draw('o_orderkey')} % 5 AS fold FROM orders),
+       c AS (SELECT g, fold, coalesce(sum(y), 0) AS s, count(y) AS n FROM t GROUP BY 1, 2), a AS (SELECT g, sum(s) AS s, sum(n) AS n FROM c GROUP BY 1),
+       p AS (SELECT fold, (sum(sum(s)) OVER () - sum(s)) / (sum(sum(n)) OVER () - sum(n)) AS prior FROM c GROUP BY 1)
+       SELECT o_orderkey, round(coalesce(CASE WHEN a.n > c.n THEN (a.s - c.s) / (a.n - c.n) END, prior), 5) AS group_mean
+       FROM t JOIN c ON t.g IS NOT DISTINCT FROM c.g AND t.fold = c.fold JOIN a ON t.g IS NOT DISTINCT FROM a.g JOIN p ON t.fold = p.fold""",
+)
+def mdl6_nulls(spark, sf):
+    """A null group is a group; null targets count nowhere."""
+    key = F.col("o_orderkey")
+    df = table(spark, sf, "orders").select("o_orderkey", F.when(key % 9 != 0, F.col("o_custkey")).alias("g"), F.when(key % 13 != 0, F.col("o_totalprice")).alias("y"))
+    out = models.oof_target_mean(split.kfold(df, ["o_orderkey"], 5), "g", "y", "fold", "group_mean")
+    return out.select("o_orderkey", F.round("group_mean", 5).alias("group_mean"))
+
+
 def votes(spark, sf):
     """Three predictions per event."""
     types = F.array(*[F.lit(t) for t in TYPES])

@@ -258,3 +258,68 @@ def spl_registry(spark, sf):
 def spl_leak_check(spark, sf):
     folds = split.split(events(spark, sf), ["event_id"], "recommendation", n_splits=5, group="user_id")
     return split.leak_report(folds, ["user_id"])
+
+
+# The same splits with nulls: every such value is one of its own, and null times come last.
+
+
+@query(
+    "SPL2_null_strata",
+    """WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus END AS s, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey % 3 END AS c FROM orders)
+       SELECT o_orderkey, CASE WHEN row_number() OVER (PARTITION BY s, c ORDER BY md5('42|' || o_orderkey)) <= ceil(0.2 * count(*) OVER (PARTITION BY s, c)) THEN 'val' ELSE 'train' END AS role FROM t""",
+)
+def spl2_nulls(spark, sf):
+    key = F.col("o_orderkey")
+    df = orders(spark, sf).select("o_orderkey", F.when(key % 4 != 0, F.col("o_orderstatus")).alias("s"), F.when(key % 3 != 0, F.col("o_custkey") % 3).alias("c"))
+    return split.stratified_holdout(df, ["o_orderkey"], ["s", "c"]).select("o_orderkey", "role")
+
+
+@query(
+    "SPL3_null_values",
+    """WITH v AS (SELECT o_orderkey, CASE WHEN o_orderkey % 6 <> 0 THEN o_totalprice END AS p FROM orders), q AS (SELECT quantile_cont(p, [0.2, 0.4, 0.6, 0.8]) AS b FROM v),
+       t AS (SELECT o_orderkey, CASE WHEN p IS NULL THEN -1 ELSE len(list_filter(list_distinct(b), lambda e: p > e)) END AS bin FROM v, q)
+       SELECT o_orderkey, bin::INTEGER AS bin, CASE WHEN row_number() OVER (PARTITION BY bin ORDER BY md5('42|' || o_orderkey)) <= ceil(0.2 * count(*) OVER (PARTITION BY bin)) THEN 'val' ELSE 'train' END AS role FROM t""",
+)
+def spl3_nulls(spark, sf):
+    df = orders(spark, sf).select("o_orderkey", F.when(F.col("o_orderkey") % 6 != 0, F.col("o_totalprice")).alias("p"))
+    return split.stratified_holdout(split.quantile_bins(df, "p", 5), ["o_orderkey"], ["bin"]).drop("p")
+
+
+@query(
+    "SPL5_null_strata",
+    """WITH t AS (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN event_type END AS s FROM events)
+       SELECT event_id, ((row_number() OVER (PARTITION BY s ORDER BY md5('42|' || event_id)) - 1) % 4)::INTEGER AS fold FROM t""",
+)
+def spl5_nulls(spark, sf):
+    df = events(spark, sf).select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("s"))
+    return split.stratified_kfold(df, ["event_id"], ["s"], 4).select("event_id", "fold")
+
+
+def timed(spark, sf):
+    return events(spark, sf).select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias("moment"))
+
+
+_TIMED = """WITH t AS (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN ts END AS moment FROM events),
+       p AS (SELECT event_id, row_number() OVER (ORDER BY moment NULLS LAST, event_id) AS pos, count(*) OVER () AS n FROM t), f AS (SELECT unnest(range(3)) AS fold)"""
+
+
+@query(
+    "SPL8_null_times",
+    _TIMED + " SELECT event_id, fold::INTEGER AS fold, CASE WHEN pos <= n * (fold + 1) // 4 THEN 'train' ELSE 'val' END AS role FROM p, f WHERE pos <= n * (fold + 2) // 4",
+)
+def spl8_nulls(spark, sf):
+    return split.time_expanding(timed(spark, sf), "moment", ["event_id"], 3).select("event_id", "fold", "role")
+
+
+@query(
+    "SPL9_null_times",
+    _TIMED
+    + """ SELECT event_id, fold::INTEGER AS fold, CASE WHEN pos <= n - (3 - fold) * (n // 4) THEN 'train' ELSE 'val' END AS role FROM p, f WHERE pos <= n - (2 - fold) * (n // 4)""",
+)
+def spl9_nulls(spark, sf):
+    return split.time_series_split(timed(spark, sf), "moment", ["event_id"], 3).select("event_id", "fold", "role")
+
+
+@query("SPL10_null_times", _TIMED + " SELECT event_id, CASE WHEN pos > n - ceil(0.3 * n) THEN 'val' ELSE 'train' END AS role FROM p")
+def spl10_nulls(spark, sf):
+    return split.ordered_holdout(timed(spark, sf), ["moment", "event_id"], 0.3).select("event_id", "role")
