@@ -39,6 +39,25 @@ def src1_lines(spark, sf):
     return out.withColumn("bad", F.col("_bad").isNotNull()).drop("_bad")
 
 
+@query(
+    "SRC1_mixed_dialects",
+    """SELECT event_id % 3 AS kind, event_id, CASE WHEN event_id % 50 = 7 THEN NULL ELSE value END AS value, 'Заказ ' || event_type || ', "' || event_id || '"' AS note,
+       event_id % 50 = 7 AS bad FROM events""",
+)
+def src1_mixed(spark, sf):
+    """One folder with commas and UTF-8, semicolons in a Cyrillic code page, and tabs, each with quotes and commas in a cell and some bad numbers."""
+    root = shared_dir(spark, "csv")
+    key = F.col("event_id")
+    value = F.when(key % 50 == 7, "none").otherwise(F.col("value").cast("string"))
+    note = F.concat(F.lit("Заказ "), "event_type", F.lit(', "'), key.cast("string"), F.lit('"'))
+    df = table(spark, sf, "events").select("event_id", value.alias("value"), note.alias("note"))
+    for kind, (sep, encoding) in enumerate(((",", "utf-8"), (";", "windows-1251"), ("\t", "utf-8"))):
+        delimited.write_csv(df.filter(key % 3 == kind), f"{root}/kind{kind}", sep=sep, encoding=encoding)
+    out = delimited.read_csv_folder(spark, root, "event_id BIGINT, value DOUBLE, note STRING", fallback="windows-1251", corrupt="_bad")
+    kind = F.regexp_extract("file", "/kind([0-9])/", 1).cast("bigint")
+    return out.select(kind.alias("kind"), "event_id", "value", "note", F.col("_bad").isNotNull().alias("bad"))
+
+
 @query("SRC2_localized_csv", "SELECT c_custkey, 'Клиент ' || c_custkey AS name, c_acctbal FROM customer")
 def src2(spark, sf):
     path = shared_dir(spark, "csv")
@@ -312,7 +331,7 @@ def _files(spark, df):
 
 @query(
     "SRC5_folder_manifest",
-    """WITH n AS (SELECT n_nationkey AS k, n_name FROM nation),
+    r"""WITH n AS (SELECT n_nationkey AS k, n_name FROM nation),
        f AS (SELECT k, CASE k % 5 WHEN 0 THEN 'table' || k || '.csv' WHEN 1 THEN 'README' || k || '.md' WHEN 2 THEN 'Sample_Submission' || k || '.csv'
          WHEN 3 THEN CASE WHEN k % 2 = 0 THEN 'baseline_' ELSE 'images' END || k ELSE 'run' || k || '.sh' END AS item FROM n)
        SELECT 'train' AS key, 'data' AS file_type, true AS required, NULL AS name, true AS missing

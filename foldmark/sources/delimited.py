@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldmark.functions.values import as_number, nan_to_null
+from foldmark.session import small_side
 
 # fixed values: separators in the order they are tried
 SEPARATORS = (",", ";", "\t", "|", ":", " ")
@@ -132,6 +133,68 @@ def read_csv_smart(
     return raw.withColumns({f.name: as_number(F.col(f.name), decimal).cast(f.dataType) for f in loose})
 
 
+def file_dialects(spark: SparkSession, path: str, fields: int | None = None) -> DataFrame:
+    """``file``, ``sep`` and ``is_utf8`` of every file below a folder, by the rule of ``choose_separator`` for each by itself.
+
+    With the number of ``fields``, the first separator comes before it that gives the header so many, and no line more.
+
+    One aggregate over the lines: how many separators of each kind the header, the fullest and the emptiest line have, all of
+    which merge, so files of any number and size are one job.
+    """
+    lines = _raw_lines(spark, path, header=False).withColumn("_at", F.monotonically_increasing_id())
+    marks = F.array(*[_marks(F.col("line"), s) for s in SEPARATORS])
+    full = F.trim("line") != ""
+    each = lines.select("file", "_at", "_block", full.alias("_full"), marks.alias("_m"), F.is_valid_utf8(F.encode("line", "iso-8859-1")).alias("_u"))
+    kinds = range(len(SEPARATORS))
+    found = each.groupBy("file").agg(
+        F.min_by("_m", F.struct("_block", "_at")).alias("head"), F.bool_and("_u").alias("is_utf8"),
+        F.array(*[F.max(F.when(F.col("_full"), F.col("_m")[i])) for i in kinds]).alias("hi"), F.array(*[F.min(F.when(F.col("_full"), F.col("_m")[i])) for i in kinds]).alias("lo"),
+    )
+    fits = [F.col("hi")[i] <= F.col("head")[i] for i in kinds]
+    sep = F.when(F.lit(False), SEPARATORS[0])
+    for i in kinds if fields is not None else ():
+        sep = sep.when(fits[i] & (F.col("head")[i] == fields - 1), SEPARATORS[i])
+    sep = sep.when(fits[0], SEPARATORS[0]).when(fits[1], SEPARATORS[1])
+    regular = F.array(*[F.when((F.col("head")[i] > 0) & (F.col("hi")[i] == F.col("lo")[i]), F.struct(F.col("head")[i].alias("n"), F.lit(-i).alias("i"), F.lit(s).alias("sep"))) for i, s in enumerate(SEPARATORS)])
+    best = F.array_max(F.array_compact(regular))["sep"]
+    return found.select("file", sep.otherwise(F.coalesce(best, F.lit(SEPARATORS[0]))).alias("sep"), "is_utf8")
+
+
+def _raw_lines(spark: SparkSession, path: str, header: bool) -> DataFrame:
+    """Lines as ISO-8859-1, which keeps every byte, with their file; with ``header`` without the first of each file."""
+    schema = T.StructType([T.StructField("line", T.StringType())])
+    reader = spark.read.options(header=header, sep="\u0001", quote="", encoding="iso-8859-1", recursiveFileLookup=True)
+    return reader.schema(schema).csv(path).select("line", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"))
+
+
+def read_csv_folder(
+    spark: SparkSession, path: str, schema: str | T.StructType, fallback: str = "windows-1252", corrupt: str | None = None, **options
+) -> DataFrame:
+    """Headed CSV files of any mix of separators and encodings below a folder, in one scan after that of ``file_dialects``.
+
+    Files that are not UTF-8 are read in the single-byte code page ``fallback``. Columns come by position, with the path as ``file``;
+    records are lines. ``corrupt`` names a column that takes the records that do not fit. NaN becomes NULL.
+    """
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if corrupt:
+        wanted = T.StructType([*wanted.fields, T.StructField(corrupt, T.StringType())])
+        options["columnNameOfCorruptRecord"] = corrupt
+    known = small_side(file_dialects(spark, path, len(wanted.fields) - bool(corrupt)).withColumnRenamed("file", "_file"))
+    lines = _raw_lines(spark, path, header=True).filter(F.trim("line") != "").join(known, F.col("file") == F.col("_file"))
+    as_utf8 = F.decode(F.encode("line", "iso-8859-1"), "utf-8")
+    text = F.when(F.col("is_utf8"), as_utf8).otherwise(F.translate("line", *_code_page(fallback)))
+    lines = lines.select("file", "sep", text.alias("line"))
+    parsed = None
+    for s in SEPARATORS:
+        one = F.from_csv("line", _ddl(wanted), {**options, "sep": s, "escape": '"'})
+        parsed = F.when(F.col("sep") == s, one) if parsed is None else parsed.when(F.col("sep") == s, one)
+    return nan_to_null(lines.select("file", parsed.alias("r")).select("file", "r.*"))
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+
+
 def write_csv(df: DataFrame, path: str, sep: str = ",", encoding: str = "utf-8") -> None:
     """CSV folder with a header per part, in any encoding the reader takes."""
     if not _native(encoding):
