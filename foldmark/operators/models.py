@@ -51,11 +51,18 @@ def forest(features: Sequence[str], target: str, classify: bool = False, trees:
 
 def boosted(
     features: Sequence[str], target: str, classify: bool = False, rounds: int = 50, depth: int = 5,
-    validation: str | None = None, seed: int = 42,
+    validation: str | None = None, seed: int = 42, classes: int = 2,
 ) -> Pipeline:
-    """Gradient-boosted trees; a boolean ``validation`` column marks the rows that stop the fit early."""
+    """Gradient-boosted trees; a boolean ``validation`` column marks the rows that stop the fit early.
+
+    With more than two ``classes`` one fit per class against the rest; these take no validation rows.
+    """
     kind = GBTClassifier if classify else GBTRegressor
     model = kind(labelCol=target, maxIter=rounds, maxDepth=depth, seed=seed)
+    if classify and classes > 2:
+        if validation:
+            raise ValueError("fits of several classes take no validation rows")
+        return _pipeline(features, OneVsRest(classifier=model, labelCol=target, parallelism=2))
     return _pipeline(features, model.setValidationIndicatorCol(validation) if validation else model)
 
 

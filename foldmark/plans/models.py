@@ -229,6 +229,47 @@ def mdl3_facts(spark, sf):
     return scored.agg(F.count("prediction").alias("n"), (error < F.stddev_pop("net") / 2).alias("close"))
 
 
+@query("MDL4_boosted_facts", f"SELECT count(*) AS n, true AS close, true AS stopped_early FROM lineitem WHERE {_HELD} % 5 = 0")
+def mdl4_facts(spark, sf):
+    """Every held-out row has a prediction, their errors are less than half of those of the mean, and the validation rows ended the fit."""
+    df = split.kfold(net_prices(spark, sf), LINE, 5).withColumn("held", F.col("fold") == 1)
+    model = models.boosted(NET, "net", rounds=30, depth=3, validation="held").fit(df.filter("fold <> 0"))
+    scored = models.predict(model, df.filter("fold = 0"), ["net"])
+    error = F.sqrt(F.avg(F.pow(F.col("net") - F.col("prediction"), 2)))
+    rounds = len(model.stages[-1].trees)
+    return scored.agg(F.count("prediction").alias("n"), (error < F.stddev_pop("net") / 2).alias("close"), F.lit(1 <= rounds <= 30).alias("stopped_early"))
+
+
+@query(
+    "MDL4_boosted_classes",
+    "SELECT count(*) AS n, count(DISTINCT label) AS classes, true AS known, true AS beats_majority FROM embeddings",
+)
+def mdl4_classes(spark, sf):
+    """Boosted trees of several classes: predictions are classes of the data, and more are right than the largest class alone would give."""
+    first = [F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(8)]
+    df = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("double").alias("y"), *first)
+    model = models.boosted([f"e{i}" for i in range(8)], "y", classify=True, rounds=5, depth=3, classes=3).fit(df)
+    scored = models.predict(model, df, ["vec_id", "y"])
+    sizes = df.groupBy("y").agg(F.count(F.lit(1)).alias("rows"))
+    right = scored.groupBy("prediction").agg(F.count_if(F.col("y") == F.col("prediction")).alias("hits"))
+    return sizes.join(right, F.col("y") == F.col("prediction"), "full").agg(
+        F.sum("rows").alias("n"), F.count("y").alias("classes"), (F.count_if(F.col("y").isNull()) == 0).alias("known"), (F.sum("hits") > F.max("rows")).alias("beats_majority")
+    )
+
+
+@query(
+    "MDL1_lasso_closed_form",
+    """WITH m AS (SELECT corr(l_quantity, l_extendedprice) AS r, stddev_pop(CAST(l_extendedprice AS DOUBLE)) AS sy, stddev_pop(CAST(l_quantity AS DOUBLE)) AS sx FROM lineitem),
+       s AS (SELECT unnest([10.0, 2000.0, 100000000.0]) AS strength)
+       SELECT CAST(strength AS DOUBLE) AS strength, round(CASE WHEN abs(r) > strength / sy THEN sign(r) * (abs(r) - strength / sy) * sy / sx ELSE 0 END, 2) + 0.0 AS coefficient FROM m, s""",
+)
+def mdl1_lasso(spark, sf):
+    """With one feature the lasso is its correlation with the target, shrunk by the penalty in standard deviations of the target."""
+    df = lines(spark, sf)
+    rows = [(k, round(float(models.linear(["l_quantity"], "l_extendedprice", k, 1.0).fit(df).stages[-1].coefficients[0]), 2) + 0.0) for k in (10.0, 2000.0, 1e8)]
+    return spark.createDataFrame(rows, "strength DOUBLE, coefficient DOUBLE")
+
+
 _FITS = f"""WITH t AS (SELECT o_orderkey, o_totalprice AS y, CAST(o_custkey AS DOUBLE) AS x, {draw('o_orderkey')} % 3 AS fold FROM orders),
   f AS (SELECT i AS fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM t, (SELECT unnest(range(3)) AS i) WHERE fold <> i GROUP BY i),
   p AS (SELECT t.*, a + b * x AS prediction FROM t JOIN f ON t.fold = f.fold) """
