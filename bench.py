@@ -12,7 +12,7 @@ import sys
 import time
 
 from foldmark import plans
-from foldmark.session import get_spark
+from foldmark.session import get_spark, scratch
 
 HEADLINE = [
     "ENTRY_holdout_auc_report",
@@ -46,8 +46,9 @@ HEADLINE = [
 
 def run(spark, name: str, sf_dir: str) -> float:
     started = time.perf_counter()
-    plans.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-    seconds = time.perf_counter() - started
+    with scratch():
+        plans.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        seconds = time.perf_counter() - started
     spark.catalog.clearCache()
     return seconds
 

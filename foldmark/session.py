@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,9 +67,31 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+_SCOPES: list[list[DataFrame | tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Drop at the end all tables, folders and caches that were made inside; consume the results before that."""
+    made: list[DataFrame | tuple[SparkSession, str]] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for item in made:
+            if isinstance(item, DataFrame):
+                item.unpersist()
+            else:
+                delete_path(*item)
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder, not yet created."""
-    return os.path.join(shared_root(spark), f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_root(spark), f"{label}-{uuid.uuid4().hex}")
+    if _SCOPES:
+        _SCOPES[-1].append((spark, path))
+    return path
 
 
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
@@ -117,6 +141,8 @@ def small_side(
     ``df`` is an aggregate or a dimension, kept so that the check and the join compute it once.
     """
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if _SCOPES:
+        _SCOPES[-1].append(kept)
     wide = [_width(f) for f in df.schema.fields]
     width = sum((F.coalesce(w, F.lit(0)) for w in wide[1:]), F.coalesce(wide[0], F.lit(0)))
     rows, size = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()

@@ -64,7 +64,7 @@ def compare(spark, sf_dir, name, fn, sql, con):
 def main():
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     import __spark_entry__ as entry
-    from foldmark.session import get_spark
+    from foldmark.session import get_spark, scratch
 
     sf_dir = f"/root/testdata/sf{sys.argv[1]}"
     only = sys.argv[2:]
@@ -76,7 +76,8 @@ def main():
         if only and not any(name.startswith(o) for o in only):
             continue
         try:
-            count, seconds, problem = compare(spark, sf_dir, name, fn, oracles.get(name), con)
+            with scratch():
+                count, seconds, problem = compare(spark, sf_dir, name, fn, oracles.get(name), con)
         except Exception as e:  # noqa: BLE001
             count, seconds, problem = -1, 0.0, f"{type(e).__name__}: {str(e)[:1500]}"
         spark.catalog.clearCache()

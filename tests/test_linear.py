@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from foldmark.operators import encode, linear, models, split
 from foldmark.operators import leakage as lk
 from foldmark.operators import text as terms
-from foldmark.session import forget, materialize
+from foldmark.plans import QUERIES, load_all
+from foldmark.session import forget, materialize, scratch, shared_root
 from foldmark.streaming import leaderboard
 
 
@@ -141,3 +142,16 @@ def test_forgotten_tables_are_gone(spark):
     forget(kept)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     assert not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def test_a_scope_leaves_nothing_behind(spark, tiny):
+    load_all()
+    root = shared_root(spark)
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = lambda: {str(f.getPath()) for f in store.listStatus(where)}
+    before, cached = names(), spark._jsc.getPersistentRDDs().size()
+    for name in ("WIN1_running_sum", "SPL2_stratified_holdout", "TXT4_tfidf", "SRC1_read_csv_smart", "AGG4_describe"):
+        with scratch():
+            assert QUERIES[name](spark, tiny).count() > 0
+    assert names() <= before and spark._jsc.getPersistentRDDs().size() <= cached
