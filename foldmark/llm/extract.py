@@ -8,7 +8,8 @@ in which a dropped block drops all below it, so an ancestor and a descendant nev
 The trees are fitted on a bounded sample of pages that mark their article: blocks of it are main, others not. Each
 page is also learned in ``VARIANTS`` rebuilt forms, with its parts under other elements and names and with
 sidebars, notices, adverts, forms and reader comments made of its own sentences, so that the model knows pages that
-are marked up in other ways.
+are marked up in other ways. A share of these forms has plain elements only, without names or with names that mean nothing, so
+that lengths, links and places have to decide.
 
 Edge cases: null or empty html has empty text; broken markup is parsed as far as it goes; long pages are taken
 whole; without any page that marks its article all text outside scripts, styles and comments is kept; repeated rows are
@@ -32,9 +33,10 @@ from foldmark.llm.dom import Node, parse
 
 SAMPLE = 160  # pages that the fit may use
 SAMPLE_CHARS = 100_000  # longer pages are not used to fit
-VARIANTS = 4
-ROUNDS = 40
-DEPTH = 4
+VARIANTS = 6
+BARE = 0.25  # share of the rebuilt pages whose elements and names say nothing
+ROUNDS = 80
+DEPTH = 5
 RATE = 0.25
 BINS = 32
 
@@ -201,14 +203,20 @@ def marked_main(nodes: list[Node]) -> np.ndarray | None:
 
 def variant(paragraphs: list[str], others: list[str], draw: random.Random) -> tuple[str, str]:
     """A page in another form and its main text: the paragraphs, among blocks made of the other sentences."""
+    bare = draw.random() < BARE
+    unknown = {kind: "".join(draw.choice("bdfgklmnprstvz") + draw.choice("aeiou") for _ in range(draw.randint(2, 4))) for kind in NAMES}
+
     def name(kind: str) -> str:
         key = draw.choice(("class", "id", "class"))
+        if bare:
+            return f' {key}="{unknown[kind]}"' if draw.random() < 0.5 else ""
         return f' {key}="{draw.choice(NAMES[kind])}{draw.choice(("", "-box", " wide", "_1"))}"' if draw.random() < 0.85 else ""
 
     def say(most: int = 3) -> str:
         return html.escape(" ".join(draw.choice(others) for _ in range(draw.randint(1, most))))
 
     def block(tag: str, kind: str, inner: str) -> str:
+        tag = "div" if bare and tag not in ("li", "form") else tag
         return f"<{tag}{name(kind)}>{inner}</{tag}>"
 
     def items(linked: bool = True) -> str:
@@ -225,6 +233,8 @@ def variant(paragraphs: list[str], others: list[str], draw: random.Random) -> tu
 
     def talk() -> str:
         each = "".join(block(draw.choice(("div", "li")), "talk", f"<b>{say(1)[:14]}</b><p>{say(4)}</p>") for _ in range(draw.randint(1, 5)))
+        if bare:
+            return block("div", "talk", f"<h3>{say(1)[:20]}</h3>{each}")
         return f'<{(t := draw.choice(("section", "div")))} {draw.choice(("class", "id"))}="{draw.choice(("comments", "comment-list", "discussion", "replies"))}"><h3>{say(1)[:20]}</h3>{each}</{t}>'
 
     body = []
@@ -235,7 +245,8 @@ def variant(paragraphs: list[str], others: list[str], draw: random.Random) -> tu
         if i and draw.random() < 0.06:
             body.append(extra())
     holder = draw.choice(("article", "main", "div", "div", "section"))
-    mark = name("main") if holder in ("article", "main") else f' {draw.choice(("class", "id"))}="{draw.choice(NAMES["main"])}{draw.choice(("", "-content", "-body", " full"))}"'
+    holder = "div" if bare else holder
+    mark = name("main") if bare or holder in ("article", "main") else f' {draw.choice(("class", "id"))}="{draw.choice(NAMES["main"])}{draw.choice(("", "-content", "-body", " full"))}"'
     page = [block(draw.choice(("nav", "div")), "menu", items())] if draw.random() < 0.9 else []
     page += [block(draw.choice(("header", "div")), "edge", f"<h2>{say(1)[:30]}</h2>" + draw.choice(("", items())))] if draw.random() < 0.6 else []
     page += [extra() for _ in range(draw.randint(0, 2))]

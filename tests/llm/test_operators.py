@@ -355,6 +355,31 @@ def test_extraction(spark, none):
     assert extract.extracted(more.limit(0)).count() == 0
 
 
+def word_f1(got, want):
+    got, want = collections.Counter(got.split()), collections.Counter(want.split())
+    return 2 * sum((got & want).values()) / max(1, got.total() + want.total())
+
+
+def test_pages_without_an_article_element(spark):
+    """Fitted on pages that mark their article; scored on others, as they are and with plain elements and names that say nothing."""
+    pages = sorted((r["page_id"], r["html"]) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect())
+    forest = extract.fitted([(str(k), page) for k, page in pages[:100]])
+    strange = dict(zip("article main nav aside footer header form".split(), "inhalt inhalt navegacion seitenleiste fusszeile kopf formular".split()))
+    marks = r"<(/?)(article|main|nav|aside|footer|header|form)\b[^>]*>"
+    forms = {
+        "as it is": lambda page: page, "plain": lambda page: re.sub(marks, lambda m: f"<{m[1]}div>", page),
+        "strange": lambda page: re.sub(marks, lambda m: f"<{m[1]}div" + ("" if m[1] else f' class="{strange[m[2]]}"') + ">", re.sub(r'\s(class|id|role)="[^"]*"', "", page)),
+    }
+    scores = collections.defaultdict(list)
+    for _, page in pages[100:180]:
+        want = " ".join(extract.html.unescape(re.sub(r"</?(?:h1|p|br|b)>", " ", re.search("<article>(.*?)</article>", page, re.S)[1])).split())
+        for name, form in forms.items():
+            nodes = extract.blocks(dom.parse(form(page)))
+            scores[name].append(word_f1(extract.decoded(nodes, forest.logits(extract.described(nodes))), want))
+    means = {name: float(np.mean(s)) for name, s in scores.items()}
+    assert means["as it is"] > 0.98 and means["plain"] > 0.7 and means["strange"] > 0.7, means
+
+
 @pytest.mark.parametrize("tag", ["template", "textarea", "title", "iframe", "svg", "noscript", "math", "object", "select", "option"])
 def test_left_out_end_tags_lose_no_text(tag):
     nodes = extract.blocks(dom.parse(f"<form><{tag}></form><article><p>all of it</p></article>"))
