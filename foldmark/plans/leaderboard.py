@@ -280,6 +280,25 @@ def lb14(spark, sf):
     return rounded(lb.language_stats(cells(spark, sf), ["model"], "lang", "rate"), 9, "mean", "std")
 
 
+@query(
+    "LB13_display_rates_from_sheets",
+    RUNS.replace("event_type || '-' || day(ts) AS comp", "user_id || '-' || CASE WHEN event_type IN ('error', 'view') THEN 'rmse' ELSE 'accuracy' END AS comp")
+    + f""", every AS (SELECT comp, 'm' || m AS model, lang FROM (SELECT DISTINCT comp FROM runs), (SELECT unnest(range(4)) AS m), (SELECT unnest({CODES_SQL}) AS lang)),
+       d AS (SELECT comp, model, lang, count(*) AS total, count(score) AS ok FROM s GROUP BY 1, 2, 3),
+       j AS (SELECT comp, model, lang, coalesce(ok, 0) / greatest(coalesce(total, 0), 3) AS rate FROM every LEFT JOIN d USING (comp, model, lang)),
+       g AS (SELECT j.model, j.lang, j.rate, j.rate - e.rate AS gap FROM j JOIN (SELECT comp, model, rate FROM j WHERE lang = 'EN') e ON j.comp = e.comp AND j.model = e.model)
+       SELECT model, lang, round(avg(rate), 9) AS mean, round(stddev_samp(rate), 9) AS std, round(avg(CASE WHEN lang <> 'EN' THEN gap END), 9) + 0.0 AS mean_gap FROM g GROUP BY 1, 2""",
+)
+def lb13_display(spark, sf):
+    """Pass rates by the display rule, straight from raw sheets: mean and deviation per model and language, and the mean distance from English."""
+    said = read_sheets(spark, sheet_files(spark, sf)).withColumn("lang", lb.language_code(F.col("lang")))
+    rule = lb.parse_cell(F.coalesce("cell", F.lit("")))
+    rated = said.select("file", *CELL, lb.pass_rate(rule["ok"], rule["total"]).alias("rate"))
+    gaps = lb.gap_to(rated, ["file", "comp", "model"], "lang", "rate").groupBy("model", "lang").agg(F.avg("gap").alias("mean_gap"))
+    stats = lb.language_stats(rated, ["model"], "lang", "rate").join(gaps, ["model", "lang"], "left")
+    return rounded(stats, 9, "mean", "std").withColumn("mean_gap", F.round("mean_gap", 9) + 0.0).select("model", "lang", "mean", "std", "mean_gap")
+
+
 @query(
     "LB15_resource_groups",
     RUNS
