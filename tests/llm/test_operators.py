@@ -101,6 +101,50 @@ def test_quality_held_out(spark):
     assert all(r["predicted"] == 1 for r in rows if r["quality"] == 1)
 
 
+def plain_features(text, stated):
+    """Slots with values, and statistics, counted one by one."""
+    raw = (text or "").encode()
+    tokens = [m[0] for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    slots = collections.Counter()
+    for t in tokens:
+        slots[zlib.crc32(t) % quality.SLOTS] += 1
+    values = {k: math.log1p(n) for k, n in slots.items()}
+    length = math.sqrt(sum(v * v for v in values.values()))
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    n, size, each = max(len(tokens), 1), max(len(raw), 1), collections.Counter(tokens)
+
+    def kind(b):
+        if 48 <= b < 58:
+            return 3
+        if 65 <= b < 91 or 97 <= b < 123:
+            return 1 if b < 91 else 2
+        return 4 if chr(b) in ".,;:?'" else 6 if b in (9, 10, 11, 12, 13, 32) else 7 if b > 127 else 5 if 32 < b < 127 else 0
+
+    kinds = collections.Counter(map(kind, raw))
+    plain = [
+        math.log1p(len(raw)), math.log1p(len(tokens)), math.log1p(len(lines)), sum(len(t) for t in tokens) / n, len(each) / n,
+        sum(a == b for a, b in zip(tokens, tokens[1:])) / n, sum(chr(t[-1]) in "#$%&*!|" for t in tokens) / n, max(each.values(), default=0) / n,
+        (len(lines) - len(set(lines))) / max(len(lines), 1), math.log1p(max(0.0, stated or 0.0)), sum(len(t) == 1 and not t.isalnum() for t in tokens) / n,
+        *[kinds[k] / size for k in range(1, 8)],
+    ]
+    return {k: v / length for k, v in values.items()}, plain
+
+
+def test_scores_against_sums_over_all_pairs(spark, tiny):
+    """Every feature counted one by one, every pair of features multiplied out."""
+    docs, marks = spark.read.parquet(f"{tiny}/documents.parquet"), spark.read.parquet(f"{tiny}/labels.parquet")
+    machine = quality.learned(docs, marks)
+    got = {r["doc_id"]: r["score"] for r in quality.scored(docs, marks).collect()}
+    for r in docs.collect():
+        values, plain = plain_features(r["text"], r["n_chars"])
+        own = [min(5.0, max(-5.0, (p - m) / s)) / 2 for p, m, s in zip(plain, machine.mean, machine.scale)]
+        index = np.array([*values, *range(quality.SLOTS, quality.SLOTS + quality.STATISTICS)])
+        x = np.array([*values.values(), *own])
+        inner = (machine.factors[index].astype(float) * x[:, None]) @ (machine.factors[index].astype(float) * x[:, None]).T
+        logit = machine.bias + float(machine.linear[index].astype(float) @ x) + float(np.triu(inner, 1).sum())
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-logit)), abs=2e-3)
+
+
 def test_quality_edges(spark, messy, none, labels):
     rows = quality.scored(messy, labels).collect()
     assert len(rows) == 11 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
