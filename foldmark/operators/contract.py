@@ -46,6 +46,7 @@ def evaluate_submission(
     """
     key = list(key)
     spark = folds.sparkSession
+    folds = materialize(folds, "folds", partition_by=("fold",))  # made once, read by fold
     out = None
     for i in range(n_folds):
         parts = split.project_role(folds.filter(F.col("fold") == i).drop("fold"), target, ids=key)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from foldmark.operators.encode import class_weights
 from foldmark.operators.metrics.classification import CLASS_SCORES, class_scores
 from foldmark.operators.metrics.registry import metric_named
-from foldmark.session import small_side
+from foldmark.session import materialize, small_side
 
 
 def _pipeline(features: Sequence[str], estimator: Estimator) -> Pipeline:
@@ -101,28 +101,34 @@ def predict_labels(models: Mapping[object, PipelineModel], df: DataFrame, key: S
 
 
 def out_of_fold(
-    df: DataFrame, estimator: Estimator, key: Sequence[str], fold: str, k: int
+    df: DataFrame, estimator: Estimator, key: Sequence[str], fold: str, k: int, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """``key`` + ``fold`` + ``prediction`` of the model that did not see the row."""
+    """``key`` + ``fold`` + ``keep`` + ``prediction`` of the model that did not see the row.
+
+    The folded table is kept once, so that k fits read it and do not make it again. Linear fits have a form without refits: ``linear.ridge_out_of_fold``.
+    """
+    df = materialize(df, "folded")
     out = None
     for i in range(k):
         model = estimator.fit(df.filter(~F.col(fold).eqNullSafe(i)))
-        part = predict(model, df.filter(F.col(fold) == i), [*key, fold])
+        part = predict(model, df.filter(F.col(fold) == i), [*key, fold, *keep])
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def with_oof_feature(df: DataFrame, estimator: Estimator, key: Sequence[str], fold: str, k: int, name: str) -> DataFrame:
-    """Out-of-fold prediction as a new column."""
-    scores = out_of_fold(df, estimator, key, fold, k).select(*key, F.col("prediction").alias(name))
-    return df.join(scores, list(key), "left")
+    """Out-of-fold prediction as a new column; null for rows of no fold."""
+    rest = [c for c in df.columns if c not in (*key, fold)]
+    scores = out_of_fold(df, estimator, key, fold, k, keep=rest).withColumnRenamed("prediction", name)
+    others = df.filter(F.col(fold).isNull() | ~F.col(fold).between(0, k - 1)).withColumn(name, F.lit(None).cast("double"))
+    return scores.select(*df.columns, name).unionByName(others)
 
 
 def cross_validate(
     df: DataFrame, estimator: Estimator, key: Sequence[str], target: str, fold: str, k: int, metric: str
 ) -> DataFrame:
     """Score per fold with the mean and population deviation over the folds."""
-    scores = out_of_fold(df, estimator, key, fold, k).join(df.select(*key, target), list(key))
+    scores = out_of_fold(df, estimator, key, fold, k, keep=[target])
     per_fold = metric_named(metric)(scores, target, "prediction", [fold])
     spread = per_fold.agg(F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"))
     return per_fold.select(fold, "score").crossJoin(F.broadcast(spread))

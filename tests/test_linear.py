@@ -38,6 +38,13 @@ def test_out_of_fold_ridge_with_gaps(spark, points):
     assert linear.ridge_out_of_fold(points.limit(0), ["a"], "y", ["id"], "fold").count() == 0
 
 
+def test_out_of_fold_feature_keeps_every_row(points):
+    gaps = points.withColumn("fold", F.when(F.col("id") % 50 != 3, F.col("fold")))
+    out = models.with_oof_feature(gaps, models.linear(["a", "b"], "y"), ["id"], "fold", 4, "p")
+    assert out.columns == [*points.columns, "p"] and out.count() == 600
+    assert {r["id"] for r in out.filter("p is null").collect()} == {i for i in range(600) if i % 50 == 3}
+
+
 def test_moments_are_one_aggregate(spark, points):
     seen = []
     plain = points.groupBy
