@@ -43,19 +43,27 @@ def as_keys(order: Sequence[str | Key]) -> list[Key]:
     ]
 
 
-def default_slices(df: DataFrame) -> int:
-    """As many as the session has partitions, more where a slice would get over SLICE_ROWS rows."""
-    return max(shuffle_partitions(df.sparkSession), -(-df.count() // SLICE_ROWS))
-
-
 def with_slices(
     df: DataFrame, order: Sequence[str | Key], slices: int | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
-    """A kept copy of ``df`` with ``_slice``, which never decreases along ``by`` and ``order``."""
-    ranged = df.repartitionByRange(
-        slices or default_slices(df), *[F.col(c) for c in by], *[k.column() for k in as_keys(order)]
-    )
-    return materialize(ranged.withColumn(SLICE, F.spark_partition_id().cast("bigint")), "slices")
+    """A kept copy of ``df`` with ``_slice``, which never decreases along ``by`` and ``order``.
+
+    Without a given number there are as many slices as the session has partitions; a table whose slices would
+    get over SLICE_ROWS rows on average is dealt out once more, from the copy, into as many as that takes.
+    """
+    keys = [*[F.col(c) for c in by], *[k.column() for k in as_keys(order)]]
+
+    def dealt(rows: DataFrame, n: int) -> DataFrame:
+        return materialize(rows.repartitionByRange(n, *keys).withColumn(SLICE, F.spark_partition_id().cast("bigint")), "slices")
+
+    n = slices or shuffle_partitions(df.sparkSession)
+    kept = dealt(df, n)
+    need = 0 if slices else -(-kept.count() // SLICE_ROWS)  # the count of a stored table reads its footers
+    if need <= n:
+        return kept
+    finer = dealt(kept.drop(SLICE), need)
+    forget(kept)
+    return finer
 
 
 def _grouped(by: Sequence[str]) -> Column:

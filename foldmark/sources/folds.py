@@ -53,7 +53,7 @@ def write_fold_set(folds: Mapping[int, Mapping[str, DataFrame]], root: str, comp
     version, spark, done = uuid.uuid4().hex, None, []
     for fold, parts in folds.items():
         for part, df in parts.items():
-            df.write.parquet(f"{root}/data/{version}/{part}/fold={fold}")
+            df.drop("fold").write.parquet(f"{root}/data/{version}/{part}/fold={fold}")
             spark = df.sparkSession
             done.append((part, fold))
     if spark is not None:

@@ -119,6 +119,14 @@ def test_slices_stay_small_under_skew(spark, rows):
     assert biggest <= 3 * len(rows) / 32
 
 
+def test_slices_grow_with_the_rows(spark, rows, monkeypatch):
+    monkeypatch.setattr(ordering, "SLICE_ROWS", 100)
+    sliced = with_slices(spark.createDataFrame(rows), ["ts", "id"])
+    sizes = [r["count"] for r in sliced.groupBy(SLICE).count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 400 and sum(sizes) == len(rows)
+    assert sliced.columns[-1] == SLICE and "_slice" not in sliced.columns[:-1]
+
+
 @pytest.mark.parametrize("down", [False, True])
 def test_nan_and_null_keys(spark, down):
     """Slices follow the window's own order of NaN and NULL, in both directions."""
