@@ -133,13 +133,14 @@ def relative_performance(
     ratio = F.when(F.col(score).isNotNull(), relative_score(F.col(score), F.col(baseline), F.col(metric)))
     cells = runs.groupBy(*by).agg(
         F.count(ratio).alias("runs"),
+        F.coalesce(F.sum(ratio), F.lit(0.0)).alias("_s"),
         F.coalesce(F.avg(ratio), F.lit(0.0)).alias("_m"),
         F.coalesce(F.var_pop(ratio), F.lit(0.0)).alias("_v"),
     )
     n = F.greatest(F.col("runs"), F.lit(RUNS_PER_CELL))
     share = F.col("runs") / n  # the others are zeros, which add the spread between them and the mean of the runs
     spread = F.sqrt(F.col("_v") * share + F.col("_m") * F.col("_m") * share * (1 - share))
-    return cells.select(*by, "runs", (F.col("_m") * share).alias("rp"), spread.alias("rp_std"))
+    return cells.select(*by, "runs", (F.col("_s") / n).alias("rp"), spread.alias("rp_std"))
 
 
 def first_reached(r: Column, start: float, step: float, points: int) -> Column:
