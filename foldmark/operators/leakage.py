@@ -136,7 +136,8 @@ def dyadic_blocks(start: Column, end: Column, levels: int = LEVELS) -> Column:
         ends = F.filter(F.array(*odd), lambda x: x.isNotNull() & (low < high))
         return F.transform(ends, lambda x: F.struct(level.alias("_level"), x.alias("_number")))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at))
+    highest = F.least(F.ceil(F.log2((end - start + 2).cast("double"))).cast("int"), F.lit(levels))  # no larger block fits
+    return F.flatten(F.transform(F.sequence(F.lit(0), highest), at))
 
 
 def enclosing_functions(lines: DataFrame, functions: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from foldmark.operators import encode, split, text
 from foldmark.plans import query
 from foldmark.plans.splits import LIMIT, draw
 from foldmark.session import shared_dir
+from foldmark.session import materialize
 from foldmark.tables import table
 
 STOP = text.default_stop_words()
@@ -167,8 +168,9 @@ def txt3(spark, sf):
 )
 def txt4(spark, sf):
     terms = text.with_bigrams(text.tokens(F.col("text"), STOP))
+    docs = materialize(table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id"), "documents")  # the table is one file
     out = text.tfidf(
-        table(spark, sf, "documents").select("doc_id", "text"), "doc_id", terms,
+        docs, "doc_id", terms,
         min_df=3, max_df=0.8, max_features=500, sublinear=True,
     )
     return out.withColumn("weight", F.round("weight", 6))
