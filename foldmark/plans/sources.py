@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow
+import pyarrow.fs
 from pyspark.sql import functions as F
 
 from foldmark.functions import vectors
@@ -9,7 +13,7 @@ from foldmark.operators import split
 from foldmark.operators.leakage import pair_reports
 from foldmark.plans import query
 from foldmark.plans.splits import LIMIT, draw
-from foldmark.session import shared_dir
+from foldmark.session import delete_path, shared_dir, shuffle_partitions
 from foldmark.sources import catalog, delimited, folds, loaders, manifest, results
 from foldmark.tables import table
 
@@ -314,18 +318,49 @@ def src7_strategy(spark, sf):
     return out
 
 
+def _writer(root, staged):
+    """For the tasks: files of rows sorted by name. A file gets its name when it is whole, so what a task leaves behind is never half a file."""
+
+    def write(batches):
+        store, top = pyarrow.fs.FileSystem.from_uri(root)
+        own = f"{pyarrow.fs.FileSystem.from_uri(staged)[1]}/{uuid.uuid4().hex}"
+        store.create_dir(own)
+        folders, name, out, n = set(), None, None, 0
+
+        def finish():
+            out.close()
+            target = f"{top}/{name.decode()}"
+            folder = target.rpartition("/")[0]
+            if folder not in folders:
+                store.create_dir(folder)
+                folders.add(folder)
+            store.move(f"{own}/{n}", target)
+
+        for batch in batches:
+            for key, text in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if key != name:
+                    if out is not None:
+                        finish()
+                    name, n = key, n + 1
+                    out = store.open_output_stream(f"{own}/{n}")
+                out.write((text or b"") + b"\n")
+        if out is not None:
+            finish()
+        yield pyarrow.RecordBatch.from_pydict({"files": pyarrow.array([n], pyarrow.int64())})
+
+    return write
+
+
 def _files(spark, df):
-    """A folder with one file per row of (name, text); Spark writes them, and gives each its name when all stand."""
+    """A folder with one file per name of the rows (name, text), a line per row; the tasks write them, rows without a name have none.
+
+    The shared folder has to lie in a store that pyarrow opens: a mounted disk, S3, GCS, Azure, or HDFS with its client library.
+    """
     root, staged = shared_dir(spark, "files"), shared_dir(spark, "staged")
-    df.select("name", "text").repartition("name").write.partitionBy("name").text(staged)
-    jvm, context = spark.sparkContext._jvm, spark.sparkContext
-    path = jvm.org.apache.hadoop.fs.Path
-    store = path(staged).getFileSystem(context._jsc.hadoopConfiguration())
-    for found in store.globStatus(path(f"{staged}/name=*/part-*")):
-        name = found.getPath().getParent().getName().removeprefix("name=").replace("%2F", "/")
-        target = path(f"{root}/{name}")
-        store.mkdirs(target.getParent())
-        store.rename(found.getPath(), target)
+    rows = df.filter(F.col("name").isNotNull()).select(F.col("name").cast("binary").alias("name"), F.col("text").cast("binary").alias("text"))
+    rows = rows.repartition(shuffle_partitions(spark), "name").sortWithinPartitions("name")
+    rows.mapInArrow(_writer(root, staged), "files LONG").agg(F.sum("files")).collect()  # one number
+    delete_path(spark, staged)
     return root
 
 

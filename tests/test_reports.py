@@ -2,12 +2,15 @@
 
 import math
 import random
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from foldmark.operators import leaderboard as lb
 from foldmark.operators import leakage as lk
+from foldmark.plans import sources
 from foldmark.sources import catalog, delimited, folds, manifest, results
 
 
@@ -213,3 +216,21 @@ def test_report_folder(spark, tmp_path):
     (tmp_path / "m_2.ir.py").write_text("x")
     rows = results.read_reports(spark, str(tmp_path)).collect()
     assert sorted((r["python_file_path"].rsplit("/", 1)[1], r["html"] is not None) for r in rows) == [("m_1.py", True), ("m_2.py", False)]
+
+
+def test_files_of_rows_have_their_names_and_lines(spark):
+    rows = [("a=1/b:c.py", "one"), ("a=1/b:c.py", "two"), ("a=1/d%.html", "ä\n x"), ("e.txt", None), ("f.txt", ""), (None, "nameless")]
+    root = sources._files(spark, spark.createDataFrame(rows, "name STRING, text STRING"))
+    found = {str(p.relative_to(root)): p.read_text() for p in Path(root).rglob("*") if p.is_file() and p.suffix != ".crc"}
+    assert {k: sorted(v.split("\n")) for k, v in found.items()} == {
+        "a=1/b:c.py": ["", "one", "two"], "a=1/d%.html": ["", " x", "ä"], "e.txt": ["", ""], "f.txt": ["", ""]
+    }
+
+
+def test_many_files_are_not_named_one_by_one_by_the_driver(spark):
+    rows = spark.range(3000).selectExpr("concat('c', id % 7, '/', id, '.png') AS name", "cast(id AS string) AS text")
+    started = time.time()
+    root = sources._files(spark, rows)
+    assert time.time() - started < 20  # renamed by the driver they take minutes
+    listed = manifest.list_images(spark, root).selectExpr("count(*) AS n", "count(distinct label) AS labels").first()
+    assert (listed["n"], listed["labels"]) == (3000, 7)
