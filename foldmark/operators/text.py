@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,11 +10,12 @@ from pyspark.sql import functions as F
 
 from foldmark.functions.vectors import let
 from foldmark.operators.ordering import positions
-from foldmark.session import materialize, small_side
+from foldmark.session import materialize, shuffle_partitions, small_side
 
 # fixed values: token patterns
 WORD = r"([\p{L}\p{N}_]{2,})"
 COMMA_TOKEN = r"([^,]+)"
+GRAMS_PER_TASK = 1_000_000
 BUCKETS = 1 << 16  # of the sketch that bounds how frequent terms are
 
 
@@ -65,6 +67,19 @@ def char_ngrams(col: Column, low: int, high: int) -> Column:
     )
 
 
+def gram_counts(df: DataFrame, doc: str, col: str, low: int, high: int, per_task: int = GRAMS_PER_TASK) -> DataFrame:
+    """``doc``, ``gram``, ``tf`` of the runs of ``low``..``high`` characters of a text column.
+
+    Texts move, grams do not: rows are dealt by ``doc`` to as many tasks as hold ``per_task`` grams each on average, so the counts of a
+    task take the same memory at any size of the table. Copies of a row are one before they move.
+    """
+    copies = df.groupBy(doc, col).agg(F.count(F.lit(1)).alias("_copies"))
+    grams = (high - low + 1) * (df.agg(F.sum(F.length(col))).first()[0] or 0)
+    dealt = copies.repartition(max(shuffle_partitions(df.sparkSession), math.ceil(grams / per_task)), doc)
+    each = dealt.select(doc, "_copies", F.explode(char_ngrams(F.col(col), low, high)).alias("gram"))
+    return each.groupBy(doc, "gram").agg(F.sum("_copies").alias("tf"))
+
+
 def comma_tokens(col: Column) -> Column:
     """Lower-cased, non-empty parts between commas, blanks kept."""
     return F.regexp_extract_all(F.lower(F.coalesce(col, F.lit(""))), F.lit(COMMA_TOKEN), F.lit(1))

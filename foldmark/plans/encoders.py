@@ -142,8 +142,7 @@ def txt1(spark, sf):
        SELECT p_partkey, gram, count(*) AS tf FROM (SELECT p_partkey, substr(s, i, n) AS gram FROM t, n, range(1, 200) r(i) WHERE i + n - 1 <= length(s)) GROUP BY 1, 2""",
 )
 def txt2(spark, sf):
-    df = table(spark, sf, "part").select("p_partkey", F.explode(text.char_ngrams(F.col("p_name"), 3, 5)).alias("gram"))
-    return df.groupBy("p_partkey", "gram").agg(F.count(F.lit(1)).alias("tf"))
+    return text.gram_counts(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey", "p_name", 3, 5)
 
 
 @query(

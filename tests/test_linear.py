@@ -162,3 +162,13 @@ def test_a_scope_leaves_nothing_behind(spark, tiny):
         with scratch():
             assert QUERIES[name](spark, tiny).count() > 0
     assert names() <= before and spark._jsc.getPersistentRDDs().size() <= cached
+
+
+def test_grams_are_counted_in_tasks_of_bounded_size(spark):
+    names = ["Green  tea", "green tea", None, "", "ab", "aaaaaa", "ж" * 40]
+    rows = [(k, n) for k in (1, 2, None) for n in names for _ in range(k or 1)]
+    df = spark.createDataFrame(rows, "k LONG, name STRING")
+    plain = df.select("k", F.explode(terms.char_ngrams(F.col("name"), 3, 5)).alias("gram")).groupBy("k", "gram").count()
+    counted = terms.gram_counts(df, "k", "name", 3, 5, per_task=10)
+    assert sorted(map(tuple, counted.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    assert counted.rdd.getNumPartitions() >= 3 * sum(len(n or "") for _, n in rows) // 10  # more grams, more tasks
