@@ -25,6 +25,7 @@ LINE_BUTTONS = {
     "mark_leak_lines": "show and go to first leak src",
 }
 
+LOWEST = 6  # smaller blocks cost more rows than the lines they sort out
 LEVELS = 61  # blocks of the containment join have up to 2 to this lines
 
 
@@ -126,42 +127,50 @@ def pair_reports(py: DataFrame, html: DataFrame, path: str = "path") -> DataFram
     return code.join(pages, "_stem", "left").drop("_stem").withColumnRenamed(path, "python_file_path")
 
 
-def dyadic_blocks(start: Column, end: Column, levels: int = LEVELS) -> Column:
-    """The span from start to end, both included, as blocks (level, number) of 2 ** level lines, at most two per level."""
+def dyadic_blocks(start: Column, end: Column, levels: int = LEVELS, low: int = 0) -> Column:
+    """The span from start to end, both included, as blocks (level, number) of 2 ** level lines, at most two per level.
+
+    With ``low`` no block is smaller than 2 ** low lines, and those at the ends may hold up to 2 ** low - 1 lines more than the span.
+    """
+    first, last = (F.call_function("shiftright", x, F.lit(low)) for x in (start, end))
 
     def at(level: Column) -> Column:
-        low = -F.call_function("shiftright", -start, level)  # rounded up
-        high = F.call_function("shiftright", end + 1, level)
-        odd = [F.when(x.bitwiseAND(F.lit(1)) == 1, y) for x, y in ((low, low), (high, high - 1))]
-        ends = F.filter(F.array(*odd), lambda x: x.isNotNull() & (low < high))
-        return F.transform(ends, lambda x: F.struct(level.alias("_level"), x.alias("_number")))
+        left = -F.call_function("shiftright", -first, level)  # rounded up
+        right = F.call_function("shiftright", last + 1, level)
+        odd = [F.when(x.bitwiseAND(F.lit(1)) == 1, y) for x, y in ((left, left), (right, right - 1))]
+        ends = F.filter(F.array(*odd), lambda x: x.isNotNull() & (left < right))
+        return F.transform(ends, lambda x: F.struct((level + F.lit(low)).alias("_level"), x.alias("_number")))
 
-    highest = F.least(F.ceil(F.log2((end - start + 2).cast("double"))).cast("int"), F.lit(levels))  # no larger block fits
+    highest = F.least(F.ceil(F.log2((last - first + 2).cast("double"))).cast("int"), F.lit(levels))  # no larger block fits
     return F.flatten(F.transform(F.sequence(F.lit(0), highest), at))
 
 
 def enclosing_functions(lines: DataFrame, functions: DataFrame) -> DataFrame:
     """Functions of ``functions(file, name, args, start_line, end_line)`` that contain a line of ``lines(file, line)``.
 
-    A span is cut into dyadic blocks, and a line asks for the one block of each level it lies in, so that both sides
-    meet in an equi-join: 2 log n rows per span, however long or broken, log n per line, and a file with very many
-    lines or functions spreads over its blocks. A line lies in exactly one block of a span that holds it. Lines are distinct before the join.
+    A span, cut to the lines there are, becomes dyadic blocks of 2 ** LOWEST lines or more, and a line asks for the one block of each level it
+    lies in, so that both sides meet in an equi-join: 2 log n rows per span, however long or broken, log n per line, and a file with very many
+    lines or functions spreads over its blocks. A line lies in at most one block of a span; only the blocks at its two ends hold others, 2 ** LOWEST - 1
+    each at most, which the bounds sort out. Lines are distinct before the join, and only keys and bounds of spans move with the blocks.
     One row per file and start line, the last function winning, with its lines in order: never more than the function is long.
     """
     marks = lines.select("file", F.col("line").cast("bigint").alias("line")).distinct()
+    edge = lines.agg(F.min(F.col("line").cast("bigint")), F.max(F.col("line").cast("bigint"))).first()
     rest = [c for c in functions.columns if c not in ("file", "start_line")]
-    unique = functions.groupBy("file", "start_line").agg(
-        F.max_by(F.struct(*rest), F.struct("end_line", "name")).alias("_f")
-    ).select("file", "start_line", *[F.col(f"_f.{c}") for c in rest])
-    start, end = F.col("start_line").cast("bigint"), F.least(F.col("end_line").cast("bigint"), F.lit((1 << LEVELS) - 1))
-    spans = unique.filter(F.col("end_line") >= F.col("start_line")).withColumn("_b", F.explode(dyadic_blocks(start, end)))
-    spans = spans.select(*unique.columns, "_b.*")
-    levels = spans.agg(F.sort_array(F.collect_set("_level"))).first()[0]  # at most LEVELS + 1 numbers
+    last = F.struct("end_line", "name")
+    best = F.max(last) if set(rest) == {"end_line", "name"} else F.max_by(F.struct(*rest), last)  # what moves is half as wide
+    unique = functions.groupBy("file", "start_line").agg(best.alias("_f")).select("file", "start_line", *[F.col(f"_f.{c}") for c in rest])
+    start, end = F.greatest(F.col("start_line").cast("bigint"), F.lit(edge[0]).cast("bigint")), F.least(F.col("end_line").cast("bigint"), F.lit(edge[1]).cast("bigint"))
+
+    def cut(df: DataFrame) -> DataFrame:
+        held = df.filter(F.col("end_line") >= F.col("start_line")).select("file", "start_line", start.alias("_from"), end.alias("_to"))
+        return held.filter("_from <= _to").select("*", F.inline(dyadic_blocks(F.col("_from"), F.col("_to"), low=LOWEST)))
+
+    levels = cut(functions).agg(F.sort_array(F.collect_set("_level"))).first()[0]  # at most LEVELS + 1 numbers
     asked = F.transform(F.lit(levels).cast("array<int>"), lambda k: F.struct(k.alias("_level"), F.call_function("shiftright", F.col("line"), k).alias("_number")))
-    found = marks.select("*", F.inline(asked)).join(spans, ["file", "_level", "_number"])
-    return found.groupBy("file", "start_line", *rest).agg(
-        F.sort_array(F.collect_list("line")).alias("contains_lines")
-    )
+    found = marks.select("*", F.inline(asked)).join(cut(unique), ["file", "_level", "_number"]).filter("line BETWEEN _from AND _to")
+    held = found.groupBy("file", "start_line").agg(F.sort_array(F.collect_list("line")).alias("contains_lines"))
+    return unique.join(held, ["file", "start_line"]).select("file", "start_line", *rest, "contains_lines")
 
 
 def with_model(df: DataFrame, path: str = "python_file_path") -> DataFrame:

@@ -234,3 +234,39 @@ def test_many_files_are_not_named_one_by_one_by_the_driver(spark):
     assert time.time() - started < 20  # renamed by the driver they take minutes
     listed = manifest.list_images(spark, root).selectExpr("count(*) AS n", "count(distinct label) AS labels").first()
     assert (listed["n"], listed["labels"]) == (3000, 7)
+
+
+def test_spans_move_in_few_blocks(spark):
+    spans = [(a, a + n) for a in (-300, -64, -1, 0, 5, 63, 64, 1000) for n in (0, 1, 62, 63, 64, 300, 10**12)]
+    rows = spark.createDataFrame(spans, "a LONG, b LONG")
+    blocks = rows.select("a", "b", F.explode(lk.dyadic_blocks(F.col("a"), F.col("b"), low=6)).alias("k")).select("a", "b", "k.*").collect()
+    held = {}
+    for r in blocks:
+        held.setdefault((r["a"], r["b"]), []).append((r["_number"] << r["_level"], (r["_number"] + 1 << r["_level"]) - 1))
+    for a, b in spans:
+        ranges = sorted(held[a, b])
+        assert ranges[0][0] == a >> 6 << 6 and ranges[-1][1] == (b >> 6 << 6) + 63
+        assert all(x[1] + 1 == y[0] for x, y in zip(ranges, ranges[1:]))
+        assert b - a > 300 or len(ranges) <= 4  # down to single lines it takes up to 14
+
+
+def test_functions_of_lines_against_brute_force(spark):
+    random.seed(3)
+    lines = [(f, random.randint(-200, 900)) for f in ("a", "b", None) for _ in range(60)] * 2 + [("a", None)]
+    functions = [("a", "f", None, 7), ("b", "f", None, None)]
+    for i in range(300):
+        s = random.randint(-400, 1200)
+        functions.append((random.choice(["a", "b", None]), f"f{i}", s, random.choice([s, s + 1, s + 63, s + 500, 10**13, s - 5, None])))
+    best = {}
+    for f, n, s, e in functions:
+        if f and s is not None:
+            best[f, s] = max(best.get((f, s), (-math.inf, "")), (-math.inf if e is None else e, n))
+    want = {}
+    for (f, s), (e, n) in best.items():
+        found = sorted({x for g, x in lines if g == f and x is not None and s <= x <= e})
+        if found:
+            want[f, s] = (n, e, found)
+    got = lk.enclosing_functions(spark.createDataFrame(lines, "file STRING, line LONG"), spark.createDataFrame(functions, "file STRING, name STRING, start_line LONG, end_line LONG"))
+    assert {(r["file"], r["start_line"]): (r["name"], r["end_line"], r["contains_lines"]) for r in got.collect()} == want
+    none = lk.enclosing_functions(spark.createDataFrame([], "file STRING, line LONG"), spark.createDataFrame(functions, "file STRING, name STRING, start_line LONG, end_line LONG"))
+    assert none.count() == 0
