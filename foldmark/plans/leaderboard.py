@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foldmark.operators import leaderboard as lb
 from foldmark.plans import query
-from foldmark.session import shared_dir
+from foldmark.session import dealt, shared_dir
 from foldmark.sources.results import read_sheets, unpivot_sheet
 from foldmark.tables import table
 
@@ -165,6 +165,9 @@ def sheet_files(spark, sf):
     return path
 
 
+CELLS_PER_TASK = 100_000
+
+
 @query(
     "SRC11_sheets_to_table",
     RUNS.replace("event_type || '-' || day(ts) AS comp", "user_id || '-' || CASE WHEN event_type IN ('error', 'view') THEN 'rmse' ELSE 'accuracy' END AS comp")
@@ -180,6 +183,7 @@ def src11_table(spark, sf):
     said = lb.explode_runs(read_sheets(spark, sheet_files(spark, sf)), keep_empty=True).withColumn("score", lb.run_score(F.col("raw")))
     said = said.withColumn("lang", lb.language_code(F.col("lang")))
     cell = ["file", "comp", "metric", "model", "lang"]
+    said = dealt(said, cell, CELLS_PER_TASK)  # once, for both aggregates and their join
     rates = lb.valid_run_rate(said, cell).select(*cell, F.col("pass_rate").alias("rate"))
     found = lb.relative_performance(said, cell).join(rates, cell)
     rows = lb.with_average_row(lb.summary(found, ["model", "lang"], rate="rate"), ["model"])

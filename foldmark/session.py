@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import math
 import os
 import shutil
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
@@ -53,6 +54,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def dealt(df: DataFrame, by: Sequence[str], per_task: int) -> DataFrame:
+    """Rows dealt by columns to as many tasks as hold ``per_task`` rows each on average, whatever the session's number of partitions."""
+    spark = df.sparkSession
+    return df.repartition(max(shuffle_partitions(spark), math.ceil(df.count() / per_task)), *by)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The cluster's shared folder. Only a local session may fall back to its own disk."""
     root = spark.conf.get("spark.checkpoint.dir", None)

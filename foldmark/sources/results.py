@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldmark.operators.leakage import pair_reports
-from foldmark.session import materialize, small_side
+from foldmark.session import materialize, shuffle_partitions, small_side
 
 # fixed values: fields of a result file
 RESULT = (
@@ -18,6 +19,7 @@ RESULT = (
 # fixed values: layout of a result sheet
 FIRST_CELL, NAME_COLUMN, BASELINE_COLUMN, METRIC_COLUMN = 5, 1, 2, 4
 SHEET_COLUMNS = 256  # a sheet may have at most
+SHEET_ROWS = 4096  # of a task, after reading
 
 
 def read_results(
@@ -63,7 +65,8 @@ def read_sheets(spark: SparkSession, path: str, columns: int = SHEET_COLUMNS) ->
 
     Columns: file, comp, baseline, metric, model, lang, cell. Each sheet has its own headers: they become a table of (file, place,
     model, language), blanks filled from the left, that the cells of the file meet by place. Records may have several lines, so
-    a file is one task's work, and its rows keep their order in the numbers they get there.
+    a file is one task's work to read, and its rows keep their order in the numbers they get there. From then on they are dealt to
+    tasks of ``SHEET_ROWS`` rows on average, so that what is made of their cells takes no more memory in larger sheets.
     """
     names = [f"_c{i}" for i in range(columns)]
     reader = spark.read.schema(", ".join(f"{n} STRING" for n in names)).options(header=False, escape='"', multiLine=True, recursiveFileLookup=True)
@@ -78,7 +81,8 @@ def read_sheets(spark: SparkSession, path: str, columns: int = SHEET_COLUMNS) ->
     heads = heads.withColumn("model", F.last("model", True).over(leftwards)).filter("lang is not null")
     heads = heads.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("place", "model", "lang"))).alias("heads"))
     cell = F.transform("heads", lambda h: F.struct(h["model"].alias("model"), h["lang"].alias("lang"), F.get("cells", h["place"]).alias("cell")))
-    body = placed.filter("row >= 2").join(small_side(heads), "file")
+    tasks = max(shuffle_partitions(spark), math.ceil(raw.count() / SHEET_ROWS))
+    body = placed.filter("row >= 2").repartition(tasks, "file", "row").join(small_side(heads), "file")
     return body.select(
         "file", F.get("cells", F.lit(NAME_COLUMN)).alias("comp"), F.trim(F.get("cells", F.lit(BASELINE_COLUMN))).try_cast("double").alias("baseline"),
         F.get("cells", F.lit(METRIC_COLUMN)).alias("metric"), F.explode(cell).alias("e"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from foldmark.operators import leaderboard as lb
 from foldmark.operators import leakage as lk
 from foldmark.plans import sources
+from foldmark.session import dealt
 from foldmark.sources import catalog, delimited, folds, manifest, results
 
 
@@ -270,3 +271,19 @@ def test_functions_of_lines_against_brute_force(spark):
     assert {(r["file"], r["start_line"]): (r["name"], r["end_line"], r["contains_lines"]) for r in got.collect()} == want
     none = lk.enclosing_functions(spark.createDataFrame([], "file STRING, line LONG"), spark.createDataFrame(functions, "file STRING, name STRING, start_line LONG, end_line LONG"))
     assert none.count() == 0
+
+
+def test_rows_of_one_sheet_are_dealt_to_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(results, "SHEET_ROWS", 4)
+    body = "".join(f"{i},c{i},1,d,r2,{i},{i + 1}\n" for i in range(200))
+    (tmp_path / "a.csv").write_text(",,,,,m1,\nno,name,base,domain,metric,English,French\n" + body)
+    rows = results.read_sheets(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() >= 50  # the file is one
+    assert sorted((int(r["comp"][1:]), r["lang"], int(r["cell"])) for r in rows.collect()) == sorted((i, n, i + k) for i in range(200) for k, n in enumerate(("English", "French")))
+
+
+def test_rows_are_dealt_to_more_tasks_than_the_session_has(spark):
+    df = spark.range(1000).selectExpr("id % 100 AS k")
+    out = dealt(df, ["k"], 20)
+    assert out.rdd.getNumPartitions() == 50 and out.groupBy("k").count().rdd.getNumPartitions() == 50
+    assert dealt(df.limit(0), ["k"], 20).count() == 0
