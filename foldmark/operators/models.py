@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldmark.operators.encode import class_weights
+from foldmark.operators.forests import CountedForest
 from foldmark.operators.metrics.classification import CLASS_SCORES, class_scores
 from foldmark.operators.metrics.registry import metric_named
 from foldmark.session import materialize, small_side
@@ -44,9 +45,11 @@ def one_vs_rest(features: Sequence[str], target: str, base: Estimator | None = N
     return _pipeline(features, OneVsRest(classifier=inner, labelCol=target, parallelism=2))
 
 
-def forest(features: Sequence[str], target: str, classify: bool = False, trees: int = 50, depth: int = 8, seed: int = 42) -> Pipeline:
+def forest(features: Sequence[str], target: str, classify: bool = False, trees: int = 50, depth: int = 8, seed: int = 42) -> Estimator:
+    """Random forest; a regression over many rows is fitted by counts, see ``forests``."""
     kind = RandomForestClassifier if classify else RandomForestRegressor
-    return _pipeline(features, kind(labelCol=target, numTrees=trees, maxDepth=depth, seed=seed))
+    plain = _pipeline(features, kind(labelCol=target, numTrees=trees, maxDepth=depth, seed=seed))
+    return plain if classify else CountedForest(plain, features, target, trees, depth, seed)
 
 
 def boosted(
