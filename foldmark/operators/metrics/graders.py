@@ -54,13 +54,14 @@ def _faults(
     """
     own = list(by) if by and set(by) <= set(truth.columns) else []
     expected = truth.select(*own, *key).distinct().withColumn("_known", F.lit(True))
-    total = F.lit(expected.count())
+    total = F.col("_asked")
     metric = entry.get("metric", "accuracy_score")
     odd = F.lit(False)
     for name in ["prediction"] if "prediction" in pred.columns else [t for t in _targets(entry) if t in pred.columns]:
         if isinstance(pred.schema[name].dataType, T.StringType) and any(part in metric for part in NUMBERS):
             odd |= F.col(name).isNotNull() & F.col(name).try_cast("double").isNull()
-    keys = pred.groupBy(*by, *key).agg(F.count(F.lit(1)).alias("_n"), F.count_if(odd).alias("_odd"))
+    dealt = pred if own else pred.repartition(*key)  # keys are counted where they meet the truth's: rows move once
+    keys = dealt.groupBy(*by, *key).agg(F.count(F.lit(1)).alias("_n"), F.count_if(odd).alias("_odd"))
     counts = keys.join(expected, [*own, *key], "left").groupBy(*by).agg(
         F.count("_known").alias("known"), F.count_if(F.col("_n") > 1).alias("doubled"),
         F.count_if(F.col("_known").isNull()).alias("extra"), F.sum("_odd").alias("not_numeric"),
@@ -73,6 +74,8 @@ def _faults(
         wanted = submissions.select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(by)], *(["_total"] if own else [])).distinct()
         wanted = wanted.join(counts, [F.col(f"_w{i}").eqNullSafe(F.col(f"_b{i}")) for i in range(len(by))], "full")
         counts = wanted.withColumns({f"_b{i}": F.coalesce(f"_b{i}", f"_w{i}") for i in range(len(by))})
+    if not own:
+        counts = counts.crossJoin(F.broadcast(expected.agg(F.count(F.lit(1)).alias("_asked"))))  # one row
     counts = counts.withColumn("missing", total - F.coalesce("known", F.lit(0)))
     parts = [F.when(F.col(c) > 0, F.concat(F.col(c), F.lit(f" {c}"))) for c in ("missing", "doubled", "extra", "not_numeric")]
     said = F.concat_ws(", ", *parts)

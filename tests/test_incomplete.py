@@ -84,3 +84,15 @@ def test_indented_result_files(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"submission_id": ')
     rows = results.read_results(spark, str(tmp_path), indented=True, corrupt="bad").select("submission_id", "score", "bad").collect()
     assert sorted((r["submission_id"] or "", r["score"], r["bad"] is None) for r in rows) == [("", None, False), ("s1", 0.5, True)]
+
+
+def test_keys_of_submissions_move_once(spark):
+    """Keys of predictions are counted in the partitions where they meet the truth's, and the truth's are counted there as well."""
+    truth = spark.createDataFrame([(i, 1.0) for i in range(9)], "id int, target double")
+    sent = spark.createDataFrame([("a", i, 1.0) for i in range(9)] + [("b", i, 1.0) for i in (0, 0, 4, 11)], "model string, id int, prediction double")
+    found = graders._faults(truth, sent, {}, ["id"], ["model"])
+    assert {r["_b0"]: r["fault"] for r in found.collect()} == {"a": None, "b": "7 missing, 1 doubled, 1 extra"}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[0]  # of the adaptive plan, what ran
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(model" in line and "id#" in line]
+    assert not moved
