@@ -8,10 +8,10 @@ from foldmark.functions import vectors
 from foldmark.operators import encode, split, text
 from foldmark.plans import query
 from foldmark.plans.splits import LIMIT, draw
-from foldmark.session import shared_dir
-from foldmark.session import materialize
+from foldmark.session import dealt, materialize, shared_dir
 from foldmark.tables import table
 
+TEXTS_PER_TASK = 4096
 STOP = text.default_stop_words()
 STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP)
 WORDS_SQL = rf"list_filter(regexp_extract_all(lower(text), '([\p{{L}}\p{{N}}_]{{2,}})', 1), lambda w: w NOT IN ({STOP_SQL}))"
@@ -167,7 +167,8 @@ def txt3(spark, sf):
 )
 def txt4(spark, sf):
     terms = text.with_bigrams(text.tokens(F.col("text"), STOP))
-    docs = materialize(table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id"), "documents")  # the table is one file
+    docs = dealt(table(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], TEXTS_PER_TASK)  # the table is one file
+    docs = materialize(docs, "documents")
     out = text.tfidf(
         docs, "doc_id", terms,
         min_df=3, max_df=0.8, max_features=500, sublinear=True,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foldmark.operators import encode, linear, models, split
 from foldmark.operators import leakage as lk
 from foldmark.operators import text as terms
-from foldmark.plans import QUERIES, load_all
+from foldmark.plans import QUERIES, encoders, load_all
 from foldmark.session import forget, materialize, scratch, shared_root
 from foldmark.streaming import leaderboard
 
@@ -126,6 +126,15 @@ def test_sketched_vocabulary_is_the_exact_one(spark, buckets):
         assert counts.join(found, "term", "left_semi").count() == terms.term_counts(df, "d", words).join(exact, "term", "left_semi").count()
 
 
+def test_tfidf_deals_its_texts_in_slices_of_bounded_rows(spark, monkeypatch, tmp_path):
+    spark.createDataFrame([(i, f"word{i % 7} other{i % 5}") for i in range(900)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    kept = []
+    monkeypatch.setattr(encoders, "TEXTS_PER_TASK", 50, raising=False)
+    monkeypatch.setattr(encoders, "materialize", lambda df, label: kept.append(materialize(df, label)) or kept[-1])
+    assert QUERIES["TXT4_tfidf"](spark, str(tmp_path)).select("doc_id").distinct().count() == 900
+    assert len(kept[0].inputFiles()) >= 900 // 50
+
+
 def test_corrections_replace_results_in_any_order(spark, tmp_path):
     day = "2024-01-0{} 00:00:00"
     rows = [("s1", "c", "m", "l", "accuracy", 0.5, 0.25, day.format(1)), ("s2", "c", "m", "l", "accuracy", 0.5, 1.0, day.format(1)), ("s3", "c", "x", "l", "rmse", 2.0, None, day.format(1))]
