@@ -6,12 +6,14 @@ import random
 import re
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 
 from foldmark.llm import decontaminate, dom, extract, llr, mixing, preference, quality, secret_scan, simhash, suffix_tree, urls
+from foldmark.session import shared_root
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, kept boolean"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -336,6 +338,17 @@ def test_suffix_tree_of_any_depth(spark, monkeypatch, head):
     assert [got[i] for i in range(len(texts))] == pytest.approx(want, abs=1e-6)
 
 
+def test_suffix_tree_leaves_no_broadcasts_on_disk(spark):
+    """The marks of each level, and the head, go from the driver's disk once they were used; tables of symbols and of levels go too."""
+    rows = [(i, "once upon a time there was a text that stood here more than once " * (1 + i % 3)) for i in range(40)]
+    temp, shared = Path(spark.sparkContext._temp_dir), Path(shared_root(spark).removeprefix("file:"))
+    before = {p.name for p in temp.iterdir()}, {p.name for p in shared.iterdir()}
+    assert suffix_tree.scored(spark.createDataFrame(rows, "doc_id long, text string")).count() == 40
+    assert {p.name for p in temp.iterdir() if p.is_file()} <= before[0]
+    kept = [p for p in shared.iterdir() if p.name not in before[1]]
+    assert not [p for p in kept if "symbols" in spark.read.parquet(str(p)).columns]
+
+
 # mixing
 
 
