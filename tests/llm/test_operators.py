@@ -9,6 +9,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -349,6 +350,34 @@ def test_suffix_tree_leaves_no_broadcasts_on_disk(spark):
     assert not [p for p in kept if "symbols" in spark.read.parquet(str(p)).columns]
 
 
+def test_suffix_tree_moves_packed_keys(spark, monkeypatch):
+    """Stretches move as packed arrays in passes: no pass writes rows of single stretches, and passes and portions change no score."""
+    draw = random.Random(8)
+    rows = [(i, " ".join("w%d" % draw.expovariate(0.01) for _ in range(400))) for i in range(60)] + [(None, "w1 w2"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    moved = []
+    dealt = suffix_tree._dealt
+    monkeypatch.setattr(suffix_tree, "_dealt", lambda df: moved.append(df) or dealt(df))
+    want = sorted(map(tuple, suffix_tree.scored(docs).collect()), key=str)
+    assert len(want) == 62
+    assert len(moved) > 5 and all([t for _, t in df.dtypes[2:]] == ["binary"] * 4 for df in moved)
+    for share, portions in ((1, 1), (7, 3)):
+        monkeypatch.setattr(suffix_tree, "SHARE", share)
+        monkeypatch.setattr(suffix_tree, "PORTIONS", portions)
+        got = sorted(map(tuple, suffix_tree.scored(docs).collect()), key=str)
+        assert [x[:5] for x in got] == [x[:5] for x in want]
+        assert [x[5:] for x in got] == [pytest.approx(x[5:], abs=1e-9) for x in want]
+
+
+def test_suffix_tree_words(spark):
+    """Words end at the six white space bytes only, empty ones count nowhere, and other than A-Z keeps its case."""
+    texts = [None, "", " \t\n ", "Straße 中文\x0b\x0cX\x1fy \xa0z\u2003Q  İ", "a  b\r\nC ", " x", "é\x85Y", "w" * 100]
+    found, ends = suffix_tree.words_of(pa.array(["skipped", *texts]).slice(1))
+    want = [[w.encode().lower() for w in words(t)] for t in texts]
+    assert list(ends) == [sum(map(len, want[: i + 1])) for i in range(len(want))]
+    assert [int(x) for x in found] == [xxhash.xxh64_intdigest(w, 42) for ws in want for w in ws]
+
+
 # mixing
 
 
