@@ -369,6 +369,33 @@ def test_suffix_tree_moves_packed_keys(spark, monkeypatch):
         assert [x[5:] for x in got] == [pytest.approx(x[5:], abs=1e-9) for x in want]
 
 
+def test_suffix_tree_takes_little_disk(spark, monkeypatch):
+    """A symbol of a text takes less than its digest, and the more keys texts ask for, the more portions they go in; no score changes."""
+    draw = random.Random(9)
+    rows = [(i, " ".join("w%d" % draw.expovariate(0.01) for _ in range(400))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    widths, portions, kept, score = [], [], suffix_tree._kept, suffix_tree._score
+
+    def noted(df, **settings):
+        table = kept(df, **settings)
+        if "symbols" in table.columns:
+            found = table.collect()
+            widths.append(sum(len(x) for r in found for x in r if isinstance(x, bytes | bytearray)) / sum(r["size"] for r in found))
+        return table
+
+    monkeypatch.setattr(suffix_tree, "_kept", noted)
+    monkeypatch.setattr(suffix_tree, "_score", lambda *args: portions.append(1) or score(*args))
+    want = sorted(map(tuple, suffix_tree.scored(docs).collect()))
+    assert widths[0] < 6 and len(portions) == suffix_tree.PORTIONS
+    monkeypatch.setattr(suffix_tree._head, "__defaults__", (10,))
+    monkeypatch.setattr(suffix_tree, "ROOM", 8)
+    monkeypatch.setattr(suffix_tree, "LIGHT", 1)
+    got = sorted(map(tuple, suffix_tree.scored(docs).collect()))
+    assert len(portions) > 2 * suffix_tree.PORTIONS
+    assert [x[:5] for x in got] == [x[:5] for x in want]
+    assert [x[5:] for x in got] == [pytest.approx(x[5:], abs=1e-9) for x in want]
+
+
 def test_suffix_tree_words(spark):
     """Words end at the six white space bytes only, empty ones count nowhere, and other than A-Z keeps its case."""
     texts = [None, "", " \t\n ", "Straße 中文\x0b\x0cX\x1fy \xa0z\u2003Q  İ", "a  b\r\nC ", " x", "é\x85Y", "w" * 100]
