@@ -1,4 +1,4 @@
-"""Regression forests over many rows: rows are counted by bins first, and the trees grow on the counts.
+"""Regression forests and boosted trees over many rows: rows are counted by bins first, and the trees grow on the counts.
 
 A tree sees a row only as the bins of its features, at most ``BINS`` per feature, and its split gains and leaf means are made of sums of
 weights and targets. So rows that share all bins are one cell, and a tree needs of a cell the number of its rows in the tree's
@@ -6,6 +6,9 @@ bootstrap and their mean target: what is spread inside a cell falls out of every
 one scan that adds up the cells; Spark ML grows each tree on the cells. A fit reads the rows four times at most, whatever the number of
 trees and levels, and keeps none of them.
 
+Boosted trees draw nothing. The residuals of the rows of a cell differ by their targets only, so the number of its rows, their mean and their deviation
+give the sums of every split and the error of the validation rows, which ends the fit where it ends over the rows: a cell is two rows, at the mean less and plus the deviation.
+
 Counting pays where there are far fewer cells than rows. Other tables, and tables of less than ``LARGE`` rows, are fitted row by row by Spark ML.
 
 Edge cases: rows with a null or NaN among features or target are an error, as in Spark ML. Bins end at quantiles of ``SAMPLE`` rows (Spark ML's of fewer), or hold one value
@@ -14,6 +17,7 @@ each where a feature has no more than ``BINS`` among all rows. As in Spark ML, d
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator, Sequence
 from functools import reduce
@@ -26,7 +30,7 @@ from pyspark import TaskContext, cloudpickle, inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.linalg import DenseVector
-from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +45,7 @@ FEWER = 16  # rows per possible cell, at least
 HELD = 1 << 16  # cells a task holds before it passes their sums on
 CHUNK = 1 << 16  # rows that draw at a time
 AT_ONCE = 4  # trees that grow at the same time
+TASK_CELLS = 50_000  # cells in a task of a boosted fit
 POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.append(1.0, np.arange(1.0, 20.0))))  # distribution function at 0, 1, 2...
 _LOW = np.searchsorted(POISSON, np.arange(1 << 16) / (1 << 16), side="right")
 _HIGH = np.searchsorted(POISSON, np.arange(1, (1 << 16) + 1) / (1 << 16), side="left")
@@ -228,3 +233,50 @@ class CountedForestModel(Model):
         mean = reduce(lambda a, b: a + b, [F.col(f"_p{i}") for i in range(len(self.models))]) / len(self.models)
         found = small_side(scored.select("_c", mean.alias("prediction")))
         return coded.join(found, F.col("_cell") == F.col("_c"), "left").drop("_cell", "_c")
+
+
+class CountedBoost(Estimator):
+    """Boosted regression trees that are fitted by cells where these are far fewer than rows, and by ``plain`` where not."""
+
+    def __init__(self, plain: Pipeline, features: Sequence[str], target: str, rounds: int, depth: int, validation: str | None, seed: int, large: int = LARGE):
+        super().__init__()
+        self.plain, self.features, self.target, self.validation = plain, list(features), target, validation
+        self.rounds, self.depth, self.seed, self.large = rounds, depth, seed, large
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        held = F.lit(False) if self.validation is None else F.col(self.validation)
+        cuts = cuts_of(dataset.filter(~held), self.features, self.target, self.large, self.seed)
+        if cuts is None:
+            return self.plain.fit(dataset)
+        odd = reduce(lambda a, b: a | b, map(_odd, [*self.features, self.target]))  # among the validation rows, which the cuts have not seen
+        cell = F.when(odd, F.raise_error(F.lit("a feature or target is null or NaN")).cast("long")).otherwise(_cell(self.features, cuts))
+        y = F.col(self.target).cast("double")
+        rows = dataset.select(cell.alias("cell"), y.alias("y"), held.alias("held")).filter("held is not null")
+        sums = rows.groupBy("cell", "held").agg(F.count(F.lit(1)).alias("rows"), F.avg("y").alias("mean"), F.stddev_pop("y").alias("spread"))
+        both = F.explode(F.array(F.col("mean") - F.col("spread"), F.col("mean") + F.col("spread")))
+        cells = materialize(sums.select("cell", "held", (F.col("rows") / 2).alias("n"), both.alias("y")), "boost-cells")
+        bins = [c.alias(f"_b{i}") for i, c in enumerate(_bins(cuts))]
+        coded = cells.select(*bins, "n", "y", "held").coalesce(max(1, math.ceil(cells.count() / TASK_CELLS)))
+        vectors = VectorAssembler(inputCols=[f"_b{i}" for i in range(len(cuts))], outputCol="features")
+        model = GBTRegressor(labelCol="y", weightCol="n", maxIter=self.rounds, maxDepth=self.depth, maxBins=BINS, seed=self.seed)
+        if self.validation is not None:
+            model = model.setValidationIndicatorCol("held")
+        fitted = model.fit(vectors.transform(coded).select("features", "n", "y", "held"))
+        forget(cells)
+        return PipelineModel([CountedBoostModel(self.features, cuts, [fitted])])
+
+
+class CountedBoostModel(CountedForestModel):
+    """Boosted trees over the cells of the features; the prediction is found once per cell."""
+
+    @property
+    def trees(self) -> list:
+        return self.models[0].trees
+
+    @property
+    def getNumTrees(self) -> int:
+        return self.models[0].getNumTrees
+
+    @property
+    def featureImportances(self) -> DenseVector:
+        return self.models[0].featureImportances

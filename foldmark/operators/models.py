@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldmark.operators.encode import class_weights
-from foldmark.operators.forests import CountedForest
+from foldmark.operators.forests import CountedBoost, CountedForest
 from foldmark.operators.metrics.classification import CLASS_SCORES, class_scores
 from foldmark.operators.metrics.registry import metric_named
 from foldmark.session import materialize, small_side
@@ -55,10 +55,10 @@ def forest(features: Sequence[str], target: str, classify: bool = False, trees:
 def boosted(
     features: Sequence[str], target: str, classify: bool = False, rounds: int = 50, depth: int = 5,
     validation: str | None = None, seed: int = 42, classes: int = 2,
-) -> Pipeline:
+) -> Estimator:
     """Gradient-boosted trees; a boolean ``validation`` column marks the rows that stop the fit early.
 
-    With more than two ``classes`` one fit per class against the rest; these take no validation rows.
+    A regression over many rows is fitted by counts, see ``forests``. With more than two ``classes`` one fit per class against the rest; these take no validation rows.
     """
     kind = GBTClassifier if classify else GBTRegressor
     model = kind(labelCol=target, maxIter=rounds, maxDepth=depth, seed=seed)
@@ -66,7 +66,8 @@ def boosted(
         if validation:
             raise ValueError("fits of several classes take no validation rows")
         return _pipeline(features, OneVsRest(classifier=model, labelCol=target, parallelism=2))
-    return _pipeline(features, model.setValidationIndicatorCol(validation) if validation else model)
+    plain = _pipeline(features, model.setValidationIndicatorCol(validation) if validation else model)
+    return plain if classify else CountedBoost(plain, features, target, rounds, depth, validation, seed)
 
 
 def balanced(df: DataFrame, label: str, out: str = "weight") -> DataFrame:

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from foldmark.operators import forests, models
@@ -62,3 +62,31 @@ def test_other_rows_are_fitted_as_they_are(spark):
     model = counted(trees=2, depth=2).fit(made(spark))
     with pytest.raises(Exception, match="a feature is null or NaN"):
         models.predict(model, df.withColumn("b", F.when(F.col("id") != 9, F.col("b"))), ["id"]).collect()
+
+
+@pytest.mark.parametrize("validation", [None, "held"])
+def test_boosted_trees_on_cells_are_those_on_the_rows(spark, validation):
+    """Sums of splits and validation errors are the same, so are rounds and predictions; rows without a mark are in neither part."""
+    k = F.col("id")
+    df = made(spark).withColumn("y", F.col("y") + (k * 7919 % 101) / 5).withColumn("held", F.when(k % 97 != 0, k % 5 == 1))
+    train = df if validation else df.drop("held")
+    estimator = models.boosted(["a", "b", "c"], "y", rounds=12, depth=2, validation=validation)
+    estimator.large = 1
+    model = estimator.fit(train)
+    assert type(model.stages[-1]) is forests.CountedBoostModel
+    plain = GBTRegressor(labelCol="y", maxIter=12, maxDepth=2, seed=42)
+    want = models._pipeline(["a", "b", "c"], plain.setValidationIndicatorCol("held") if validation else plain).fit(train)
+    assert len(model.stages[-1].trees) == len(want.stages[-1].trees) == model.stages[-1].getNumTrees
+    rows = models.predict(model, df, ["id"]).join(models.predict(want, df, ["id"]).withColumnRenamed("prediction", "other"), "id").collect()
+    assert len(rows) == 4000 and all(r["prediction"] == pytest.approx(r["other"], abs=1e-6) for r in rows)
+    assert model.stages[-1].featureImportances.toArray() == pytest.approx(want.stages[-1].featureImportances.toArray(), abs=1e-6)
+
+
+def test_boosted_trees_refuse_odd_rows(spark):
+    estimator = models.boosted(["a", "b", "c"], "y", rounds=2, depth=2, validation="held")
+    estimator.large = 1
+    df = made(spark).withColumn("held", F.col("id") % 5 == 1)
+    for row in (9, 11):  # one to fit and one to validate
+        with pytest.raises(Exception, match="(?i)null"):
+            estimator.fit(df.withColumn("b", F.when(F.col("id") != row, F.col("b"))))
+    assert type(models.boosted(["a"], "y", rounds=1, depth=1).fit(df).stages[-1]) is not forests.CountedBoostModel
