@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from foldmark.operators.leaderboard import RUNS_PER_CELL, relative_score
 from foldmark.session import shared_dir
@@ -79,63 +75,58 @@ def run_available(
     return spark.read.schema(board.schema).parquet(f"{root}/board/batch={last['id']}")
 
 
-#: What a submission adds to the totals of its cell; negative numbers take it out again.
-SHARE = "comp STRING, model STRING, lang STRING, runs LONG, passed LONG, score DOUBLE, ratio DOUBLE, rated LONG"
-KEPT = "received LONG, comp STRING, model STRING, lang STRING, score DOUBLE, ratio DOUBLE"
-
-
-def _number(value) -> float | None:
-    return None if pd.isna(value) else float(value)
-
-
-def _share(kept: tuple, sign: int) -> dict:
-    _, comp, model, lang, score, ratio = kept
-    return {
-        "comp": comp, "model": model, "lang": lang, "runs": sign, "passed": sign * (score is not None), "score": sign * (score or 0.0),
-        "ratio": sign * (ratio or 0.0), "rated": sign * (ratio is not None),
-    }
+#: What orders the results of a submission, and what its newest one has.
+RESULT = "at LONG, passed BOOLEAN, number DOUBLE, comp STRING, model STRING, lang STRING, score DOUBLE, ratio DOUBLE"
 
 
-def _latest(late: int | None):
-    """Changes of the totals by one submission: its newest result replaces the one before, wherever that was counted."""
+def watermarks(rows: DataFrame, late: str) -> list[tuple[int, int, int]]:
+    """Of each batch its number, the watermark it ran with and that of the batch before, in ms: ``late`` less than the newest result of earlier batches."""
+    newest = rows.groupBy("batch").agg(F.max(F.unix_millis("received")).alias("m"))
+    found = newest.select("batch", F.unix_millis(F.timestamp_millis("m") - F.lit(late).cast("interval")).alias("m")).orderBy("batch").collect()  # a row per batch
+    out, mark, before = [], 0, 0
+    for r in found:
+        out.append((r["batch"], mark, before))
+        before, mark = mark, max(mark, r["m"] or 0)
+    return out
 
-    def change(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()  # older than any correction that may come; its share stays
-            return
-        before = state.get if state.exists else None
-        best = before
-        for frame in frames:
-            for r in frame.itertuples(index=False):
-                found = (int(r.at), r.comp, r.model, r.lang, _number(r.score), _number(r.ratio))
-                newer = best is None or (found[0], found[4] is not None, found[4] or 0.0) > (best[0], best[4] is not None, best[4] or 0.0)
-                best = found if newer else best
-        if best is None or best == before:
-            return
-        state.update(best)
-        if late is not None:
-            state.setTimeoutTimestamp(max(best[0] // 1000 + late, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([_share(kept, sign) for kept, sign in ((before, -1), (best, 1)) if kept is not None])
 
-    return change
+def latest(rows: DataFrame, late: str | None = None) -> DataFrame:
+    """What each submission adds to the totals, from the results of all batches: its newest one, whatever their order.
 
-
-def changes(stream: DataFrame, late: str | None = None) -> DataFrame:
-    """Shares that enter and leave the totals as results and corrections come in, whatever their order.
-
-    The state holds one row per submission; with ``late`` it is let go once the stream is that much further.
+    With ``late``, results up to the watermark are left out, and a submission that the watermark has passed is let go: its share stays, and a later
+    result counts as one more run.
     """
-    if late is not None:
-        stream = stream.withWatermark("received", late)
-    ratio = F.when(F.col("score").isNotNull(), relative_score(F.col("score"), F.col("baseline"), F.col("metric")))
-    rows = stream.filter("submission_id is not null").withColumns({"ratio": ratio, "at": F.coalesce(F.unix_micros("received"), F.lit(0))})
-    timeout = GroupStateTimeout.NoTimeout if late is None else GroupStateTimeout.EventTimeTimeout
-    wait = None if late is None else 0  # the watermark already lags by ``late``
-    return rows.groupBy("submission_id").applyInPandasWithState(_latest(wait), SHARE, KEPT, "update", timeout)
+    score, ratio = (F.when(~F.isnan(c), F.col(c)) for c in ("score", "_ratio"))
+    rated = F.when(F.col("score").isNotNull(), relative_score(F.col("score"), F.col("baseline"), F.col("metric")))
+    values = [F.coalesce(F.unix_micros("received"), F.lit(0)), score.isNotNull(), F.coalesce(score, F.lit(0.0)), F.col("comp"), F.col("model"), F.col("lang"), score, ratio]
+    result = F.struct(*[v.alias(f.split()[0]) for v, f in zip(values, RESULT.split(", "))])
+    named = rows.filter("submission_id is not null").withColumn("_ratio", rated)
+    if late is None:
+        best = named.groupBy("submission_id").agg(F.max(result).alias("best"))
+    else:
+        marks = rows.sparkSession.createDataFrame(watermarks(rows, late), "batch LONG, mark LONG, before LONG")
+        timely = named.join(F.broadcast(marks), "batch").filter("received is null or unix_micros(received) > 1000 * mark")
+        each = timely.repartition("submission_id").groupBy("submission_id", "batch").agg(F.max(result).alias("best"), F.first("mark").alias("mark"), F.first("before").alias("before"))
+        found = each.groupBy("submission_id").agg(F.sort_array(F.collect_list(F.struct("batch", "mark", "before", "best"))).alias("found"))
+        kind = f"STRUCT<{RESULT}>"
+        start = F.expr(f"named_struct('best', cast(null as {kind}), 'until', cast(null as long), 'done', cast(array() as array<{kind}>))")
+
+        def step(state: Column, x: Column) -> Column:
+            gone = F.coalesce(state["until"] < x["before"], F.lit(False))
+            newer = gone | state["best"].isNull() | (F.struct(*[x["best"][c] for c in ("at", "passed", "number")]) > F.struct(*[state["best"][c] for c in ("at", "passed", "number")]))
+            until = F.when(newer, F.greatest(F.floor(x["best"]["at"] / 1000).cast("long"), x["mark"] + 1))  # a replay alone keeps a submission
+            done = F.when(gone, F.array_append(state["done"], state["best"])).otherwise(state["done"])
+            return F.struct(F.when(newer, x["best"]).otherwise(state["best"]).alias("best"), until.alias("until"), done.alias("done"))
+
+        best = found.select(F.explode(F.aggregate("found", start, step, lambda state: F.array_append(state["done"], state["best"]))).alias("best"))
+    return best.select(
+        *[F.col(f"best.{c}").alias(c) for c in KEYS], F.lit(1).cast("long").alias("runs"), F.col("best.passed").cast("long").alias("passed"),
+        F.coalesce("best.score", F.lit(0.0)).alias("score"), F.coalesce("best.ratio", F.lit(0.0)).alias("ratio"), F.col("best.ratio").isNotNull().cast("long").alias("rated"),
+    )
 
 
 def corrected_totals(shares: DataFrame) -> DataFrame:
-    """The leaderboard from all shares so far, in the columns of ``totals``; cells that corrections have emptied are gone."""
+    """The leaderboard from all shares, in the columns of ``totals``; cells that corrections have emptied are gone."""
     sums = shares.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in ("runs", "passed", "score", "ratio", "rated")]).filter("runs > 0")
     return sums.select(
         *KEYS, "runs", "passed", (F.col("passed") / RUNS_PER_CELL * 100).alias("pass_rate"), F.try_divide("score", "passed").alias("mean_score"),
@@ -146,18 +137,18 @@ def corrected_totals(shares: DataFrame) -> DataFrame:
 def run_corrected(spark: SparkSession, path: str, files_per_trigger: int | None = None, late: str | None = None) -> DataFrame:
     """Process all files there are; results of a submission replace each other by the time they were received.
 
-    Every batch adds its shares, summed per cell, in a folder of its own, so a replayed batch writes the same again.
+    Every batch adds its results in a folder of its own, so a replayed batch writes the same again; submissions meet once, when all batches stand.
     """
     root = shared_dir(spark, "corrected-leaderboard")
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        sums = batch.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in ("runs", "passed", "score", "ratio", "rated")])
-        sums.select(*[f.split()[0] for f in SHARE.split(", ")]).write.mode("overwrite").parquet(f"{root}/shares/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{root}/results/batch={batch_id}")
 
-    writer = changes(read_runs(spark, path, files_per_trigger), late).writeStream.outputMode("update").option("checkpointLocation", f"{root}/state")
+    writer = read_runs(spark, path, files_per_trigger).writeStream.option("checkpointLocation", f"{root}/state")
     writer.foreachBatch(store).trigger(availableNow=True).start().awaitTermination()
+    schema = f"{RUN}, batch LONG"
     try:
-        shares = spark.read.schema(SHARE).parquet(f"{root}/shares")
+        rows = spark.read.schema(schema).parquet(f"{root}/results")
     except AnalysisException:  # no batch had any row
-        shares = spark.createDataFrame([], SHARE)
-    return corrected_totals(shares)
+        rows = spark.createDataFrame([], schema)
+    return corrected_totals(latest(rows, late))

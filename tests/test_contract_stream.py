@@ -1,5 +1,8 @@
 """User code and the running leaderboard."""
 
+import json
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +56,37 @@ def test_stream_equals_batch_with_replays(spark, tiny, tmp_path):
             assert (r["runs"], r["passed"]) == (w["runs"], w["passed"]) and abs(r["rp"] - w["rp"]) < 1e-9
 
 
+@pytest.mark.parametrize("late", [None, "30 days", "1 day"])
+def test_corrections_without_a_call_per_submission(spark, tmp_path, monkeypatch, late):
+    """The newest result of a submission counts; with a short ``late``, one that the stream has passed is let go, and late rows do not count."""
+    from pyspark.sql import GroupedData
+
+    monkeypatch.setattr(GroupedData, "applyInPandasWithState", None)
+    path = tmp_path / "in"
+    path.mkdir()
+
+    def add(n, *rows):
+        lines = [json.dumps({"submission_id": i, "comp": "c", "model": m, "lang": "l", "metric": "accuracy", "baseline": 2.0, "score": x, "received": t}) for i, m, x, t in rows]
+        (path / f"{n}.json").write_text("\n".join(lines))
+        os.utime(path / f"{n}.json", (1e9 + n, 1e9 + n))
+
+    add(0, ("a", "m", 1.0, "2024-01-01T00:00:00Z"), ("b", "m", 2.0, "2024-01-01T00:00:00Z"), (None, "m", 9.0, "2024-01-01T00:00:00Z"))
+    add(1, ("a", "n", 3.0, "2024-01-01T01:00:00Z"), ("a", "m", 1.0, "2024-01-01T00:00:00Z"), ("d", "m", None, "2024-01-01T02:00:00Z"))
+    add(2, ("e", "o", 4.0, "2024-01-09T00:00:00Z"), ("b", "m", 2.0, "2024-01-01T00:00:00Z"))
+    add(3, ("f", "o", 4.0, "2024-01-09T01:00:00Z"), ("b", "m", 7.0, "2024-01-01T03:00:00Z"))
+    add(4, ("a", "n", 5.0, "2024-01-09T02:00:00Z"))
+    add(5, ("a", "n", 6.0, "2024-01-09T03:00:00Z"))
+    got = {r["model"]: (r["runs"], r["passed"], r["mean_score"], round(r["rp"], 9)) for r in leaderboard.run_corrected(spark, str(path), 1, late).collect()}
+    if late == "1 day":  # b's correction comes too late; a was let go
+        want = {"m": (2, 1, 2.0, round(1 / 3, 9)), "n": (2, 2, 4.5, 1.5), "o": (2, 2, 4.0, round(4 / 3, 9))}
+    else:
+        want = {"m": (2, 1, 7.0, round(3.5 / 3, 9)), "n": (1, 1, 6.0, 1.0), "o": (2, 2, 4.0, round(4 / 3, 9))}
+    assert got == want
+    empty = tmp_path / "none"
+    empty.mkdir()
+    assert leaderboard.run_corrected(spark, str(empty), late=late).count() == 0
+
+
 def test_graders(spark):
     from foldmark.operators.metrics.graders import grade
 
