@@ -76,7 +76,7 @@ def run_available(
 
 
 #: What orders the results of a submission, and what its newest one has.
-RESULT = "at LONG, passed BOOLEAN, number DOUBLE, comp STRING, model STRING, lang STRING, score DOUBLE, ratio DOUBLE"
+RESULT = "at LONG, passed BOOLEAN, number DOUBLE, age LONG, comp STRING, model STRING, lang STRING, score DOUBLE, ratio DOUBLE"
 
 
 def watermarks(rows: DataFrame, late: str) -> list[tuple[int, int, int]]:
@@ -91,14 +91,14 @@ def watermarks(rows: DataFrame, late: str) -> list[tuple[int, int, int]]:
 
 
 def latest(rows: DataFrame, late: str | None = None) -> DataFrame:
-    """What each submission adds to the totals, from the results of all batches: its newest one, whatever their order.
+    """What each submission adds to the totals, from the results of all batches: its newest one, whatever their order; of equals the first written.
 
     With ``late``, results up to the watermark are left out, and a submission that the watermark has passed is let go: its share stays, and a later
     result counts as one more run.
     """
     score, ratio = (F.when(~F.isnan(c), F.col(c)) for c in ("score", "_ratio"))
     rated = F.when(F.col("score").isNotNull(), relative_score(F.col("score"), F.col("baseline"), F.col("metric")))
-    values = [F.coalesce(F.unix_micros("received"), F.lit(0)), score.isNotNull(), F.coalesce(score, F.lit(0.0)), F.col("comp"), F.col("model"), F.col("lang"), score, ratio]
+    values = [F.coalesce(F.unix_micros("received"), F.lit(0)), score.isNotNull(), F.coalesce(score, F.lit(0.0)), -F.unix_micros("written"), F.col("comp"), F.col("model"), F.col("lang"), score, ratio]
     result = F.struct(*[v.alias(f.split()[0]) for v, f in zip(values, RESULT.split(", "))])
     named = rows.filter("submission_id is not null").withColumn("_ratio", rated)
     if late is None:
@@ -144,9 +144,10 @@ def run_corrected(spark: SparkSession, path: str, files_per_trigger: int | None
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/results/batch={batch_id}")
 
-    writer = read_runs(spark, path, files_per_trigger).writeStream.option("checkpointLocation", f"{root}/state")
+    runs = read_runs(spark, path, files_per_trigger).select("*", F.col("_metadata.file_modification_time").alias("written"))
+    writer = runs.writeStream.option("checkpointLocation", f"{root}/state")
     writer.foreachBatch(store).trigger(availableNow=True).start().awaitTermination()
-    schema = f"{RUN}, batch LONG"
+    schema = f"{RUN}, written TIMESTAMP, batch LONG"
     try:
         rows = spark.read.schema(schema).parquet(f"{root}/results")
     except AnalysisException:  # no batch had any row

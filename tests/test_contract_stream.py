@@ -76,7 +76,11 @@ def test_corrections_without_a_call_per_submission(spark, tmp_path, monkeypatch,
     add(3, ("f", "o", 4.0, "2024-01-09T01:00:00Z"), ("b", "m", 7.0, "2024-01-01T03:00:00Z"))
     add(4, ("a", "n", 5.0, "2024-01-09T02:00:00Z"))
     add(5, ("a", "n", 6.0, "2024-01-09T03:00:00Z"))
-    got = {r["model"]: (r["runs"], r["passed"], r["mean_score"], round(r["rp"], 9)) for r in leaderboard.run_corrected(spark, str(path), 1, late).collect()}
+    add(6, ("g", "p", 6.0, None))
+    add(7, ("g", "z", 6.0, None))  # no newer: the first written stays, in one batch or in two
+    for files in (1, 2) if late != "1 day" else (1,):
+        got = {r["model"]: (r["runs"], r["passed"], r["mean_score"], round(r["rp"], 9)) for r in leaderboard.run_corrected(spark, str(path), files, late).collect()}
+        assert got.pop("p") == (1, 1, 6.0, 1.0)
     if late == "1 day":  # b's correction comes too late; a was let go
         want = {"m": (2, 1, 2.0, round(1 / 3, 9)), "n": (2, 2, 4.5, 1.5), "o": (2, 2, 4.0, round(4 / 3, 9))}
     else:
